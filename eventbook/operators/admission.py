@@ -45,9 +45,8 @@ MAX_BLOCKS = 1 << 12
 SALTS = 32
 
 
-def _crowded_keys(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blocks: int) -> DataFrame:
-    """Keys asking for more than they have, with the id width of one block."""
-    blocks = F.expr(f"least({max_blocks}, 1 + n div {rows_per_block})")
+def _crowded(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blocks: int) -> DataFrame:
+    """Keys asking for more than they have, with their lowest id and the id width of one block."""
     return (
         rows.groupBy("k")
         .agg(
@@ -58,59 +57,67 @@ def _crowded_keys(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blo
         )
         .join(free, "k")
         .filter(F.col("total") > F.col("free"))
-        .select("k", "free", "lo", blocks.alias("blocks"), "hi")
-        .selectExpr("k", "free", "lo", "1 + (hi - lo) div blocks AS width")
+        .selectExpr(
+            "k", "free", "lo", f"1 + (hi - lo) div least({max_blocks}, 1 + n div {rows_per_block}) AS width"
+        )
     )
 
 
-def _cuts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    """``(k, free, cut, left)``: ids up to ``cut`` are admitted, ``left`` places remain after it."""
-    placed = rows.join(crowded, "k").withColumn("b", F.expr("(i - lo) div width"))
-    by_block = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    crossing = (
-        placed.groupBy("k", "b")
-        .agg(F.sum("q").alias("s"), F.first("free").alias("f"))
-        .withColumn("run", F.sum("s").over(by_block))
-        .filter((F.col("run") > F.col("f")) & (F.col("run") - F.col("s") <= F.col("f")))
-        .select("k", "b", (F.col("run") - F.col("s")).alias("before"))
-    )
-    by_id = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = F.col("run") <= F.col("free")
-    found = (
-        placed.join(crossing, ["k", "b"])
-        .withColumn("run", F.col("before") + F.sum("q").over(by_id))
+def _crossings(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Per crowded key the first block of ids in which the limit is passed, and the sum before it."""
+    running = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.join(crowded, "k")
+        .groupBy("k", "free", "lo", "width", F.expr("(i - lo) div width").alias("b"))
+        .agg(F.sum("q").alias("s"))
+        .withColumn("run", F.sum("s").over(running))
+        .filter(F.col("run") > F.col("free"))
         .groupBy("k")
-        .agg(
-            F.max(F.when(fits, F.col("i"))).alias("last"),
-            F.max(F.when(fits, F.col("run"))).alias("run"),
-            F.first("before").alias("before"),
-            F.first("b").alias("b"),
-        )
+        .agg(F.min(F.struct("b", (F.col("run") - F.col("s")).alias("before"), "free", "lo", "width")).alias("c"))
+        .select("k", "c.*")
     )
-    # Keys already overbooked have no crossing block: nothing is admitted.
-    return crowded.join(found, "k", "left").select(
-        "k",
-        "free",
-        F.coalesce(F.col("last"), F.col("lo") + F.coalesce(F.col("b"), F.lit(0)) * F.col("width") - 1).alias("cut"),
-        (F.col("free") - F.coalesce("run", "before", F.lit(0))).alias("left"),
+
+
+def _cuts(rows: DataFrame, crossings: DataFrame) -> DataFrame:
+    """``(k, free, lo, cut, left)``: ids up to ``cut`` are admitted, ``left`` places remain after it."""
+    running = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.join(crossings, "k")
+        .filter(F.expr("(i - lo) div width = b"))
+        .withColumn("run", F.col("before") + F.sum("q").over(running))
+        .groupBy("k", "free", "lo", "width", "b", "before")
+        .agg(F.max(F.when(F.col("run") <= F.col("free"), F.struct("run", "i"))).alias("last"))
+        .select(
+            "k",
+            "free",
+            "lo",
+            # With no row of the block admitted the cut lies at the end of the block before.
+            F.coalesce(F.col("last.i"), F.col("lo") + F.col("b") * F.col("width") - 1).alias("cut"),
+            (F.col("free") - F.coalesce(F.col("last.run"), F.col("before"))).alias("left"),
+        )
     )
 
 
-def _late_admissions(rows: DataFrame, cuts: DataFrame, salts: int) -> DataFrame:
-    """``(k, late)``: ids admitted behind the cut."""
+def _outcomes(rows: DataFrame, cuts: DataFrame, salts: int) -> DataFrame:
+    """``(k, free, cut, late)``: ``late`` lists the ids admitted behind the cut."""
+    late = (F.col("i") > F.col("cut")) & (F.col("q") > 0) & (F.col("q") <= F.col("left"))
     tail = (
-        rows.join(cuts.filter(F.col("left") > 0).select("k", "cut", "left"), "k")
-        .filter((F.col("i") > F.col("cut")) & (F.col("q") > 0) & (F.col("q") <= F.col("left")))
-        .select("k", "i", "q", "left", F.expr("left div q").alias("most"), F.expr(f"pmod(hash(i), {salts})").alias("salt"))
+        rows.join(cuts, "k")
+        .withColumn("late", late)
+        # The lowest id of each key stays as a witness, so that no key is lost.
+        .filter(F.col("late") | (F.col("i") == F.col("lo")))
+        .withColumn("most", F.when(F.col("late"), F.expr("left div q")).otherwise(1))
+        .withColumn("salt", F.expr(f"pmod(hash(i), {salts})"))
     )
     # Earliest rows per quantity: first within each salt, then among the survivors.
-    for keys in (["k", "q", "salt"], ["k", "q"]):
+    for keys in (["k", "late", "q", "salt"], ["k", "late", "q"]):
         tail = tail.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("i"))).filter(
             F.col("rank") <= F.col("most")
         )
+    nothing = F.expr("cast(array() as array<bigint>)")
     replay = F.aggregate(
         F.array_sort("queue"),
-        F.struct(F.col("left").alias("left"), F.expr("cast(array() as array<bigint>)").alias("ids")),
+        F.struct(F.col("left").alias("left"), nothing.alias("ids")),
         lambda state, row: F.when(
             row["q"] <= state["left"],
             F.struct((state["left"] - row["q"]).alias("left"), F.array_append(state["ids"], row["i"]).alias("ids")),
@@ -118,9 +125,9 @@ def _late_admissions(rows: DataFrame, cuts: DataFrame, salts: int) -> DataFrame:
         lambda state: state["ids"],
     )
     return (
-        tail.groupBy("k")
-        .agg(F.first("left").alias("left"), F.collect_list(F.struct("i", "q")).alias("queue"))
-        .select("k", replay.alias("late"))
+        tail.groupBy("k", "free", "cut", "left")
+        .agg(F.collect_list(F.when(F.col("late"), F.struct("i", "q"))).alias("queue"))
+        .select("k", "free", "cut", replay.alias("late"))
     )
 
 
@@ -138,17 +145,19 @@ def admit(
 
     ``free`` is ``(key, free)``; keys without an entry are not limited.  A NULL quantity marks a row
     the rule does not look at: it is admitted and uses nothing.  Quantities must not be negative.
+
+    The rows are read in five passes (totals, blocks, crossing block, tail, answer).  Only the last
+    one moves them all, and only where the outcomes are too many to be broadcast.
     """
     asked = rows.select(
         F.col(key).cast("long").alias("k"), F.col(row_id).cast("long").alias("i"), quantity.cast("long").alias("q")
-    ).filter(F.col("k").isNotNull() & F.col("q").isNotNull())
+    ).filter(F.col("k").isNotNull() & F.col("i").isNotNull() & F.col("q").isNotNull())
     places = free.select(F.col(key).cast("long").alias("k"), F.col("free").cast("long").alias("free")).filter(
         F.col("free").isNotNull()
     )
-    cuts = _cuts(asked, _crowded_keys(asked, places, rows_per_block, max_blocks))
-    outcome = cuts.join(_late_admissions(asked, cuts, salts), "k", "left").select(
-        F.col("k").alias("_k"), F.col("free").alias("_free"), F.col("cut").alias("_cut"), F.col("late").alias("_late")
-    )
+    crowded = _crowded(asked, places, rows_per_block, max_blocks)
+    cuts = _cuts(asked, _crossings(asked, crowded))
+    outcomes = _outcomes(asked, cuts, salts).toDF("_k", "_free", "_cut", "_late")
     amount = quantity.cast("long")
     admitted = (
         F.col("_k").isNull()
@@ -158,7 +167,7 @@ def admit(
         | F.coalesce(F.array_contains("_late", F.col(row_id).cast("long")), F.lit(False))
     )
     return (
-        rows.join(outcome, F.col(key).cast("long") == F.col("_k"), "left")
+        rows.join(outcomes, F.col(key).cast("long") == F.col("_k"), "left")
         .withColumn("admitted", admitted)
         .drop("_k", "_free", "_cut", "_late")
     )

@@ -52,7 +52,7 @@ def registration_times(t: Mapping[str, DataFrame], registrations: DataFrame) ->
     )
 
 
-def _covered_starts(t: Mapping[str, DataFrame]) -> DataFrame:
+def covered_starts(t: Mapping[str, DataFrame]) -> DataFrame:
     """``(Date, Start, End, points)`` for the different workshop times of each date."""
     slots = _timetable(t).select("Date", *_SLOT).distinct()
     starts = slots.groupBy("Date").agg(F.collect_set("Start").alias("starts"))
@@ -63,21 +63,15 @@ def _covered_starts(t: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def earliest_overlap(t: Mapping[str, DataFrame], times: DataFrame, at: DataFrame | None = None) -> DataFrame:
-    """``(participant, date, start, end, earliest)``: lowest id in ``times`` that overlaps that time.
-
-    Answers for the times in ``at``, by default for those in ``times`` themselves.
-    """
-    covered = _covered_starts(t)
-
-    def spread(slots: DataFrame) -> DataFrame:
-        return slots.join(covered, ["Date", *_SLOT]).withColumn("point", F.explode("points")).drop("points")
-
-    first = spread(times.groupBy(*_PLACE, *_SLOT).agg(F.min("WorkshopRegistrationID").alias("first_id")))
-    at_point = first.groupBy(*_PLACE, "point").agg(F.min("first_id").alias("earliest"))
-    asked = first if at is None else spread(at.select(*_PLACE, *_SLOT).distinct())
+def earliest_overlap(t: Mapping[str, DataFrame], times: DataFrame) -> DataFrame:
+    """``(participant, date, start, end, earliest)``: lowest id in ``times`` that overlaps that time."""
+    first = times.groupBy(*_PLACE, *_SLOT).agg(F.min("WorkshopRegistrationID").alias("first_id"))
+    spread = first.join(covered_starts(t), ["Date", *_SLOT]).select(
+        *_PLACE, *_SLOT, "first_id", F.explode("points").alias("point")
+    )
+    at_point = spread.groupBy(*_PLACE, "point").agg(F.min("first_id").alias("earliest"))
     return (
-        asked.join(at_point, [*_PLACE, "point"])
+        spread.join(at_point, [*_PLACE, "point"])
         .groupBy(*_PLACE, *_SLOT)
         .agg(F.min("earliest").alias("earliest"))
     )

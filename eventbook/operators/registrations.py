@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventbook.operators.admission import admit
-from eventbook.operators.conflicts import earliest_overlap, registration_times
+from eventbook.operators.admission import SALTS
+from eventbook.operators.conflicts import covered_starts, registration_times
 from eventbook.schema import CODE_OVERLAP, CODE_QUOTA, TEXT_OVERLAP, TEXT_WORKSHOP_QUOTA
 from eventbook.session import cut_lineage
 
@@ -33,23 +33,23 @@ def admit_workshop_registrations(
     chain of rows waiting for each other.  Existing rows are treated as accepted and earlier.
     """
     times = registration_times(t, new).select(_ID, *_TIMES)
-    quotas = t["WorkshopsReservations"].select(F.col("ReservationID").alias(_BOOKING), F.col("Quantity").alias("quota"))
+    quotas = t["WorkshopsReservations"].select(F.col("ReservationID").alias(_BOOKING), F.col("Quantity").alias("free"))
     held = None
     if existing is not None:
         counts = existing.groupBy(_BOOKING).agg(F.count(F.lit(1)).alias("taken"))
         quotas = quotas.join(counts, _BOOKING, "left").select(
-            _BOOKING, (F.col("quota") - F.coalesce(F.col("taken"), F.lit(0))).alias("quota")
+            _BOOKING, (F.col("free") - F.coalesce(F.col("taken"), F.lit(0))).alias("free")
         )
-        held = registration_times(t, existing).select(_ID, *_TIMES)
-
+        held = cut_lineage(registration_times(t, existing).select(*_TIMES).distinct())
+    covered = cut_lineage(covered_starts(t))
     rows = cut_lineage(
         new.select(_ID, _BOOKING)
         .join(times, _ID, "left")
-        .join(quotas.withColumnRenamed("quota", "free"), _BOOKING, "left")
+        .join(quotas, _BOOKING, "left")
         .withColumn("code", F.lit(None).cast("int"))  # NULL undecided, 0 accepted, else refused
     )
     while not rows.filter(F.col("code").isNull()).isEmpty():
-        rows = cut_lineage(_round(t, rows, held))
+        rows = cut_lineage(_round(rows, held, covered))
 
     verdict = rows.select(_ID, F.when(F.col("code") != 0, F.col("code")).alias("code"))
     overlap = F.col("code") == CODE_OVERLAP
@@ -65,36 +65,43 @@ def admit_workshop_registrations(
     )
 
 
-def _round(t: Mapping[str, DataFrame], rows: DataFrame, held: DataFrame | None) -> DataFrame:
-    accepted = rows.filter(F.col("code") == 0)
+def _round(rows: DataFrame, held: DataFrame | None, covered: DataFrame) -> DataFrame:
     standing = rows.filter(F.coalesce(F.col("code"), F.lit(0)) == 0)  # accepted or undecided
 
-    # Seats: fits among all standing rows, or the accepted ones alone have filled the booking.
-    free = rows.select(_BOOKING, "free").distinct()
-    fits = (
-        admit(standing.select(_ID, _BOOKING), free, _BOOKING, _ID, F.lit(1))
-        .filter("admitted")
-        .select(_ID, F.lit(True).alias("fits"))
-    )
+    # Seats: a row surely fits when it is among the first ``free`` standing rows of its booking (the
+    # earliest per salt first, so that no task sees a whole large booking), and surely does not when
+    # the accepted rows alone fill the booking before it.
+    first = standing.select(_ID, _BOOKING, "free", F.expr(f"pmod(hash({_ID}), {SALTS})").alias("salt"))
+    for keys in ([_BOOKING, "salt"], [_BOOKING]):
+        by_id = Window.partitionBy(*keys).orderBy(_ID)
+        first = first.withColumn("rank", F.row_number().over(by_id)).filter(
+            F.col("free").isNull() | (F.col("rank") <= F.col("free"))
+        )
+    fits = first.select(_ID, F.lit(True).alias("fits"))
+    accepted_id = F.when(F.col("code") == 0, F.col(_ID))
     filled = (
-        free.join(accepted.groupBy(_BOOKING).agg(F.count(F.lit(1)).alias("n"), F.max(_ID).alias("last")), _BOOKING, "left")
-        .filter(F.coalesce(F.col("n"), F.lit(0)) >= F.col("free"))
+        rows.groupBy(_BOOKING, "free")
+        .agg(F.count(accepted_id).alias("n"), F.max(accepted_id).alias("last"))
+        .filter(F.col("n") >= F.col("free"))
         .select(_BOOKING, F.coalesce(F.col("last"), F.lit(-1)).alias("full_after"))
     )
 
-    # Times: the earliest overlapping row among the accepted ones, and among all standing ones.
-    def earliest(df: DataFrame, name: str) -> DataFrame:
-        live_rows = df.filter(F.col("ParticipantID").isNotNull()).select(_ID, *_TIMES)
-        return earliest_overlap(t, live_rows, at=rows.filter(F.col("code").isNull()).select(*_TIMES)).withColumnRenamed(
-            "earliest", name
-        )
+    # Times: the earliest accepted and the earliest standing row at each start time, then over the
+    # start times an undecided row covers.
+    def spread(slots: DataFrame) -> DataFrame:
+        return slots.join(covered, _TIMES[1:]).withColumn("point", F.explode("points")).drop("points")
 
-    known = accepted
+    blockers = standing.groupBy(*_TIMES).agg(F.min(accepted_id).alias("accepted"), F.min(_ID).alias("standing"))
     if held is not None:
-        before = held.withColumn(_ID, F.lit(-1).cast("long"))
-        known, standing = (df.select(_ID, *_TIMES).unionByName(before) for df in (known, standing))
-    blocked = F.coalesce(F.col("hit_accepted") < F.col(_ID), F.lit(False))
-    maybe_blocked = F.coalesce(F.col("hit_standing") < F.col(_ID), F.lit(False))
+        before = F.lit(-1).cast("long")
+        blockers = blockers.unionByName(held.select("*", before.alias("accepted"), before.alias("standing")))
+    earliest = (F.min("accepted").alias("accepted"), F.min("standing").alias("standing"))
+    at_point = spread(blockers).groupBy("ParticipantID", "Date", "point").agg(*earliest)
+    asked = spread(rows.filter(F.col("code").isNull()).select(*_TIMES).distinct())
+    hits = asked.join(at_point, ["ParticipantID", "Date", "point"]).groupBy(*_TIMES).agg(*earliest)
+
+    blocked = F.coalesce(F.col("accepted") < F.col(_ID), F.lit(False))
+    maybe_blocked = F.coalesce(F.col("standing") < F.col(_ID), F.lit(False))
     full = F.coalesce(F.col("full_after") < F.col(_ID), F.lit(False))
     verdict = (
         F.when(F.col("code").isNotNull(), F.col("code"))
@@ -105,8 +112,7 @@ def _round(t: Mapping[str, DataFrame], rows: DataFrame, held: DataFrame | None)
     return (
         rows.join(fits, _ID, "left")
         .join(filled, _BOOKING, "left")
-        .join(earliest(known, "hit_accepted"), _TIMES, "left")
-        .join(earliest(standing, "hit_standing"), _TIMES, "left")
+        .join(hits, _TIMES, "left")
         .withColumn("code", verdict)
         .select(*rows.columns)
     )

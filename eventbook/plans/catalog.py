@@ -242,7 +242,7 @@ def _ingest_conferences(m: SourceModel) -> DataFrame:
         "Limit", F.when(key % 17 == 0, 0).otherwise(F.col("Limit"))
     )
     return _outcome(
-        ingest(m.tables, "Conferences", feed.drop("ConferenceID").withColumn("feed_key", key), order_by=["Start", "feed_key"]),
+        ingest(m.tables, "Conferences", feed.withColumnRenamed("ConferenceID", "feed_key"), order_by=["Start", "feed_key"]),
         "ConferenceID",
         "Start",
         "Price",

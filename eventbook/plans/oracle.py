@@ -369,8 +369,8 @@ ORACLES["admit_day_reservations_onto_existing"] = _replay_sql(
     _DAY_ROWS.format(
         lim='c."Limit" - coalesce(h.taken, 0)',
         more="""LEFT JOIN (SELECT ConferenceDayID, sum(crd.N + S) AS taken FROM crd, n_c
-                           WHERE ClientID < n // 2 AND NOT Canceled GROUP BY 1) h USING (ConferenceDayID), n_c
-                WHERE r.ClientID >= n // 2""",
+                           WHERE ClientID < n_c.n // 2 AND NOT Canceled GROUP BY 1) h USING (ConferenceDayID), n_c
+                WHERE r.ClientID >= n_c.n // 2""",
     ),
     _DAY_OUT,
 )

@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventbook.functions.scalar import money
 from eventbook.schema import TABLES
@@ -28,6 +29,16 @@ def _note(key: Column) -> Column:
     return F.when(key % 2 != 0, _text_key("d", key))
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _stored_schema(spark: SparkSession, path: str) -> StructType:
+    """Read a footer once per path; a query scans most sources several times."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return _SCHEMAS[path]
+
+
 class SourceModel:
     """Builds the booking tables over ``{folder}/{source}.parquet``.
 
@@ -42,14 +53,16 @@ class SourceModel:
 
     def scan(self, source: str) -> DataFrame:
         path = f"{self.folder}/{source}.parquet"
-        stored = self.spark.read.parquet(path)
+        schema = _stored_schema(self.spark, path)
         if source in self.streaming:
-            return self.spark.readStream.schema(stored.schema).parquet(path)
-        return stored
+            # As a pattern the path may name one file as well as a folder of files.
+            return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{source}.parque[t]")
+        return self.spark.read.schema(schema).parquet(path)
 
     # Row counts come from the parquet footers; they are plain numbers in the plans.
     def _count(self, source: str) -> int:
-        return self.spark.read.parquet(f"{self.folder}/{source}.parquet").count()
+        path = f"{self.folder}/{source}.parquet"
+        return self.spark.read.schema(_stored_schema(self.spark, path)).parquet(path).count()
 
     @cached_property
     def supplier_count(self) -> int:
