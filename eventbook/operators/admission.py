@@ -39,10 +39,12 @@ from eventbook.schema import (
     TEXT_WORKSHOP_FULL,
     TEXT_WORKSHOP_QUOTA,
 )
+from eventbook.session import cut_lineage
 
 ROWS_PER_BLOCK = 1 << 16
 MAX_BLOCKS = 1 << 12
 SALTS = 32
+BROADCAST_KEYS = 500_000  # at most one row of six numbers per key: some 50 MB in memory
 
 
 def _crowded(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blocks: int) -> DataFrame:
@@ -146,8 +148,11 @@ def admit(
     ``free`` is ``(key, free)``; keys without an entry are not limited.  A NULL quantity marks a row
     the rule does not look at: it is admitted and uses nothing.  Quantities must not be negative.
 
-    The rows are read in five passes (totals, blocks, crossing block, tail, answer).  Only the last
-    one moves them all, and only where the outcomes are too many to be broadcast.
+    The rows are read in five passes (totals, blocks, crossing block, tail, answer).  What they meet
+    is at most one row per crowded key.  The crowded keys are written and counted first; up to
+    ``BROADCAST_KEYS`` of them are broadcast, so that the passes move no rows at all, and beyond that
+    the passes are ordinary joins.  The outcomes are written as well: the answer is one join with a
+    table of known size.
     """
     asked = rows.select(
         F.col(key).cast("long").alias("k"), F.col(row_id).cast("long").alias("i"), quantity.cast("long").alias("q")
@@ -155,9 +160,17 @@ def admit(
     places = free.select(F.col(key).cast("long").alias("k"), F.col("free").cast("long").alias("free")).filter(
         F.col("free").isNotNull()
     )
-    crowded = _crowded(asked, places, rows_per_block, max_blocks)
-    cuts = _cuts(asked, _crossings(asked, crowded))
-    outcomes = _outcomes(asked, cuts, salts).toDF("_k", "_free", "_cut", "_late")
+    crowded = cut_lineage(_crowded(asked, places, rows_per_block, max_blocks))
+    keys = crowded.count()
+    if keys == 0:
+        return rows.withColumn("admitted", F.lit(True))
+
+    def per_key(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if keys <= BROADCAST_KEYS else df
+
+    crossings = _crossings(asked, per_key(crowded))
+    cuts = _cuts(asked, per_key(crossings))
+    outcomes = cut_lineage(_outcomes(asked, per_key(cuts), salts).toDF("_k", "_free", "_cut", "_late"))
     amount = quantity.cast("long")
     admitted = (
         F.col("_k").isNull()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from eventbook.functions.scalar import live
 from eventbook.schema import CODE_OVERLAP, TEXT_OVERLAP
+from eventbook.session import cut_lineage
 
 _PLACE = ["ParticipantID", "Date"]
 _SLOT = ["Start", "End"]
@@ -79,7 +80,7 @@ def earliest_overlap(t: Mapping[str, DataFrame], times: DataFrame) -> DataFrame:
 
 def workshop_conflicts(t: Mapping[str, DataFrame], registrations: DataFrame | None = None) -> DataFrame:
     """Live registrations that overlap an earlier one of the same participant, with the earliest such id."""
-    times = registration_times(t, t["WorkshopRegistration"] if registrations is None else registrations)
+    times = cut_lineage(registration_times(t, t["WorkshopRegistration"] if registrations is None else registrations))
     return (
         times.join(earliest_overlap(t, times), [*_PLACE, *_SLOT])
         .filter(F.col("earliest") < F.col("WorkshopRegistrationID"))
@@ -104,7 +105,7 @@ def admit_non_overlapping(
     Cancelled registrations pass.
     """
     rows = t["WorkshopRegistration"] if registrations is None else registrations
-    times = registration_times(t, rows)
+    times = cut_lineage(registration_times(t, rows))
     first = times.groupBy(*_PLACE, *_SLOT).agg(F.min("WorkshopRegistrationID").alias("id"))
     slot = F.struct("id", F.col("Start").alias("s"), F.col("End").alias("e"))
     queues = first.groupBy(*_PLACE).agg(F.collect_list(slot).alias("queue"))
@@ -128,13 +129,12 @@ def admit_non_overlapping(
             F.exists(done, lambda other: (other["s"] <= row["e"]) & (row["s"] <= other["e"])), done
         ).otherwise(F.array_append(done, row)),
     )
-    winners = queues.select(F.explode(kept).alias("w")).select(
-        F.col("w.id").alias("WorkshopRegistrationID"), F.lit(True).alias("won")
+    winners = queues.select(F.explode(kept).alias("w")).select(F.col("w.id").alias("WorkshopRegistrationID"))
+    losers = times.join(winners, "WorkshopRegistrationID", "left_anti").select(
+        F.col("WorkshopRegistrationID").alias("_lost")
     )
-    timed = times.select("WorkshopRegistrationID", F.lit(True).alias("timed"))
     return (
-        rows.join(timed, "WorkshopRegistrationID", "left")
-        .join(winners, "WorkshopRegistrationID", "left")
-        .withColumn("admitted", F.col("timed").isNull() | F.col("won").isNotNull())
-        .drop("timed", "won")
+        rows.join(losers, F.col("WorkshopRegistrationID") == F.col("_lost"), "left")
+        .withColumn("admitted", F.col("_lost").isNull())
+        .drop("_lost")
     )

@@ -61,12 +61,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder, so that every later use sees the same rows.
+    """Write ``df`` once to the shared folder and go on from the written table.
 
-    Needed where a plan is read more than once and must not be evaluated differently (ids by
-    position) and in loops whose plan would otherwise grow with every round.
+    Used where a plan is read more than once and must not be evaluated differently (ids by
+    position), in loops whose plan would grow with every round, and for small tables whose size
+    should be known to the planner before they are joined: it then broadcasts them by the size of
+    their files, or does not.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+    folder = run_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
