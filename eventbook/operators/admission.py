@@ -48,7 +48,8 @@ BROADCAST_KEYS = 500_000  # at most one row of six numbers per key: some 50 MB i
 
 
 def _crowded(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blocks: int) -> DataFrame:
-    """Keys asking for more than they have, with their lowest id and the id width of one block."""
+    """Keys asking for more than they have: lowest id, number of blocks, id width of one block."""
+    blocks = F.expr(f"least({max_blocks}, 1 + (n - 1) div {rows_per_block})")
     return (
         rows.groupBy("k")
         .agg(
@@ -59,9 +60,8 @@ def _crowded(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blocks:
         )
         .join(free, "k")
         .filter(F.col("total") > F.col("free"))
-        .selectExpr(
-            "k", "free", "lo", f"1 + (hi - lo) div least({max_blocks}, 1 + n div {rows_per_block}) AS width"
-        )
+        .withColumn("blocks", blocks)
+        .selectExpr("k", "free", "lo", "blocks", "1 + (hi - lo) div blocks AS width")
     )
 
 
@@ -100,7 +100,7 @@ def _cuts(rows: DataFrame, crossings: DataFrame) -> DataFrame:
     )
 
 
-def _outcomes(rows: DataFrame, cuts: DataFrame, salts: int) -> DataFrame:
+def _outcomes(rows: DataFrame, cuts: DataFrame, salts: int | None) -> DataFrame:
     """``(k, free, cut, late)``: ``late`` lists the ids admitted behind the cut."""
     late = (F.col("i") > F.col("cut")) & (F.col("q") > 0) & (F.col("q") <= F.col("left"))
     tail = (
@@ -109,10 +109,11 @@ def _outcomes(rows: DataFrame, cuts: DataFrame, salts: int) -> DataFrame:
         # The lowest id of each key stays as a witness, so that no key is lost.
         .filter(F.col("late") | (F.col("i") == F.col("lo")))
         .withColumn("most", F.when(F.col("late"), F.expr("left div q")).otherwise(1))
-        .withColumn("salt", F.expr(f"pmod(hash(i), {salts})"))
+        .withColumn("salt", F.expr(f"pmod(hash(i), {salts or 1})"))
     )
-    # Earliest rows per quantity: first within each salt, then among the survivors.
-    for keys in (["k", "late", "q", "salt"], ["k", "late", "q"]):
+    # Earliest rows per quantity: where keys are large within each salt first, then among the survivors.
+    stages = [["k", "late", "q", "salt"], ["k", "late", "q"]]
+    for keys in stages if salts else stages[1:]:
         tail = tail.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("i"))).filter(
             F.col("rank") <= F.col("most")
         )
@@ -142,14 +143,16 @@ def admit(
     rows_per_block: int = ROWS_PER_BLOCK,
     max_blocks: int = MAX_BLOCKS,
     salts: int = SALTS,
+    stored: bool = False,
 ) -> DataFrame:
     """``rows`` with a boolean ``admitted``.
 
     ``free`` is ``(key, free)``; keys without an entry are not limited.  A NULL quantity marks a row
     the rule does not look at: it is admitted and uses nothing.  Quantities must not be negative.
 
-    The rows are read in five passes (totals, blocks, crossing block, tail, answer).  What they meet
-    is at most one row per crowded key.  The crowded keys are written and counted first; up to
+    The rows are read in five passes (totals, blocks, crossing block, tail, answer).  Key, id and
+    quantity are written once for the first four; ``stored`` says that ``rows`` are hardly more than a
+    scan, which can as well be repeated.  What the rows meet is at most one row per crowded key.  The crowded keys are written and counted first; up to
     ``BROADCAST_KEYS`` of them are broadcast, so that the passes move no rows at all, and beyond that
     the passes are ordinary joins.  The outcomes are written as well: the answer is one join with a
     table of known size.
@@ -160,6 +163,8 @@ def admit(
     places = free.select(F.col(key).cast("long").alias("k"), F.col("free").cast("long").alias("free")).filter(
         F.col("free").isNotNull()
     )
+    if not stored:
+        asked = cut_lineage(asked)
     crowded = cut_lineage(_crowded(asked, places, rows_per_block, max_blocks))
     keys = crowded.count()
     if keys == 0:
@@ -168,9 +173,17 @@ def admit(
     def per_key(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if keys <= BROADCAST_KEYS else df
 
-    crossings = _crossings(asked, per_key(crowded))
+    # A key of one block crosses its limit in that block; the pass over blocks is for larger ones.
+    one_block = F.col("blocks") == 1
+    crossings = crowded.filter(one_block).selectExpr("k", "0L AS b", "0L AS before", "free", "lo", "width")
+    any_large = not crowded.filter(~one_block).isEmpty()
+    if any_large:
+        large = crowded.filter(~one_block).drop("blocks")
+        crossings = crossings.unionByName(_crossings(asked, per_key(large)))
     cuts = _cuts(asked, per_key(crossings))
-    outcomes = cut_lineage(_outcomes(asked, per_key(cuts), salts).toDF("_k", "_free", "_cut", "_late"))
+    outcomes = cut_lineage(
+        _outcomes(asked, per_key(cuts), salts if any_large else None).toDF("_k", "_free", "_cut", "_late")
+    )
     amount = quantity.cast("long")
     admitted = (
         F.col("_k").isNull()
@@ -203,7 +216,7 @@ def _answer(rows: DataFrame, key: str, code: int, text: str) -> DataFrame:
 
 
 def admit_workshop_reservations(
-    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None, **tuning: int
+    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None, **tuning
 ) -> DataFrame:
     """Workshop bookings in id order against the workshop limit; cancelled rows always pass."""
     taken = None if existing is None else workshop_occupancy(existing)
@@ -215,7 +228,7 @@ def admit_workshop_reservations(
 
 
 def admit_day_reservations(
-    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None, **tuning: int
+    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None, **tuning
 ) -> DataFrame:
     """Day reservations in id order against the conference limit.
 
@@ -234,7 +247,7 @@ def _counted(existing: DataFrame, key: str) -> DataFrame:
 
 
 def day_registration_quota(
-    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None, **tuning: int
+    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None, **tuning
 ) -> DataFrame:
     """Day registrations in id order against the booked heads; cancelled registrations count."""
     key = "ReservationDayID"
@@ -245,7 +258,7 @@ def day_registration_quota(
 
 
 def workshop_registration_quota(
-    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None, **tuning: int
+    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None, **tuning
 ) -> DataFrame:
     """Workshop registrations in id order against the booked quantity; cancelled ones count."""
     key = "WorkshopsReservationID"

@@ -105,7 +105,7 @@ def _triggers(table: str, t: Mapping[str, DataFrame], rows: DataFrame, existing:
     if table not in admitters:
         return rows.withColumn("code", F.lit(None).cast("int")).withColumn("trigger", F.lit(None).cast("string"))
     trigger, admitter = admitters[table]
-    return admitter(t, rows, existing).drop("admitted").withColumn("trigger", F.lit(trigger))
+    return admitter(t, rows, existing, stored=True).drop("admitted").withColumn("trigger", F.lit(trigger))
 
 
 def ingest(

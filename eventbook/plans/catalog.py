@@ -142,7 +142,7 @@ def _admit_workshop_reservations(m: SourceModel) -> DataFrame:
 
 @_query("admit_day_reservations")
 def _admit_day_reservations(m: SourceModel) -> DataFrame:
-    out = admission.admit_day_reservations(m.tables, m.tables["ConferenceReservationDays"])
+    out = admission.admit_day_reservations(m.tables, m.tables["ConferenceReservationDays"], stored=True)
     return _code(out, "ReservationDayID", "ConferenceDayID")
 
 
@@ -152,14 +152,14 @@ def _admit_day_reservations_onto_existing(m: SourceModel) -> DataFrame:
     rows = m.tables["ConferenceReservationDays"]
     half = m.customer_count // 2
     out = admission.admit_day_reservations(
-        m.tables, rows.filter(F.col("ClientID") >= half), rows.filter(F.col("ClientID") < half)
+        m.tables, rows.filter(F.col("ClientID") >= half), rows.filter(F.col("ClientID") < half), stored=True
     )
     return _code(out, "ReservationDayID", "ConferenceDayID")
 
 
 @_query("day_registration_quota")
 def _day_registration_quota(m: SourceModel) -> DataFrame:
-    out = admission.day_registration_quota(m.tables, m.tables["ConferenceDayRegistration"])
+    out = admission.day_registration_quota(m.tables, m.tables["ConferenceDayRegistration"], stored=True)
     return _code(out, "ConferenceRegistrationID", "ReservationDayID")
 
 

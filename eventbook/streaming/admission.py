@@ -37,7 +37,7 @@ def _stream_admission(
             places = places.join(before, key, "left").select(
                 key, (F.col("free") - F.coalesce(F.col("used"), F.lit(0))).alias("free")
             )
-        write_batch(admit(rows, places, key, row_id, asked()), decided, batch_id)
+        write_batch(admit(rows, places, key, row_id, asked(), stored=True), decided, batch_id)
         answered = spark.read.schema(decided_schema).parquet(batch_folder(decided, batch_id))
         now = answered.filter("admitted").select(key, asked().cast("long").alias("used"))
         if batch_id > 0:
