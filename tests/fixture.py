@@ -159,4 +159,6 @@ def tables(spark, **changed: list[dict]) -> BookingTables:
 
 
 def rows(df, *columns: str) -> list[tuple]:
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    """Sorted rows, NULLs last."""
+    picked = df.select(*columns) if columns else df
+    return sorted((tuple(r) for r in picked.collect()), key=lambda row: [(v is None, v) for v in row])

@@ -70,7 +70,7 @@ def test_conflicts_match_all_pairs(spark):
             earlier = [o[0] for o in live[:i] if overlaps(o, row)]
             if earlier:
                 want.append((row[0], earlier[0]))
-        assert rows(workshop_conflicts(t), "WorkshopRegistrationID", "conflicts_with") == sorted(want, key=repr)
+        assert rows(workshop_conflicts(t), "WorkshopRegistrationID", "conflicts_with") == sorted(want)
 
 
 def test_greedy_matches_loop(spark):
@@ -81,7 +81,7 @@ def test_greedy_matches_loop(spark):
         if ok and not row[4]:
             kept.append(row)
         want.append((row[0], ok))
-    assert rows(admit_non_overlapping(t), "WorkshopRegistrationID", "admitted") == sorted(want, key=repr)
+    assert rows(admit_non_overlapping(t), "WorkshopRegistrationID", "admitted") == sorted(want)
 
 
 def joint_loop(plain, standing=()):
