@@ -29,9 +29,17 @@ def week_diff(start: Column, end: Column) -> Column:
     return week_number(end) - week_number(start)
 
 
-def day_diff(start: Column, end: Column) -> Column:
-    """Calendar-day boundaries crossed on the way from ``start`` to ``end``."""
-    return F.date_diff(as_date(end), as_date(start))
+def week_start(day: datetime.date) -> datetime.date:
+    """The Sunday that begins the week of ``day``."""
+    return day - datetime.timedelta(days=(day.weekday() + 1) % 7)
+
+
+def within_days(moment: Column, first: datetime.date, days: int) -> Column:
+    """``moment`` lies on ``first`` or one of the ``days`` days after it.
+
+    Said as bounds on the bare column, for dates and timestamps alike, so that scans can use it.
+    """
+    return (moment >= F.lit(first)) & (moment < F.lit(first + datetime.timedelta(days=days + 1)))
 
 
 def money(value: Column) -> Column:

@@ -65,34 +65,52 @@ def _crowded(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blocks:
     )
 
 
-def _crossings(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Per crowded key the first block of ids in which the limit is passed, and the sum before it."""
+def _bounded(df: DataFrame, count: int) -> DataFrame:
+    """``df`` marked for broadcast if its known row count allows it."""
+    return F.broadcast(df) if count <= BROADCAST_KEYS else df
+
+
+def _meet(rows: DataFrame, per_key: DataFrame, keys: int, large_keys: int) -> DataFrame:
+    """Rows with what is known of their key.
+
+    A few keys are broadcast.  Of many, those with so many rows that one task should not hold them
+    are; the others are small, and an ordinary join has no large group.
+    """
+    if keys <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(per_key), "k")
+    large, small = per_key.filter("blocks > 1"), per_key.filter("blocks = 1")
+    return rows.join(_bounded(large, large_keys), "k").unionByName(rows.join(small, "k"))
+
+
+def _crossings(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Per key the first block of ids in which the limit is passed, and the sum before it."""
     running = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.join(crowded, "k")
-        .groupBy("k", "free", "lo", "width", F.expr("(i - lo) div width").alias("b"))
+        rows.join(large, "k")
+        .groupBy("k", "free", "lo", "blocks", "width", F.expr("(i - lo) div width").alias("b"))
         .agg(F.sum("q").alias("s"))
         .withColumn("run", F.sum("s").over(running))
         .filter(F.col("run") > F.col("free"))
-        .groupBy("k")
-        .agg(F.min(F.struct("b", (F.col("run") - F.col("s")).alias("before"), "free", "lo", "width")).alias("c"))
-        .select("k", "c.*")
+        .groupBy("k", "free", "lo", "blocks", "width")
+        .agg(F.min(F.struct("b", (F.col("run") - F.col("s")).alias("before"))).alias("c"))
+        .select("k", "free", "lo", "blocks", "width", "c.b", "c.before")
     )
 
 
-def _cuts(rows: DataFrame, crossings: DataFrame) -> DataFrame:
-    """``(k, free, lo, cut, left)``: ids up to ``cut`` are admitted, ``left`` places remain after it."""
+def _cuts(rows: DataFrame, crossings: DataFrame, keys: int, large_keys: int) -> DataFrame:
+    """``(k, free, lo, blocks, cut, left)``: ids up to ``cut`` fit, ``left`` places remain after it."""
     running = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.join(crossings, "k")
+        _meet(rows, crossings, keys, large_keys)
         .filter(F.expr("(i - lo) div width = b"))
         .withColumn("run", F.col("before") + F.sum("q").over(running))
-        .groupBy("k", "free", "lo", "width", "b", "before")
+        .groupBy("k", "free", "lo", "blocks", "width", "b", "before")
         .agg(F.max(F.when(F.col("run") <= F.col("free"), F.struct("run", "i"))).alias("last"))
         .select(
             "k",
             "free",
             "lo",
+            "blocks",
             # With no row of the block admitted the cut lies at the end of the block before.
             F.coalesce(F.col("last.i"), F.col("lo") + F.col("b") * F.col("width") - 1).alias("cut"),
             (F.col("free") - F.coalesce(F.col("last.run"), F.col("before"))).alias("left"),
@@ -100,21 +118,21 @@ def _cuts(rows: DataFrame, crossings: DataFrame) -> DataFrame:
     )
 
 
-def _outcomes(rows: DataFrame, cuts: DataFrame, salts: int | None) -> DataFrame:
+def _outcomes(rows: DataFrame, cuts: DataFrame, keys: int, large_keys: int, salts: int) -> DataFrame:
     """``(k, free, cut, late)``: ``late`` lists the ids admitted behind the cut."""
     late = (F.col("i") > F.col("cut")) & (F.col("q") > 0) & (F.col("q") <= F.col("left"))
     tail = (
-        rows.join(cuts, "k")
+        _meet(rows, cuts, keys, large_keys)
         .withColumn("late", late)
         # The lowest id of each key stays as a witness, so that no key is lost.
         .filter(F.col("late") | (F.col("i") == F.col("lo")))
         .withColumn("most", F.when(F.col("late"), F.expr("left div q")).otherwise(1))
-        .withColumn("salt", F.expr(f"pmod(hash(i), {salts or 1})"))
+        .withColumn("salt", F.expr(f"pmod(hash(i), {salts})"))
     )
     # Earliest rows per quantity: where keys are large within each salt first, then among the survivors.
     stages = [["k", "late", "q", "salt"], ["k", "late", "q"]]
-    for keys in stages if salts else stages[1:]:
-        tail = tail.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("i"))).filter(
+    for columns in stages if large_keys else stages[1:]:
+        tail = tail.withColumn("rank", F.row_number().over(Window.partitionBy(*columns).orderBy("i"))).filter(
             F.col("rank") <= F.col("most")
         )
     nothing = F.expr("cast(array() as array<bigint>)")
@@ -152,10 +170,10 @@ def admit(
 
     The rows are read in five passes (totals, blocks, crossing block, tail, answer).  Key, id and
     quantity are written once for the first four; ``stored`` says that ``rows`` are hardly more than a
-    scan, which can as well be repeated.  What the rows meet is at most one row per crowded key.  The crowded keys are written and counted first; up to
-    ``BROADCAST_KEYS`` of them are broadcast, so that the passes move no rows at all, and beyond that
-    the passes are ordinary joins.  The outcomes are written as well: the answer is one join with a
-    table of known size.
+    scan, which can as well be repeated.  What the rows meet is at most one row per crowded key.  The
+    crowded keys are written and counted first, and broadcast up to ``BROADCAST_KEYS``, so that the
+    passes do not move the rows to meet them.  The outcomes are written as well: the answer is one
+    join with a table of known size.
     """
     asked = rows.select(
         F.col(key).cast("long").alias("k"), F.col(row_id).cast("long").alias("i"), quantity.cast("long").alias("q")
@@ -166,23 +184,18 @@ def admit(
     if not stored:
         asked = cut_lineage(asked)
     crowded = cut_lineage(_crowded(asked, places, rows_per_block, max_blocks))
-    keys = crowded.count()
+    keys, large_keys = crowded.agg(F.count(F.lit(1)), F.count_if(F.col("blocks") > 1)).first()
     if keys == 0:
         return rows.withColumn("admitted", F.lit(True))
-
-    def per_key(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if keys <= BROADCAST_KEYS else df
-
     # A key of one block crosses its limit in that block; the pass over blocks is for larger ones.
-    one_block = F.col("blocks") == 1
-    crossings = crowded.filter(one_block).selectExpr("k", "0L AS b", "0L AS before", "free", "lo", "width")
-    any_large = not crowded.filter(~one_block).isEmpty()
-    if any_large:
-        large = crowded.filter(~one_block).drop("blocks")
-        crossings = crossings.unionByName(_crossings(asked, per_key(large)))
-    cuts = _cuts(asked, per_key(crossings))
+    no = F.lit(0).cast("long")
+    crossings = crowded.filter("blocks = 1").select("*", no.alias("b"), no.alias("before"))
+    if large_keys:
+        large = _bounded(crowded.filter("blocks > 1"), large_keys)
+        crossings = crossings.unionByName(_crossings(asked, large))
+    cuts = _cuts(asked, crossings, keys, large_keys)
     outcomes = cut_lineage(
-        _outcomes(asked, per_key(cuts), salts if any_large else None).toDF("_k", "_free", "_cut", "_late")
+        _outcomes(asked, cuts, keys, large_keys, salts).toDF("_k", "_free", "_cut", "_late")
     )
     amount = quantity.cast("long")
     admitted = (

@@ -22,9 +22,11 @@ def assign_ids(new: DataFrame, existing: DataFrame | None, id_col: str, order_by
     drawn from a sample, so it must not be evaluated a second time.
     """
     highest = None if existing is None else existing.agg(F.max(id_col)).first()[0]
+    # The hash orders rows that tie, and spreads them over partitions.
+    order = [*order_by, F.xxhash64(*new.columns)]
     placed = cut_lineage(
-        new.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
+        new.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
         .select(
             *new.columns,

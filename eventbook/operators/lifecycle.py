@@ -9,11 +9,11 @@ from __future__ import annotations
 import datetime
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventbook.functions.scalar import as_date, week_diff
-from eventbook.operators.reports import org_client_debts
+from eventbook.functions.scalar import week_start
+from eventbook.operators.reports import open_reservations
 
 Tables = Mapping[str, DataFrame]
 
@@ -59,13 +59,12 @@ def cancel_reservations(t: Tables, ids: DataFrame) -> dict[str, DataFrame]:
 
 
 def overdue_reservations(t: Tables, as_of: datetime.date) -> DataFrame:
-    """Ids of unpaid live reservations booked in an earlier week than ``as_of``."""
-    return (
-        org_client_debts(t)
-        .filter(week_diff(F.col("Date"), as_date(as_of)) >= 1)
-        .select("ReservationDayID")
-        .distinct()
-    )
+    """Ids of unpaid live reservations booked in an earlier week than ``as_of``.
+
+    Whether a reservation owes for workshops as well does not matter here, so no bookings are read,
+    and the week is a bound on the date that the scan can use.
+    """
+    return open_reservations(t).filter(F.col("Date") < F.lit(week_start(as_of))).select("ReservationDayID").distinct()
 
 
 def refresh_overdue(t: Tables, as_of: datetime.date) -> dict[str, DataFrame]:
@@ -80,15 +79,18 @@ def payment_counts(payments: DataFrame) -> DataFrame:
 
 def apply_payments(t: Tables, payments: DataFrame | None = None) -> dict[str, DataFrame]:
     """Mark paid reservations and add every payment to its client's service counter."""
-    counts = payment_counts(t["Payments"] if payments is None else payments)
-    reservations = t["ConferenceReservationDays"]
+    return apply_payment_counts(t, payment_counts(t["Payments"] if payments is None else payments))
+
+
+def apply_payment_counts(t: Tables, counts: DataFrame) -> dict[str, DataFrame]:
+    """The same for payments already counted per reservation."""
+    reservations, clients = t["ConferenceReservationDays"], t["Clients"]
     per_client = (
         counts.join(reservations.select("ReservationDayID", "ClientID"), "ReservationDayID")
         .groupBy("ClientID")
         .agg(F.sum("times").alias("_times"))
     )
-    clients = t["Clients"]
-    counter: Column = F.col("ServiceCounter") + F.coalesce(F.col("_times"), F.lit(0)).cast("int")
+    counter = F.col("ServiceCounter") + F.coalesce(F.col("_times"), F.lit(0)).cast("int")
     return {
         "ConferenceReservationDays": _set_where(
             reservations, "Paid", counts.select("ReservationDayID"), "ReservationDayID"

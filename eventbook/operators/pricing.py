@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from eventbook.functions.scalar import (
     as_date,
     cut_to_int,
-    day_diff,
     money,
     price_label,
     round_to_int,
     week_diff,
+    within_days,
 )
 from eventbook.operators.capacity import available_day_places, available_workshop_places
 
@@ -58,10 +58,6 @@ def reservation_day_cost(t: Mapping[str, DataFrame], as_of: datetime.date) -> Da
     )
 
 
-def _upcoming(day: Column, as_of: datetime.date, days: int) -> Column:
-    return day_diff(as_date(as_of), day).between(0, days)
-
-
 def conferences_with_free_terms(
     t: Mapping[str, DataFrame], as_of: datetime.date, days: int = WINDOW_DAYS, as_written: bool = False
 ) -> DataFrame:
@@ -72,7 +68,7 @@ def conferences_with_free_terms(
     factor = _week_factor(as_of, F.col("Start"))
     soon = (
         t["Conferences"]
-        .filter(_upcoming(F.col("Start"), as_of, days))
+        .filter(within_days(F.col("Start"), as_of, days))
         .select(
             "ConferenceID",
             F.col("Name").alias("conference_name"),
@@ -99,7 +95,7 @@ def workshops_with_free_terms(
     """Workshops on days coming soon that still have places."""
     soon = (
         t["ConferenceDays"]
-        .filter(_upcoming(F.col("Date"), as_of, days))
+        .filter(within_days(F.col("Date"), as_of, days))
         .select("ConferenceDayID", "ConferenceID", F.col("Date").alias("conference_date"), F.col("Location").alias("place"))
         .join(t["Conferences"].select("ConferenceID", F.col("Name").alias("conference_name")), "ConferenceID")
     )

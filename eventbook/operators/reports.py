@@ -132,7 +132,8 @@ def org_client_payments(t: Tables) -> DataFrame:
     )
 
 
-def _open_reservations(t: Tables) -> DataFrame:
+def open_reservations(t: Tables) -> DataFrame:
+    """Unpaid live reservations with their client's name."""
     clients = t["Clients"].select("ClientID", "Name")
     return (
         t["ConferenceReservationDays"]
@@ -157,17 +158,42 @@ def org_client_debts(t: Tables) -> DataFrame:
 
     The reservation amount repeats on every row and cancelled bookings are included; see
     ``client_debt_per_reservation`` for the figure per reservation.
+
+    Reservations with and without bookings are taken apart: an inner join can be split where one
+    reservation has very many bookings, the many-rowed side of an outer join cannot.
     """
+    reservations = open_reservations(t)
     extras = _booking_prices(t, t["WorkshopsReservations"])
+    booked = t["WorkshopsReservations"].select("ReservationDayID").distinct()
+    with_bookings = reservations.join(extras, "ReservationDayID")
+    without = reservations.join(booked, "ReservationDayID", "left_anti").withColumn("extra", F.lit(None))
+    return with_bookings.unionByName(without).select(
+        "ClientID",
+        "Name",
+        "ReservationDayID",
+        money(F.col("Amount") + F.coalesce(F.col("extra"), F.lit(0))).alias("debt"),
+        "Date",
+    )
+
+
+def _debt_sums(t: Tables) -> DataFrame:
+    """``(ReservationDayID, debt)``: the rows of ``org_client_debts`` summed per reservation.
+
+    Bookings are summed before the join; the amount counts once per booking, and once without any.
+    """
+    extras = (
+        _booking_prices(t, t["WorkshopsReservations"])
+        .groupBy("ReservationDayID")
+        .agg(F.sum("extra").alias("extra"), F.count(F.lit(1)).alias("times"))
+    )
     return (
-        _open_reservations(t)
+        open_reservations(t)
         .join(extras, "ReservationDayID", "left")
         .select(
-            "ClientID",
-            "Name",
             "ReservationDayID",
-            money(F.col("Amount") + F.coalesce(F.col("extra"), F.lit(0))).alias("debt"),
-            "Date",
+            money(
+                F.col("Amount") * F.coalesce(F.col("times"), F.lit(1)) + F.coalesce(F.col("extra"), F.lit(0))
+            ).alias("debt"),
         )
     )
 
@@ -180,7 +206,7 @@ def client_debt_per_reservation(t: Tables) -> DataFrame:
         .agg(F.sum("extra").alias("extra"))
     )
     return (
-        _open_reservations(t)
+        open_reservations(t)
         .join(extras, "ReservationDayID", "left")
         .select(
             "ClientID",
@@ -266,7 +292,7 @@ def client_debt_by_participant(t: Tables, participant_id: int | None = None) ->
     Debts are summed per reservation and registrations counted per (participant, reservation)
     before they meet, so the join never multiplies bookings by registrations.
     """
-    debts = org_client_debts(t).groupBy("ReservationDayID").agg(F.sum("debt").alias("debt"))
+    debts = _debt_sums(t)
     seats = (
         _only(t["ConferenceDayRegistration"], ParticipantID=participant_id)
         .filter(live(F.col("Canceled")))

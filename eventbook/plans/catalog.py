@@ -27,7 +27,7 @@ from eventbook.sources.adapter import AS_OF, SourceModel
 from eventbook.sources.tables import BookingTables, read_tables, typed_from_text, write_tables
 from eventbook.streaming.admission import stream_day_admission, stream_workshop_admission
 from eventbook.streaming.occupancy import stream_occupancy, stream_workshop_occupancy
-from eventbook.streaming.payments import stream_paid_reservations, stream_payments
+from eventbook.streaming.payments import stream_payments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -456,20 +456,11 @@ def _line_bookings(lines: DataFrame) -> DataFrame:
     )
 
 
-@_query("stream_payments")
-def _stream_payments(m: SourceModel) -> DataFrame:
-    out = stream_payments(
-        _stream(m, "orders")["Payments"],
-        m.tables["ConferenceReservationDays"],
-        m.tables["Clients"],
-        run_folder(m.spark, "payments"),
-    )
-    return out.select("ClientID", "ServiceCounter")
+def _streamed_payments(m: SourceModel, table: str) -> DataFrame:
+    return stream_payments(_stream(m, "orders")["Payments"], m.tables, run_folder(m.spark, "payments"))[table]
 
 
-@_query("stream_paid_reservations")
-def _stream_paid_reservations(m: SourceModel) -> DataFrame:
-    out = stream_paid_reservations(
-        _stream(m, "orders")["Payments"], m.tables["ConferenceReservationDays"], run_folder(m.spark, "paid")
-    )
-    return out.select("ReservationDayID", "Paid")
+_query("stream_payments")(lambda m: _streamed_payments(m, "Clients").select("ClientID", "ServiceCounter"))
+_query("stream_paid_reservations")(
+    lambda m: _streamed_payments(m, "ConferenceReservationDays").select("ReservationDayID", "Paid")
+)

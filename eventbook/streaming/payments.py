@@ -2,48 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from eventbook.operators.lifecycle import apply_payment_counts, payment_counts
 from eventbook.streaming.sinks import latest_per_key, read_batches, run_to_end, write_batch
 
 
-def stream_payments(payments: DataFrame, reservations: DataFrame, clients: DataFrame, folder: str) -> DataFrame:
-    """Run a stream of payments to its end and return the clients with their new service counters.
+def stream_payments(payments: DataFrame, t: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Run a stream of payments to its end: clients with new counters, reservations with ``Paid`` set.
 
-    Each payment finds its client in the stored reservations; the running count per client is kept
-    in the state store and changed counts are written after every batch.
+    The stream counts payments per reservation in update mode, so a task sends one partial count for
+    a much-paid reservation, and changed counts are written after every batch.  Clients and paid
+    marks follow from those counts by joins with the stored tables.
     """
-    table = f"{folder}/paid"
-    owners = reservations.select("ReservationDayID", "ClientID")
-    counts = (
-        payments.select("ReservationDayID")
-        .join(owners, "ReservationDayID")
-        .groupBy("ClientID")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+    table = f"{folder}/counts"
+    counts = payment_counts(payments)
     writer = counts.writeStream.outputMode("update").foreachBatch(lambda df, batch_id: write_batch(df, table, batch_id))
     run_to_end(writer, f"{folder}/checkpoint")
-    now = latest_per_key(read_batches(clients.sparkSession, table, counts.schema), "ClientID", "times")
-    counter = F.col("ServiceCounter") + F.coalesce(F.col("times"), F.lit(0)).cast("int")
-    return (
-        clients.join(now, "ClientID", "left").withColumn("ServiceCounter", counter).select(*clients.columns)
-    )
-
-
-def stream_paid_reservations(payments: DataFrame, reservations: DataFrame, folder: str) -> DataFrame:
-    """Run a stream of payments to its end and return the reservations with ``Paid`` set."""
-    table = f"{folder}/paid_ids"
-    ids = payments.select("ReservationDayID")
-    writer = ids.writeStream.foreachBatch(lambda df, batch_id: write_batch(df.distinct(), table, batch_id))
-    run_to_end(writer, f"{folder}/checkpoint")
-    paid = (
-        read_batches(reservations.sparkSession, table, ids.schema)
-        .select(F.col("ReservationDayID").alias("_paid"))
-        .distinct()
-    )
-    return (
-        reservations.join(paid, F.col("ReservationDayID") == F.col("_paid"), "left")
-        .withColumn("Paid", F.when(F.col("_paid").isNotNull(), True).otherwise(F.col("Paid")))
-        .select(*reservations.columns)
-    )
+    spark = t["Clients"].sparkSession
+    return apply_payment_counts(t, latest_per_key(read_batches(spark, table, counts.schema), "ReservationDayID", "times"))

@@ -47,11 +47,13 @@ def test_nothing_crowded(spark):
     assert all(check(spark, [(1, 1, 2), (2, 2, None), (None, 3, 5)], {1: 2}).values())
 
 
-def test_more_keys_than_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(admission, "BROADCAST_KEYS", 3)
+@pytest.mark.parametrize("rows_per_block", [1000, 20, 4])
+def test_more_keys_than_the_broadcast_bound(spark, monkeypatch, rows_per_block):
+    # All keys small; some large; too many large ones to broadcast.
+    monkeypatch.setattr(admission, "BROADCAST_KEYS", 12)
     rng = random.Random(3)
     asked = [(rng.randrange(20), i, rng.randrange(1, 9)) for i in range(400)]
-    check(spark, asked, {k: rng.randrange(40) for k in range(20)}, rows_per_block=4)
+    check(spark, asked, {k: rng.randrange(40) for k in range(20)}, rows_per_block=rows_per_block)
 
 
 def test_day_reservations_against_existing_ones(spark):
