@@ -24,7 +24,9 @@ def _shape(table: str, rule: Column, key: Column, message: Column) -> list[Colum
     ]
 
 
-def row_rules(table: str, columns: list[str], kinds: tuple[str, ...] = ("NN", "LEN", "CHK")) -> list[tuple[str, Column, str]]:
+def row_rules(
+    table: str, columns: list[str], kinds: tuple[str, ...] = ("NN", "LEN", "CHK")
+) -> list[tuple[str, Column, str]]:
     """``(rule, broken, text)`` for the rules that need only the row itself."""
     spec = TABLES[table]
     rules: list[tuple[str, Column, str]] = []

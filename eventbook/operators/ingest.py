@@ -49,7 +49,10 @@ def _row_checked(rows: DataFrame, table: str) -> DataFrame:
         (f"QTY {table}.{name}", F.col(name) < 0, f"{name} must not be negative")
         for name in _NOT_NEGATIVE.get(table, ())
     ]
-    hits = [F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(text).alias("message"))) for rule, broken, text in rules]
+    hits = [
+        F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(text).alias("message")))
+        for rule, broken, text in rules
+    ]
     return rows.withColumn("_hit", F.coalesce(*hits)).select(
         *rows.columns, F.col("_hit.rule").alias("rule"), F.col("_hit.message").alias("message")
     )
