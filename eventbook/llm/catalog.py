@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventbook.llm import line_dedup, mixing, packing, token_counts
+from eventbook.llm import line_dedup, mixing, near_dedup, packing, token_counts
 from eventbook.llm.common import table
 
 #: Vocabulary file of the token counts and the packing.
@@ -21,6 +21,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group_near(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -32,6 +36,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op7_near_dedup": op7_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
 }
