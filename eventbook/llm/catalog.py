@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventbook.llm import line_dedup, mixing, near_dedup, packing, token_counts
-from eventbook.llm.common import table
+from eventbook.llm import language, line_dedup, mixing, near_dedup, packing, token_counts, toxicity
+from eventbook.llm.common import held_out, table
 
 #: Vocabulary file of the token counts and the packing.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,10 +18,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "any_hit")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_near(table(spark, sf_dir, "documents"))
 
@@ -35,7 +47,9 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_language": op4_language,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
