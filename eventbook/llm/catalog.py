@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventbook.llm import language, line_dedup, mixing, near_dedup, packing, token_counts, toxicity
+from eventbook.llm import language, line_dedup, mixing, near_dedup, neighbours, packing, token_counts, toxicity
 from eventbook.llm.common import held_out, table
 
 #: Vocabulary file of the token counts and the packing.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.remove_spread_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
@@ -46,6 +50,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_neighbours": op2_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
     "op5_token_counts": op5_token_counts,
