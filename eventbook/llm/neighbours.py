@@ -242,7 +242,7 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, recall: float =
     met = queries.mapInArrow(visit, "query_id long, query array<double>, branch long, part long, leaves array<long>")
     met = met.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long"))
     of_branch = F.element_at(F.create_map(*(F.lit(x) for b, n_ in parts.items() for x in (b, n_))), F.col("branch"))
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_branch).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_branch).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ("branch", "part", "block")
 
     def within(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
