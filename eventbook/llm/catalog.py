@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventbook.llm import language, line_dedup, mixing, near_dedup, neighbours, packing, token_counts, toxicity
+from eventbook.llm import language, line_dedup, mixing, near_dedup, neighbours, packing, token_counts, toxicity, warc
 from eventbook.llm.common import held_out, table
 
 #: Vocabulary file of the token counts and the packing.
@@ -41,6 +41,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_near(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_no")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -56,11 +61,13 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
+    "op8_warc": op8_warc,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE.format(documents="documents"),
+    "op8_warc": warc.ORACLE.format(pages="pages"),
     "op9_mix_sources": mixing.ORACLE.format(documents="documents"),
 }
