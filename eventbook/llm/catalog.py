@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventbook.llm import language, line_dedup, mixing, near_dedup, neighbours, packing, token_counts, toxicity, warc
+from eventbook.llm import language, line_dedup, mixing, near_dedup, neighbours, packing, ranked_search, token_counts, toxicity, warc
 from eventbook.llm.common import held_out, table
 
 #: Vocabulary file of the token counts and the packing.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -55,6 +59,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ranked_search": op1_ranked_search,
     "op2_neighbours": op2_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
@@ -67,6 +72,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ranked_search": ranked_search.ORACLE.replace("{documents}", "documents"),
     "op3_line_dedup": line_dedup.ORACLE.format(documents="documents"),
     "op8_warc": warc.ORACLE.format(pages="pages"),
     "op9_mix_sources": mixing.ORACLE.format(documents="documents"),
