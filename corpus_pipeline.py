@@ -7,20 +7,52 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventbook.llm import line_dedup, mixing, packing
+from eventbook.llm import language, line_dedup, mixing, near_dedup, packing
 from eventbook.llm.catalog import VOCABULARY
-from eventbook.llm.common import WORD
+from eventbook.llm.common import find_package
 from eventbook.session import checkpoint_root
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose text is like no language learned, go."""
+    find_package(spark)
+    found = language.identify(docs, columns=tuple(docs.columns))
+    return found.where(~F.col("rejected")).select(*docs.columns)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that spread over sites leave the texts; ``n_chars`` follows."""
-    cleaned = line_dedup.remove_spread_lines(docs).drop("n_lines", "n_removed")
-    return cleaned.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    cleaned = line_dedup.remove_spread_lines(docs).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays, once."""
+    find_package(spark)
+    kept = near_dedup.group_near(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    stays = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # Repeated rows share id and text.
+    once = stays.withColumn("text_hash_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash_"])
+    return once.select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and place."""
+    find_package(spark)
+    return packing.pack(docs, VOCABULARY)
 
 
 STAGES = [
+    ("language ID", language_stage),
     ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing sources to target weights", mix_stage),
+    ("best-fit packing", pack_stage),
 ]
 
 
@@ -33,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: The stages learn models and count tokens, which SQL cannot express.
 ORACLE_SQL = None

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventbook.llm.common import word_count
+from eventbook.llm.common import WORD, word_count
 from eventbook.session import cut_lineage
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -85,26 +85,51 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", F.col("prefix").alias("at"), F.when(F.col("n") == 1, nearer).otherwise(left / F.col("words")).alias("part"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every document, with its ``source``."""
+def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """A row for each source: how much of it the mix takes and where its threshold is."""
     sizes = cut_lineage(
         docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"), id_hash(F.col(id_column)).alias("hash"))
     )
     aims = cut_lineage(targets(sizes, weights, share, most))
-    size = F.greatest(F.col("source_size"), F.lit(1))
-    whole = F.floor(F.col("target") / size)
+    whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     aims = aims.withColumns({"whole": whole, "budget": F.col("target") - whole * F.col("source_size")})
     ends = thresholds(sizes, aims.select("source", "budget"))
-    known = aims.join(ends.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")), "left").withColumnRenamed("source", "t_").drop("s_")
-    rows = sizes.join(known, F.col("source").eqNullSafe(F.col("t_")))
+    known = aims.join(ends.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")), "left")
+    names = {"source": "mix_source_", "source_size": "mix_source_size_", "target": "mix_target_", "whole": "mix_whole_", "budget": "mix_budget_", "at": "mix_at_", "part": "mix_part_"}
+    return cut_lineage(known.select(*(F.col(c).alias(n) for c, n in names.items())))
+
+
+def with_taken(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The documents with ``mix_size_, mix_taken_`` and their source's columns of ``shares``."""
+    sized = docs.withColumns({"mix_size_": word_count(F.col(text_column)), "mix_hash_": id_hash(F.col(id_column))})
+    rows = sized.join(known, F.col(source_column).eqNullSafe(F.col("mix_source_")))
+    size = F.col("mix_size_")
     more = (
-        F.when(F.col("budget") <= 0, F.lit(0))
-        .when(F.col("hash") < F.col("at"), F.col("size"))
-        .when(F.col("hash") == F.col("at"), F.floor(F.col("size") * F.col("part")))
+        F.when(F.col("mix_budget_") <= 0, F.lit(0))
+        .when(F.col("mix_hash_") < F.col("mix_at_"), size)
+        .when(F.col("mix_hash_") == F.col("mix_at_"), F.floor(size * F.col("mix_part_")))
         .otherwise(F.lit(0))
     )
-    taken = (F.col("whole") * F.col("size") + more).cast("long").alias("taken")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken)
+    return rows.withColumn("mix_taken_", (F.col("mix_whole_") * size + more).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` for every document."""
+    named = docs.select("doc_id", "source", "text")
+    rows = with_taken(named, shares(named, weights, share, most))
+    return rows.select("doc_id", "source", *(F.col(f"mix_{c}_").alias(c) for c in ("size", "source_size", "target", "taken")))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: each document as often as it is taken, all columns kept; what is taken in part
+    has its first words, parted by spaces."""
+    rows = with_taken(docs, shares(docs, weights, share, most)).where(F.col("mix_taken_") > 0)
+    size = F.col("mix_size_")
+    times, rest = F.floor(F.col("mix_taken_") / size).cast("int"), (F.col("mix_taken_") % size).cast("int")
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    part = F.when(rest > 0, F.array_join(F.slice(words, F.lit(1), rest), " "))
+    texts = F.array_compact(F.concat(F.array_repeat(F.col("text"), times), F.array(part)))
+    return rows.withColumn("text", F.explode(texts)).select(*docs.columns)
 
 
 #: The same rows for the documents of a folder, by sorting; for DuckDB.
