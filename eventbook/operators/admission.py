@@ -7,7 +7,8 @@ Three facts keep the exact answer cheap, because free places never grow while ro
 
 1. A key whose total fits admits everything.
 2. Up to the first row that does not fit, the answer is the running sum.  That place is found by
-   summing blocks of ids and then walking only the block in which the limit is crossed.
+   summing blocks of ids and then walking only the block in which the limit is crossed.  Ids may be
+   clustered: a crossing block that still holds many rows is cut into blocks again.
 3. Behind it, fewer places are left than that one row asked for.  Among rows of equal quantity the
    admitted ones are always the earliest, so of quantity ``q`` only the first ``left div q`` rows
    can still be admitted.  The final replay sees only those, at most ``left * (1 + ln left)`` rows.
@@ -18,6 +19,7 @@ The outcome per key is a cut-off id and a short list of ids behind it, which is
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,12 +45,13 @@ from eventbook.session import cut_lineage
 
 ROWS_PER_BLOCK = 1 << 16
 MAX_BLOCKS = 1 << 12
+FEWEST_BLOCKS = 64
 SALTS = 32
 BROADCAST_KEYS = 500_000  # at most one row of six numbers per key: some 50 MB in memory
 
 
 def _crowded(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blocks: int) -> DataFrame:
-    """Keys asking for more than they have: lowest id, number of blocks, id width of one block."""
+    """Keys asking for more than they have: range of ids, number of blocks, id width of one block."""
     blocks = F.expr(f"least({max_blocks}, 1 + (n - 1) div {rows_per_block})")
     return (
         rows.groupBy("k")
@@ -61,7 +64,7 @@ def _crowded(rows: DataFrame, free: DataFrame, rows_per_block: int, max_blocks:
         .join(free, "k")
         .filter(F.col("total") > F.col("free"))
         .withColumn("blocks", blocks)
-        .selectExpr("k", "free", "lo", "blocks", "1 + (hi - lo) div blocks AS width")
+        .selectExpr("k", "free", "lo", "hi", "blocks", "1 + (hi - lo) div blocks AS width")
     )
 
 
@@ -82,19 +85,36 @@ def _meet(rows: DataFrame, per_key: DataFrame, keys: int, large_keys: int) -> Da
     return rows.join(_bounded(large, large_keys), "k").unionByName(rows.join(small, "k"))
 
 
-def _crossings(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Per key the first block of ids in which the limit is passed, and the sum before it."""
+def _crossings(rows: DataFrame, large: DataFrame, rows_per_block: int, max_blocks: int) -> DataFrame:
+    """Per key the block of ids (``start`` to ``stop``) in which the limit is passed, and the sum before it.
+
+    Blocks are equal widths of the id range.  Where the ids are clustered one block can hold most of a
+    key, so the step is repeated inside crossing blocks of more than ``rows_per_block`` rows.  Each turn
+    divides a block's width by ``FEWEST_BLOCKS`` at least, hence there are few.
+    """
     running = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        rows.join(large, "k")
-        .groupBy("k", "free", "lo", "blocks", "width", F.expr("(i - lo) div width").alias("b"))
-        .agg(F.sum("q").alias("s"))
-        .withColumn("run", F.sum("s").over(running))
-        .filter(F.col("run") > F.col("free"))
-        .groupBy("k", "free", "lo", "blocks", "width")
-        .agg(F.min(F.struct("b", (F.col("run") - F.col("s")).alias("before"))).alias("c"))
-        .select("k", "free", "lo", "blocks", "width", "c.b", "c.before")
-    )
+    key = ["k", "free", "lo", "blocks"]
+    open_ = large.selectExpr(*key, "lo AS start", "hi AS stop", "cast(0 AS bigint) AS before", "blocks AS parts", "width")
+    done = []
+    while True:
+        inside = rows.join(open_, "k").filter("i BETWEEN start AND stop")
+        found = (
+            inside.groupBy(*key, "start", "stop", "before", "parts", "width", F.expr("(i - start) div width").alias("b"))
+            .agg(F.sum("q").alias("s"), F.count(F.lit(1)).alias("n"))
+            .withColumn("run", F.col("before") + F.sum("s").over(running))
+            .filter(F.col("run") > F.col("free"))
+            .groupBy(*key, "start", "stop", "width")
+            .agg(F.min(F.struct("b", (F.col("run") - F.col("s")).alias("before"), "n")).alias("c"))
+            .withColumn("at", F.expr("start + c.b * width"))
+            .selectExpr(*key, "at AS start", "least(stop, at + width - 1) AS stop", "c.before AS before", "c.n AS n", "width")
+        )
+        found = cut_lineage(found)
+        wide = (F.col("n") > rows_per_block) & (F.col("stop") > F.col("start"))
+        done.append(found.filter(~wide))
+        parts = f"least({max_blocks}, greatest({FEWEST_BLOCKS}, 1 + (n - 1) div {rows_per_block}))"
+        open_ = found.filter(wide).withColumn("parts", F.expr(parts)).withColumn("width", F.expr("1 + (stop - start) div parts"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done).select(*key, "start", "stop", "before")
 
 
 def _cuts(rows: DataFrame, crossings: DataFrame, keys: int, large_keys: int) -> DataFrame:
@@ -102,9 +122,9 @@ def _cuts(rows: DataFrame, crossings: DataFrame, keys: int, large_keys: int) ->
     running = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         _meet(rows, crossings, keys, large_keys)
-        .filter(F.expr("(i - lo) div width = b"))
+        .filter("i BETWEEN start AND stop")
         .withColumn("run", F.col("before") + F.sum("q").over(running))
-        .groupBy("k", "free", "lo", "blocks", "width", "b", "before")
+        .groupBy("k", "free", "lo", "blocks", "start", "before")
         .agg(F.max(F.when(F.col("run") <= F.col("free"), F.struct("run", "i"))).alias("last"))
         .select(
             "k",
@@ -112,14 +132,14 @@ def _cuts(rows: DataFrame, crossings: DataFrame, keys: int, large_keys: int) ->
             "lo",
             "blocks",
             # With no row of the block admitted the cut lies at the end of the block before.
-            F.coalesce(F.col("last.i"), F.col("lo") + F.col("b") * F.col("width") - 1).alias("cut"),
+            F.coalesce(F.col("last.i"), F.col("start") - 1).alias("cut"),
             (F.col("free") - F.coalesce(F.col("last.run"), F.col("before"))).alias("left"),
         )
     )
 
 
 def _outcomes(rows: DataFrame, cuts: DataFrame, keys: int, large_keys: int, salts: int) -> DataFrame:
-    """``(k, free, cut, late)``: ``late`` lists the ids admitted behind the cut."""
+    """``(k, free, cut, left, late)``: ``late`` lists the ids admitted behind the cut."""
     late = (F.col("i") > F.col("cut")) & (F.col("q") > 0) & (F.col("q") <= F.col("left"))
     tail = (
         _meet(rows, cuts, keys, large_keys)
@@ -127,7 +147,8 @@ def _outcomes(rows: DataFrame, cuts: DataFrame, keys: int, large_keys: int, salt
         # The lowest id of each key stays as a witness, so that no key is lost.
         .filter(F.col("late") | (F.col("i") == F.col("lo")))
         .withColumn("most", F.when(F.col("late"), F.expr("left div q")).otherwise(1))
-        .withColumn("salt", F.expr(f"pmod(hash(i), {salts})"))
+        # A key of more blocks is dealt to more tasks.
+        .withColumn("salt", F.expr(f"pmod(hash(i), cast(greatest({salts}, blocks) AS int))"))
     )
     # Earliest rows per quantity: where keys are large within each salt first, then among the survivors.
     stages = [["k", "late", "q", "salt"], ["k", "late", "q"]]
@@ -148,7 +169,7 @@ def _outcomes(rows: DataFrame, cuts: DataFrame, keys: int, large_keys: int, salt
     return (
         tail.groupBy("k", "free", "cut", "left")
         .agg(F.collect_list(F.when(F.col("late"), F.struct("i", "q"))).alias("queue"))
-        .select("k", "free", "cut", replay.alias("late"))
+        .select("k", "free", "cut", "left", replay.alias("late"))
     )
 
 
@@ -166,7 +187,8 @@ def admit(
     """``rows`` with a boolean ``admitted``.
 
     ``free`` is ``(key, free)``; keys without an entry are not limited.  A NULL quantity marks a row
-    the rule does not look at: it is admitted and uses nothing.  Quantities must not be negative.
+    the rule does not look at: it is admitted and uses nothing.  A negative quantity is an error: it
+    would give places back, and the running sums rest on places that only get fewer.
 
     The rows are read in five passes (totals, blocks, crossing block, tail, answer).  Key, id and
     quantity are written once for the first four; ``stored`` says that ``rows`` are hardly more than a
@@ -175,8 +197,12 @@ def admit(
     passes do not move the rows to meet them.  The outcomes are written as well: the answer is one
     join with a table of known size.
     """
+    amount = quantity.cast("long")
+    refused = F.raise_error(F.concat(F.lit(f"negative quantity in the row of {row_id} "), F.col(row_id).cast("string")))
     asked = rows.select(
-        F.col(key).cast("long").alias("k"), F.col(row_id).cast("long").alias("i"), quantity.cast("long").alias("q")
+        F.col(key).cast("long").alias("k"),
+        F.col(row_id).cast("long").alias("i"),
+        F.when(amount < 0, refused.cast("long")).otherwise(amount).alias("q"),
     ).filter(F.col("k").isNotNull() & F.col("i").isNotNull() & F.col("q").isNotNull())
     places = free.select(F.col(key).cast("long").alias("k"), F.col("free").cast("long").alias("free")).filter(
         F.col("free").isNotNull()
@@ -189,26 +215,27 @@ def admit(
         return rows.withColumn("admitted", F.lit(True))
     # A key of one block crosses its limit in that block; the pass over blocks is for larger ones.
     no = F.lit(0).cast("long")
-    crossings = crowded.filter("blocks = 1").select("*", no.alias("b"), no.alias("before"))
+    small = crowded.filter("blocks = 1")
+    crossings = small.select("k", "free", "lo", "blocks", F.col("lo").alias("start"), F.col("hi").alias("stop"), no.alias("before"))
     if large_keys:
         large = _bounded(crowded.filter("blocks > 1"), large_keys)
-        crossings = crossings.unionByName(_crossings(asked, large))
+        crossings = crossings.unionByName(_crossings(asked, large, rows_per_block, max_blocks))
     cuts = _cuts(asked, crossings, keys, large_keys)
     outcomes = cut_lineage(
-        _outcomes(asked, cuts, keys, large_keys, salts).toDF("_k", "_free", "_cut", "_late")
+        _outcomes(asked, cuts, keys, large_keys, salts).toDF("_k", "_free", "_cut", "_left", "_late")
     )
-    amount = quantity.cast("long")
     admitted = (
         F.col("_k").isNull()
         | amount.isNull()
         | (F.col(row_id) <= F.col("_cut"))
         | ((amount == 0) & (F.col("_free") >= 0))
-        | F.coalesce(F.array_contains("_late", F.col(row_id).cast("long")), F.lit(False))
+        # A row that asks for more than was left is in no list and need not be looked up.
+        | ((amount <= F.col("_left")) & F.coalesce(F.array_contains("_late", F.col(row_id).cast("long")), F.lit(False)))
     )
     return (
         rows.join(outcomes, F.col(key).cast("long") == F.col("_k"), "left")
         .withColumn("admitted", admitted)
-        .drop("_k", "_free", "_cut", "_late")
+        .drop("_k", "_free", "_cut", "_left", "_late")
     )
 
 

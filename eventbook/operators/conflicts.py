@@ -1,10 +1,11 @@
 """Overlapping workshops of one participant on one date.
 
 Two workshops overlap when they share an instant, touching included.  They then share the start of
-one of them, so it is enough to compare at start times: an interval covers the start times of its
-date that lie inside it, and the earliest registration is kept per (participant, date, start time).
-No pair of registrations is ever formed, and every step is an aggregate with partial sums, so one
-busy participant costs no more than the number of different workshop times of the date.
+one of them, so it is enough to compare at start times: an interval covers those start times of the
+participant's own workshops on that date that lie inside it, and the earliest registration is kept per
+(participant, date, start time).  No pair of registrations is ever formed, and every step is an aggregate
+with partial sums, so one busy participant costs no more than the square of its own different workshop
+times of the date, whatever other conferences do on that day.
 
 Workshop times obey ``Start <= End`` (a table rule).
 """
@@ -53,23 +54,18 @@ def registration_times(t: Mapping[str, DataFrame], registrations: DataFrame) ->
     )
 
 
-def covered_starts(t: Mapping[str, DataFrame]) -> DataFrame:
-    """``(Date, Start, End, points)`` for the different workshop times of each date."""
-    slots = _timetable(t).select("Date", *_SLOT).distinct()
-    starts = slots.groupBy("Date").agg(F.collect_set("Start").alias("starts"))
-    return slots.join(starts, "Date").select(
-        "Date",
-        *_SLOT,
-        F.filter("starts", lambda p: (p >= F.col("Start")) & (p <= F.col("End"))).alias("points"),
-    )
+def at_own_starts(slots: DataFrame) -> DataFrame:
+    """``slots`` (participant, date, start, end and more) at each ``point`` that they cover: the start
+    times which the participant has on the date.  Rows are different times, not registrations."""
+    starts = slots.groupBy(*_PLACE).agg(F.collect_set("Start").alias("_starts"))
+    covered = F.filter("_starts", lambda p: (p >= F.col("Start")) & (p <= F.col("End")))
+    return slots.join(starts, _PLACE).withColumn("point", F.explode(covered)).drop("_starts")
 
 
-def earliest_overlap(t: Mapping[str, DataFrame], times: DataFrame) -> DataFrame:
+def earliest_overlap(times: DataFrame) -> DataFrame:
     """``(participant, date, start, end, earliest)``: lowest id in ``times`` that overlaps that time."""
     first = times.groupBy(*_PLACE, *_SLOT).agg(F.min("WorkshopRegistrationID").alias("first_id"))
-    spread = first.join(covered_starts(t), ["Date", *_SLOT]).select(
-        *_PLACE, *_SLOT, "first_id", F.explode("points").alias("point")
-    )
+    spread = at_own_starts(first)
     at_point = spread.groupBy(*_PLACE, "point").agg(F.min("first_id").alias("earliest"))
     return (
         spread.join(at_point, [*_PLACE, "point"])
@@ -82,7 +78,7 @@ def workshop_conflicts(t: Mapping[str, DataFrame], registrations: DataFrame | No
     """Live registrations that overlap an earlier one of the same participant, with the earliest such id."""
     times = cut_lineage(registration_times(t, t["WorkshopRegistration"] if registrations is None else registrations))
     return (
-        times.join(earliest_overlap(t, times), [*_PLACE, *_SLOT])
+        times.join(earliest_overlap(times), [*_PLACE, *_SLOT])
         .filter(F.col("earliest") < F.col("WorkshopRegistrationID"))
         .select(
             "WorkshopRegistrationID",

@@ -94,7 +94,8 @@ def reference_violations(df: DataFrame, table: str, t: Mapping[str, DataFrame])
     )
     hits = []
     for fk, name in zip(spec.foreign_keys, names):
-        parents = t[fk.parent].select(F.col(fk.parent_key).alias(f"{name}_parent"))
+        # A parent key may occur twice; it must not multiply the rows that name it.
+        parents = t[fk.parent].select(F.col(fk.parent_key).alias(f"{name}_parent")).distinct()
         same = F.col(name) == F.col(f"{name}_parent")
         message = F.concat(F.lit(f"no {fk.parent} row "), F.col(name).cast("string"))
         hit = F.struct(F.lit(fk.rule(table)).alias("rule"), message.alias("message"))

@@ -17,15 +17,17 @@ def assign_ids(new: DataFrame, existing: DataFrame | None, id_col: str, order_by
     """``new`` with ids following the highest existing one, dense and in ``order_by`` order.
 
     Rows are range-partitioned and sorted; a row's id is the number of rows in the partitions
-    before its own plus its position.  The only exchange is the range partitioning.  The numbered
+    before its own plus its position.  The rows are written first with a number of their own, which
+    orders equal rows: they are interchangeable, and a third of all rows may be equal.  The numbered
     rows are written to the shared folder before partitions are counted: a range partitioning is
     drawn from a sample, so it must not be evaluated a second time.
     """
     highest = None if existing is None else existing.agg(F.max(id_col)).first()[0]
-    # The hash orders rows that tie, and spreads them over partitions.
-    order = [*order_by, F.xxhash64(*new.columns)]
+    rows = cut_lineage(new.withColumn("_nth", F.monotonically_increasing_id()))
+    # Rows that tie are ordered by their content, equal ones by their number.
+    order = [*order_by, F.xxhash64(*new.columns), "_nth"]
     placed = cut_lineage(
-        new.repartitionByRange(*order)
+        rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
         .select(

@@ -61,7 +61,8 @@ def _row_checked(rows: DataFrame, table: str) -> DataFrame:
 def _references_checked(rows: DataFrame, table: str, t: Mapping[str, DataFrame]) -> DataFrame:
     columns = rows.columns
     for fk in TABLES[table].foreign_keys:
-        parents = t[fk.parent].select(F.col(fk.parent_key).alias("_parent"))
+        # A parent key may occur twice; every feed row stays one row.
+        parents = t[fk.parent].select(F.col(fk.parent_key).alias("_parent")).distinct()
         missing = F.col("rule").isNull() & F.col(fk.column).isNotNull() & F.col("_parent").isNull()
         rows = (
             rows.join(parents, F.col(fk.column) == F.col("_parent"), "left")
@@ -84,7 +85,7 @@ def _keys_checked(rows: DataFrame, existing: DataFrame, table: str) -> DataFrame
     key = TABLES[table].key
     columns = rows.columns
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_times"))
-    present = existing.select(F.col(key), F.lit(True).alias("_present"))
+    present = existing.select(key).distinct().withColumn("_present", F.lit(True))
     taken = F.col("rule").isNull() & ((F.col("_times") > 1) | F.col("_present").isNotNull())
     return (
         rows.join(counts, key, "left")

@@ -19,8 +19,8 @@ Tables = Mapping[str, DataFrame]
 
 
 def _set_where(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
-    """``column`` becomes true on the rows whose ``key`` is in ``ids`` (one column, no repeats)."""
-    marks = ids.select(F.col(ids.columns[0]).alias("_id"))
+    """``column`` becomes true on the rows whose ``key`` is in ``ids`` (one column)."""
+    marks = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
     return (
         df.join(marks, F.col(key) == F.col("_id"), "left")
         .withColumn(column, F.when(F.col("_id").isNotNull(), True).otherwise(F.col(column)))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventbook.operators.admission import SALTS
-from eventbook.operators.conflicts import covered_starts, registration_times
+from eventbook.operators.admission import admit
+from eventbook.operators.conflicts import registration_times
 from eventbook.schema import CODE_OVERLAP, CODE_QUOTA, TEXT_OVERLAP, TEXT_WORKSHOP_QUOTA
-from eventbook.session import cut_lineage
+from eventbook.session import cut_lineage, drop_written
 
 _ID = "WorkshopRegistrationID"
 _BOOKING = "WorkshopsReservationID"
-_TIMES = ["ParticipantID", "Date", "Start", "End"]
+_PLACE = ["ParticipantID", "Date"]
+_SLOT = [*_PLACE, "Start", "End"]
 
 
 def admit_workshop_registrations(
@@ -26,32 +28,48 @@ def admit_workshop_registrations(
     registration of the participant overlaps it; a refused one takes no seat and blocks no time.  The
     two rules feed each other, so the answer is reached in rounds over all undecided rows at once:
 
-    * refused for sure: accepted rows alone already fill the booking or overlap it;
-    * accepted for sure: it fits even if every undecided earlier row is accepted.
+    * a seat is sure for the first rows of a booking, as many as it has seats, even if all are accepted;
+      a booking is full once accepted rows alone fill it;
+    * each participant's day is then replayed in id order as far as seats are known, so that a chain of
+      overlaps costs one round however long it is; only seats that hang on other participants wait.
 
-    The lowest undecided id is always decided, so the rounds end; they number as many as the longest
-    chain of rows waiting for each other.  Existing rows are treated as accepted and earlier.
+    The lowest undecided id is always decided, so the rounds end.  A round reads and writes the undecided
+    rows, the accepted rows of their bookings and one row for each accepted time of their participants.
+    Existing rows are treated as accepted and earlier.
     """
-    times = registration_times(t, new).select(_ID, *_TIMES)
+    times = registration_times(t, new).select(_ID, *_SLOT)
     quotas = t["WorkshopsReservations"].select(F.col("ReservationID").alias(_BOOKING), F.col("Quantity").alias("free"))
+    quotas = quotas.dropDuplicates([_BOOKING])
     held = None
     if existing is not None:
         counts = existing.groupBy(_BOOKING).agg(F.count(F.lit(1)).alias("taken"))
         quotas = quotas.join(counts, _BOOKING, "left").select(
             _BOOKING, (F.col("free") - F.coalesce(F.col("taken"), F.lit(0))).alias("free")
         )
-        held = cut_lineage(registration_times(t, existing).select(*_TIMES).distinct())
-    covered = cut_lineage(covered_starts(t))
-    rows = cut_lineage(
-        new.select(_ID, _BOOKING)
-        .join(times, _ID, "left")
-        .join(quotas, _BOOKING, "left")
-        .withColumn("code", F.lit(None).cast("int"))  # NULL undecided, 0 accepted, else refused
-    )
-    while not rows.filter(F.col("code").isNull()).isEmpty():
-        rows = cut_lineage(_round(rows, held, covered))
-
-    verdict = rows.select(_ID, F.when(F.col("code") != 0, F.col("code")).alias("code"))
+        before = F.lit(-1).cast("long")
+        held = registration_times(t, existing).select(*_SLOT).distinct().withColumn("first", before)
+    undecided = cut_lineage(new.select(_ID, _BOOKING).join(times, _ID, "left").join(quotas, _BOOKING, "left"))
+    accepted = undecided.select(_ID, _BOOKING).limit(0)
+    held = cut_lineage(held if held is not None else undecided.select(*_SLOT, F.col(_ID).alias("first")).limit(0))
+    decided = []
+    while not undecided.isEmpty():
+        rows = cut_lineage(_round(undecided, accepted, held))
+        decided.append(rows.filter(F.col("code").isNotNull()).select(_ID, "code"))
+        last = (undecided, accepted, held)
+        undecided = cut_lineage(rows.filter(F.col("code").isNull()).drop("code"))
+        fresh = rows.filter(F.col("code") == 0)
+        open_bookings = undecided.select(_BOOKING).distinct()
+        accepted = cut_lineage(
+            accepted.unionByName(fresh.select(_ID, _BOOKING)).join(open_bookings, _BOOKING, "left_semi")
+        )
+        slots = held.unionByName(fresh.filter(F.col("Date").isNotNull()).select(*_SLOT, F.col(_ID).alias("first")))
+        open_days = undecided.select(*_PLACE).distinct()
+        held = cut_lineage(slots.join(open_days, _PLACE, "left_semi").groupBy(*_SLOT).agg(F.min("first").alias("first")))
+        for table in last:
+            drop_written(table)
+
+    none = new.select(_ID, F.lit(None).cast("int").alias("code")).limit(0)
+    verdict = reduce(DataFrame.unionByName, decided, none).select(_ID, F.when(F.col("code") != 0, F.col("code")).alias("code"))
     overlap = F.col("code") == CODE_OVERLAP
     return (
         new.join(verdict, _ID)
@@ -65,54 +83,74 @@ def admit_workshop_registrations(
     )
 
 
-def _round(rows: DataFrame, held: DataFrame | None, covered: DataFrame) -> DataFrame:
-    standing = rows.filter(F.coalesce(F.col("code"), F.lit(0)) == 0)  # accepted or undecided
+def _seats(undecided: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``undecided`` with ``sure`` (a seat whatever happens before it) and ``full`` (none any more)."""
+    taken = accepted.groupBy(_BOOKING).agg(F.count(F.lit(1)).alias("n"), F.max(_ID).alias("last"))
+    waiting = undecided.groupBy(_BOOKING, "free").agg(F.count(F.lit(1)).alias("open"))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    bookings = waiting.join(taken, _BOOKING, "left").select(
+        F.col(_BOOKING).alias("_booking"),
+        (F.col("free").isNull() | (n + F.col("open") <= F.col("free"))).alias("roomy"),
+        F.when(n >= F.col("free"), F.coalesce("last", F.lit(-1))).alias("full_after"),
+        F.col("free").alias("_free"),
+    )
+    bookings = cut_lineage(bookings)
+    rows = undecided.join(bookings, F.col(_BOOKING).eqNullSafe(F.col("_booking")))
+    # Where not all fit, the first standing rows have a seat: an admission of one place each.
+    tight = bookings.filter(~F.col("roomy")).select(F.col("_booking").alias(_BOOKING), F.col("_free").alias("free"))
+    standing = undecided.select(_ID, _BOOKING).withColumn("asks", F.lit(True)).unionByName(accepted.withColumn("asks", F.lit(False)))
+    ranked = admit(standing.join(tight.select(_BOOKING), _BOOKING, "left_semi"), tight, _BOOKING, _ID, F.lit(1))
+    seated = ranked.filter(F.col("asks") & F.col("admitted")).select(F.col(_ID).alias("_seated"))
+    full = F.coalesce(F.col("full_after") < F.col(_ID), F.lit(False))
+    return rows.join(seated, F.col(_ID) == F.col("_seated"), "left").select(
+        *undecided.columns, (F.col("roomy") | F.col("_seated").isNotNull()).alias("sure"), full.alias("full")
+    )
 
-    # Seats: a row surely fits when it is among the first ``free`` standing rows of its booking (the
-    # earliest per salt first, so that no task sees a whole large booking), and surely does not when
-    # the accepted rows alone fill the booking before it.
-    first = standing.select(_ID, _BOOKING, "free", F.expr(f"pmod(hash({_ID}), {SALTS})").alias("salt"))
-    for keys in ([_BOOKING, "salt"], [_BOOKING]):
-        by_id = Window.partitionBy(*keys).orderBy(_ID)
-        first = first.withColumn("rank", F.row_number().over(by_id)).filter(
-            F.col("free").isNull() | (F.col("rank") <= F.col("free"))
-        )
-    fits = first.select(_ID, F.lit(True).alias("fits"))
-    accepted_id = F.when(F.col("code") == 0, F.col(_ID))
-    filled = (
-        rows.groupBy(_BOOKING, "free")
-        .agg(F.count(accepted_id).alias("n"), F.max(accepted_id).alias("last"))
-        .filter(F.col("n") >= F.col("free"))
-        .select(_BOOKING, F.coalesce(F.col("last"), F.lit(-1)).alias("full_after"))
+
+def _round(undecided: DataFrame, accepted: DataFrame, held: DataFrame) -> DataFrame:
+    """``undecided`` with ``code``: 0 accepted, else refused, NULL where it has to wait."""
+    rows = cut_lineage(_seats(undecided, accepted))
+    timed = rows.filter(F.col("Date").isNotNull() & ~F.col("full"))
+    # Of one time of a participant only the first row with a sure seat and the first without matter.
+    firsts = timed.groupBy(*_SLOT).agg(
+        F.min(F.when(F.col("sure"), F.col(_ID))).alias("sure_id"), F.min(F.when(~F.col("sure"), F.col(_ID))).alias("open_id")
     )
+    kinds = F.array(
+        F.struct(F.col("sure_id").alias("id"), F.lit(True).alias("sure")),
+        F.struct(F.col("open_id").alias("id"), F.lit(False).alias("sure")),
+    )
+    queue = firsts.select(*_SLOT, F.explode(kinds).alias("k")).filter(F.col("k.id").isNotNull())
+    item = F.struct(F.col("k.id").alias("id"), F.col("k.sure").alias("sure"), F.col("Start").alias("s"), F.col("End").alias("e"))
+    queues = queue.groupBy(*_PLACE).agg(F.collect_list(item).alias("queue"))
+    stands = held.groupBy(*_PLACE).agg(
+        F.collect_list(F.struct(F.col("first").alias("id"), F.lit(True).alias("sure"), F.col("Start").alias("s"), F.col("End").alias("e"))).alias("stands")
+    )
+    nothing = F.expr("cast(array() as array<struct<id:bigint,sure:boolean,s:int,e:int>>)")
 
-    # Times: the earliest accepted and the earliest standing row at each start time, then over the
-    # start times an undecided row covers.
-    def spread(slots: DataFrame) -> DataFrame:
-        return slots.join(covered, _TIMES[1:]).withColumn("point", F.explode("points")).drop("points")
+    def meets(a, b):
+        return (a["s"] <= b["e"]) & (b["s"] <= a["e"])
 
-    blockers = standing.groupBy(*_TIMES).agg(F.min(accepted_id).alias("accepted"), F.min(_ID).alias("standing"))
-    if held is not None:
-        before = F.lit(-1).cast("long")
-        blockers = blockers.unionByName(held.select("*", before.alias("accepted"), before.alias("standing")))
-    earliest = (F.min("accepted").alias("accepted"), F.min("standing").alias("standing"))
-    at_point = spread(blockers).groupBy("ParticipantID", "Date", "point").agg(*earliest)
-    asked = spread(rows.filter(F.col("code").isNull()).select(*_TIMES).distinct())
-    hits = asked.join(at_point, ["ParticipantID", "Date", "point"]).groupBy(*_TIMES).agg(*earliest)
-
-    blocked = F.coalesce(F.col("accepted") < F.col(_ID), F.lit(False))
-    maybe_blocked = F.coalesce(F.col("standing") < F.col(_ID), F.lit(False))
-    full = F.coalesce(F.col("full_after") < F.col(_ID), F.lit(False))
+    # State: rows that stand (accepted, or maybe accepted where ``sure`` is false), ids ascending.
+    def replay(done, row):
+        before = lambda x: meets(x, row) & (x["id"] < row["id"])
+        maybe = F.exists(done, lambda x: before(x) & ~x["sure"])
+        kept = F.struct(row["id"].alias("id"), (row["sure"] & ~maybe).alias("sure"), row["s"].alias("s"), row["e"].alias("e"))
+        return F.when(F.exists(done, lambda x: before(x) & x["sure"]), done).otherwise(F.array_append(done, kept))
+
+    state = F.aggregate(F.array_sort(F.coalesce("queue", nothing)), F.coalesce("stands", nothing), replay)
+    days = queues.join(stands, _PLACE, "full").select(*_PLACE, state.alias("state"))
+    asked = rows.filter(F.col("Date").isNotNull()).select(*_SLOT).distinct()
+
+    def first(sure: bool):
+        of = F.filter("state", lambda x: (x["sure"] == F.lit(sure)) & (x["s"] <= F.col("End")) & (F.col("Start") <= x["e"]))
+        return F.array_min(F.transform(of, lambda x: x["id"]))
+
+    hits = asked.join(days, _PLACE).select(*_SLOT, first(True).alias("blocked_by"), first(False).alias("maybe_by"))
+    blocked = F.coalesce(F.col("blocked_by") < F.col(_ID), F.lit(False))
+    maybe = F.coalesce(F.col("maybe_by") < F.col(_ID), F.lit(False))
     verdict = (
-        F.when(F.col("code").isNotNull(), F.col("code"))
-        .when(blocked, F.lit(CODE_OVERLAP))
-        .when(full & ~maybe_blocked, F.lit(CODE_QUOTA))
-        .when(F.coalesce(F.col("fits"), F.lit(False)) & ~maybe_blocked, F.lit(0))
-    )
-    return (
-        rows.join(fits, _ID, "left")
-        .join(filled, _BOOKING, "left")
-        .join(hits, _TIMES, "left")
-        .withColumn("code", verdict)
-        .select(*rows.columns)
+        F.when(blocked, F.lit(CODE_OVERLAP))
+        .when(F.col("full") & ~maybe, F.lit(CODE_QUOTA))
+        .when(F.col("sure") & ~maybe, F.lit(0))
     )
+    return rows.join(hits, _SLOT, "left").withColumn("code", verdict).select(*undecided.columns, "code")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -50,7 +51,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     )
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return _local_scratch(spark.sparkContext.applicationId)
 
@@ -71,3 +72,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = run_folder(df.sparkSession, "cut")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Remove the folder of a table that ``cut_lineage`` has written, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        folder = file.rpartition("/")[0]
+        if "/cut-" not in folder:
+            return
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return

@@ -112,3 +112,25 @@ def test_quotas_count_cancelled_registrations(spark):
     )
     out = admission.workshop_registration_quota(t, more, t["WorkshopRegistration"])
     assert rows(out, "code", "message") == [(56000, "Rezerwacja pelna ReservationID = 2")]
+
+
+def test_one_far_id_does_not_make_one_block_of_the_rest(spark):
+    """Serial ids followed by one of another generator: the crossing block is cut until it is small."""
+    asked = spark.range(20_000).selectExpr("0L AS k", "id AS i", "1L AS q").unionByName(
+        spark.createDataFrame([(0, 10**15, 1)], "k long, i long, q long")
+    )
+    free = spark.createDataFrame([(0, 11_111)], "k long, free long")
+    large = admission._crowded(asked, free, 500, 1 << 12)
+    crossing = admission._crossings(asked, large, 500, 1 << 12).first()
+    assert crossing["start"] <= 11_111 <= crossing["stop"] and crossing["before"] == crossing["start"]
+    assert crossing["stop"] - crossing["start"] < 500
+    out = admission.admit(asked, free, "k", "i", F.col("q"), rows_per_block=500)
+    assert out.filter("admitted").count() == 11_111
+    assert out.filter("NOT admitted").agg(F.min("i")).first()[0] == 11_111
+
+
+def test_negative_quantity_is_an_error(spark):
+    asked = spark.createDataFrame([(1, 1, 5), (1, 2, -3)], "key long, id long, qty long")
+    free = spark.createDataFrame([(1, 4)], "key long, free long")
+    with pytest.raises(Exception, match="negative quantity"):
+        admission.admit(asked, free, "key", "id", F.col("qty")).collect()
