@@ -2,8 +2,8 @@
 
 The lexicon is learned: words that occur in far more toxic than other texts of a bounded labelled sample.
 It is held as a trie.  A word of a text that is no term itself meets the trie with the word's Levenshtein
-automaton (one edit), walked along the trie's branches; a term and a word one edit apart share the term's
-first half at the word's beginning or its second half at the end, so other words need no walk.  Words
+automaton (one edit), walked along the trie's branches; a term and a word one edit apart are alike once a
+letter is left out of one or both, so words without such a likeness need no walk.  Words
 near a term that the sample's other texts use are no misspellings.
 
 A hit's context is the window of words around it: a hit between an opening and a closing quotation mark
@@ -18,7 +18,7 @@ repeated results, an empty table an empty one; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -83,20 +83,18 @@ class Trie:
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = defaultdict(set)
-        self.tails: dict[int, set[str]] = defaultdict(set)
+        #: Terms, and terms with a letter left out.
+        self.shortened: set[str] = set(terms)
         for term in terms:
             node = self.root
             for char in term:
                 node = node.setdefault(char, {})
             node[""] = term
-            half = len(term) // 2
-            self.heads[half].add(term[:half])
-            self.tails[len(term) - half].add(term[half:])
+            self.shortened.update(term[:i] + term[i + 1 :] for i in range(len(term)))
 
     def possible(self, word: str) -> bool:
         """False only if no term is within one edit."""
-        return any(word[:n] in parts for n, parts in self.heads.items()) or any(word[-n:] in parts for n, parts in self.tails.items())
+        return word in self.shortened or any(word[:i] + word[i + 1 :] in self.shortened for i in range(len(word)))
 
     def near(self, word: str) -> list[str]:
         """All terms that the word's automaton accepts."""
@@ -130,6 +128,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.trie = Trie([t for t in model.terms if len(t) >= MIN_FUZZY])
+        self.longest = max(map(len, model.terms), default=0)
         self.clear()
 
     def clear(self) -> None:
@@ -149,7 +148,7 @@ class Scorer:
         word = letters(raw)
         if word in self.model.terms:
             return self.hit(word, False)
-        if len(word) < MIN_FUZZY - 1 or word in self.model.clean or not self.trie.possible(word):
+        if not MIN_FUZZY - 1 <= len(word) <= self.longest + 1 or word in self.model.clean or not self.trie.possible(word):
             return 0
         near = self.trie.near(word)
         return self.hit(max(near, key=lambda t: (self.model.terms[t], t)), True) if near else 0
