@@ -43,11 +43,13 @@ HEADLINE = (
     "workshop_conflicts",
     "admit_non_overlapping",
     "admit_workshop_reservations",
+    "admit_workshop_registrations",
     "admit_day_reservations",
     "workshop_registration_quota",
     "validate_conference_days",
     "violations_fk",
     "ingest_day_reservations",
+    "ingest_workshop_registrations",
     "assign_ids",
     "stream_occupancy",
     "stream_admission",

@@ -63,7 +63,7 @@ def with_defaults(
     for col in spec.columns:
         if col.name in new.columns:
             out.append(F.col(col.name).cast(col.type).alias(col.name))
-        elif col.name == spec.key or col.secret:
+        elif col.name == spec.key:
             continue
         else:
             value = values.get(col.name, None if col.default is NO_DEFAULT else col.default)

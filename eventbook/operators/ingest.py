@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from eventbook.operators.admission import (
 )
 from eventbook.operators.constraints import row_rules
 from eventbook.operators.identity import assign_ids, with_defaults
+from eventbook.operators.lifecycle import apply_payments
 from eventbook.operators.registrations import admit_workshop_registrations
 from eventbook.operators.schedule import validate_conference_days
 from eventbook.schema import TABLES
@@ -29,9 +30,14 @@ _NOT_NEGATIVE = {
 
 @dataclass(frozen=True)
 class Ingested:
-    """``checked`` has every input row once, with ``rule``, ``code`` and ``message`` (NULL = accepted)."""
+    """``checked`` has every input row once, with ``rule``, ``code`` and ``message`` (NULL = accepted).
+
+    ``changed`` holds new versions of other tables that the accepted rows change: payments mark their
+    reservation as paid and raise their client's counter.
+    """
 
     checked: DataFrame
+    changed: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def accepted(self) -> DataFrame:
@@ -149,4 +155,7 @@ def ingest(
         outcome = outcome.withColumn("message", F.lit(None).cast("string"))
     outcome = outcome.withColumn("rule", F.when(F.col("code").isNotNull(), F.col("trigger"))).drop("trigger")
     columns = [*[c for c in rows.columns if c not in ("rule", "message")], "rule", "code", "message"]
-    return Ingested(outcome.select(*columns).unionByName(broken.select(*columns)))
+    result = Ingested(outcome.select(*columns).unionByName(broken.select(*columns)))
+    if table == "Payments":
+        result.changed.update(apply_payments(t, result.accepted))
+    return result

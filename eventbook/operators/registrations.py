@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventbook.operators.admission import admit
+from eventbook.operators.admission import ROWS_PER_BLOCK, admit
 from eventbook.operators.conflicts import registration_times
 from eventbook.schema import CODE_OVERLAP, CODE_QUOTA, TEXT_OVERLAP, TEXT_WORKSHOP_QUOTA
 from eventbook.session import cut_lineage, drop_written
@@ -93,13 +93,21 @@ def _seats(undecided: DataFrame, accepted: DataFrame) -> DataFrame:
         (F.col("free").isNull() | (n + F.col("open") <= F.col("free"))).alias("roomy"),
         F.when(n >= F.col("free"), F.coalesce("last", F.lit(-1))).alias("full_after"),
         F.col("free").alias("_free"),
+        (n + F.col("open")).alias("standing"),
     )
     bookings = cut_lineage(bookings)
     rows = undecided.join(bookings, F.col(_BOOKING).eqNullSafe(F.col("_booking")))
-    # Where not all fit, the first standing rows have a seat: an admission of one place each.
-    tight = bookings.filter(~F.col("roomy")).select(F.col("_booking").alias(_BOOKING), F.col("_free").alias("free"))
-    standing = undecided.select(_ID, _BOOKING).withColumn("asks", F.lit(True)).unionByName(accepted.withColumn("asks", F.lit(False)))
-    ranked = admit(standing.join(tight.select(_BOOKING), _BOOKING, "left_semi"), tight, _BOOKING, _ID, F.lit(1))
+    # Where not all fit, the first standing rows have a seat.  A booking that one task can hold is
+    # numbered; of a larger one the first rows are found by an admission of one place each.
+    large = F.col("standing") > ROWS_PER_BLOCK
+    tight = bookings.filter(~F.col("roomy")).select(F.col("_booking").alias(_BOOKING), F.col("_free").alias("free"), "standing")
+    asks = undecided.select(_ID, _BOOKING).withColumn("asks", F.lit(True)).unionByName(accepted.withColumn("asks", F.lit(False)))
+    standing = asks.join(tight, _BOOKING)
+    by_id = Window.partitionBy(_BOOKING).orderBy(_ID)
+    ranked = standing.filter(~large).withColumn("admitted", F.row_number().over(by_id) <= F.col("free")).select(_ID, "asks", "admitted")
+    if not tight.filter(large).isEmpty():
+        many = admit(standing.filter(large).select(_ID, _BOOKING, "asks"), tight.filter(large).select(_BOOKING, "free"), _BOOKING, _ID, F.lit(1))
+        ranked = ranked.unionByName(many.select(_ID, "asks", "admitted"))
     seated = ranked.filter(F.col("asks") & F.col("admitted")).select(F.col(_ID).alias("_seated"))
     full = F.coalesce(F.col("full_after") < F.col(_ID), F.lit(False))
     return rows.join(seated, F.col(_ID) == F.col("_seated"), "left").select(

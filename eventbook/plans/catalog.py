@@ -205,6 +205,12 @@ def _outcome(result, *columns: str) -> DataFrame:
     )
 
 
+def _sign_in(key) -> list:
+    """The columns for signing in, which every feed of people has to bring."""
+    name = F.concat(F.lit("user"), key.cast("string"))
+    return [name.alias("Login"), F.sha2(name, 256).alias("Password")]
+
+
 @_query("ingest_clients")
 def _ingest_clients(m: SourceModel) -> DataFrame:
     """Odd customers arrive, even ones exist; companies' feed rows state no counter above 0."""
@@ -218,6 +224,7 @@ def _ingest_clients(m: SourceModel) -> DataFrame:
         "Email",
         "Phone",
         "isCompany",
+        *_sign_in(F.col("ClientID")),
     )
     t = m.tables.replace(Clients=clients.filter(F.col("ClientID") % 2 == 0))
     return _outcome(
@@ -229,7 +236,7 @@ def _ingest_clients(m: SourceModel) -> DataFrame:
 def _ingest_participants(m: SourceModel) -> DataFrame:
     people = m.damaged("Participants")
     t = m.tables.replace(Participants=m.tables["Participants"].filter("ParticipantID % 2 = 0"))
-    feed = people.filter("ParticipantID % 2 = 1").select("Name", "StudentIndex", "ClientId")
+    feed = people.filter("ParticipantID % 2 = 1").select("Name", "StudentIndex", "ClientId", *_sign_in(F.col("ParticipantID")))
     return _outcome(ingest(t, "Participants", feed, order_by=["StudentIndex"]), "ParticipantID", "StudentIndex", "ClientId")
 
 
@@ -307,6 +314,17 @@ def _ingest_payments(m: SourceModel) -> DataFrame:
     )
 
 
+def _ingested_payments(m: SourceModel):
+    payments = m.damaged("Payments").withColumnRenamed("PaymentID", "feed_key")
+    return ingest(m.tables, "Payments", payments, order_by=["Date", "feed_key"]).changed
+
+
+_query("ingest_payments_clients")(lambda m: _ingested_payments(m)["Clients"].select("ClientID", "ServiceCounter"))
+_query("ingest_payments_reservations")(
+    lambda m: _ingested_payments(m)["ConferenceReservationDays"].select("ReservationDayID", "Paid")
+)
+
+
 @_query("ingest_day_registrations")
 def _ingest_day_registrations(m: SourceModel) -> DataFrame:
     """Registrations of odd participants arrive onto those of even participants."""

@@ -384,6 +384,61 @@ ORACLES["workshop_registration_quota"] = _sql(
               CASE WHEN row_number() OVER (PARTITION BY g.WorkshopsReservationID ORDER BY g.WorkshopRegistrationID) <= b.Quantity
                    THEN 0 ELSE 56000 END AS code FROM wreg g JOIN wres b ON b.ReservationID = g.WorkshopsReservationID"""
 )
+def _joint_sql(arriving: str, standing: str, body: str, **local: str) -> str:
+    """Both rules on workshop registrations, row by row in id order: table ``walk`` with ``code`` per id.
+
+    ``arriving``: (id, b) rows; ``standing``: ids that were accepted before.  Rows that share neither a
+    booking nor a participant's day, directly or through others, do not touch each other: each such
+    group is walked on its own, all groups side by side.
+    """
+    text = _sql(
+        "SELECT 1 FROM queue",
+        recursive=True,
+        queue=f"""
+            SELECT a.id, a.b, w.Quantity AS seats, t.p, t.d, t.s, t.e FROM ({arriving}) a
+            JOIN wres w ON w.ReservationID = a.b LEFT JOIN times t ON t.id = a.id""",
+        **local,
+    )
+    head = text[: text.rindex("\nSELECT 1 FROM queue")]
+    return f"""{head},
+links AS MATERIALIZED (
+    SELECT id, o FROM (SELECT id, lag(id) OVER (PARTITION BY b ORDER BY id) AS o FROM queue) WHERE o IS NOT NULL
+    UNION ALL SELECT id, o FROM (SELECT id, lag(id) OVER (PARTITION BY p, d ORDER BY id) AS o FROM queue WHERE p IS NOT NULL) WHERE o IS NOT NULL),
+near AS MATERIALIZED (SELECT id, o FROM links UNION ALL SELECT o, id FROM links),
+groups(id, c) USING KEY (id) AS (
+    SELECT id, id FROM queue
+    UNION
+    SELECT n.id, min(g.c) FROM groups g JOIN near n ON n.o = g.id JOIN recurring.groups h ON h.id = n.id WHERE g.c < h.c GROUP BY n.id),
+stood AS MATERIALIZED ({standing}),
+held AS MATERIALIZED (SELECT b, count(*) AS n FROM stood GROUP BY b),
+turns AS MATERIALIZED (
+    SELECT q.*, c, coalesce(n, 0) AS taken, row_number() OVER (PARTITION BY c ORDER BY q.id) AS rn,
+           EXISTS (SELECT 1 FROM stood x JOIN times y ON y.id = x.id WHERE y.p = q.p AND y.d = q.d AND y.s <= q.e AND q.s <= y.e) AS stands
+    FROM queue q JOIN groups USING (id) LEFT JOIN held h ON h.b = q.b),
+walk(c, rn, id, code, b, p, d, s, e) USING KEY (c, rn) AS (
+    SELECT DISTINCT c, 0::BIGINT, -1::BIGINT, -1, NULL::BIGINT, NULL::BIGINT, NULL::DATE, NULL::INTEGER, NULL::INTEGER FROM turns
+    UNION
+    SELECT q.c, q.rn, q.id,
+           CASE WHEN stands OR EXISTS (SELECT 1 FROM recurring.walk a WHERE a.c = q.c AND a.code = 0 AND a.p = q.p AND a.d = q.d AND a.s <= q.e AND q.s <= a.e) THEN 52000
+                WHEN taken + (SELECT count(*) FROM recurring.walk a WHERE a.c = q.c AND a.code = 0 AND a.b = q.b) >= q.seats THEN 56000 ELSE 0 END,
+           q.b, q.p, q.d, q.s, q.e
+    FROM walk w JOIN turns q ON q.c = w.c AND q.rn = w.rn + 1)
+{body.strip()}"""
+
+
+_NONE_STANDING = "SELECT id, b FROM (SELECT 0 AS id, 0 AS b) WHERE false"
+ORACLES["admit_workshop_registrations"] = _joint_sql(
+    "SELECT WorkshopRegistrationID AS id, WorkshopsReservationID AS b FROM wreg",
+    _NONE_STANDING,
+    "SELECT id AS WorkshopRegistrationID, code FROM walk WHERE rn > 0",
+)
+_FIFTH = "SELECT WorkshopRegistrationID AS id, WorkshopsReservationID AS b FROM wreg WHERE ConferenceRegistrationID % 5"
+ORACLES["ingest_workshop_registrations"] = _joint_sql(
+    f"{_FIFTH} <> 0",
+    f"{_FIFTH} = 0",
+    """SELECT id AS WorkshopRegistrationID, CASE code WHEN 52000 THEN 'TRG-2' WHEN 56000 THEN 'TRG-7' ELSE '' END AS rule, code
+       FROM walk WHERE rn > 0""",
+)
 _DAY_CODE = """CASE WHEN f."Date" < CAST(c."Start" AS DATE) OR f."Date" > CAST(c."End" AS DATE) THEN 56002
                     WHEN f."Start" < hour(c."Start") * 3600 OR f."End" > hour(c."End") * 3600 THEN 56003 ELSE 0 END"""
 
@@ -564,6 +619,14 @@ ORACLES["ingest_payments"] = _sql(
               CASE WHEN ref NOT IN (SELECT ReservationDayID FROM crd) THEN 'FK Payments.ReservationDayID' ELSE '' END AS rule, 0 AS code
        FROM (SELECT *, {_broken_reference("ReservationDayID", "PaymentID", 0)} AS ref FROM pays)"""
 )
+_PAID_REFS = f"SELECT {_broken_reference('ReservationDayID', 'PaymentID', 0)} AS ref FROM pays"
+ORACLES["ingest_payments_clients"] = _sql(
+    f"""SELECT ClientID, CAST(ServiceCounter + (SELECT count(*) FROM ({_PAID_REFS}) JOIN crd ON ReservationDayID = ref
+               WHERE crd.ClientID = clients.ClientID) AS INTEGER) AS ServiceCounter FROM clients"""
+)
+ORACLES["ingest_payments_reservations"] = _sql(
+    f"SELECT ReservationDayID, Paid OR ReservationDayID IN ({_PAID_REFS}) AS Paid FROM crd"
+)
 ORACLES["ingest_day_registrations"] = _sql(
     f"""SELECT id AS ConferenceRegistrationID, rref AS ReservationDayID, pref AS ParticipantID,
               CASE WHEN broken <> '' THEN broken WHEN rn > r.N + r.S - coalesce(standing, 0) THEN 'TRG-6' ELSE '' END AS rule,
