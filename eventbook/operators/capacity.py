@@ -43,11 +43,25 @@ def _free(limits: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     return limits.join(taken, key, "left").select(key, F.coalesce(limit - F.col("taken"), limit).alias("free_places"))
 
 
-def available_day_places(t: Mapping[str, DataFrame]) -> DataFrame:
-    """``(ConferenceDayID, free_places)``; an overbooked day is negative."""
-    return _free(day_limits(t), day_occupancy(t["ConferenceReservationDays"]), "ConferenceDayID")
+def _among(df: DataFrame, only: DataFrame | None, key: str) -> DataFrame:
+    return df if only is None else df.join(only.select(key), key, "left_semi")
 
 
-def available_workshop_places(t: Mapping[str, DataFrame]) -> DataFrame:
-    """``(WorkshopID, free_places)``; an overbooked workshop is negative."""
-    return _free(workshop_limits(t), workshop_occupancy(t["WorkshopsReservations"]), "WorkshopID")
+def available_day_places(t: Mapping[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
+    """``(ConferenceDayID, free_places)``; an overbooked day is negative.
+
+    ``only`` restricts the days before reservations are summed.
+    """
+    key = "ConferenceDayID"
+    taken = day_occupancy(_among(t["ConferenceReservationDays"], only, key))
+    return _free(_among(day_limits(t), only, key), taken, key)
+
+
+def available_workshop_places(t: Mapping[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
+    """``(WorkshopID, free_places)``; an overbooked workshop is negative.
+
+    ``only`` restricts the workshops before bookings are summed.
+    """
+    key = "WorkshopID"
+    taken = workshop_occupancy(_among(t["WorkshopsReservations"], only, key))
+    return _free(_among(workshop_limits(t), only, key), taken, key)

@@ -77,13 +77,15 @@ def conferences_with_free_terms(
             money(F.col("Price") * factor).alias("normal_ticket"),
         )
     )
-    free = available_day_places(t).filter(F.col("free_places") > 0).withColumnRenamed("ConferenceDayID", "free_key")
     rows = (
         t["ConferenceDays"]
         .select("ConferenceDayID", "ConferenceID", F.col("Date").alias("event_date"), "Location")
         .join(soon, "ConferenceID")
     )
     lookup = "ConferenceID" if as_written else "ConferenceDayID"
+    # Only the reservations of these few days are summed.
+    asked = rows.select(F.col(lookup).alias("ConferenceDayID"))
+    free = available_day_places(t, asked).filter(F.col("free_places") > 0).withColumnRenamed("ConferenceDayID", "free_key")
     return rows.join(free, F.col(lookup) == F.col("free_key")).select(
         "conference_name", "event_date", "free_places", "Location", "description", "student_ticket", "normal_ticket"
     )
@@ -99,8 +101,7 @@ def workshops_with_free_terms(
         .select("ConferenceDayID", "ConferenceID", F.col("Date").alias("conference_date"), F.col("Location").alias("place"))
         .join(t["Conferences"].select("ConferenceID", F.col("Name").alias("conference_name")), "ConferenceID")
     )
-    free = available_workshop_places(t).filter(F.col("free_places") > 0)
-    return (
+    shops = (
         t["Workshops"]
         .select(
             "WorkshopID",
@@ -110,8 +111,8 @@ def workshops_with_free_terms(
             price_label(F.col("price")).alias("price_label"),
         )
         .join(soon, "ConferenceDayID")
-        .join(free, "WorkshopID")
-        .select(
-            "workshop_name", "conference_name", "conference_date", "place", "free_places", "Limit", "price_label"
-        )
+    )
+    free = available_workshop_places(t, shops.select("WorkshopID")).filter(F.col("free_places") > 0)
+    return shops.join(free, "WorkshopID").select(
+        "workshop_name", "conference_name", "conference_date", "place", "free_places", "Limit", "price_label"
     )

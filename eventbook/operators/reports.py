@@ -292,15 +292,19 @@ def client_debt_by_participant(t: Tables, participant_id: int | None = None) ->
     Debts are summed per reservation and registrations counted per (participant, reservation)
     before they meet, so the join never multiplies bookings by registrations.
     """
-    debts = _debt_sums(t)
     seats = (
         _only(t["ConferenceDayRegistration"], ParticipantID=participant_id)
         .filter(live(F.col("Canceled")))
         .groupBy("ParticipantID", "ReservationDayID")
         .agg(F.count(F.lit(1)).alias("times"))
     )
+    if participant_id is not None:
+        # The reservations of one participant are found first; only their bookings are summed.
+        asked = seats.select("ReservationDayID")
+        booked = {n: t[n].join(asked, "ReservationDayID", "left_semi") for n in ("ConferenceReservationDays", "WorkshopsReservations")}
+        t = {**{n: t[n] for n in ("Clients", "Workshops", "Participants")}, **booked}
     owed = (
-        seats.join(debts, "ReservationDayID")
+        seats.join(_debt_sums(t), "ReservationDayID")
         .groupBy("ParticipantID")
         .agg(F.sum(F.col("debt") * F.col("times")).alias("owed"))
     )
@@ -357,11 +361,7 @@ def workshop_participants(t: Tables, workshop_id: int | None = None) -> DataFram
 def free_workshops(t: Tables, conference_id: int | None = None) -> DataFrame:
     """Workshops with places left, per conference."""
     days = _only(_day_conference(t), ConferenceID=conference_id)
-    free = available_workshop_places(t).filter(F.col("free_places") > 0).select("WorkshopID")
-    return (
-        t["Workshops"]
-        .select("WorkshopID", "Name", "ConferenceDayID")
-        .join(days, "ConferenceDayID")
-        .join(free, "WorkshopID")
-        .select("ConferenceID", F.col("WorkshopID").alias("workshopid"), "Name")
-    )
+    shops = t["Workshops"].select("WorkshopID", "Name", "ConferenceDayID").join(days, "ConferenceDayID")
+    asked = None if conference_id is None else shops.select("WorkshopID")
+    free = available_workshop_places(t, asked).filter(F.col("free_places") > 0).select("WorkshopID")
+    return shops.join(free, "WorkshopID").select("ConferenceID", F.col("WorkshopID").alias("workshopid"), "Name")

@@ -80,6 +80,12 @@ for _report in (
     _query(_report.__name__)(lambda m, report=_report: report(m.tables))
 
 
+# The same for one key, which restricts what is summed.
+KEY = 3
+_query("free_workshops_of_conference")(lambda m: reports.free_workshops(m.tables, conference_id=KEY))
+_query("client_debt_of_participant")(lambda m: reports.client_debt_by_participant(m.tables, participant_id=KEY))
+
+
 @_query("money_to_pay_all_pairs")
 def _money_to_pay_all_pairs(m: SourceModel) -> DataFrame:
     """Each client asks about the conference of its own range booking, open or not."""

@@ -691,3 +691,7 @@ ORACLES["stream_payments"] = _sql(f"SELECT ClientID, {_COUNTER} FROM clients")
 ORACLES["stream_paid_reservations"] = _sql(
     "SELECT ReservationDayID, Paid OR ReservationDayID IN (SELECT ReservationDayID FROM pays) AS Paid FROM crd"
 )
+
+# One key of a report: its rows among those of all keys.
+ORACLES["free_workshops_of_conference"] = f"SELECT * FROM ({ORACLES['free_workshops']}) WHERE ConferenceID = 3"
+ORACLES["client_debt_of_participant"] = f"SELECT * FROM ({ORACLES['client_debt_by_participant']}) WHERE ParticipantID = 3"

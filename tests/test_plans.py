@@ -85,3 +85,36 @@ def test_secret_columns_are_in_no_output(spark):
     secret = {c.name for t in TABLES.values() for c in t.columns if c.secret}
     for name in LAZY:
         assert not secret & set(QUERIES[name](spark, FOLDER).columns)
+
+
+def below_a_semi_join(plan: str, table: str) -> bool:
+    """Whether a scan of the table (by a column only it has) feeds a semi join before any aggregate."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if table in line and line.strip(" :+-").startswith("Relation"):
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [x for x in reversed(lines[:i]) if len(x) - len(x.lstrip(" :+-")) < depth]
+            path, least = [], depth
+            for x in above:
+                indent = len(x) - len(x.lstrip(" :+-"))
+                if indent < least:
+                    path.append(x.strip(" :+-"))
+                    least = indent
+            first = next((x for x in path if x.startswith(("Join", "Aggregate"))), "")
+            if first.startswith("Join LeftSemi"):
+                return True
+    return False
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        lambda t: pricing.conferences_with_free_terms(t, AS_OF),
+        lambda t: pricing.workshops_with_free_terms(t, AS_OF),
+        lambda t: reports.free_workshops(t, conference_id=3),
+        lambda t: reports.client_debt_by_participant(t, participant_id=3),
+    ],
+)
+def test_bookings_are_restricted_before_they_are_summed(stored, build):
+    plan = build(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert below_a_semi_join(plan, "Quantity")
