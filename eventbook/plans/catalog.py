@@ -196,6 +196,24 @@ _query("violations_length")(lambda m: constraints.violations(_damaged(m), kinds=
 _query("violations_fk")(lambda m: constraints.violations(_damaged(m), kinds=("FK",), parents=m.tables))
 
 
+def _unruly(m: SourceModel, kind: str) -> DataFrame:
+    tables = BookingTables({name: (lambda name=name: m.unruly(name, kind)) for name in TABLES})
+    return constraints.violations(tables, kinds=(kind,))
+
+
+for _kind in ("CHK", "NN", "LEN", "PK"):
+    # Each rule of the kind is broken by some row of every table that has it.
+    _query(f"violations_of_every_{_kind.lower()}")(lambda m, kind=_kind: _unruly(m, kind))
+
+
+@_query("available_day_places_unknown_flags")
+def _available_day_places_unknown_flags(m: SourceModel) -> DataFrame:
+    """Free places where it is not known of every fifth reservation whether it is cancelled."""
+    rows = m.tables["ConferenceReservationDays"]
+    unknown = rows.withColumn("Canceled", F.when(F.col("ReservationDayID") % 5 == 0, None).otherwise(F.col("Canceled")))
+    return capacity.available_day_places(m.tables.replace(ConferenceReservationDays=unknown))
+
+
 @_query("violations_pk")
 def _violations_pk(m: SourceModel) -> DataFrame:
     """Line items keyed by order and line number, which is not unique, as workshop bookings."""

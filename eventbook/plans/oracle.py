@@ -1,15 +1,16 @@
 """SQL counterparts of the registered queries, written on their own for another engine.
 
 Each text reads the star-schema tables only.  Capacity rules are replayed row by row with recursive
-queries, which is slow but plainly sequential.  ``admit_workshop_registrations`` and
-``ingest_workshop_registrations`` have no text: two rules feeding each other need a replay over all
-rows at once; the tests compare them with a brute-force loop.
+queries, which is slow but plainly sequential; the two rules on workshop registrations, which feed
+each other, by a walk through each group of rows that can touch each other.
 """
 
 from __future__ import annotations
 
 import re
 
+from eventbook.schema import TABLES
+
 AS_OF = "DATE '1997-10-01'"
 WIDE = 400
 
@@ -692,6 +693,53 @@ ORACLES["stream_paid_reservations"] = _sql(
     "SELECT ReservationDayID, Paid OR ReservationDayID IN (SELECT ReservationDayID FROM pays) AS Paid FROM crd"
 )
 
+
+# Tables that break each rule at fixed key steps: which rows do follows from the steps.
+_STEPS = {"Conferences": 7, "ConferenceDays": 13}
+
+
+def _broken_at(table: str, position: int) -> str:
+    return f"{_KEYS[table]} % {_STEPS.get(table, 101)} = {position}"
+
+
+def _each_column(kind: str) -> str:
+    parts = []
+    for table, spec in TABLES.items():
+        columns = [c for c in spec.columns if not c.secret and c.name != spec.key]
+        for position, c in enumerate(columns):
+            text = f"{c.name} is required" if kind == "NN" else f"{c.name} is longer than {c.length}"
+            if c.required if kind == "NN" else c.length:
+                parts.append(
+                    f"""SELECT '{table}' AS table_name, '{kind} {table}.{c.name}' AS rule, CAST({_KEYS[table]} AS BIGINT) AS key,
+                               '{text}' AS message FROM {_NAMES[table]} WHERE {_broken_at(table, position)}"""
+                )
+    return _sql(" UNION ALL ".join(parts))
+
+
+ORACLES["violations_of_every_nn"] = _each_column("NN")
+ORACLES["violations_of_every_len"] = _each_column("LEN")
+ORACLES["violations_of_every_pk"] = _sql(
+    " UNION ALL ".join(
+        f"""SELECT '{table}' AS table_name, 'PK {table}.{key}' AS rule, CAST({key} AS BIGINT) AS key, 'key occurs 2 times' AS message
+            FROM {_NAMES[table]} WHERE {_broken_at(table, 0)}"""
+        for table, key in _KEYS.items()
+    )
+)
+ORACLES["violations_of_every_chk"] = _sql(
+    f"""SELECT 'Clients' AS table_name, 'CHK-1' AS rule, ClientID AS key, 'ServiceCounter must be above 0' AS message FROM clients WHERE {_broken_at("Clients", 0)}
+       UNION ALL SELECT 'Clients', 'CHK-2', ClientID, 'Email must contain @' FROM clients WHERE {_broken_at("Clients", 1)} OR Email NOT LIKE '%@%'
+       UNION ALL SELECT 'Clients', 'CHK-3', ClientID, 'Phone must not contain letters' FROM clients WHERE {_broken_at("Clients", 2)} OR regexp_matches(Phone, '[A-Za-z]')
+       UNION ALL SELECT 'Conferences', 'CHK-4', ConferenceID, 'Limit must be above 0' FROM conf WHERE {_broken_at("Conferences", 0)}
+       UNION ALL SELECT 'Conferences', 'CHK-5', ConferenceID, 'Start must be before End' FROM conf WHERE {_broken_at("Conferences", 1)}
+       UNION ALL SELECT 'Workshops', 'CHK-6', WorkshopID, 'Limit must be above 0' FROM shops WHERE {_broken_at("Workshops", 0)}
+       UNION ALL SELECT 'Workshops', 'CHK-7', WorkshopID, 'Start must be before End' FROM shops WHERE {_broken_at("Workshops", 1)}"""
+)
+ORACLES["available_day_places_unknown_flags"] = _sql(
+    """SELECT d.ConferenceDayID, CAST(c."Limit" - coalesce(taken, 0) AS BIGINT) AS free_places
+       FROM days d JOIN conf c USING (ConferenceID) LEFT JOIN (
+            SELECT ConferenceDayID, sum(N + S) AS taken FROM crd WHERE NOT Canceled AND ReservationDayID % 5 <> 0 GROUP BY 1) USING (ConferenceDayID)"""
+)
+
 # One key of a report: its rows among those of all keys.
 ORACLES["free_workshops_of_conference"] = f"SELECT * FROM ({ORACLES['free_workshops']}) WHERE ConferenceID = 3"
 ORACLES["client_debt_of_participant"] = f"SELECT * FROM ({ORACLES['client_debt_by_participant']}) WHERE ParticipantID = 3"

@@ -39,6 +39,15 @@ def _stored_schema(spark: SparkSession, path: str) -> StructType:
     return _SCHEMAS[path]
 
 
+# Every 101st key breaks a rule; small tables more often.
+UNRULY_STEPS = {"Conferences": 7, "ConferenceDays": 13}
+UNRULY_VALUES = {
+    "Clients": (("ServiceCounter", "0"), ("Email", "'no sign'"), ("Phone", "'12a'")),
+    "Conferences": (("Limit", "0"), ("End", "Start")),
+    "Workshops": (("Limit", "0"), ("End", "Start")),
+}
+
+
 class SourceModel:
     """Builds the booking tables over ``{folder}/{source}.parquet``.
 
@@ -317,5 +326,29 @@ class SourceModel:
         return out
 
 
+    def unruly(self, table: str, kind: str) -> DataFrame:
+        """A table that breaks each of its rules of one kind (NN, LEN, CHK or PK) at fixed key steps."""
+        spec = TABLES[table]
+        key, step = F.col(spec.key), UNRULY_STEPS.get(table, 101)
+        out = self.tables[table]
+        if kind == "PK":
+            return out.unionByName(out.filter(key % step == 0))
+        if kind == "CHK":
+            bad = [(name, F.expr(value)) for name, value in UNRULY_VALUES.get(table, ())]
+        else:
+            columns = [c for c in spec.columns if c.name in out.columns and c.name != spec.key]
+            bad = []
+            for column in columns:
+                if kind == "NN":
+                    bad.append((column.name, F.lit(None) if column.required else F.col(column.name)))
+                else:
+                    bad.append((column.name, F.repeat(F.lit("x"), column.length + 1) if column.length else F.col(column.name)))
+        kinds = dict(out.dtypes)
+        for position, (name, value) in enumerate(bad):
+            changed = F.when(key % step == position, value.cast(kinds[name])).otherwise(F.col(name))
+            out = out.withColumn(name, changed)
+        return out
+
+
 def model_tables(spark: SparkSession, folder: str) -> BookingTables:
     return SourceModel(spark, folder).tables
