@@ -444,52 +444,74 @@ def _stored_tables(m: SourceModel) -> DataFrame:
     return read_tables(m.spark, folder)["ConferenceReservationDays"]
 
 
-# Streams, run to the end of what is available.
-def _stream(m: SourceModel, *sources: str) -> BookingTables:
-    return SourceModel(m.spark, m.folder, streaming=sources).tables
+# Streams, run to the end of what is available: in one batch, and again file by file.
+BATCHES = 3
+Arriving = Callable[[str], SourceModel]
 
 
-@_query("stream_occupancy")
-def _stream_occupancy(m: SourceModel) -> DataFrame:
-    arriving = _stream(m, "orders")["ConferenceReservationDays"]
-    return stream_occupancy(arriving, capacity.day_limits(m.tables), run_folder(m.spark, "occupancy"))
+def _at_once(m: SourceModel) -> Arriving:
+    return lambda source: SourceModel(m.spark, m.folder, streaming=(source,))
 
 
-@_query("stream_admission")
-def _stream_admission(m: SourceModel) -> DataFrame:
-    arriving = _stream(m, "orders")["ConferenceReservationDays"]
-    out = stream_day_admission(arriving, capacity.day_limits(m.tables), run_folder(m.spark, "admission"))
+def _file_by_file(m: SourceModel) -> Arriving:
+    """The source's rows in order of their key, in several files that arrive one after the other."""
+    keys = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+    def model(source: str) -> SourceModel:
+        folder, rows, key = run_folder(m.spark, "arrivals"), m.scan(source), F.col(keys[source])
+        highest = rows.agg(F.max(key)).first()[0] or 0
+        edges = [highest * k // BATCHES for k in range(1, BATCHES)]
+        for low, high in zip([None, *edges], [*edges, None], strict=True):
+            part = rows.filter(F.lit(True) if low is None else key > low).filter(F.lit(True) if high is None else key <= high)
+            part.repartition(1).write.mode("append").parquet(folder)
+        return SourceModel(m.spark, m.folder, arrivals={source: folder})
+
+    return model
+
+
+def _streams(name: str):
+    """Register a query of (tables, arriving tables) for both ways of arriving."""
+
+    def register(build: Callable[[SourceModel, Arriving], DataFrame]) -> None:
+        _query(name)(lambda m: build(m, _at_once(m)))
+        _query(f"{name}_batches")(lambda m: build(m, _file_by_file(m)))
+
+    return register
+
+
+@_streams("stream_occupancy")
+def _stream_occupancy(m: SourceModel, arriving: Arriving) -> DataFrame:
+    rows = arriving("orders").tables["ConferenceReservationDays"]
+    return stream_occupancy(rows, capacity.day_limits(m.tables), run_folder(m.spark, "occupancy"))
+
+
+@_streams("stream_admission")
+def _stream_admission(m: SourceModel, arriving: Arriving) -> DataFrame:
+    rows = arriving("orders").tables["ConferenceReservationDays"]
+    out = stream_day_admission(rows, capacity.day_limits(m.tables), run_folder(m.spark, "admission"))
     return out.select("ReservationDayID", "ConferenceDayID", "admitted")
 
 
-@_query("stream_workshop_occupancy")
-def _stream_workshop_occupancy(m: SourceModel) -> DataFrame:
+@_streams("stream_workshop_occupancy")
+def _stream_workshop_occupancy(m: SourceModel, arriving: Arriving) -> DataFrame:
     """Line items arrive as bookings of their own, one per line."""
-    out = stream_workshop_occupancy(
-        _line_bookings(_stream_scan(m, "lineitem")), capacity.workshop_limits(m.tables), run_folder(m.spark, "seats")
-    )
-    return out
+    rows = _line_bookings(arriving("lineitem").scan("lineitem"))
+    return stream_workshop_occupancy(rows, capacity.workshop_limits(m.tables), run_folder(m.spark, "seats"))
 
 
-@_query("stream_workshop_admission")
-def _stream_workshop_admission(m: SourceModel) -> DataFrame:
-    arriving = _stream(m, "orders")["ConferenceReservationDays"].select(
+@_streams("stream_workshop_admission")
+def _stream_workshop_admission(m: SourceModel, arriving: Arriving) -> DataFrame:
+    rows = arriving("orders").tables["ConferenceReservationDays"].select(
         F.col("ReservationDayID").alias("ReservationID"),
         "Canceled",
         (F.col("ReservationDayID") % m.scan("part").count()).alias("WorkshopID"),
         "ReservationDayID",
         (F.col("ReservationDayID") % 97).cast("int").alias("Quantity"),
     )
-    out = stream_workshop_admission(
-        arriving, capacity.workshop_limits(m.tables), run_folder(m.spark, "workshop-admission")
-    )
+    out = stream_workshop_admission(rows, capacity.workshop_limits(m.tables), run_folder(m.spark, "workshop-admission"))
     return out.select("ReservationID", "WorkshopID", "admitted")
 
 
-def _stream_scan(m: SourceModel, source: str) -> DataFrame:
-    return SourceModel(m.spark, m.folder, streaming=(source,)).scan(source)
-
-
 def _line_bookings(lines: DataFrame) -> DataFrame:
     return lines.select(
         (F.col("l_returnflag") == "R").alias("Canceled"),
@@ -498,11 +520,11 @@ def _line_bookings(lines: DataFrame) -> DataFrame:
     )
 
 
-def _streamed_payments(m: SourceModel, table: str) -> DataFrame:
-    return stream_payments(_stream(m, "orders")["Payments"], m.tables, run_folder(m.spark, "payments"))[table]
+def _streamed_payments(m: SourceModel, arriving: Arriving, table: str) -> DataFrame:
+    return stream_payments(arriving("orders").tables["Payments"], m.tables, run_folder(m.spark, "payments"))[table]
 
 
-_query("stream_payments")(lambda m: _streamed_payments(m, "Clients").select("ClientID", "ServiceCounter"))
-_query("stream_paid_reservations")(
-    lambda m: _streamed_payments(m, "ConferenceReservationDays").select("ReservationDayID", "Paid")
+_streams("stream_payments")(lambda m, a: _streamed_payments(m, a, "Clients").select("ClientID", "ServiceCounter"))
+_streams("stream_paid_reservations")(
+    lambda m, a: _streamed_payments(m, a, "ConferenceReservationDays").select("ReservationDayID", "Paid")
 )

@@ -693,6 +693,8 @@ ORACLES["stream_paid_reservations"] = _sql(
     "SELECT ReservationDayID, Paid OR ReservationDayID IN (SELECT ReservationDayID FROM pays) AS Paid FROM crd"
 )
 
+# The same rows when they arrive in several batches, in order of their keys.
+ORACLES |= {f"{name}_batches": text for name, text in ORACLES.items() if name.startswith("stream_")}
 
 # Tables that break each rule at fixed key steps: which rows do follows from the steps.
 _STEPS = {"Conferences": 7, "ConferenceDays": 13}

@@ -52,17 +52,23 @@ class SourceModel:
     """Builds the booking tables over ``{folder}/{source}.parquet``.
 
     Sources named in ``streaming`` are read as file streams, so that the tables built from them are
-    streaming DataFrames with the same columns.
+    streaming DataFrames with the same columns.  ``arrivals`` names a folder for each source that
+    arrives file by file: every file is a micro-batch of its own.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, streaming: tuple[str, ...] = ()):
+    def __init__(
+        self, spark: SparkSession, folder: str, streaming: tuple[str, ...] = (), arrivals: dict[str, str] | None = None
+    ):
         self.spark = spark
         self.folder = folder
         self.streaming = streaming
+        self.arrivals = arrivals or {}
 
     def scan(self, source: str) -> DataFrame:
         path = f"{self.folder}/{source}.parquet"
         schema = _stored_schema(self.spark, path)
+        if source in self.arrivals:
+            return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(self.arrivals[source])
         if source in self.streaming:
             # As a pattern the path may name one file as well as a folder of files.
             return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{source}.parque[t]")

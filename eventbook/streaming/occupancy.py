@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventbook.operators.capacity import day_occupancy, workshop_occupancy
-from eventbook.streaming.sinks import latest_per_key, read_batches, run_to_end, write_batch
+from eventbook.streaming.sinks import read_batches, run_to_end, sum_per_key, write_batch
 
 
-def _stream_taken(taken: DataFrame, key: str, limits: DataFrame, folder: str) -> DataFrame:
+def _stream_taken(
+    stream: DataFrame, occupancy: Callable[[DataFrame], DataFrame], key: str, limits: DataFrame, folder: str
+) -> DataFrame:
     table = f"{folder}/taken"
-    writer = taken.writeStream.outputMode("update").foreachBatch(lambda df, batch_id: write_batch(df, table, batch_id))
+    writer = stream.writeStream.foreachBatch(lambda df, batch_id: write_batch(occupancy(df), table, batch_id))
     run_to_end(writer, f"{folder}/checkpoint")
-    now = latest_per_key(read_batches(limits.sparkSession, table, taken.schema), key, "taken")
+    now = sum_per_key(read_batches(limits.sparkSession, table, occupancy(stream).schema), key, "taken")
     limit = F.col("Limit").cast("long")
     used = F.coalesce(F.col("taken"), F.lit(0))
     return limits.join(now, key, "left").select(key, used.alias("taken"), (limit - used).alias("free_places"))
@@ -22,11 +26,12 @@ def _stream_taken(taken: DataFrame, key: str, limits: DataFrame, folder: str) ->
 def stream_occupancy(reservations: DataFrame, limits: DataFrame, folder: str) -> DataFrame:
     """Run a stream of day reservations to its end: ``(ConferenceDayID, taken, free_places)``.
 
-    The running sums live in the state store, one per day; a task sends one partial sum per day.
+    Each batch is summed per day on its own and the batches' sums are added when asked for, so the
+    stream needs no state; a task sends one partial sum per day.
     """
-    return _stream_taken(day_occupancy(reservations), "ConferenceDayID", limits, folder)
+    return _stream_taken(reservations, day_occupancy, "ConferenceDayID", limits, folder)
 
 
 def stream_workshop_occupancy(bookings: DataFrame, limits: DataFrame, folder: str) -> DataFrame:
     """The same for a stream of workshop bookings: ``(WorkshopID, taken, free_places)``."""
-    return _stream_taken(workshop_occupancy(bookings), "WorkshopID", limits, folder)
+    return _stream_taken(bookings, workshop_occupancy, "WorkshopID", limits, folder)

@@ -7,19 +7,19 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from eventbook.operators.lifecycle import apply_payment_counts, payment_counts
-from eventbook.streaming.sinks import latest_per_key, read_batches, run_to_end, write_batch
+from eventbook.streaming.sinks import read_batches, run_to_end, sum_per_key, write_batch
 
 
 def stream_payments(payments: DataFrame, t: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
     """Run a stream of payments to its end: clients with new counters, reservations with ``Paid`` set.
 
-    The stream counts payments per reservation in update mode, so a task sends one partial count for
-    a much-paid reservation, and changed counts are written after every batch.  Clients and paid
-    marks follow from those counts by joins with the stored tables.
+    Every batch is counted per reservation on its own, so no state is kept for reservations ever paid,
+    and a task sends one partial count for a much-paid one.  The batches' counts are summed when asked
+    for; clients and paid marks follow from them by joins with the stored tables.
     """
     table = f"{folder}/counts"
-    counts = payment_counts(payments)
-    writer = counts.writeStream.outputMode("update").foreachBatch(lambda df, batch_id: write_batch(df, table, batch_id))
+    writer = payments.writeStream.foreachBatch(lambda df, batch_id: write_batch(payment_counts(df), table, batch_id))
     run_to_end(writer, f"{folder}/checkpoint")
     spark = t["Clients"].sparkSession
-    return apply_payment_counts(t, latest_per_key(read_batches(spark, table, counts.schema), "ReservationDayID", "times"))
+    counts = read_batches(spark, table, payment_counts(payments).schema)
+    return apply_payment_counts(t, sum_per_key(counts, "ReservationDayID", "times"))

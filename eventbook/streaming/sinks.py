@@ -30,9 +30,9 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], full)  # no batch has arrived yet
 
 
-def latest_per_key(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The value each key had in the last batch that changed it."""
-    return rows.groupBy(key).agg(F.max_by(value, "batch_id").alias(value))
+def sum_per_key(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Each key's sum over the partial sums of the batches."""
+    return rows.groupBy(key).agg(F.sum(value).alias(value))
 
 
 def run_to_end(writer, checkpoint: str) -> None:
