@@ -4,11 +4,12 @@ Documents with equal shingle sets are one node from the start.  Nodes that agree
 band meet in a bucket.  A bucket does not emit its pairs: in a few rounds every node is held against one
 node only, the most similar (by sketch) of its buckets' centres that belong to another component, and
 the pair is verified on full sets.  Components grow, and buckets of one component need nothing more.  What
-remains, nodes of different components in one bucket, is verified pair by pair if the sketches leave a
-chance, so that no link is lost for the sake of the rounds.
+remains, nodes of different components in one bucket, is verified pair by pair if finer sketches leave a
+chance (which takes a similarity of about 0.7), in the first bucket of each pair, so that no link is
+lost for the sake of the rounds.
 
-A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 < 6e-6; sketches of such a pair
-differ in more than ``MOST_DIFFERENT`` coordinates' bits with probability below 1e-6.
+A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 < 6e-6; its fine sketches
+differ in more than ``FINE_DIFFERENT`` coordinates' bits with probability 1e-6.
 
 Cases: null and empty texts and texts of white space have no shingles and are linked with nothing; a null
 id counts as larger than any other; rows that share an id are grouped by their texts like others;
@@ -33,6 +34,8 @@ PER_CENT = 75
 ROWS = 4
 #: Coordinates (of 128) whose two bits differ: 24 expected at the threshold, 4.4 standard deviation.
 MOST_DIFFERENT = 47
+#: The same for the fine sketches: 384 expected, 17.7 standard deviation.
+FINE_BINS, FINE_DIFFERENT = 2048, 468
 ROUNDS = 4
 SKETCHES = "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, bits array<long>, bands array<long>"
 LOW_BITS = 0x5555555555555555
@@ -56,6 +59,16 @@ def sketch_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SKETCHES.split(", ")])
 
 
+def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and texts with two bits of each coordinate of a fine sketch."""
+    for batch in steps(batches, "text", 1 << 20):
+        hashes, sizes = shingles.shingle_sets([t.encode() for t in batch.column("text").to_pylist()])
+        bits = shingles.two_bits(shingles.sketches(hashes, sizes, FINE_BINS))
+        offsets = pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32))
+        fine = pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), fine], ["node", "text", "fine"])
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (left, right) whose full sets are similar enough."""
     for batch in (s for b in steps(batches, "text_a", 2 << 20) for s in steps([b], "text_b", 2 << 20)):
@@ -70,26 +83,29 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["left", "right"]).filter(pa.array(linked, pa.bool_()))
 
 
-def different(a: Column, b: Column) -> Column:
+def different(a: Column, b: Column, bins: int = shingles.BINS) -> Column:
     """Coordinates whose two bits differ."""
     total = F.lit(0)
-    for k in range(shingles.BINS // 32):
+    for k in range(bins // 32):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LOW_BITS)))
     return total
 
 
+def sizes_allow(a: str, b: str) -> Column:
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return 100 * F.least(n, m) >= PER_CENT * F.greatest(n, m)
+
+
 def may_link(a: str, b: str) -> Column:
     """What a pair of that similarity fulfils: sizes that allow it (surely) and sketches near enough."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = 100 * F.least(n, m) >= PER_CENT * F.greatest(n, m)
-    return sizes & (different(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= MOST_DIFFERENT)
+    return sizes_allow(a, b) & (different(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= MOST_DIFFERENT)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among ``left, right``; each text goes to its pairs in one join."""
     ends = pairs.select("left", "right", F.explode(F.array("left", "right")).alias("node"))
-    with_text = ends.join(texts, "node").groupBy("left", "right")
+    with_text = ends.join(texts.select("node", "text"), "node").groupBy("left", "right")
     both = with_text.agg(*(F.max(F.when(F.col("node") == F.col(s), F.col("text"))).alias(f"text_{t}") for s, t in (("left", "a"), ("right", "b"))))
     return cut_lineage(both.mapInArrow(verify, "left long, right long"))
 
@@ -141,7 +157,8 @@ def group_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     wanted = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.k1", "row.k2")
     same = F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.k1") == F.col("t.k1")) & (F.col("w.k2") == F.col("t.k2"))
-    texts = cut_lineage(wanted.alias("w").join(keyed.alias("t"), same).select("w.node", "t.text"))
+    texts = wanted.alias("w").join(keyed.alias("t"), same).select("w.node", "t.text")
+    texts = cut_lineage(texts.mapInArrow(fine_sketches, "node long, text string, fine array<long>"))
 
     labels = cut_lineage(members.select("node").distinct().withColumn("comp", F.col("node")))
     for number in range(rounds + 1):
@@ -155,8 +172,11 @@ def group_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             best = F.min(F.struct(different(F.col("l.bits"), F.col("c.bits")), F.col("c.node").alias("right")))
             pairs = met.groupBy(F.col("l.node").alias("left")).agg(best.alias("b")).select("left", "b.right")
         else:
+            left = cut_lineage(left.join(sets.select("node", "bands"), "node").join(texts.select("node", "fine"), "node"))
+            first = F.get(F.filter(F.arrays_zip(F.col("l.bands").alias("x"), F.col("r.bands").alias("y")), lambda b: b["x"] == b["y"]), F.lit(0))["x"]
+            near = different(F.col("l.fine"), F.col("r.fine"), FINE_BINS) <= FINE_DIFFERENT
             other = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") < F.col("r.comp")) & may_link("l", "r")
-            pairs = left.alias("l").join(left.alias("r"), other).select(F.col("l.node").alias("left"), F.col("r.node").alias("right")).distinct()
+            pairs = left.alias("l").join(left.alias("r"), other & (first == F.col("l.key")) & near).select(F.col("l.node").alias("left"), F.col("r.node").alias("right"))
         labels = merged(labels, verified(pairs, texts))
 
     lows = labels.join(sets.select("node", "low"), "node")

@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE = 5
-#: Coordinates of a sketch, and the bits of a coordinate that tell its bin.
-BINS, BIN_BITS = 128, 7
+#: Coordinates of a sketch, a power of two.
+BINS = 128
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -69,26 +69,26 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.bincount(owner[new], minlength=len(texts))
 
 
-def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Fast similarity sketches, a row of BINS numbers for each set that is not empty.
+def sketches(hashes: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Fast similarity sketches, a row of ``bins`` numbers for each set that is not empty.
 
-    Round r throws every element into a hashed bin, where it counts r and a fraction; from round BINS
-    on, round BINS + b throws every element into bin b, so that each coordinate of each set is filled
+    Round r throws every element into a hashed bin, where it counts r and a fraction; from round ``bins``
+    on, round bins + b throws every element into bin b, so that each coordinate of each set is filled
     in the end.  A set takes part until its coordinates are filled; the smallest number wins.
     """
-    out = np.full((len(sizes), BINS), EMPTY)
+    out = np.full((len(sizes), bins), EMPTY)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     open_ = sizes > 0
-    for r in range(2 * BINS):
+    for r in range(2 * bins):
         if not open_.all():
             go = open_[owner]
             hashes, owner = hashes[go], owner[go]
         if not len(hashes):
             break
         x = mix(hashes, r + 1)
-        bins = (x & np.uint64(BINS - 1)).astype(np.int64) if r < BINS else r - BINS
-        value = (np.uint64(r) << np.uint64(56)) | (x >> np.uint64(8))
-        np.minimum.at(out.reshape(-1), owner * BINS + bins, value)
+        to = (x & np.uint64(bins - 1)).astype(np.int64) if r < bins else r - bins
+        value = (np.uint64(r) << np.uint64(48)) | (x >> np.uint64(16))
+        np.minimum.at(out.reshape(-1), owner * bins + to, value)
         open_ = open_ & (out == EMPTY).any(axis=1)
     return out
 
