@@ -45,6 +45,8 @@ SHARD_DOCS, SHARD_BYTES, BLOCK, QUERY_BLOCK = 8192, 24 << 20, 64, 512
 UNIT = 1_000_000
 WORDS = re.compile(r"[^\W_]+")
 KNOWN_TERMS = 500_000
+#: Lists that together are no longer have no blocks to skip that would pay for the walk.
+SHORT = 2048
 
 INDEX = "shard long, term long, df long, docs array<int>, tfs array<int>, max_tf array<int>, min_len array<int>, ids array<long>"
 
@@ -146,6 +148,7 @@ class Postings:
 
     def __init__(self, docs: np.ndarray, tfs: np.ndarray, max_tf: np.ndarray, min_len: np.ndarray, idf: float, slow: np.ndarray, slow_of):
         self.docs, self.tfs, self.idf, self.slow = docs, tfs, idf, slow
+        self.known: np.ndarray | None = None
         self.places = docs.tolist()
         # One more than the rounded value: rounding cannot lift a score above its bound.
         self.bounds = (impacts(idf, max_tf, slow_of(min_len)) + 1).tolist()
@@ -153,7 +156,10 @@ class Postings:
         self.lasts = [self.places[min(i + BLOCK, len(docs)) - 1] for i in range(0, len(docs), BLOCK)]
 
     def scores(self, begin: int, end: int) -> np.ndarray:
-        return impacts(self.idf, self.tfs[begin:end], self.slow[self.docs[begin:end]])
+        """Scores of a part of the list; all are worked out at once for the queries of a block to share."""
+        if self.known is None:
+            self.known = impacts(self.idf, self.tfs, self.slow[self.docs])
+        return self.known[begin:end]
 
 
 def impacts(idf: float, tf: np.ndarray, slow: np.ndarray) -> np.ndarray:
@@ -167,16 +173,21 @@ def best(lists_: list[Postings], n_docs: int, k: int, own: set[int]) -> list[tup
 
     def take(docs: np.ndarray, scores: np.ndarray) -> None:
         nonlocal found, least
-        met, which = np.unique(docs, return_inverse=True)
-        sums = np.bincount(which, weights=scores).astype(np.int64)
+        low = docs.min()
+        # Whole numbers below 2^53 are exact as weights.
+        sums = np.bincount(docs - low, weights=scores)
         good = np.flatnonzero(sums > least)
         if not len(good):
             return
-        new = [(s, d) for s, d in zip(sums[good].tolist(), met[good].tolist(), strict=True) if d not in own]
+        good = good[np.lexsort((good, -sums[good]))[: k + len(own)]]
+        new = [(int(s), d) for s, d in zip(sums[good].tolist(), (good + low).tolist(), strict=True) if d not in own]
         found = sorted(found + new, key=lambda x: (-x[0], x[1]))[:k]
         if len(found) == k:
             least = found[-1][0]
 
+    if sum(len(p.places) for p in lists_) <= SHORT:
+        take(np.concatenate([p.docs for p in lists_]), np.concatenate([p.scores(0, len(p.places)) for p in lists_]))
+        return found
     at = [0] * len(lists_)
     open_ = [i for i, p in enumerate(lists_) if p.places]
     while open_:
@@ -200,11 +211,12 @@ def best(lists_: list[Postings], n_docs: int, k: int, own: set[int]) -> list[tup
             if block < len(p.lasts):
                 bound += p.bounds[block]
                 stop = min(stop, p.lasts[block] + 1)
-        if ahead < len(open_):
+        # What is scored may go over the beginning of further lists, what is skipped may not.
+        if bound <= least and ahead < len(open_):
             p = lists_[open_[ahead]]
             stop = min(stop, p.places[at[open_[ahead]]])
         ranges = []
-        for i in open_[:ahead]:
+        for i in open_ if bound > least else open_[:ahead]:
             p = lists_[i]
             begin = bisect_left(p.places, pivot, at[i])
             at[i] = bisect_left(p.places, stop, begin)
