@@ -6,11 +6,11 @@ largest term frequency and its smallest document length.  These bound a block's
 collection's statistics turn out to be.  Document frequencies and the mean length are sums over all
 shards, so that scores are those of one index.
 
-A query is the ``TERMS`` terms of a document that weigh most (frequency times inverse document frequency,
-over the whole text; a term that no other document has is of no use).  Each shard answers a block of
-queries: posting lists are walked in step, the first document whose terms' bounds could pass the k-th
-score so far is the pivot, blocks around it whose own bounds cannot are skipped, the others are scored.  The
-shards' best are merged.  Scores are sums of whole millionths, so their order does not depend on that of
+A query is all terms of a document (one that no other document has is of no use), or with ``terms`` only as
+many as weigh most (frequency times inverse document frequency).  Each shard answers a block of queries.
+Up to ``WALKED`` posting lists are walked in step: the first document whose terms' bounds could pass the
+k-th score so far is the pivot, blocks around it whose own bounds cannot are skipped, the others are
+scored.  More lists are all scored: their bounds together pass any score.  The shards' best are merged.  Scores are sums of whole millionths, so their order does not depend on that of
 the sums.
 
 Cases: null and empty texts are documents of length 0; rows without an id take no part; rows that share
@@ -26,6 +26,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,15 @@ from eventbook.session import cut_lineage
 K1, B = 1.2, 0.75
 TERMS, NEAREST = 16, 10
 #: Documents and text bytes of a shard, postings of a block, queries that a task answers together.
-SHARD_DOCS, SHARD_BYTES, BLOCK, QUERY_BLOCK = 8192, 24 << 20, 64, 512
+SHARD_DOCS, SHARD_BYTES, BLOCK, QUERY_BLOCK = 8192, 24 << 20, 64, 8192
 #: Scores are whole numbers of this part.
 UNIT = 1_000_000
 WORDS = re.compile(r"[^\W_]+")
 KNOWN_TERMS = 500_000
 #: Lists that together are no longer have no blocks to skip that would pay for the walk.
 SHORT = 2048
+#: Lists that are walked in step at most.
+WALKED = 16
 
 INDEX = "shard long, term long, df long, docs array<int>, tfs array<int>, max_tf array<int>, min_len array<int>, ids array<long>"
 
@@ -144,16 +147,28 @@ def query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Postings:
-    """A term's list in a shard with its bounds."""
+    """A term's list in a shard with its bounds, which only a walk needs."""
 
     def __init__(self, docs: np.ndarray, tfs: np.ndarray, max_tf: np.ndarray, min_len: np.ndarray, idf: float, slow: np.ndarray, slow_of):
-        self.docs, self.tfs, self.idf, self.slow = docs, tfs, idf, slow
+        self.docs, self.tfs, self.max_tf, self.min_len, self.idf, self.slow, self.slow_of = docs, tfs, max_tf, min_len, idf, slow, slow_of
         self.known: np.ndarray | None = None
-        self.places = docs.tolist()
+
+    @cached_property
+    def places(self) -> list[int]:
+        return self.docs.tolist()
+
+    @cached_property
+    def bounds(self) -> list[int]:
         # One more than the rounded value: rounding cannot lift a score above its bound.
-        self.bounds = (impacts(idf, max_tf, slow_of(min_len)) + 1).tolist()
-        self.bound = max(self.bounds)
-        self.lasts = [self.places[min(i + BLOCK, len(docs)) - 1] for i in range(0, len(docs), BLOCK)]
+        return (impacts(self.idf, self.max_tf, self.slow_of(self.min_len)) + 1).tolist()
+
+    @cached_property
+    def bound(self) -> int:
+        return max(self.bounds)
+
+    @cached_property
+    def lasts(self) -> list[int]:
+        return [self.places[min(i + BLOCK, len(self.docs)) - 1] for i in range(0, len(self.docs), BLOCK)]
 
     def scores(self, begin: int, end: int) -> np.ndarray:
         """Scores of a part of the list; all are worked out at once for the queries of a block to share."""
@@ -179,14 +194,17 @@ def best(lists_: list[Postings], n_docs: int, k: int, own: set[int]) -> list[tup
         good = np.flatnonzero(sums > least)
         if not len(good):
             return
-        good = good[np.lexsort((good, -sums[good]))[: k + len(own)]]
+        most = k + len(own)
+        if len(good) > 4 * most:
+            good = good[sums[good] >= np.partition(sums[good], -most)[-most]]
+        good = good[np.lexsort((good, -sums[good]))[:most]]
         new = [(int(s), d) for s, d in zip(sums[good].tolist(), (good + low).tolist(), strict=True) if d not in own]
         found = sorted(found + new, key=lambda x: (-x[0], x[1]))[:k]
         if len(found) == k:
             least = found[-1][0]
 
-    if sum(len(p.places) for p in lists_) <= SHORT:
-        take(np.concatenate([p.docs for p in lists_]), np.concatenate([p.scores(0, len(p.places)) for p in lists_]))
+    if len(lists_) > WALKED or sum(len(p.docs) for p in lists_) <= SHORT:
+        take(np.concatenate([p.docs for p in lists_]), np.concatenate([p.scores(0, len(p.docs)) for p in lists_]))
         return found
     at = [0] * len(lists_)
     open_ = [i for i, p in enumerate(lists_) if p.places]
@@ -228,8 +246,9 @@ def best(lists_: list[Postings], n_docs: int, k: int, own: set[int]) -> list[tup
     return found
 
 
-def search(docs: DataFrame, is_query: Column, k: int = NEAREST, terms: int = TERMS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``query_id, rank, doc_id, score`` for the queries that ``is_query`` (of ``doc_id``) chooses."""
+def search(docs: DataFrame, is_query: Column, k: int = NEAREST, terms: int | None = TERMS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``query_id, rank, doc_id, score`` for the queries that ``is_query`` (of ``doc_id``) chooses; a query is
+    the whole document if ``terms`` is None, else its heaviest terms."""
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where(F.col("doc_id").isNotNull())
     index = cut_lineage(named.mapInArrow(build, INDEX))
     size = index.where("term IS NULL").agg(F.sum("df").alias("n"), F.sum(F.aggregate("docs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("words")).first()
@@ -240,40 +259,43 @@ def search(docs: DataFrame, is_query: Column, k: int = NEAREST, terms: int = TER
     df = index.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")).where("df > 1")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(df, "term").withColumn("idf", idf)
-    heaviest = Window.partitionBy("query_id").orderBy(F.desc(F.floor(F.col("tf") * F.col("idf") * UNIT + 0.5)), "word")
-    chosen = weighed.withColumn("r", F.row_number().over(heaviest)).where(F.col("r") <= terms)
-    queries = chosen.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
+    if terms is not None:
+        heaviest = Window.partitionBy("query_id").orderBy(F.desc(F.floor(F.col("tf") * F.col("idf") * UNIT + 0.5)), "word")
+        weighed = weighed.withColumn("r", F.row_number().over(heaviest)).where(F.col("r") <= terms)
+    weighed = cut_lineage(weighed.select("query_id", "term", "idf"))
+    queries = weighed.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
     blocks = max(1, math.ceil(asked.select("query_id").distinct().count() / QUERY_BLOCK))
-    queries = cut_lineage(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long")))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long").alias("block")
+    queries = cut_lineage(queries.select("*", block))
 
-    wanted = queries.select("block", F.explode("terms.term").alias("term")).distinct()
-    met = index.where("term IS NOT NULL").join(wanted, "term").select(*index.columns, "block")
+    wanted = weighed.select(block, "term", "idf").distinct()
+    met = index.where("term IS NOT NULL").join(wanted, "term").select(*index.columns, "block", "idf")
     shards = index.where("term IS NULL").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    postings = met.unionByName(shards)
+    postings = met.unionByName(shards.withColumn("idf", F.lit(0.0)))
     # Every shard gets each block of queries.
     asked_of = shards.select(F.col("shard").alias("to_shard"), "block").join(queries, "block").withColumnRenamed("block", "of_block")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if len(left) and len(right):
-            left = left.combine_chunks()
-            term = left.column("term").to_pylist()
-            columns = {c: left.column(c).chunk(0) for c in ("docs", "tfs", "max_tf", "min_len", "ids")}
-            get = lambda c, i: columns[c][i].values.to_numpy()
-            whole = term.index(None)
+            left, right = left.combine_chunks(), right.combine_chunks()
+            columns = {c: (left.column(c).chunk(0).values.to_numpy(), left.column(c).chunk(0).offsets.to_pylist()) for c in ("docs", "tfs", "max_tf", "min_len", "ids")}
+            get = lambda c, i: columns[c][0][columns[c][1][i] : columns[c][1][i + 1]]
+            whole = left.column("term").is_null().to_pylist().index(True)
             ids, lengths = get("ids", whole), get("docs", whole)
             slow_of = lambda x: K1 * (1 - B + B * x / mean) if mean else np.full(len(x), K1)
             slow = slow_of(lengths)
-            place = {t: i for i, t in enumerate(term) if t is not None}
+            place = {t: i for i, t in enumerate(left.column("term").to_pylist()) if t is not None}
+            idf = left.column("idf").to_pylist()
             held: dict[int, Postings] = {}
-            for query_id, asked_terms in zip(right.column("query_id").to_pylist(), right.column("terms").to_pylist(), strict=True):
+            for i, query_id in enumerate(right.column("query_id").to_pylist()):
                 found = []
-                for t in asked_terms:
-                    if t["term"] in place:
-                        if t["term"] not in held:
-                            i = place[t["term"]]
-                            held[t["term"]] = Postings(get("docs", i), get("tfs", i), get("max_tf", i), get("min_len", i), t["idf"], slow, slow_of)
-                        found.append(held[t["term"]])
+                for t in right.column("terms").chunk(0)[i].values.to_pylist():
+                    if t in place:
+                        if t not in held:
+                            j = place[t]
+                            held[t] = Postings(get("docs", j), get("tfs", j), get("max_tf", j), get("min_len", j), idf[j], slow, slow_of)
+                        found.append(held[t])
                 if found:
                     a, b = np.searchsorted(ids, [query_id, query_id + 1])
                     rows += [(query_id, int(ids[d]), s) for s, d in best(found, len(ids), k, set(range(a, b)))]

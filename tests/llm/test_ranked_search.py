@@ -52,3 +52,35 @@ def test_pruned_walk_is_exact():
         own = {int(np.argmax(total))}
         want = [(int(total[d]), int(d)) for d in np.lexsort((np.arange(n), -total)) if total[d] > 0 and int(d) not in own][:10]
         assert ranked_search.best(lists, n, 10, own) == want
+
+
+def plain_search(rows, k=10):
+    """BM25 of whole documents without an index, in whole millionths."""
+    import math
+    from collections import Counter
+
+    tfs = [Counter(text.split()) for _, text in rows]
+    df, n = Counter(w for tf in tfs for w in tf), len(rows)
+    mean = sum(sum(tf.values()) for tf in tfs) / n
+    out = []
+    for (query_id, _), query in zip(rows, tfs, strict=True):
+        if query_id % 100 == 0:
+            found = []
+            for (doc_id, _), tf in zip(rows, tfs, strict=True):
+                slow = 1.2 * (0.25 + 0.75 * sum(tf.values()) / mean)
+                shared = [w for w in query if w in tf and df[w] > 1]
+                idf = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in shared}
+                if shared and doc_id != query_id:
+                    found.append((-sum(math.floor(1_000_000 * (idf[w] * (tf[w] * 2.2 / (tf[w] + slow))) + 0.5) for w in shared), doc_id))
+            out += [(query_id, rank, doc_id, -s) for rank, (s, doc_id) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+def test_query_is_the_whole_document(spark, tmp_path):
+    from eventbook.llm.catalog import QUERIES
+
+    rnd = random.Random(8)
+    rows = [(i * 5, " ".join(f"w{int(rnd.expovariate(0.01))}" for _ in range(rnd.randint(30, 90)))) for i in range(300)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_ranked_search"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"] * 1_000_000)) for r in got) == plain_search(rows)
