@@ -3,9 +3,9 @@
 A line is known by two 64-bit hashes.  HyperLogLog sketches of the sites of each line are built where
 the lines are read and merge in the aggregation, so a line is one small row for each task however often
 it occurs.  Lines whose estimate is within ``BAND`` of the threshold get an exact count of distinct
-sites.  Lines on at least ``min_sites`` sites leave every document, unless less than half of the
-document's characters would stay: such a document is itself a copy that spreads over sites, which is a
-matter of whole documents, and stays as it is.
+sites.  Lines on at least ``min_sites`` sites leave every document, unless nothing but white space would
+stay: such a document is itself a copy that spreads over sites, which is a matter of whole documents, and
+stays as it is.
 
 Cases: a null source is no site; lines of white space alone are never boilerplate; a null text stays
 null, an empty one empty; rows that share id and text are treated alike; an empty table gives an empty
@@ -23,6 +23,8 @@ from eventbook.session import cut_lineage
 MIN_SITES = 10
 #: Sketches of 2^LG_K registers; share around the threshold (over five standard errors) counted exactly.
 LG_K, BAND = 12, 0.1
+#: White space within a line.
+WHITE = " \t\x0b\x0c\r"
 
 
 def two_hashes(*values: Column) -> list[Column]:
@@ -33,7 +35,7 @@ def line_table(docs: DataFrame, text: str, site: str, key: list[Column]) -> Data
     """``l1_, l2_`` (line), ``d1_, d2_`` (row), ``at_`` (place in the text), ``site_``."""
     d1, d2 = key
     lines = docs.where(F.col(text).isNotNull()).select(d1.alias("d1_"), d2.alias("d2_"), F.col(site).alias("site_"), F.posexplode(F.split(F.col(text), "\n")).alias("at_", "line_"))
-    lines = lines.where(F.length(F.translate("line_", " \t\x0b\x0c\r", "")) > 0)
+    lines = lines.where(F.length(F.translate("line_", WHITE, "")) > 0)
     l1, l2 = two_hashes(F.col("line_"))
     return lines.select(l1.alias("l1_"), l2.alias("l2_"), "d1_", "d2_", "at_", "site_")
 
@@ -66,7 +68,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_column:
     count = F.size(split)
     kept = F.array_except(F.sequence(F.lit(0), count - 1), F.col("hits_"))
     joined = joined.withColumn("cleaned_", F.when(F.col("hits_").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")))
-    clean = F.col("cleaned_").isNotNull() & (2 * F.length("cleaned_") >= F.length(text_column))
+    clean = F.length(F.translate("cleaned_", WHITE + "\n", "")) > 0
     removed = F.when(clean, F.size("hits_")).otherwise(0).cast("long")
     text = F.when(clean, F.col("cleaned_")).otherwise(F.col(text_column))
     total = F.when(F.col(text_column).isNull(), 0).otherwise(count).cast("long")

@@ -40,6 +40,14 @@ def test_copies_over_sites_stay_whole(spark):
     assert result(docs).where("n_removed > 0").count() == 0
 
 
+def test_own_text_however_short_loses_spread_lines(spark):
+    header = "a header of many words that stands on every page of every site"
+    rows = [(i, f"{header}\nown {i}\n{LICENSE}", "en", f"s{i}") for i in range(12)]
+    rows += [(20, f"{header}\n \t\n{LICENSE}\n", "en", "s0")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in result(documents(spark, rows)).collect()}
+    assert got == {i: (f"own {i}", 3, 2) for i in range(12)} | {20: (rows[-1][1], 4, 0)}
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None), (1, "", "en", "a"), (1, "", "en", "a"), (2, "\n \n\t", None, None), (3, "x" * 200_000 + "\n" + LICENSE, "en", None)]
     rows += [(10 + i, f"{LICENSE}\n{LICENSE}\r\nkept text that is long enough to hold the greater share {i}", "en", f"s{i}") for i in range(12)]
