@@ -4,7 +4,7 @@ The tree is trained on a bounded sample of rows; every row is put into a leaf.
 bin first: a priority queue holds the branches met so far by the inner product of query and centre, and
 the best one is opened next.  How many leaves are visited is calibrated: for a sample of queries the true
 neighbours among all rows are found by brute force, and visits widen until the wanted share of them lies
-in visited leaves.  Leaves of one branch are searched together; branches with many rows are dealt to
+in visited leaves; a query goes on until its leaves hold as many rows as it asks for.  Leaves of one branch are searched together; branches with many rows are dealt to
 several tasks by a hash of the id, queries in blocks, and the best of each task are merged.
 
 Cases: vectors that are null, zero, of another length than most or hold null or non-finite components take
@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,14 +63,15 @@ class Tree:
                 stack += [(child, of[nearest == k]) for k, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visits(self, query: np.ndarray, most: int, sizes: list[int] | None = None, rows: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and further ones until they hold ``rows`` by ``sizes``."""
         worth = -(self.centres @ query)
-        queue, found = [(worth[0], 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(worth[0], 0)], [], 0
+        while queue and (len(found) < most or held < rows):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                held += sizes[self.leaf[node]] if sizes else 0
             for child in self.children[node]:
                 heapq.heappush(queue, (worth[child], child))
         return found
@@ -223,7 +225,11 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, recall: float =
     most = calibrated(tree, truth, by_id, recall)
 
     # At most as many branches as the tree has inner nodes.
-    parts = {r["branch"]: math.ceil(r["n"] / TASK_ROWS) for r in vectors.groupBy("branch").agg(F.count("*").alias("n")).collect()}
+    sizes, held = [0] * len(tree.branch), Counter()
+    for r in vectors.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+        held[tree.branch[r["leaf"]]] += r["n"]
+    parts = {branch: math.ceil(n_ / TASK_ROWS) for branch, n_ in held.items()}
     blocks = math.ceil(count / TASK_QUERIES)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +238,7 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, recall: float =
             out = []
             for query_id, query in zip(batch.column("query_id").to_pylist(), matrix(batch.column("query")), strict=True):
                 leaves: dict[int, list[int]] = {}
-                for leaf in tree.visits(query, most):
+                for leaf in tree.visits(query, most, sizes, k + 1):
                     leaves.setdefault(tree.branch[leaf], []).append(leaf)
                 out += [(query_id, query, b, part, found) for b, found in leaves.items() for part in range(parts.get(b, 0))]
             columns = zip(*out, strict=True) if out else ((),) * 5

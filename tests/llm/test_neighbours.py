@@ -56,3 +56,12 @@ def test_few_and_none(spark):
     assert [v for v, _ in got[0]] == [1, 2]
     assert search(spark.createDataFrame([], SCHEMA)) == {}
     assert search(spark.createDataFrame([(1, [1.0], 1)], SCHEMA)) == {}
+
+
+def test_visits_go_on_until_there_are_enough_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 10)
+    monkeypatch.setattr(neighbours, "calibrated", lambda *_: 1)
+    rnd = np.random.default_rng(4)
+    rows = [(i, rnd.normal(size=4).tolist(), None) for i in range(400)] + [(i, [30.0 + i, 0.0, 0.0, 0.0], None) for i in range(400, 403)]
+    got = search(spark.createDataFrame(rows, SCHEMA))
+    assert {q: len(found) for q, found in got.items()} == {q: 20 for q in range(0, 403, 20)}
