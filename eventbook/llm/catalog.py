@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventbook.llm import language, line_dedup, mixing, near_dedup, neighbours, packing, ranked_search, token_counts, toxicity, warc
+from eventbook.llm import fill_in_middle, language, line_dedup, mixing, near_dedup, neighbours, packing, ranked_search, token_counts, toxicity, warc
 from eventbook.llm.common import held_out, table
 
 #: Vocabulary file of the token counts and the packing.
@@ -58,6 +58,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ranked_search": op1_ranked_search,
     "op2_neighbours": op2_neighbours,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES = {
@@ -76,4 +81,5 @@ ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE.format(documents="documents"),
     "op8_warc": warc.ORACLE.format(pages="pages"),
     "op9_mix_sources": mixing.ORACLE.format(documents="documents"),
+    "op12_fill_in_middle": fill_in_middle.ORACLE.format(documents="documents"),
 }
