@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventbook.llm import fill_in_middle, language, line_dedup, mixing, near_dedup, neighbours, packing, ranked_search, token_counts, toxicity, warc
+from eventbook.llm import decontamination, fill_in_middle, language, line_dedup, mixing, near_dedup, neighbours, packing, ranked_search, token_counts, toxicity, warc
 from eventbook.llm.common import held_out, table
 
 #: Vocabulary file of the token counts and the packing.
@@ -62,6 +62,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).by_document()
+
+
 QUERIES = {
     "op1_ranked_search": op1_ranked_search,
     "op2_neighbours": op2_neighbours,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES = {
@@ -82,4 +87,5 @@ ORACLES = {
     "op8_warc": warc.ORACLE.format(pages="pages"),
     "op9_mix_sources": mixing.ORACLE.format(documents="documents"),
     "op12_fill_in_middle": fill_in_middle.ORACLE.format(documents="documents"),
+    "op13_decontamination": decontamination.ORACLE.format(documents="documents", benchmark="benchmark"),
 }
