@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventbook.llm import decontamination, fill_in_middle, language, line_dedup, mixing, near_dedup, neighbours, packing, ranked_search, token_counts, toxicity, warc
+from eventbook.llm import decontamination, fill_in_middle, language, line_dedup, mixing, near_dedup, neighbours, packing, prefix_trie, ranked_search, token_counts, toxicity, warc
 from eventbook.llm.common import held_out, table
 
 #: Vocabulary file of the token counts and the packing.
@@ -58,6 +58,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_decontamination": op13_decontamination,
 }
@@ -86,6 +91,7 @@ ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE.format(documents="documents"),
     "op8_warc": warc.ORACLE.format(pages="pages"),
     "op9_mix_sources": mixing.ORACLE.format(documents="documents"),
+    "op11_prefix_trie": prefix_trie.ORACLE.replace("{conversations}", "conversations"),
     "op12_fill_in_middle": fill_in_middle.ORACLE.format(documents="documents"),
     "op13_decontamination": decontamination.ORACLE.format(documents="documents", benchmark="benchmark"),
 }
