@@ -8,13 +8,17 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventbook.session import cut_lineage
+
 #: White space between words: space and the characters 9 to 13.  Fixed by the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one step of a Python task holds at a time (one longer text is a step alone).
 STEP_BYTES = 4 << 20
+#: Partition numbers of ``monotonically_increasing_id`` stand above these bits.
+SHIFT = 33
 
 
 def find_package(spark: SparkSession) -> None:
@@ -58,3 +62,18 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def numbered(rows: DataFrame, order: list[Column], kept: list[str]) -> DataFrame:
+    """``kept`` with ``place_`` (from 0) of each row in the order of the whole table; a range
+    partitioning and offsets, so that no task sorts more than its range."""
+    rows = cut_lineage(rows.withColumn("nth_", F.monotonically_increasing_id()))
+    order = [*order, F.col("nth_")]
+    kept_ = [F.col(f"`{c}`") for c in kept]
+    placed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*kept_, F.monotonically_increasing_id().alias("in_part_")))
+    part = F.shiftright("in_part_", SHIFT)
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each partition.
+    starts = placed.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"))
+    starts = starts.select("part_", (F.coalesce(F.sum("n_").over(before), F.lit(0)) - F.shiftleft("part_", SHIFT)).alias("start_"))
+    return placed.withColumn("part_", part).join(starts, "part_").select(*kept_, (F.col("in_part_") + F.col("start_")).alias("place_"))

@@ -88,7 +88,7 @@ WITH lines AS (
   SELECT row_, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (s.hit IS NULL), '') AS text_, count(*) AS n_lines, count(s.hit) AS hits
   FROM lines LEFT JOIN (SELECT line, 1 AS hit FROM spread) s USING (line) GROUP BY row_
 )
-SELECT doc_id, CASE WHEN 2 * length(text_) >= length(text) THEN text_ ELSE text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
-       CASE WHEN 2 * length(text_) >= length(text) THEN hits ELSE 0 END::BIGINT AS n_removed
-FROM (SELECT *, row_number() OVER () AS row_ FROM {documents}) LEFT JOIN cleaned USING (row_)
+SELECT doc_id, CASE WHEN own > 0 THEN text_ ELSE text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN own > 0 THEN hits ELSE 0 END::BIGINT AS n_removed
+FROM (SELECT *, row_number() OVER () AS row_ FROM {documents})
+LEFT JOIN (SELECT *, length(translate(text_, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS own FROM cleaned) USING (row_)
 """

@@ -1,18 +1,18 @@
 """Operator 9: mixing sources to target weights by hash thresholds.
 
-Every document has a hash of its id.  A source takes each document ``floor(target / size)`` times, and
+Every document has a hash of its id and text.  A source takes each document ``floor(target / size)`` times, and
 once more those whose hash is below the source's threshold.  The threshold is found without sorting
 documents: sums by source and hash bucket, the bucket in which the budget ends, and again within that
 bucket alone, down to one hash value.  Larger budgets have higher thresholds, so mixes are nested.
-The document at the threshold is taken if that comes nearer to the budget.
+The document at the threshold is taken if that comes nearer to the budget; of repeated rows, which share
+the threshold's hash, as many as come nearest.  Documents are taken whole.
 
 Targets: ``share`` of all words by weight; a source stops at ``most`` times its own words and what it
 can't take goes to the others by weight, until none is above.
 
 Cases: a null text has no words; null is a source of its own, after all others; a null id is an empty
-one; several rows that share the threshold's hash (repeated rows) take the same part of their words
-each, rounded down; sources without words take none; an empty table gives an empty result; columns of
-other names are ignored.  All steps are DataFrame operations.
+one; rows that share an id and have different texts are told apart, repeated rows are interchangeable;
+sources without words take none; an empty table gives an empty result; columns of other names are ignored.  All steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventbook.llm.common import WORD, word_count
+from eventbook.llm.common import numbered, word_count
 from eventbook.session import cut_lineage
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -28,9 +28,9 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 HASH_BITS, LEVELS = 60, (12, 16, 32)
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the MD5 of the id's text."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of the id's digits, a colon and the text."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -58,7 +58,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``source, at, part``: the hash at which each source's budget ends, and the part taken there.
+    """``source, at, n, times``: the hash at which each source's budget ends, the number of rows that have it (more
+    than one are repeated rows), and how many of them are taken.
 
     ``sizes``: ``source, size, hash``; ``budgets``: ``source, budget``.  A source whose budget is not
     reached by all its documents has no row.
@@ -81,36 +82,43 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
         found = cut_lineage(found)
         open_ = found.select("source", "budget", "prefix", "passed")
     left = F.col("budget") - F.col("passed")
-    nearer = F.when(F.col("words") - left < left, 1.0).otherwise(0.0)
-    return found.select("source", F.col("prefix").alias("at"), F.when(F.col("n") == 1, nearer).otherwise(left / F.col("words")).alias("part"))
+    times = F.ceil(left * F.col("n") / F.col("words") - 0.5).cast("long")
+    return found.select("source", F.col("prefix").alias("at"), "n", times.alias("times"))
 
 
 def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """A row for each source: how much of it the mix takes and where its threshold is."""
     sizes = cut_lineage(
-        docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"), id_hash(F.col(id_column)).alias("hash"))
+        docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"), row_hash(F.col(id_column), F.col(text_column)).alias("hash"))
     )
     aims = cut_lineage(targets(sizes, weights, share, most))
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     aims = aims.withColumns({"whole": whole, "budget": F.col("target") - whole * F.col("source_size")})
     ends = thresholds(sizes, aims.select("source", "budget"))
     known = aims.join(ends.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")), "left")
-    names = {"source": "mix_source_", "source_size": "mix_source_size_", "target": "mix_target_", "whole": "mix_whole_", "budget": "mix_budget_", "at": "mix_at_", "part": "mix_part_"}
+    names = {"source": "mix_source_", "source_size": "mix_source_size_", "target": "mix_target_", "whole": "mix_whole_", "budget": "mix_budget_", "at": "mix_at_", "n": "mix_n_", "times": "mix_times_"}
     return cut_lineage(known.select(*(F.col(c).alias(n) for c, n in names.items())))
 
 
 def with_taken(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The documents with ``mix_size_, mix_taken_`` and their source's columns of ``shares``."""
-    sized = docs.withColumns({"mix_size_": word_count(F.col(text_column)), "mix_hash_": id_hash(F.col(id_column))})
-    rows = sized.join(known, F.col(source_column).eqNullSafe(F.col("mix_source_")))
+    sized = docs.withColumns({"mix_size_": word_count(F.col(f"`{text_column}`")), "mix_hash_": row_hash(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))})
+    rows = sized.join(known, F.col(f"`{source_column}`").eqNullSafe(F.col("mix_source_")))
+    at_end = (F.col("mix_budget_") > 0) & F.coalesce(F.col("mix_hash_") == F.col("mix_at_"), F.lit(False))
     size = F.col("mix_size_")
-    more = (
-        F.when(F.col("mix_budget_") <= 0, F.lit(0))
-        .when(F.col("mix_hash_") < F.col("mix_at_"), size)
-        .when(F.col("mix_hash_") == F.col("mix_at_"), F.floor(size * F.col("mix_part_")))
-        .otherwise(F.lit(0))
-    )
-    return rows.withColumn("mix_taken_", (F.col("mix_whole_") * size + more).cast("long"))
+    below = (F.col("mix_budget_") > 0) & F.coalesce(F.col("mix_hash_") < F.col("mix_at_"), F.lit(False))
+    once = below | (at_end & (F.col("mix_times_") >= F.col("mix_n_")))
+    taken = lambda more: (F.col("mix_whole_") * size + F.when(more, size).otherwise(0)).cast("long")
+    some = (F.col("mix_n_") > 1) & (F.col("mix_times_") > 0) & (F.col("mix_times_") < F.col("mix_n_"))
+    if known.where(some).isEmpty():
+        return rows.withColumn("mix_taken_", taken(once))
+    # Of a source's repeated rows at its threshold some are taken: they are numbered.
+    tied = at_end & some
+    place = numbered(rows.where(tied), [F.col("mix_source_")], rows.columns)
+    firsts = place.groupBy("mix_source_").agg(F.min("place_").alias("mix_first_")).select(F.col("mix_source_").alias("mix_of_"), "mix_first_")
+    place = place.join(firsts, F.col("mix_source_").eqNullSafe(F.col("mix_of_")))
+    chosen = place.withColumn("mix_taken_", taken(F.col("place_") - F.col("mix_first_") < F.col("mix_times_"))).select(*rows.columns, "mix_taken_")
+    return rows.where(~F.coalesce(tied, F.lit(False))).withColumn("mix_taken_", taken(once)).unionByName(chosen)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -121,22 +129,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mix itself: each document as often as it is taken, all columns kept; what is taken in part
-    has its first words, parted by spaces."""
+    """The mix itself: each document, whole, as often as it is taken, all columns kept."""
     rows = with_taken(docs, shares(docs, weights, share, most)).where(F.col("mix_taken_") > 0)
-    size = F.col("mix_size_")
-    times, rest = F.floor(F.col("mix_taken_") / size).cast("int"), (F.col("mix_taken_") % size).cast("int")
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    part = F.when(rest > 0, F.array_join(F.slice(words, F.lit(1), rest), " "))
-    texts = F.array_compact(F.concat(F.array_repeat(F.col("text"), times), F.array(part)))
-    return rows.withColumn("text", F.explode(texts)).select(*docs.columns)
+    times = F.floor(F.col("mix_taken_") / F.col("mix_size_")).cast("int")
+    rows = rows.withColumn("mix_nth_", F.explode(F.sequence(F.lit(1), times)))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same rows for the documents of a folder, by sorting; for DuckDB.
 ORACLE = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS hash
   FROM {documents}
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
@@ -162,11 +166,11 @@ WITH sizes AS (
 ), passed AS (
   SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hashes
 ), ends AS (
-  SELECT p.source, p.hash AS edge, CASE WHEN n > 1 THEN (budget - before) / words WHEN words - (budget - before) < budget - before THEN 1 ELSE 0 END AS part
+  SELECT p.source, p.hash AS edge, ceil((budget - before) * n / words - 0.5) AS times
   FROM passed p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source
   WHERE budget > 0 AND before <= budget AND before + words > budget
 )
 SELECT s.doc_id, s.size, b.source_size, b.target,
-       (whole * s.size + CASE WHEN budget <= 0 THEN 0 WHEN s.hash < edge THEN s.size WHEN s.hash = edge THEN floor(s.size * part) ELSE 0 END)::BIGINT AS taken
-FROM sizes s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN ends e ON s.source IS NOT DISTINCT FROM e.source
+       (whole * s.size + CASE WHEN budget <= 0 THEN 0 WHEN s.hash < edge THEN s.size WHEN s.hash = edge AND nth <= times THEN s.size ELSE 0 END)::BIGINT AS taken
+FROM (SELECT *, row_number() OVER (PARTITION BY source, hash) AS nth FROM sizes) s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN ends e ON s.source IS NOT DISTINCT FROM e.source
 """

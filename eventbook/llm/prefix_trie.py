@@ -28,10 +28,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventbook.llm.common import word_count
+from eventbook.llm.common import numbered, word_count
 from eventbook.session import cut_lineage
 
 #: Fixed by the contract: conversations of a block share the block's first turns; fewer than this many.
@@ -39,21 +39,6 @@ BLOCK, HEADS = 20, 4
 #: Bytes of a piece of joined ids.
 PIECE = 1 << 20
 ENDS = "depth long, name long, at long, ids string, sha string"
-#: Partition numbers of ``monotonically_increasing_id`` stand above these bits.
-SHIFT = 33
-
-
-def numbered(rows: DataFrame, order: list[Column], kept: list[str]) -> DataFrame:
-    """``kept`` with ``place`` (from 0) of each row in the order of the whole table; a range
-    partitioning and offsets, so that no task sorts more than its range."""
-    rows = cut_lineage(rows.withColumn("nth", F.monotonically_increasing_id()))
-    order = [*order, F.col("nth")]
-    placed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*kept, F.monotonically_increasing_id().alias("in_part")))
-    part = F.shiftright("in_part", SHIFT)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for each partition.
-    starts = placed.groupBy(part.alias("part")).count().select("part", (F.coalesce(F.sum("count").over(before), F.lit(0)) - F.shiftleft("part", SHIFT)).alias("start"))
-    return placed.withColumn("part", part).join(starts, "part").select(*kept, (F.col("in_part") + F.col("start")).alias("place"))
 
 
 def heads_kept(conv: Column) -> Column:
@@ -70,13 +55,13 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     symbol = ["s1", "s2", "words"]
     turns = cut_lineage(numbered(turns, [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")], ["conv", *symbol]))
-    own = cut_lineage(turns.groupBy("conv").agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    own = cut_lineage(turns.groupBy("conv").agg(F.min("place_").alias("first"), F.count("*").alias("n")))
     base = F.col("conv") - F.col("conv") % BLOCK
     known = own.where(base == F.col("conv")).select(F.col("conv").alias("base"), F.col("n").alias("of_base"))
     plan = own.select("*", base.alias("base"), heads_kept(F.col("conv")).alias("h")).join(known, "base", "left")
     taken = F.least("h", F.coalesce("of_base", F.lit(0).cast("long")))
     plan = cut_lineage(plan.select("conv", "base", "first", "h", taken.alias("taken"), (taken + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length")))
-    nth = F.col("place") - F.col("first") + 1
+    nth = F.col("place_") - F.col("first") + 1
     placed = turns.join(plan, "conv")
     rest = placed.where(nth > F.col("h")).select("conv", (nth - F.col("h") + F.col("taken")).alias("depth"), *symbol)
     # At most HEADS - 1 turns of one conversation in BLOCK, for at most BLOCK conversations.

@@ -41,7 +41,26 @@ def test_documents_of_the_mix(spark):
     assert times == {i: n for i, n in taken.items() if n}
 
 
-def test_part_of_repeated_rows(spark):
-    docs = documents(spark, [(1, "a  b c\nd e", "en", "s")] * 10 + [(2, "z " * 10, "en", "t")])
-    words = mixing.mixed_documents(docs).selectExpr("sum(size(split(trim(text), '[ \\n]+')))").first()[0]
-    assert words == mixing.mix(docs).agg({"taken": "sum"}).first()[0]
+def test_repeated_rows_at_the_threshold_come_whole(spark):
+    rows = [(1, "a  b c\nd e", "en", "s")] * 10 + [(2, "z " * 10, "en", "t")]
+    docs = documents(spark, rows)
+    check(docs)
+    taken = mixing.mix(docs).collect()
+    assert {r["taken"] % r["size"] for r in taken} == {0}
+    # Some of the ten are taken once more than the others.
+    assert {abs(sum(r["taken"] for r in taken if r["source"] == s) - max(r["target"] for r in taken if r["source"] == s)) <= 5 for s in "st"} == {True}
+    texts = [r["text"] for r in mixing.mixed_documents(docs).collect()]
+    assert set(texts) == {"a  b c\nd e", "z " * 10} and texts.count("a  b c\nd e") == sum(r["taken"] // r["size"] for r in taken if r["doc_id"] == 1)
+
+
+def test_null_ids_are_told_apart_by_texts(spark):
+    rows = [(None, f"one two\nthree four {k}", "en", "x") for k in range(10)] + [(5, f"six seven {k % 4}", "en", "x") for k in range(10)] + [(k, "w " * 40, "en", "y") for k in range(6, 9)]
+    docs = documents(spark, rows)
+    check(docs)
+    assert {r["text"] for r in mixing.mixed_documents(docs).collect()} <= {r[1] for r in rows}
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1, 2, 3)] * 5 + [(2, "c", "s", 4, 5, 6)] * 3, "doc_id long, text string, source string, place_ int, size int, taken int")
+    got = mixing.mixed_documents(docs.withColumnRenamed("place_", "place"))
+    assert got.columns == ["doc_id", "text", "source", "place", "size", "taken"] and got.count() > 0
