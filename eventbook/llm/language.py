@@ -291,20 +291,23 @@ def predicted(model: Model | None, sums: np.ndarray) -> list[pa.Array]:
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, columns: tuple[str, ...] = ("doc_id",), per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """The asked columns of every document with ``lang_pred, score, cross_entropy, rejected``.
 
-    ``docs`` needs ``text``; ``learn_from`` (``docs`` itself if not given) ``doc_id, text, lang``.
+    ``docs`` needs ``text``; ``learn_from`` (``docs`` itself if not given) ``doc_id, text, lang``.  Asked columns
+    named like a result column are replaced by it.
     """
+    results = [c.split()[0] for c in RESULT.split(", ")]
+    columns = tuple(c for c in columns if c.lower() not in results)
     model = learn((docs if learn_from is None else learn_from).select("doc_id", "text", "lang"), per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = Scorer(model) if model else None
-        for batch in steps(batches, "text_"):
-            texts = batch.column("text_").to_pylist()
+        for batch in steps(batches, "lang_text_"):
+            texts = batch.column("lang_text_").to_pylist()
             sums = scorer.sums(texts) if scorer else np.zeros((len(texts), 1))
             kept = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, *predicted(model, sums)], [*columns, *(c.split()[0] for c in RESULT.split(", "))])
+            yield pa.RecordBatch.from_arrays([*kept, *predicted(model, sums)], [*columns, *results])
 
-    rows = docs.select(*columns, F.col("text").alias("text_"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text_")
-    return rows.mapInArrow(run, f"{kinds}, {RESULT}")
+    rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("lang_text_"))
+    kinds = "".join(f"`{n}` {t}, " for n, t in rows.dtypes if n != "lang_text_")
+    return rows.mapInArrow(run, f"{kinds}{RESULT}")

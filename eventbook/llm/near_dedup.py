@@ -139,9 +139,14 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return cut_lineage(with_comp.join(open_.select("key"), "key", "left_semi"))
 
 
-def group_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every document."""
-    k1, k2 = (F.xxhash64(F.lit(seed), F.col("text")) for seed in (1, 2))
+def text_keys(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
+
+
+def _groups(docs: DataFrame, id_column: str, text_column: str, rounds: int) -> DataFrame:
+    """``doc_id, k1, k2`` (of the text) and ``n_shingles`` of every document, with its group's smallest id and
+    its group's first row (``component_id, first``; null without shingles)."""
+    k1, k2 = text_keys(F.col("text"))
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     keyed = base.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
     rows = cut_lineage(keyed.mapInArrow(sketch_texts, SKETCHES))
@@ -179,12 +184,29 @@ def group_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             pairs = left.alias("l").join(left.alias("r"), other & (first == F.col("l.key")) & near).select(F.col("l.node").alias("left"), F.col("r.node").alias("right"))
         labels = merged(labels, verified(pairs, texts))
 
-    lows = labels.join(sets.select("node", "low"), "node")
-    lowest = lows.groupBy("comp").agg(F.min("low").alias("lowest"))
-    of_node = labels.join(lowest, "comp").select("node", "lowest")
-    known = sets.select("s1", "s2", "node", "low").join(of_node, "node", "left")
-    known = cut_lineage(known.select("s1", "s2", F.coalesce("lowest", "low").alias("component_id")))
-    empty = F.col("n_shingles") == 0
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(known, ["s1", "s2"], "left")
-    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
+    lows = labels.join(sets.select("node", "low", "row"), "node")
+    lowest = lows.groupBy("comp").agg(F.min("low").alias("lowest"), F.min("row").alias("first"))
+    of_node = labels.join(lowest, "comp").select("node", "lowest", "first")
+    known = sets.select("s1", "s2", "node", "low", "row").join(of_node, "node", "left")
+    known = cut_lineage(known.select("s1", "s2", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("first", "row").alias("first")))
+    return rows.select("doc_id", "k1", "k2", "n_shingles", "s1", "s2").join(known, ["s1", "s2"], "left").drop("s1", "s2")
+
+
+def group_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every document."""
+    out = _groups(docs, id_column, text_column, rounds)
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """The documents with one row of each group: that of the smallest id, of several texts with that id the one
+    of the smallest hash.  Rows without shingles stay; repeated rows stay once."""
+    out = _groups(docs, id_column, text_column, rounds)
+    stays = (F.col("n_shingles") == 0) | (F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2") == F.col("first"))
+    stays = out.where(stays).select(F.col("doc_id").alias("near_id_"), F.col("k1").alias("near_1_"), F.col("k2").alias("near_2_")).distinct()
+    k1, k2 = text_keys(F.col(f"`{text_column}`"))
+    keyed = docs.withColumns({"near_row_": F.col(f"`{id_column}`").cast("long"), "near_a_": k1, "near_b_": k2})
+    same = F.col("near_row_").eqNullSafe(F.col("near_id_")) & (F.col("near_a_") == F.col("near_1_")) & (F.col("near_b_") == F.col("near_2_"))
+    once = keyed.join(stays, same, "left_semi").dropDuplicates(["near_row_", "near_a_", "near_b_"])
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -87,3 +87,16 @@ def test_sketches_fill_and_estimate():
     both = shingles.sketches(np.r_[a, np.unique(common), one], np.array([len(a), len(np.unique(common)), 1, 0]))
     assert not (both[:3] == shingles.EMPTY).any()
     assert abs((both[0] == both[1]).mean() - 0.75) < 0.15
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a), (7, b), (7, a + " more"), (8, a), (9, ""), (9, ""), (10, None), (None, b + " x"), (11, b), (12, "own words"), (12, "own words"), (12, "other words")]
+    docs = documents(spark, rows)
+    stays = near_dedup.first_of_groups(docs)
+    assert stays.columns == docs.columns
+    want = [(3, a), (7, b), (9, ""), (10, None), (12, "own words"), (12, "other words")]
+    assert sorted(((r.doc_id, r.text) for r in stays.collect()), key=repr) == sorted(want, key=repr)
+    # Two texts of the smallest id in one group: one of them.
+    same = [r.text for r in near_dedup.first_of_groups(documents(spark, [(1, a), (1, a + " x"), (2, a + " y")])).collect()]
+    assert len(same) == 1 and same[0] in (a, a + " x")
