@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: each stage is one operator over all its predecessor kept."""
+"""From raw documents to packed sequences: each stage is one operator over all its predecessor kept.
+
+Cases, in every stage: null ids are ids like any other; null and empty texts end at the first stage; rows of one
+id are told apart by their texts; an empty table gives an empty result; columns of other names are carried up to
+the last stage, whatever they are called.
+"""
 
 from __future__ import annotations
 
@@ -14,31 +19,34 @@ from eventbook.session import checkpoint_root
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose text is like no language learned, go."""
+    """Documents without a letter (null texts among them), or whose text is like no language learned, go."""
     find_package(spark)
-    found = language.identify(docs, columns=tuple(docs.columns))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    # Carried under names of their own: a column may be named like a result.
+    names = {f"carried_{k}_": c for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in names.items()), F.col("text"))
+    found = language.identify(renamed, learn_from=docs, columns=tuple(names))
+    return found.where(~F.col("rejected")).select(*(F.col(n).alias(c) for n, c in names.items()))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that spread over sites leave the texts; ``n_chars`` follows."""
-    cleaned = line_dedup.remove_spread_lines(docs).select(*docs.columns)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    names = {f"carried_{k}_": c for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source", "n_chars")}
+    renamed = docs.select("doc_id", "text", "source", *(F.col(f"`{c}`").alias(n) for n, c in names.items()))
+    cleaned = line_dedup.remove_spread_lines(renamed).withColumn("n_chars", F.length("text").cast("long"))
+    back = {c: n for n, c in names.items()}
+    return cleaned.select(*(F.col(back.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once."""
+    """Of each group of near-duplicates one row stays, that of the smallest id; rows of one id and different texts
+    are documents of their own, repeated rows stay once."""
     find_package(spark)
-    kept = near_dedup.group_near(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    stays = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    # Repeated rows share id and text.
-    once = stays.withColumn("text_hash_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash_"])
-    return once.select(*docs.columns)
+    return near_dedup.first_of_groups(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Each document, whole, as often as the mix takes it; documents without words are not taken."""
+    return mixing.mixed_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
