@@ -48,7 +48,7 @@ class Ingested:
         return self.checked.filter(F.col("rule").isNotNull())
 
 
-def _row_checked(rows: DataFrame, table: str) -> DataFrame:
+def row_checked(rows: DataFrame, table: str) -> DataFrame:
     """First broken row rule, in one projection."""
     rules = row_rules(table, rows.columns)
     rules += [
@@ -64,7 +64,7 @@ def _row_checked(rows: DataFrame, table: str) -> DataFrame:
     )
 
 
-def _references_checked(rows: DataFrame, table: str, t: Mapping[str, DataFrame]) -> DataFrame:
+def references_checked(rows: DataFrame, table: str, t: Mapping[str, DataFrame]) -> DataFrame:
     columns = rows.columns
     for fk in TABLES[table].foreign_keys:
         # A parent key may occur twice; every feed row stays one row.
@@ -143,7 +143,7 @@ def ingest(
     # Columns a feed is ordered by travel along until the ids are given.
     order = {} if keyed else {f"_order_{i}": F.col(c) for i, c in enumerate(order_by)}
     typed = with_defaults(new.withColumns(order), table, overrides, keep=tuple(order))
-    rows = _references_checked(_row_checked(typed, table), table, t)
+    rows = references_checked(row_checked(typed, table), table, t)
     if keyed:
         rows = cut_lineage(_keys_checked(rows, t[table], table))
     else:

@@ -102,15 +102,21 @@ def apply_payment_counts(t: Tables, counts: DataFrame) -> dict[str, DataFrame]:
 
 
 def register_date_range(
-    t: Tables, requests: DataFrame, reservation_date: datetime.date, inclusive_end: bool = True
+    t: Tables,
+    requests: DataFrame,
+    reservation_date: datetime.date,
+    inclusive_end: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """New reservation rows (without ids) for every conference day inside each request's dates.
 
     The conference id keeps this an equi join; the dates only filter its result, and a conference
     has few days.  A request that ends before it starts books nothing.  Send the rows on through
-    ``ingest``.
+    ``ingest``, which takes each day by itself; ``book_date_ranges`` ends a request at its first refused day.
+    ``keep`` names further columns of the requests, and ``_conference`` and ``_day``, to carry along.
     """
     days = t["ConferenceDays"].select("ConferenceDayID", "ConferenceID", F.col("Date").alias("_day"))
+    days = days.withColumn("_conference", F.col("ConferenceID"))
     last = F.col("_day") <= F.col("DateEnd") if inclusive_end else F.col("_day") < F.col("DateEnd")
     return (
         requests.join(days, "ConferenceID")
@@ -123,5 +129,6 @@ def register_date_range(
             "Paid",
             "Amount",
             "ConferenceDayID",
+            *keep,
         )
     )

@@ -20,6 +20,7 @@ from eventbook.operators import (
 )
 from eventbook.operators.identity import assign_ids, with_defaults
 from eventbook.operators.ingest import ingest
+from eventbook.operators.range_booking import book_date_ranges
 from eventbook.operators.registrations import admit_workshop_registrations
 from eventbook.schema import TABLES
 from eventbook.session import run_folder
@@ -384,6 +385,26 @@ def _register_date_range_booked(m: SourceModel) -> DataFrame:
     return _outcome(out, "ReservationDayID", "ClientID", "ConferenceDayID")
 
 
+def _crowded_requests(m: SourceModel) -> DataFrame:
+    """Range bookings of whole groups that begin before, on and after the first day of their conference."""
+    key = F.col("ClientID")
+    return m.range_requests().withColumns(
+        {
+            "DateStart": F.date_add("DateStart", (F.lit(1) + key % 5 % 3).cast("int")),
+            "DateEnd": F.date_add("DateStart", (F.lit(3) + key % 2).cast("int")),
+            "NormalParticipantQuantity": (F.lit(10) + key % 37).cast("int"),
+            "StudentParticipantQuantity": (key % 11).cast("int"),
+        }
+    )
+
+
+@_query("book_date_ranges")
+def _book_date_ranges(m: SourceModel) -> DataFrame:
+    """Range bookings that end at their first refused day, onto the stored reservations."""
+    out = book_date_ranges(m.tables, _crowded_requests(m), AS_OF, order_by=["ClientID"])
+    return _outcome(out, "ReservationDayID", "ClientID", "ConferenceDayID")
+
+
 @_query("assign_ids")
 def _assign_ids(m: SourceModel) -> DataFrame:
     """Orders numbered by date and key after the highest customer key."""
@@ -444,63 +465,68 @@ def _stored_tables(m: SourceModel) -> DataFrame:
     return read_tables(m.spark, folder)["ConferenceReservationDays"]
 
 
-# Streams, run to the end of what is available: in one batch, and again file by file.
-BATCHES = 3
+# Streams, run to the end of what is available: all at once, and again in parts, of which each arrives after the
+# stream has stopped and is taken up from the checkpoint.
+BATCHES, ARRIVAL_ROWS, FILE_ROWS = 3, 5_000_000, 500_000
 Arriving = Callable[[str], SourceModel]
+KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
 
 
-def _at_once(m: SourceModel) -> Arriving:
-    return lambda source: SourceModel(m.spark, m.folder, streaming=(source,))
-
-
-def _file_by_file(m: SourceModel) -> Arriving:
-    """The source's rows in order of their key, in several files that arrive one after the other."""
-    keys = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+def _arrivals(m: SourceModel, source: str) -> list[DataFrame]:
+    """The source's rows in parts that follow each other in key order; their number grows with the table.  Rows
+    without a key come last."""
+    rows, key = m.scan(source), F.col(KEYS[source])
+    n = max(BATCHES, -(-rows.count() // ARRIVAL_ROWS))
+    edges = sorted(set(rows.approxQuantile(KEYS[source], [k / n for k in range(1, n)], 0.1 / n)))
+    bounds = zip([None, *edges], [*edges, None], strict=True)
+    parts = [(F.lit(True) if low is None else key > low) & (F.lit(True) if high is None else key <= high) for low, high in bounds]
+    parts[-1] = parts[-1] | key.isNull() if len(parts) > 1 else F.lit(True)
+    return [rows.filter(part) for part in parts]
 
-    def model(source: str) -> SourceModel:
-        folder, rows, key = run_folder(m.spark, "arrivals"), m.scan(source), F.col(keys[source])
-        highest = rows.agg(F.max(key)).first()[0] or 0
-        edges = [highest * k // BATCHES for k in range(1, BATCHES)]
-        for low, high in zip([None, *edges], [*edges, None], strict=True):
-            part = rows.filter(F.lit(True) if low is None else key > low).filter(F.lit(True) if high is None else key <= high)
-            part.repartition(1).write.mode("append").parquet(folder)
-        return SourceModel(m.spark, m.folder, arrivals={source: folder})
 
-    return model
+def _streams(name: str, source: str):
+    """Register a query of (tables, arriving tables, folder) for both ways of arriving."""
 
+    def register(build: Callable[[SourceModel, Arriving, str], DataFrame]) -> None:
+        def at_once(m: SourceModel) -> DataFrame:
+            return build(m, lambda of: SourceModel(m.spark, m.folder, streaming=(of,)), run_folder(m.spark, name))
 
-def _streams(name: str):
-    """Register a query of (tables, arriving tables) for both ways of arriving."""
+        def in_parts(m: SourceModel) -> DataFrame:
+            folder, landing = run_folder(m.spark, name), run_folder(m.spark, "arrivals")
+            for part in _arrivals(m, source):
+                by_key = part.repartitionByRange(F.col(KEYS[source]).asc_nulls_last())
+                by_key.write.option("maxRecordsPerFile", FILE_ROWS).mode("append").parquet(landing)
+                out = build(m, lambda of: SourceModel(m.spark, m.folder, arrivals={of: landing}), folder)
+            return out
 
-    def register(build: Callable[[SourceModel, Arriving], DataFrame]) -> None:
-        _query(name)(lambda m: build(m, _at_once(m)))
-        _query(f"{name}_batches")(lambda m: build(m, _file_by_file(m)))
+        _query(name)(at_once)
+        _query(f"{name}_batches")(in_parts)
 
     return register
 
 
-@_streams("stream_occupancy")
-def _stream_occupancy(m: SourceModel, arriving: Arriving) -> DataFrame:
+@_streams("stream_occupancy", "orders")
+def _stream_occupancy(m: SourceModel, arriving: Arriving, folder: str) -> DataFrame:
     rows = arriving("orders").tables["ConferenceReservationDays"]
-    return stream_occupancy(rows, capacity.day_limits(m.tables), run_folder(m.spark, "occupancy"))
+    return stream_occupancy(rows, capacity.day_limits(m.tables), folder)
 
 
-@_streams("stream_admission")
-def _stream_admission(m: SourceModel, arriving: Arriving) -> DataFrame:
+@_streams("stream_admission", "orders")
+def _stream_admission(m: SourceModel, arriving: Arriving, folder: str) -> DataFrame:
     rows = arriving("orders").tables["ConferenceReservationDays"]
-    out = stream_day_admission(rows, capacity.day_limits(m.tables), run_folder(m.spark, "admission"))
+    out = stream_day_admission(rows, capacity.day_limits(m.tables), folder)
     return out.select("ReservationDayID", "ConferenceDayID", "admitted")
 
 
-@_streams("stream_workshop_occupancy")
-def _stream_workshop_occupancy(m: SourceModel, arriving: Arriving) -> DataFrame:
+@_streams("stream_workshop_occupancy", "lineitem")
+def _stream_workshop_occupancy(m: SourceModel, arriving: Arriving, folder: str) -> DataFrame:
     """Line items arrive as bookings of their own, one per line."""
     rows = _line_bookings(arriving("lineitem").scan("lineitem"))
-    return stream_workshop_occupancy(rows, capacity.workshop_limits(m.tables), run_folder(m.spark, "seats"))
+    return stream_workshop_occupancy(rows, capacity.workshop_limits(m.tables), folder)
 
 
-@_streams("stream_workshop_admission")
-def _stream_workshop_admission(m: SourceModel, arriving: Arriving) -> DataFrame:
+@_streams("stream_workshop_admission", "orders")
+def _stream_workshop_admission(m: SourceModel, arriving: Arriving, folder: str) -> DataFrame:
     rows = arriving("orders").tables["ConferenceReservationDays"].select(
         F.col("ReservationDayID").alias("ReservationID"),
         "Canceled",
@@ -508,7 +534,7 @@ def _stream_workshop_admission(m: SourceModel, arriving: Arriving) -> DataFrame:
         "ReservationDayID",
         (F.col("ReservationDayID") % 97).cast("int").alias("Quantity"),
     )
-    out = stream_workshop_admission(rows, capacity.workshop_limits(m.tables), run_folder(m.spark, "workshop-admission"))
+    out = stream_workshop_admission(rows, capacity.workshop_limits(m.tables), folder)
     return out.select("ReservationID", "WorkshopID", "admitted")
 
 
@@ -520,11 +546,11 @@ def _line_bookings(lines: DataFrame) -> DataFrame:
     )
 
 
-def _streamed_payments(m: SourceModel, arriving: Arriving, table: str) -> DataFrame:
-    return stream_payments(arriving("orders").tables["Payments"], m.tables, run_folder(m.spark, "payments"))[table]
+def _streamed_payments(m: SourceModel, arriving: Arriving, folder: str, table: str) -> DataFrame:
+    return stream_payments(arriving("orders").tables["Payments"], m.tables, folder)[table]
 
 
-_streams("stream_payments")(lambda m, a: _streamed_payments(m, a, "Clients").select("ClientID", "ServiceCounter"))
-_streams("stream_paid_reservations")(
-    lambda m, a: _streamed_payments(m, a, "ConferenceReservationDays").select("ReservationDayID", "Paid")
+_streams("stream_payments", "orders")(lambda m, a, f: _streamed_payments(m, a, f, "Clients").select("ClientID", "ServiceCounter"))
+_streams("stream_paid_reservations", "orders")(
+    lambda m, a, f: _streamed_payments(m, a, f, "ConferenceReservationDays").select("ReservationDayID", "Paid")
 )

@@ -653,6 +653,36 @@ ORACLES["register_date_range_booked"] = _replay_sql(
                + row_number() OVER (ORDER BY q.ClientID, d.ConferenceDayID) AS id
         FROM requests q JOIN days d USING (ConferenceID) WHERE d."Date" >= q.d0 AND d."Date" <= q.d1""",
 )
+# Request by request, day by day; what is left of a conference's days is a list in the order of its days.
+_GROUP_DAYS = """
+    SELECT q.ConferenceID AS k, q.ClientID, d.ConferenceDayID, q.N + q.S AS q, d.place,
+           row_number() OVER (PARTITION BY q.ConferenceID ORDER BY q.ClientID, d.place) AS rn
+    FROM (SELECT c_custkey AS ClientID, ConferenceID, first_day + CAST(c_custkey % 5 % 3 AS INTEGER) AS d0, first_day + CAST(2 + c_custkey % 2 AS INTEGER) AS d1,
+                 CAST(10 + c_custkey % 37 AS BIGINT) AS N, c_custkey % 11 AS S
+          FROM customer, n_s JOIN conf ON true WHERE ConferenceID = c_custkey % n) q
+    JOIN (SELECT *, row_number() OVER (PARTITION BY ConferenceID ORDER BY "Date", ConferenceDayID) AS place FROM days) d USING (ConferenceID)
+    WHERE d."Date" BETWEEN q.d0 AND q.d1"""
+_CHAINS = _sql(
+    "SELECT 1 FROM wanted, places", recursive=True, wanted=_GROUP_DAYS,
+    places="""SELECT ConferenceID AS k, list(free_places ORDER BY "Date", ConferenceDayID) AS f FROM days JOIN day_free USING (ConferenceDayID) GROUP BY 1""",
+)
+ORACLES["book_date_ranges"] = (
+    _CHAINS[: _CHAINS.rindex("\nSELECT 1 FROM wanted")]
+    + """,
+walk AS (
+    SELECT k, rn, ClientID, ConferenceDayID, true AS asked, q <= f[place] AS ok, q > f[place] AS ended,
+           list_transform(f, lambda x, i: CASE WHEN i = place AND q <= x THEN x - q ELSE x END) AS f
+    FROM wanted JOIN places USING (k) WHERE rn = 1
+    UNION ALL
+    SELECT x.k, x.rn, x.ClientID, x.ConferenceDayID, NOT (w.ended AND x.ClientID = w.ClientID),
+           NOT (w.ended AND x.ClientID = w.ClientID) AND x.q <= w.f[x.place], (w.ended AND x.ClientID = w.ClientID) OR x.q > w.f[x.place],
+           list_transform(w.f, lambda y, i: CASE WHEN i = x.place AND x.q <= y AND NOT (w.ended AND x.ClientID = w.ClientID) THEN y - x.q ELSE y END)
+    FROM walk w JOIN wanted x ON x.k = w.k AND x.rn = w.rn + 1
+)
+SELECT (SELECT max(ReservationDayID) FROM crd) + row_number() OVER (ORDER BY ClientID, rn) AS ReservationDayID, ClientID, ConferenceDayID,
+       CASE WHEN ok THEN '' ELSE 'TRG-5' END AS rule, CASE WHEN ok THEN 0 ELSE 52300 END AS code
+FROM walk WHERE asked"""
+)
 ORACLES["assign_ids"] = """
     SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS new_id, o_orderkey FROM orders"""
 ORACLES["column_defaults"] = _sql(

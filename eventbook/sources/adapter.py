@@ -68,7 +68,7 @@ class SourceModel:
         path = f"{self.folder}/{source}.parquet"
         schema = _stored_schema(self.spark, path)
         if source in self.arrivals:
-            return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(self.arrivals[source])
+            return self.spark.readStream.schema(schema).parquet(self.arrivals[source])
         if source in self.streaming:
             # As a pattern the path may name one file as well as a folder of files.
             return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{source}.parque[t]")

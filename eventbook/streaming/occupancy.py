@@ -8,26 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventbook.operators.capacity import day_occupancy, workshop_occupancy
-from eventbook.streaming.sinks import read_batches, run_to_end, sum_per_key, write_batch
+from eventbook.streaming.levels import newest_of
+from eventbook.streaming.sinks import run_to_end
 
 
 def _stream_taken(
     stream: DataFrame, occupancy: Callable[[DataFrame], DataFrame], key: str, limits: DataFrame, folder: str
 ) -> DataFrame:
-    table = f"{folder}/taken"
-    writer = stream.writeStream.foreachBatch(lambda df, batch_id: write_batch(occupancy(df), table, batch_id))
-    run_to_end(writer, f"{folder}/checkpoint")
-    now = sum_per_key(read_batches(limits.sparkSession, table, occupancy(stream).schema), key, "taken")
-    limit = F.col("Limit").cast("long")
-    used = F.coalesce(F.col("taken"), F.lit(0))
-    return limits.join(now, key, "left").select(key, used.alias("taken"), (limit - used).alias("free_places"))
+    table = newest_of(limits.sparkSession, f"{folder}/taken", key, "taken")
+
+    def upsert(changed: DataFrame, batch_id: int) -> None:
+        table.add(changed.withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
+
+    run_to_end(occupancy(stream).writeStream.outputMode("update").foreachBatch(upsert), f"{folder}/checkpoint")
+    limit, used = F.col("Limit").cast("long"), F.coalesce(F.col("taken"), F.lit(0))
+    return limits.join(table.read(), key, "left").select(key, used.alias("taken"), (limit - used).alias("free_places"))
 
 
 def stream_occupancy(reservations: DataFrame, limits: DataFrame, folder: str) -> DataFrame:
     """Run a stream of day reservations to its end: ``(ConferenceDayID, taken, free_places)``.
 
-    Each batch is summed per day on its own and the batches' sums are added when asked for, so the
-    stream needs no state; a task sends one partial sum per day.
+    The sums per day are the state of the stream, one number per day; a task sends one partial sum per day and batch.
+    A batch gives out the days it has changed, which replace what earlier batches gave out.
     """
     return _stream_taken(reservations, day_occupancy, "ConferenceDayID", limits, folder)
 

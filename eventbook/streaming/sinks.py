@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -30,11 +29,6 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], full)  # no batch has arrived yet
 
 
-def sum_per_key(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Each key's sum over the partial sums of the batches."""
-    return rows.groupBy(key).agg(F.sum(value).alias(value))
-
-
 def run_to_end(writer, checkpoint: str) -> None:
     """Process what is available, then stop; the checkpoint lets a later run go on from there."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
