@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventbook.operators.admission import ROWS_PER_BLOCK, admit
+from eventbook.operators.components import connected_components
 from eventbook.operators.conflicts import registration_times
 from eventbook.schema import CODE_OVERLAP, CODE_QUOTA, TEXT_OVERLAP, TEXT_WORKSHOP_QUOTA
 from eventbook.session import cut_lineage, drop_written
@@ -17,10 +19,19 @@ _ID = "WorkshopRegistrationID"
 _BOOKING = "WorkshopsReservationID"
 _PLACE = ["ParticipantID", "Date"]
 _SLOT = [*_PLACE, "Start", "End"]
+#: Rounds before what is left is cut into components, and rows of a component that one task replays.
+ROUNDS, COMPONENT_ROWS = 2, 100_000
+#: Kinds of what a replay goes over.
+_SEAT_TAKEN, _SLOT_HELD, _ASKS = 0, 1, 2
+_EVENTS = "comp long, id long, kind int, booking long, free long, person long, day date, start int, stop int"
 
 
 def admit_workshop_registrations(
-    t: Mapping[str, DataFrame], new: DataFrame, existing: DataFrame | None = None
+    t: Mapping[str, DataFrame],
+    new: DataFrame,
+    existing: DataFrame | None = None,
+    rounds: int = ROUNDS,
+    component_rows: int = COMPONENT_ROWS,
 ) -> DataFrame:
     """``new`` with ``trigger``, ``code`` and ``message``, NULL on accepted rows.
 
@@ -33,9 +44,13 @@ def admit_workshop_registrations(
     * each participant's day is then replayed in id order as far as seats are known, so that a chain of
       overlaps costs one round however long it is; only seats that hang on other participants wait.
 
-    The lowest undecided id is always decided, so the rounds end.  A round reads and writes the undecided
-    rows, the accepted rows of their bookings and one row for each accepted time of their participants.
-    Existing rows are treated as accepted and earlier.
+    The lowest undecided id is always decided, so the rounds end, but a chain that goes from one participant
+    to the next through scarce bookings loses one link a round.  What ``rounds`` leave is therefore cut into
+    components, rows that hang together through a booking or a participant's day.  A component of at most
+    ``component_rows`` rows is replayed in id order by one task; only larger ones go on in rounds, and may have
+    fallen apart when they are looked at again.  A round reads and writes the undecided rows, the accepted rows
+    of their bookings and one row for each accepted time of their participants.  Existing rows are treated
+    as accepted and earlier.
     """
     times = registration_times(t, new).select(_ID, *_SLOT)
     quotas = t["WorkshopsReservations"].select(F.col("ReservationID").alias(_BOOKING), F.col("Quantity").alias("free"))
@@ -51,8 +66,14 @@ def admit_workshop_registrations(
     undecided = cut_lineage(new.select(_ID, _BOOKING).join(times, _ID, "left").join(quotas, _BOOKING, "left"))
     accepted = undecided.select(_ID, _BOOKING).limit(0)
     held = cut_lineage(held if held is not None else undecided.select(*_SLOT, F.col(_ID).alias("first")).limit(0))
-    decided = []
+    decided, number = [], 0
     while not undecided.isEmpty():
+        if number == rounds:
+            number, rounds = 0, 2 * rounds
+            settled, undecided = _replayed_components(undecided, accepted, held, component_rows)
+            decided.append(settled)
+            continue
+        number += 1
         rows = cut_lineage(_round(undecided, accepted, held))
         decided.append(rows.filter(F.col("code").isNotNull()).select(_ID, "code"))
         last = (undecided, accepted, held)
@@ -83,6 +104,63 @@ def admit_workshop_registrations(
     )
 
 
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, code`` of the undecided rows of whole components, which come one after the other in id order."""
+    comp, seats, times = None, {}, {}
+    for batch in batches:
+        ids, codes = [], []
+        for name, id_, kind, booking, free, person, day, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != comp:
+                comp, seats, times = name, {}, {}
+            code = 0
+            if kind == _ASKS:
+                taken = times.get((person, day), ())
+                if day is not None and any(s <= stop and start <= e for s, e in taken):
+                    code = CODE_OVERLAP
+                elif free is not None and seats.get(booking, 0) >= free:
+                    code = CODE_QUOTA
+                ids.append(id_)
+                codes.append(code)
+            if code == 0 and kind != _SLOT_HELD:
+                seats[booking] = seats.get(booking, 0) + 1
+            if code == 0 and kind != _SEAT_TAKEN and day is not None:
+                times.setdefault((person, day), []).append((start, stop))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.int32())], [_ID, "code"])
+
+
+def _replayed_components(undecided: DataFrame, accepted: DataFrame, held: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Codes of the rows of small components, and the undecided rows of the others.
+
+    A replay goes over a component's rows together with what has been decided around them: accepted rows
+    take a seat, and accepted times stand, from their id on.
+    """
+    booking = F.coalesce(F.xxhash64(F.lit("booking"), F.col(_BOOKING)), F.lit(0))
+    place = F.when(F.col("Date").isNotNull(), F.xxhash64(F.lit("place"), *_PLACE)).otherwise(booking)
+    # Two nodes of one hash only make a component larger.
+    comps = connected_components(undecided.select(booking.alias("a"), place.alias("b")))
+    comps = cut_lineage(comps.select(F.col("node").alias("_node"), F.col("comp").alias("comp")))
+    none = {"booking": "long", "free": "long", "person": "long", "day": "date", "start": "int", "stop": "int"}
+    empty = lambda *names: [F.lit(None).cast(none[n]).alias(n) for n in names]
+    names = [x.split()[0] for x in _EVENTS.split(", ")]
+    asks = undecided.withColumn("_of", booking).join(comps, F.col("_of") == F.col("_node")).select(
+        "comp", F.col(_ID).cast("long").alias("id"), F.lit(_ASKS).alias("kind"), F.col(_BOOKING).cast("long").alias("booking"), F.col("free").cast("long").alias("free"),
+        F.col("ParticipantID").cast("long").alias("person"), F.col("Date").alias("day"), F.col("Start").cast("int").alias("start"), F.col("End").cast("int").alias("stop"),
+    )
+    seats = accepted.withColumn("_of", booking).join(comps, F.col("_of") == F.col("_node")).select(
+        "comp", F.col(_ID).cast("long").alias("id"), F.lit(_SEAT_TAKEN).alias("kind"), F.col(_BOOKING).cast("long").alias("booking"), *empty("free", "person", "day", "start", "stop")
+    )
+    slots = held.withColumn("_of", F.xxhash64(F.lit("place"), *_PLACE)).join(comps, F.col("_of") == F.col("_node")).select(
+        "comp", F.col("first").cast("long").alias("id"), F.lit(_SLOT_HELD).alias("kind"), *empty("booking", "free"),
+        F.col("ParticipantID").cast("long").alias("person"), F.col("Date").alias("day"), F.col("Start").cast("int").alias("start"), F.col("End").cast("int").alias("stop"),
+    )
+    events = cut_lineage(asks.unionByName(seats).unionByName(slots).select(*names))
+    sizes = events.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    large = cut_lineage(sizes.filter(F.col("n") > most).select("comp"))
+    small = events.join(large, "comp", "left_anti").repartition("comp").sortWithinPartitions("comp", "id", "kind")
+    settled = cut_lineage(small.mapInArrow(_replay, f"{_ID} long, code int"))
+    return settled, cut_lineage(undecided.join(settled.select(_ID), _ID, "left_anti"))
+
+
 def _seats(undecided: DataFrame, accepted: DataFrame) -> DataFrame:
     """``undecided`` with ``sure`` (a seat whatever happens before it) and ``full`` (none any more)."""
     taken = accepted.groupBy(_BOOKING).agg(F.count(F.lit(1)).alias("n"), F.max(_ID).alias("last"))

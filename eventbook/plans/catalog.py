@@ -18,6 +18,7 @@ from eventbook.operators import (
     reports,
     schedule,
 )
+from eventbook.operators.event_log import admit_day_log, admit_workshop_log
 from eventbook.operators.identity import assign_ids, with_defaults
 from eventbook.operators.ingest import ingest
 from eventbook.operators.range_booking import book_date_ranges
@@ -405,6 +406,29 @@ def _book_date_ranges(m: SourceModel) -> DataFrame:
     return _outcome(out, "ReservationDayID", "ClientID", "ConferenceDayID")
 
 
+def _cancellation_log(m: SourceModel) -> tuple[DataFrame, DataFrame]:
+    """All reservations by their ids, and cancellations of every third one up to 900 reservations later."""
+    key = F.col("ReservationDayID")
+    rows = m.tables["ConferenceReservationDays"].withColumn("moment", 2 * key)
+    return rows, rows.filter(key % 3 == 0).select("ReservationDayID", (2 * (key + 1 + (key * 7) % 900) + 1).alias("moment"))
+
+
+@_query("admit_day_log")
+def _admit_day_log(m: SourceModel) -> DataFrame:
+    """Day reservations in order, with cancellations in between that give places back."""
+    out = admit_day_log(m.tables, *_cancellation_log(m), at="moment")
+    return out.select("ReservationDayID", "ConferenceDayID", "admitted")
+
+
+@_query("admit_workshop_log")
+def _admit_workshop_log(m: SourceModel) -> DataFrame:
+    """Workshop bookings in order; a seventh of them is cancelled later."""
+    key = F.col("ReservationID")
+    rows = m.tables["WorkshopsReservations"].withColumn("moment", 2 * key)
+    ends = rows.filter(key % 7 == 0).select("ReservationID", (2 * key + 100_000 * (key % 5000) + 1).alias("moment"))
+    return admit_workshop_log(m.tables, rows, ends, at="moment").select("ReservationID", "WorkshopID", "admitted")
+
+
 @_query("assign_ids")
 def _assign_ids(m: SourceModel) -> DataFrame:
     """Orders numbered by date and key after the highest customer key."""

@@ -683,6 +683,46 @@ SELECT (SELECT max(ReservationDayID) FROM crd) + row_number() OVER (ORDER BY Cli
        CASE WHEN ok THEN '' ELSE 'TRG-5' END AS rule, CASE WHEN ok THEN 0 ELSE 52300 END AS code
 FROM walk WHERE asked"""
 )
+
+
+def _log_sql(key: str, row: str, rows: str, ends: str) -> str:
+    """Event by event per key: places used and the rows that stand."""
+    text = _sql(
+        "SELECT 1 FROM queue, tight, standing", recursive=True, standing=rows,
+        queue=f"""SELECT *, row_number() OVER (PARTITION BY k ORDER BY moment, kind) AS rn
+                  FROM (SELECT k, id, q, lim, moment, 0 AS kind FROM standing UNION ALL
+                        SELECT k, id, q, lim, ends, 1 FROM (SELECT s.*, {ends} FROM standing s) WHERE ends IS NOT NULL)""",
+        tight="SELECT k FROM standing GROUP BY k HAVING sum(q) > max(lim)",
+    )
+    fits = "x.kind = 0 AND w.used + x.q <= x.lim"
+    out = "x.kind = 1 AND list_contains(w.ids, x.id)"
+    return (
+        text[: text.rindex("\nSELECT 1 FROM queue")]
+        + f""",
+walk AS (
+    SELECT k, rn, id, kind, q <= lim AS ok, CASE WHEN q <= lim THEN q ELSE 0 END AS used, CASE WHEN q <= lim THEN [id] ELSE [] END AS ids
+    FROM queue JOIN tight USING (k) WHERE rn = 1
+    UNION ALL
+    SELECT x.k, x.rn, x.id, x.kind, {fits}, w.used + CASE WHEN {fits} THEN x.q WHEN {out} THEN -x.q ELSE 0 END,
+           CASE WHEN {fits} THEN list_append(w.ids, x.id) WHEN {out} THEN list_filter(w.ids, lambda i: i <> x.id) ELSE w.ids END
+    FROM walk w JOIN queue x ON x.k = w.k AND x.rn = w.rn + 1
+)
+SELECT s.id AS {row}, s.k AS {key}, coalesce(ok, true) AS admitted FROM standing s LEFT JOIN (SELECT id, ok FROM walk WHERE kind = 0) USING (id)"""
+    )
+
+
+ORACLES["admit_day_log"] = _log_sql(
+    "ConferenceDayID", "ReservationDayID",
+    """SELECT r.ConferenceDayID AS k, r.ReservationDayID AS id, CAST(r.N + r.S AS BIGINT) AS q, CAST(c."Limit" AS BIGINT) AS lim, 2 * r.ReservationDayID AS moment
+       FROM crd r JOIN days d USING (ConferenceDayID) JOIN conf c USING (ConferenceID)""",
+    "CASE WHEN s.id % 3 = 0 THEN 2 * (s.id + 1 + (s.id * 7) % 900) + 1 END AS ends",
+)
+ORACLES["admit_workshop_log"] = _log_sql(
+    "WorkshopID", "ReservationID",
+    """SELECT b.WorkshopID AS k, b.ReservationID AS id, CAST(b.Quantity AS BIGINT) AS q, CAST(w."Limit" AS BIGINT) AS lim, 2 * b.ReservationID AS moment
+       FROM wres b JOIN shops w USING (WorkshopID)""",
+    "CASE WHEN s.id % 7 = 0 THEN 2 * s.id + 100000 * (s.id % 5000) + 1 END AS ends",
+)
 ORACLES["assign_ids"] = """
     SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS new_id, o_orderkey FROM orders"""
 ORACLES["column_defaults"] = _sql(

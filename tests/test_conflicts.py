@@ -1,9 +1,13 @@
 import random
 
+import pytest
 from fixture import booking, day, frame, rows, tables, workshop
 
+from eventbook.operators import registrations
+from eventbook.operators.components import connected_components
 from eventbook.operators.conflicts import admit_non_overlapping, workshop_conflicts
 from eventbook.operators.registrations import admit_workshop_registrations
+from eventbook.schema import CODE_OVERLAP
 
 
 def random_tables(spark, seed, people=12, registrations=260, quota=(1, 9)):
@@ -141,3 +145,60 @@ def test_existing_registrations_block(spark):
     )
     out = admit_non_overlapping(t, new, t["WorkshopRegistration"])
     assert rows(out, "WorkshopRegistrationID", "admitted") == [(20, False), (21, True)]
+
+
+def chain_tables(spark, links):
+    """Participants of whom each holds two overlapping workshops, the second the next one's only seat."""
+    n = links + 1
+    t = dict(tables(spark))
+    t["Workshops"] = frame(spark, "Workshops", [workshop(100 + k, 11, 9, 10) for k in range(n + 1)])
+    t["WorkshopsReservations"] = frame(spark, "WorkshopsReservations", [booking(100 + k, 100 + k, 1, 1) for k in range(n + 1)])
+    t["ConferenceDayRegistration"] = frame(
+        spark, "ConferenceDayRegistration",
+        [{"ConferenceRegistrationID": 1000 + k, "ReservationDayID": 1, "ParticipantID": 5000 + k, "Canceled": False} for k in range(n)],
+    )
+    new = [
+        {"WorkshopRegistrationID": 2 * k + j, "ConferenceRegistrationID": 1000 + k, "WorkshopsReservationID": 100 + k + j, "Canceled": False}
+        for k in range(n)
+        for j in (0, 1)
+    ]
+    return t, frame(spark, "WorkshopRegistration", new)
+
+
+def test_a_chain_through_500_participants_takes_few_rounds(spark, monkeypatch):
+    t, new = chain_tables(spark, 500)
+    calls = []
+    one = registrations._round
+    monkeypatch.setattr(registrations, "_round", lambda *a: calls.append(1) or one(*a))
+    out = registrations.admit_workshop_registrations(t, new)
+    # Every participant keeps the first workshop, and the second one's seat goes to the next.
+    got = {r["WorkshopRegistrationID"]: r["code"] for r in out.collect()}
+    assert got == {i: None if i % 2 == 0 else CODE_OVERLAP for i in got} and len(got) == 1002
+    assert len(calls) < 20
+
+
+def test_components_give_what_rounds_give(spark):
+    t, _ = random_tables(spark, 1, registrations=120, quota=(1, 3))
+    every = t["WorkshopRegistration"]
+    old, new = every.filter("WorkshopRegistrationID % 7 = 0"), every.filter("WorkshopRegistrationID % 7 <> 0")
+
+    def codes(**tuning):
+        return rows(admit_workshop_registrations(t, new, old, **tuning), "WorkshopRegistrationID", "code")
+
+    want = codes(rounds=1000)
+    assert codes(rounds=1) == want and codes(rounds=1, component_rows=8) == want
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    names = rng.sample(range(10**9), 400)
+    edges = [(names[k], names[k + 1]) for k in range(299)] + [(names[k], names[k - rng.randrange(1, 4)]) for k in range(310, 400)] + [(names[300], names[300])]
+    found = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    up = {x: x for e in edges for x in e}
+    def top(x):  # noqa: E306
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a, b in edges:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    assert found == {x: top(x) for x in up}
