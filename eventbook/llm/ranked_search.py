@@ -1,17 +1,23 @@
-"""Operator 1: exact BM25 top-k by block-max WAND over a sharded inverted index.
+"""Operator 1: exact BM25 top-k by block-max pruning over a sharded inverted index.
 
 A shard is a run of at most ``SHARD_DOCS`` documents of one task, which builds the shard's index where it
-reads the texts: posting lists by term in order of document id, in blocks of ``BLOCK``, each with its
-largest term frequency and its smallest document length.  These bound a block's scores whatever the
-collection's statistics turn out to be.  Document frequencies and the mean length are sums over all
-shards, so that scores are those of one index.
+reads the texts: one row with the posting lists by term.  Document frequencies and the mean length are sums
+over all shards, so that scores are those of one index.  Neighbouring shards form a group of at most
+``GROUP_POSTINGS`` postings, which a task holds while the queries pass by as a stream: a query travels once to
+each group, and the index twice.
+
+First every query is answered by one group.  Its k-th score there is a threshold that any other answer has to
+reach, and travels with the query to all other groups, which return only what reaches it.
+
+A group answers a query as WAND does, with the bounds of whole lists and of blocks of ``BLOCK`` documents.  Lists
+whose bounds together do not pass the threshold cannot bring a document in by themselves: they are put off, the
+most frequent words first.  The other lists give each of their documents a part of its score.  Only
+documents whose part and the maxima of the put-off lists in their block together pass the threshold are scored in
+full.  This holds for queries of any length; the more terms a query has, the more of the frequent ones are put off.
 
 A query is all terms of a document (one that no other document has is of no use), or with ``terms`` only as
-many as weigh most (frequency times inverse document frequency).  Each shard answers a block of queries.
-Up to ``WALKED`` posting lists are walked in step: the first document whose terms' bounds could pass the
-k-th score so far is the pivot, blocks around it whose own bounds cannot are skipped, the others are
-scored.  More lists are all scored: their bounds together pass any score.  The shards' best are merged.  Scores are sums of whole millionths, so their order does not depend on that of
-the sums.
+many as weigh most (frequency times inverse document frequency).  Scores are sums of whole millionths, so their
+order does not depend on that of the sums.
 
 Cases: null and empty texts are documents of length 0; rows without an id take no part; rows that share
 an id are documents of their own and never an answer to that id's query, which has the terms of all of them;
@@ -21,12 +27,9 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from functools import cached_property
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +42,18 @@ from eventbook.llm.common import steps
 from eventbook.session import cut_lineage
 
 K1, B = 1.2, 0.75
-TERMS, NEAREST = 16, 10
-#: Documents and text bytes of a shard, postings of a block, queries that a task answers together.
-SHARD_DOCS, SHARD_BYTES, BLOCK, QUERY_BLOCK = 8192, 24 << 20, 64, 8192
+NEAREST = 10
+#: Documents and text bytes of a shard, postings of a group, documents of a block.
+SHARD_DOCS, SHARD_BYTES, GROUP_POSTINGS, BLOCK = 8192, 24 << 20, 1_500_000, 16
+#: Lists with at least this share of a group's documents have block maxima and are held by document.
+FREQUENT = 1 / 6
 #: Scores are whole numbers of this part.
 UNIT = 1_000_000
 WORDS = re.compile(r"[^\W_]+")
-KNOWN_TERMS = 500_000
-#: Lists that together are no longer have no blocks to skip that would pay for the walk.
-SHORT = 2048
-#: Lists that are walked in step at most.
-WALKED = 16
+KNOWN_TERMS = 200_000
+BLOBS = {"ids": np.int64, "lengths": np.int32, "terms": np.int64, "dfs": np.int32, "docs": np.int32, "tfs": np.int32}
 
-INDEX = "shard long, term long, df long, docs array<int>, tfs array<int>, max_tf array<int>, min_len array<int>, ids array<long>"
+INDEX = "shard long, n_docs long, n_words long, postings long, ids binary, lengths binary, terms binary, dfs binary, docs binary, tfs binary"
 
 
 class Hashes(dict):
@@ -65,10 +67,6 @@ def terms_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-
-
 class Shard:
     """Documents of a shard until they are enough."""
 
@@ -86,40 +84,15 @@ class Shard:
         self.bytes += size
 
     def index(self, shard: int) -> pa.RecordBatch:
-        """A row for each term, and one without a term for the documents (ids; lengths as ``docs``)."""
-        ids = np.array(self.ids, np.int64)
-        by_id = np.argsort(ids, kind="stable")
-        place = np.empty(len(ids), np.int32)
-        place[by_id] = np.arange(len(ids), dtype=np.int32)
-        lengths = np.array(self.lengths, np.int32)[by_id]
-        docs = np.repeat(place, self.sizes)
-        terms, tfs = np.concatenate(self.terms), np.concatenate(self.tfs)
-        order = np.lexsort((docs, terms))
-        docs, terms, tfs = docs[order], terms[order], tfs[order]
-        starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)
-        df = np.diff(np.r_[starts, len(terms)])
-        blocks = -(-df // BLOCK)
-        first = np.cumsum(blocks) - blocks
-        begins = np.repeat(starts, blocks) + BLOCK * (np.arange(int(blocks.sum())) - np.repeat(first, blocks))
-        max_tf = np.maximum.reduceat(tfs, begins) if len(begins) else np.zeros(0, np.int32)
-        min_len = np.minimum.reduceat(lengths[docs], begins) if len(begins) else np.zeros(0, np.int32)
-        n = len(starts)
-        of_terms = np.r_[0, np.cumsum(df)].astype(np.int64)
-        of_blocks = np.r_[0, np.cumsum(blocks)].astype(np.int64)
-        none = np.zeros(n + 1, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n + 1, shard, np.int64)),
-                pa.concat_arrays([pa.array(terms[starts].view(np.int64) if n else np.zeros(0, np.int64)), pa.nulls(1, pa.int64())]),
-                pa.array(np.r_[df, len(ids)].astype(np.int64)),
-                lists(np.r_[of_terms, len(docs) + len(lengths)], np.r_[docs, lengths].astype(np.int32)),
-                lists(np.r_[of_terms, len(docs)], tfs),
-                lists(np.r_[of_blocks, of_blocks[-1]], max_tf),
-                lists(np.r_[of_blocks, of_blocks[-1]], min_len),
-                lists(np.r_[none, len(ids)], ids[by_id]),
-            ],
-            [c.split()[0] for c in INDEX.split(", ")],
-        )
+        """One row: ids and lengths by place; terms in order with their lists, each in order of places."""
+        docs = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        terms, tfs = np.concatenate(self.terms).view(np.int64), np.concatenate(self.tfs)
+        order = np.argsort(terms, kind="stable")
+        found, dfs = np.unique(terms, return_counts=True)
+        blobs = (np.array(self.ids, np.int64), np.array(self.lengths, np.int32), found, dfs.astype(np.int32), docs[order], tfs[order].astype(np.int32))
+        numbers = (shard, len(self.ids), sum(self.lengths), len(terms))
+        arrays = [pa.array([x], pa.int64()) for x in numbers] + [pa.array([x.tobytes()], pa.binary()) for x in blobs]
+        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in INDEX.split(", ")])
 
 
 def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,163 +119,196 @@ def query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string()), pa.array(numbers), pa.array(counts, pa.int64())], ["query_id", "word", "term", "tf"])
 
 
-class Postings:
-    """A term's list in a shard with its bounds, which only a walk needs."""
-
-    def __init__(self, docs: np.ndarray, tfs: np.ndarray, max_tf: np.ndarray, min_len: np.ndarray, idf: float, slow: np.ndarray, slow_of):
-        self.docs, self.tfs, self.max_tf, self.min_len, self.idf, self.slow, self.slow_of = docs, tfs, max_tf, min_len, idf, slow, slow_of
-        self.known: np.ndarray | None = None
-
-    @cached_property
-    def places(self) -> list[int]:
-        return self.docs.tolist()
-
-    @cached_property
-    def bounds(self) -> list[int]:
-        # One more than the rounded value: rounding cannot lift a score above its bound.
-        return (impacts(self.idf, self.max_tf, self.slow_of(self.min_len)) + 1).tolist()
-
-    @cached_property
-    def bound(self) -> int:
-        return max(self.bounds)
-
-    @cached_property
-    def lasts(self) -> list[int]:
-        return [self.places[min(i + BLOCK, len(self.docs)) - 1] for i in range(0, len(self.docs), BLOCK)]
-
-    def scores(self, begin: int, end: int) -> np.ndarray:
-        """Scores of a part of the list; all are worked out at once for the queries of a block to share."""
-        if self.known is None:
-            self.known = impacts(self.idf, self.tfs, self.slow[self.docs])
-        return self.known[begin:end]
-
-
-def impacts(idf: float, tf: np.ndarray, slow: np.ndarray) -> np.ndarray:
-    return np.floor(UNIT * (idf * (tf * (K1 + 1) / (tf + slow))) + 0.5).astype(np.int64)
-
-
-def best(lists_: list[Postings], n_docs: int, k: int, own: set[int]) -> list[tuple[int, int]]:
-    """The ``k`` best (score, document), most first, ties by the smaller document."""
-    found: list[tuple[int, int]] = []
-    least = 0  # a document has to pass it
-
-    def take(docs: np.ndarray, scores: np.ndarray) -> None:
-        nonlocal found, least
-        low = docs.min()
-        # Whole numbers below 2^53 are exact as weights.
-        sums = np.bincount(docs - low, weights=scores)
-        good = np.flatnonzero(sums > least)
-        if not len(good):
-            return
-        most = k + len(own)
-        if len(good) > 4 * most:
-            good = good[sums[good] >= np.partition(sums[good], -most)[-most]]
-        good = good[np.lexsort((good, -sums[good]))[:most]]
-        new = [(int(s), d) for s, d in zip(sums[good].tolist(), (good + low).tolist(), strict=True) if d not in own]
-        found = sorted(found + new, key=lambda x: (-x[0], x[1]))[:k]
-        if len(found) == k:
-            least = found[-1][0]
-
-    if len(lists_) > WALKED or sum(len(p.docs) for p in lists_) <= SHORT:
-        take(np.concatenate([p.docs for p in lists_]), np.concatenate([p.scores(0, len(p.docs)) for p in lists_]))
-        return found
-    at = [0] * len(lists_)
-    open_ = [i for i, p in enumerate(lists_) if p.places]
-    while open_:
-        open_.sort(key=lambda i: lists_[i].places[at[i]])
-        total, pivot_at = 0, -1
-        for j, i in enumerate(open_):
-            total += lists_[i].bound
-            if total > least:
-                pivot_at = j
-                break
-        if pivot_at < 0:
-            break
-        pivot = lists_[open_[pivot_at]].places[at[open_[pivot_at]]]
-        ahead = pivot_at + 1
-        while ahead < len(open_) and lists_[open_[ahead]].places[at[open_[ahead]]] == pivot:
-            ahead += 1
-        bound, stop = 0, n_docs
-        for i in open_[:ahead]:
-            p = lists_[i]
-            block = bisect_left(p.lasts, pivot, at[i] // BLOCK)
-            if block < len(p.lasts):
-                bound += p.bounds[block]
-                stop = min(stop, p.lasts[block] + 1)
-        # What is scored may go over the beginning of further lists, what is skipped may not.
-        if bound <= least and ahead < len(open_):
-            p = lists_[open_[ahead]]
-            stop = min(stop, p.places[at[open_[ahead]]])
-        ranges = []
-        for i in open_ if bound > least else open_[:ahead]:
-            p = lists_[i]
-            begin = bisect_left(p.places, pivot, at[i])
-            at[i] = bisect_left(p.places, stop, begin)
-            if bound > least and begin < at[i]:
-                ranges.append((p, begin, at[i]))
-        if ranges:
-            take(np.concatenate([p.docs[a:b] for p, a, b in ranges]), np.concatenate([p.scores(a, b) for p, a, b in ranges]))
-        open_ = [i for i in open_ if at[i] < len(lists_[i].places)]
-    return found
-
-
-def search(docs: DataFrame, is_query: Column, k: int = NEAREST, terms: int | None = TERMS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term, df`` of each shard."""
+    for batch in batches:
+        for terms, dfs in zip(batch.column("terms").to_pylist(), batch.column("dfs").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.frombuffer(dfs, np.int32).astype(np.int64))], ["term", "df"])
+
+
+def flat_ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range behind the other."""
+    sizes = ends - begins
+    return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+class Group:
+    """The joined index of some shards.  A list's scores, its bound and its block maxima are worked out when the
+    first query asks for it."""
+
+    def __init__(self, shards: list[dict], mean: float):
+        of = lambda name: [s[name] for s in shards]
+        self.ids, lengths = np.concatenate(of("ids")), np.concatenate(of("lengths"))
+        self.n = len(self.ids)
+        first = np.cumsum([0, *of("n_docs")])
+        terms = np.concatenate([np.repeat(t, d) for t, d in zip(of("terms"), of("dfs"), strict=True)])
+        # Lists of one term follow each other by shard, so that their places ascend.
+        order = np.argsort(terms, kind="stable").astype(np.int32)
+        self.docs = np.concatenate([d + np.int32(f) for d, f in zip(of("docs"), first, strict=False)])[order]
+        self.tfs = np.concatenate(of("tfs"))[order]
+        terms = terms[order]
+        del order
+        self.terms, begins = np.unique(terms, return_index=True)
+        self.begins, self.ends = begins, np.r_[begins[1:], len(terms)].astype(np.int64)
+        self.slow = K1 * (1 - B + B * lengths / mean) if mean else np.full(self.n, K1)
+        self.scores = np.zeros(len(terms), np.int32)
+        self.known = np.zeros(len(self.terms), bool)
+        self.bounds = np.zeros(len(self.terms), np.int64)
+        frequent = np.flatnonzero(self.ends - self.begins >= max(1, FREQUENT * self.n))
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        blocks = -(-self.n // BLOCK)
+        self.whole = np.zeros((len(frequent), blocks * BLOCK), np.int32)
+        self.maxima = np.zeros((len(frequent), blocks), np.int32)
+        by_id = np.argsort(self.ids, kind="stable")
+        self.sorted_ids, self.by_id = self.ids[by_id], by_id
+        #: Postings read so far and those of all lists asked for.
+        self.read = self.asked = 0
+
+    def learn(self, lists: np.ndarray, idf: np.ndarray) -> None:
+        sizes = self.ends[lists] - self.begins[lists]
+        at = flat_ranges(self.begins[lists], self.ends[lists])
+        tf = self.tfs[at]
+        score = np.floor(UNIT * (np.repeat(idf, sizes) * (tf * (K1 + 1) / (tf + self.slow[self.docs[at]]))) + 0.5).astype(np.int32)
+        self.scores[at] = score
+        self.bounds[lists] = np.maximum.reduceat(score, np.cumsum(sizes) - sizes)
+        for i in lists[self.row[lists] >= 0].tolist():
+            row, a, b = self.row[i], self.begins[i], self.ends[i]
+            self.whole[row, self.docs[a:b]] = self.scores[a:b]
+            self.maxima[row] = self.whole[row].reshape(-1, BLOCK).max(axis=1)
+        self.known[lists] = True
+
+    def best(self, query_id: int, terms: np.ndarray, idf: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
+        """(score, id) of at most ``k`` documents of more than ``least``, the best of the group."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        there = self.terms[at] == terms
+        lists, idf = at[there], idf[there]
+        if not len(lists):
+            return []
+        new = ~self.known[lists]
+        if new.any():
+            self.learn(lists[new], idf[new])
+        self.asked += int((self.ends[lists] - self.begins[lists]).sum())
+        if self.bounds[lists].sum() <= least:
+            return []
+        own = self.by_id[slice(*np.searchsorted(self.sorted_ids, [query_id, query_id + 1]))]
+        rare, often = lists[self.row[lists] < 0], lists[self.row[lists] >= 0]
+        part = np.zeros(self.whole.shape[1], np.int64)
+        if len(rare):
+            ranges = list(zip(self.begins[rare].tolist(), self.ends[rare].tolist(), strict=True))
+            docs = np.concatenate([self.docs[a:b] for a, b in ranges])
+            # Whole numbers below 2^53 are exact as weights.
+            part += np.bincount(docs, np.concatenate([self.scores[a:b] for a, b in ranges]), len(part)).astype(np.int64)
+            self.read += len(docs)
+        part[own] = 0
+        if not least:
+            least = self.raised(part, k, least)
+        often = often[np.argsort(self.bounds[often], kind="stable")]
+        off = int(np.searchsorted(np.cumsum(self.bounds[often]), least, side="right"))
+        # Of the frequent lists those are put off whose bounds together do not pass the threshold.
+        full, rows = often[off:], self.row[often[:off]]
+        if len(full):
+            part += self.whole[self.row[full]].sum(axis=0, dtype=np.int64)
+            part[own] = 0
+            self.read += int((self.ends[full] - self.begins[full]).sum())
+            least = self.raised(part, k, least)
+        most = self.maxima[rows].sum(axis=0, dtype=np.int64) if len(rows) else np.zeros(len(part) // BLOCK, np.int64)
+        good = np.flatnonzero((part > 0) & (part + np.repeat(most, BLOCK) > least))
+        scores = part[good]
+        if len(rows) and len(good):
+            rest = self.whole[np.ix_(rows, good)]
+            scores = scores + rest.sum(axis=0, dtype=np.int64)
+            self.read += rest.size
+            good, scores = good[scores > least], scores[scores > least]
+        ids = self.ids[good]
+        first = np.lexsort((ids, -scores))[:k]
+        return list(zip(scores[first].tolist(), ids[first].tolist(), strict=True))
+
+    @staticmethod
+    def raised(part: np.ndarray, k: int, least: int) -> int:
+        """``k`` documents have a score of this part at least: what is not above one less is none of the best."""
+        return max(least, int(np.partition(part, len(part) - k)[len(part) - k]) - 1) if len(part) > k else least
+
+
+def answering(k: int, n_docs: int, mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows sorted by group, the group's shards first, then its queries."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shards, group = None, [], None
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            terms, df = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("terms_of", "dfs_of"))
+            idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+            offsets = batch.column("terms_of").offsets.to_numpy()
+            ids, least = batch.column("query_id").to_pylist(), batch.column("least").to_pylist()
+            for i, g in enumerate(batch.column("group").to_pylist()):
+                if g != number:
+                    number, shards, group = g, [], None
+                if ids[i] is None:
+                    # Copied, so that no batch is held.
+                    blobs = {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind).copy() for c, kind in BLOBS.items()}
+                    shards.append({**blobs, "n_docs": batch.column("n_docs")[i].as_py()})
+                    continue
+                if group is None:
+                    group, shards = Group(shards, mean), []
+                a, b = offsets[i], offsets[i + 1]
+                out += [(ids[i], d, s) for s, d in group.best(ids[i], terms[a:b], idf[a:b], k, least[i])]
+            found = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "doc_id", "score"])
+
+    return answer
+
+
+def grouped(index: DataFrame) -> DataFrame:
+    """``shard, group``: neighbouring shards, numbered from 0.  One row for each shard is all that is ordered."""
+    spark = index.sparkSession
+    sizes = index.select("shard", "postings")
+    total = sizes.agg(F.sum("postings")).first()[0] or 0
+    # Small tables make a group for each task.
+    size = max(1, min(GROUP_POSTINGS, total // spark.sparkContext.defaultParallelism))
+    before = F.coalesce(F.sum("postings").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = sizes.select("shard", F.floor(before / size).alias("part"))
+    return cut_lineage(found.select("shard", (F.dense_rank().over(Window.orderBy("part")) - 1).cast("long").alias("group")))
+
+
+def search(docs: DataFrame, is_query: Column, k: int = NEAREST, terms: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``query_id, rank, doc_id, score`` for the queries that ``is_query`` (of ``doc_id``) chooses; a query is
-    the whole document if ``terms`` is None, else its heaviest terms."""
+    the whole document, or its heaviest ``terms``."""
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where(F.col("doc_id").isNotNull())
     index = cut_lineage(named.mapInArrow(build, INDEX))
-    size = index.where("term IS NULL").agg(F.sum("df").alias("n"), F.sum(F.aggregate("docs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("words")).first()
+    size = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words")).first()
     n, mean = size["n"] or 0, (size["words"] or 0) / max(1, size["n"] or 0)
 
     asked = named.where(is_query).mapInArrow(query_terms, "query_id long, word string, term long, tf long")
-    asked = cut_lineage(asked.groupBy("query_id", "word", "term").agg(F.max("tf").alias("tf")))
-    df = index.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")).where("df > 1")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "term").withColumn("idf", idf)
+    asked = asked.groupBy("query_id", "word", "term").agg(F.max("tf").alias("tf"))
+    df = index.select("terms", "dfs").mapInArrow(term_counts, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).where("df > 1")
+    weighed = asked.join(df, "term")
     if terms is not None:
+        weighed = weighed.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         heaviest = Window.partitionBy("query_id").orderBy(F.desc(F.floor(F.col("tf") * F.col("idf") * UNIT + 0.5)), "word")
         weighed = weighed.withColumn("r", F.row_number().over(heaviest)).where(F.col("r") <= terms)
-    weighed = cut_lineage(weighed.select("query_id", "term", "idf"))
-    queries = weighed.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    blocks = max(1, math.ceil(asked.select("query_id").distinct().count() / QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long").alias("block")
-    queries = cut_lineage(queries.select("*", block))
-
-    wanted = weighed.select(block, "term", "idf").distinct()
-    met = index.where("term IS NOT NULL").join(wanted, "term").select(*index.columns, "block", "idf")
-    shards = index.where("term IS NULL").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    postings = met.unionByName(shards.withColumn("idf", F.lit(0.0)))
-    # Every shard gets each block of queries.
-    asked_of = shards.select(F.col("shard").alias("to_shard"), "block").join(queries, "block").withColumnRenamed("block", "of_block")
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if len(left) and len(right):
-            left, right = left.combine_chunks(), right.combine_chunks()
-            columns = {c: (left.column(c).chunk(0).values.to_numpy(), left.column(c).chunk(0).offsets.to_pylist()) for c in ("docs", "tfs", "max_tf", "min_len", "ids")}
-            get = lambda c, i: columns[c][0][columns[c][1][i] : columns[c][1][i + 1]]
-            whole = left.column("term").is_null().to_pylist().index(True)
-            ids, lengths = get("ids", whole), get("docs", whole)
-            slow_of = lambda x: K1 * (1 - B + B * x / mean) if mean else np.full(len(x), K1)
-            slow = slow_of(lengths)
-            place = {t: i for i, t in enumerate(left.column("term").to_pylist()) if t is not None}
-            idf = left.column("idf").to_pylist()
-            held: dict[int, Postings] = {}
-            for i, query_id in enumerate(right.column("query_id").to_pylist()):
-                found = []
-                for t in right.column("terms").chunk(0)[i].values.to_pylist():
-                    if t in place:
-                        if t not in held:
-                            j = place[t]
-                            held[t] = Postings(get("docs", j), get("tfs", j), get("max_tf", j), get("min_len", j), idf[j], slow, slow_of)
-                        found.append(held[t])
-                if found:
-                    a, b = np.searchsorted(ids, [query_id, query_id + 1])
-                    rows += [(query_id, int(ids[d]), s) for s, d in best(found, len(ids), k, set(range(a, b)))]
-        columns_ = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table([pa.array(c, pa.int64()) for c in columns_], ["query_id", "doc_id", "score"])
-
-    found = postings.groupBy("shard", "block").cogroup(asked_of.groupBy("to_shard", "of_block")).applyInArrow(answer, "query_id long, doc_id long, score long")
+    pairs = F.array_sort(F.collect_set(F.struct("term", F.col("df").cast("int").alias("df"))))
+    queries = weighed.groupBy("query_id").agg(pairs.alias("pairs"))
+    groups = grouped(index)
+    n_groups = groups.agg(F.max("group")).first()[0]
+    first = F.pmod(F.xxhash64("query_id"), F.lit(max(1, (n_groups or 0) + 1))).cast("long")
+    queries = cut_lineage(queries.select("query_id", F.col("pairs.term").alias("terms_of"), F.col("pairs.df").alias("dfs_of"), first.alias("first")))
+
+    shards = index.join(groups, "shard").drop("shard", "n_words", "postings")
+
+    def answered(asking: DataFrame) -> DataFrame:
+        rows = shards.unionByName(asking, allowMissingColumns=True)
+        rows = rows.repartition("group").sortWithinPartitions("group", F.col("query_id").asc_nulls_first())
+        return cut_lineage(rows.mapInArrow(answering(k, n, mean), "query_id long, doc_id long, score long"))
+
+    zero = F.lit(0).cast("long")
+    found = answered(queries.select("query_id", "terms_of", "dfs_of", F.col("first").alias("group"), zero.alias("least")))
+    # What comes from other groups has to reach the k-th score: equal ones are told apart by their ids.
+    reached = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    reached = reached.select("query_id", F.when(F.col("n") >= k, F.col("low") - 1).otherwise(0).alias("least"))
+    others = F.explode(F.filter(F.sequence(zero, F.lit(n_groups or 0).cast("long")), lambda g: g != F.col("first"))).alias("group")
+    told = queries.join(reached, "query_id", "left").select("query_id", "terms_of", "dfs_of", F.coalesce("least", zero).alias("least"), others)
+    found = found.unionByName(answered(told)) if n_groups else found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "doc_id", (F.col("score") / F.lit(float(UNIT))).alias("score"))
@@ -323,7 +329,6 @@ WITH words AS (
   SELECT word, ln(1 + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, size GROUP BY word HAVING count(*) > 1
 ), asked AS (
   SELECT doc_id AS query_id, word, idf FROM (SELECT doc_id, word, max(tf) AS tf FROM tf WHERE doc_id % 100 = 0 GROUP BY ALL) JOIN df USING (word)
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY floor(tf * idf * 1000000 + 0.5::DOUBLE) DESC, word) <= 16
 ), scored AS (
   SELECT query_id, tf.doc_id, tf.row_, sum(floor(1000000 * (idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)))) + 0.5::DOUBLE)::BIGINT)::BIGINT AS s
   FROM asked JOIN tf USING (word) JOIN lengths USING (row_), size WHERE tf.doc_id <> query_id GROUP BY ALL

@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pyspark.sql.functions as F
 from helpers import connect, difference, documents, folder_tables
 
@@ -12,11 +15,19 @@ def check(docs):
     assert difference(ranked_search.search(docs, F.col("doc_id") % 100 == 0), connect(documents=docs), SQL) is None
 
 
-def test_random_words_small_shards(spark, monkeypatch):
+def small(monkeypatch):
+    monkeypatch.setattr(ranked_search, "GROUP_POSTINGS", 700)
+
+
+def test_random_words_small_groups(spark, monkeypatch):
+    small(monkeypatch)
     rnd = random.Random(6)
     words = [f"w{int(rnd.expovariate(0.02))}" for _ in range(4000)]
     rows = [(i * 5, " ".join(rnd.choices(words, k=rnd.randint(0, 40)))) for i in range(400)]
-    check(documents(spark, rows))
+    docs = documents(spark, rows).repartition(9)
+    index = docs.select("doc_id", "text").mapInArrow(ranked_search.build, ranked_search.INDEX)
+    assert ranked_search.grouped(index).agg(F.max("group")).first()[0] >= 4
+    check(docs)
 
 
 def test_ties_and_odd_rows(spark):
@@ -33,32 +44,80 @@ def test_given_table(spark):
     check(folder_tables(spark, "documents")["documents"])
 
 
-def test_pruned_walk_is_exact():
-    import numpy as np
+def row_of(shard, k):
+    row = shard.index(k).to_pylist()[0]
+    return row | {c: np.frombuffer(row[c], kind) for c, kind in ranked_search.BLOBS.items()}
+
+
+def group_of(rnd, n, kinds, shards=3):
+    """A group of random documents with few frequent and many rare terms, and its documents' scores by hand."""
+    parts, terms_of = [], []
+    for k in range(shards):
+        shard = ranked_search.Shard()
+        for i in range(n):
+            words = [f"t{int(x)}" for x in rnd.zipf(1.3, int(rnd.integers(20, 200))) if x < kinds]
+            shard.add(k * n + i, words, 1, HASHES)
+            terms_of.append(words)
+        parts.append(row_of(shard, k))
+    return ranked_search.Group(parts, 90.0), terms_of
+
+
+HASHES = ranked_search.Hashes()
 
+
+def number(word):
+    return int(np.uint64(HASHES[word]).view(np.int64))
+
+
+def by_hand(terms_of, query, idf, k, own):
+    found = []
+    for d, words in enumerate(terms_of):
+        tf, slow = Counter(words), 1.2 * (0.25 + 0.75 * len(words) / 90.0)
+        score = sum(int(np.floor(1_000_000 * (idf[w] * (tf[w] * 2.2 / (tf[w] + slow))) + 0.5)) for w in query if w in tf)
+        if score and d != own:
+            found.append((score, d))
+    return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def test_pruning_is_exact_and_skips():
     rnd = np.random.default_rng(3)
-    for _ in range(60):
-        n = 3000
-        lengths = rnd.integers(5, 400, n)
-        slow_of = lambda x: 1.2 * (0.25 + 0.75 * x / 100)
-        lists, total = [], np.zeros(n, np.int64)
-        for _ in range(6):
-            docs = np.sort(rnd.choice(n, rnd.integers(1, 1500), replace=False)).astype(np.int32)
-            tfs = rnd.geometric(0.4, len(docs)).astype(np.int32)
-            starts = np.arange(0, len(docs), ranked_search.BLOCK)
-            p = ranked_search.Postings(docs, tfs, np.maximum.reduceat(tfs, starts), np.minimum.reduceat(lengths[docs], starts), float(rnd.uniform(0.1, 6)), slow_of(lengths), slow_of)
-            lists.append(p)
-            total[docs] += p.scores(0, len(docs))
-        own = {int(np.argmax(total))}
-        want = [(int(total[d]), int(d)) for d in np.lexsort((np.arange(n), -total)) if total[d] > 0 and int(d) not in own][:10]
-        assert ranked_search.best(lists, n, 10, own) == want
+    group, terms_of = group_of(rnd, 700, 5000)
+    df = Counter(w for words in terms_of for w in set(words))
+    idf = {w: float(np.log(1 + (len(terms_of) - x + 0.5) / (x + 0.5))) for w, x in df.items()}
+    lengths = []
+    for d in [int(x) for x in rnd.choice(len(terms_of), 40, replace=False)] + [int(np.argmax([len(set(w)) for w in terms_of]))]:
+        query = sorted(set(terms_of[d]), key=number)
+        lengths.append(len(query))
+        numbers, weights = np.array([number(w) for w in query]), np.array([idf[w] for w in query])
+        want = by_hand(terms_of, query, idf, 10, d)
+        assert group.best(d, numbers, weights, 10, 0) == want
+        for at in (0, 4, 9):
+            least = want[at][0] - 1
+            assert group.best(d, numbers, weights, 10, least) == [x for x in want if x[0] > least]
+    assert group.read < 0.6 * group.asked
+
+
+def test_blocks_are_skipped_for_long_queries():
+    # Queries of over 100 terms: most postings are those of frequent words, which are put off.
+    rnd = np.random.default_rng(5)
+    group, _ = group_of(rnd, 2000, 3000, shards=2)
+    topic = [f"topic{k}" for k in range(60)]
+    shard = ranked_search.Shard()
+    for i in range(30):
+        shard.add(10_000 + i, topic[: 60 - i] + [f"t{k}" for k in range(1, 80)], 1, HASHES)
+    full = ranked_search.Group([row_of(shard, 9)], 90.0)
+    query = sorted(topic + [f"t{k}" for k in range(1, 80)], key=number)
+    numbers = np.array([number(w) for w in query])
+    weights = np.array([8.0 if w.startswith("topic") else 0.2 for w in query])
+    best = full.best(10_000, numbers, weights, 10, 0)
+    assert len(query) > 100 and len(best) == 10
+    # The other group starts from the k-th score and has nothing to add.
+    assert group.best(10_000, numbers, weights, 10, best[-1][0] - 1) == []
+    assert group.read == 0 and group.asked > 0
 
 
 def plain_search(rows, k=10):
     """BM25 of whole documents without an index, in whole millionths."""
-    import math
-    from collections import Counter
-
     tfs = [Counter(text.split()) for _, text in rows]
     df, n = Counter(w for tf in tfs for w in tf), len(rows)
     mean = sum(sum(tf.values()) for tf in tfs) / n
