@@ -5,11 +5,14 @@ ends with one).  Its probabilities, with lower orders by the number of distinct
 out for all n-grams met in any language and kept in sorted arrays of their hashes, one for each order
 with a column for each language; so are the weights that a context leaves to the lower order.  A text
 has, in each language, a cross-entropy for each character; the lowest one wins.  The score is the share of
-the winner among exp(-b * cross-entropy), with b fitted on the learning sample.  A text whose lowest
-cross-entropy is above what the learning texts of that language show is marked as rejected.
+the winner among exp(-b * cross-entropy), with b fitted on texts that the models have not seen.  The same texts
+show where cross-entropies of a language lie, and, with the letters of each word shuffled, where those of texts
+lie that are no language.  A text is marked as rejected if its lowest cross-entropy is nearer to the latter: above the
+language's middle by more than ``PART`` of the way, and a margin that short texts need.
 
-Learning takes a bounded sample: about ``DOCS_PER_LANGUAGE`` whole texts of each language, by a hash of
-the id, without held-out rows.  n-grams are counted in tasks; the driver gets the counts of the sample.
+Learning takes a bounded sample: about ``DOCS_PER_LANGUAGE`` whole texts and ``BYTES_PER_LANGUAGE`` bytes of each
+language, by a hash of id and text, without held-out rows.  A part of it, ``HELD_BACK``, is for the calibration alone.
+n-grams are counted in tasks; the driver gets the counts of the sample.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, and rejected; so is every text if
 there is nothing to learn from; ties go to the language that sorts first; repeated rows get repeated
@@ -18,6 +21,7 @@ results, an empty table an empty one; other columns are carried where asked for.
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +34,16 @@ from pyspark.sql import functions as F
 from eventbook.llm.common import held_out, portion, steps
 
 ORDER = 5
-#: Bounds of the learning sample (expected number of whole texts of each language).
-DOCS_PER_LANGUAGE = 1000
+#: Bounds of the sample (expected whole texts and bytes of each language), and the part that calibrates.
+DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE, HELD_BACK = 1250, 8 << 20, 0.2
 BEGIN, END = "\x02", "\x03"
-#: A text is rejected beyond the learning texts' highest cross-entropy and this margin (nats a character).
-MARGIN = 1.0
-#: Fewest characters of a learning text that counts for the calibration.
+#: Part of the way from a language to shuffled letters, and standard deviations of chance in short texts, up to
+#: which a text is kept.
+PART, CHANCE = 0.6, 4.0
+#: Fewest held-back texts that show where a language lies; with fewer, texts are rejected that are further above the
+#: highest of the learning texts than a margin (nats a character).
+ENOUGH, MARGIN = 20, 1.0
+#: Fewest characters of a text that counts for the calibration.
 CALIBRATION_CHARS = 40
 CACHE_WORDS, CACHE_CHARS = 600_000, 48
 UNKNOWN = "und"
@@ -96,7 +104,13 @@ class Model:
     contexts: list[Table]
     unseen: float
     sharpness: float = 1.0
-    highest: np.ndarray | None = None
+    #: For each language the highest cross-entropy that is kept, and the standard deviation of one character.
+    bounds: np.ndarray | None = None
+
+    def highest(self, language: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The highest cross-entropy of texts of some length that is not rejected."""
+        bound, of_char = self.bounds[language].T
+        return bound + CHANCE * of_char / np.sqrt(np.maximum(chars, 1))
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """For n-grams of the highest order (rows of code points), a column for each language."""
@@ -223,45 +237,57 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
     """A model from ``doc_id, text, lang``; None if there is nothing to learn from."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    if not found:
         return None
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n)))), F.col("lang"))
-    sample = rows.where(portion(F.col("doc_id")) < share).select("lang", "text")
+    shares = {r["lang"]: min(1.0, per_language / r["n"], BYTES_PER_LANGUAGE / max(1, r["bytes"])) for r in found}
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
+    # Dealt by id and text: rows of one id are not taken or left together.
+    chance = lambda seed: portion(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.xxhash64("text")))
+    sample = rows.where(chance("sample") < share).select("lang", "text", (chance("part") < HELD_BACK).alias("back"))
     counts: dict[str, Counter] = defaultdict(Counter)
-    counted = sample.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # A language of a few texts needs them all.
+    few = F.col("lang").isin([r["lang"] for r in found if r["n"] * HELD_BACK < ENOUGH])
+    learned = sample.where(~F.col("back") | few)
+    counted = learned.select("lang", "text").mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     for r in counted.toLocalIterator():
         counts[r["lang"]][r["gram"]] = r["n"]
     if not counts:
         return None
     model = kneser_ney(counts)
-    calibrate(model, sample)
+    calibrate(model, sample.where(F.col("back") | few).select("lang", "text"))
     return model
 
 
 def calibrate(model: Model, sample: DataFrame) -> None:
-    """Sharpness of the score and the highest cross-entropy of each language, from the sample."""
+    """Sharpness of the score, and the highest cross-entropies that are kept."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in steps(batches, "text"):
-            sums = scorer.sums(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            sums, mixed = scorer.sums(texts), scorer.sums(list(map(shuffled, texts)))
             chars = sums[:, -1]
-            values = pa.array(list(sums[:, :-1] / np.maximum(chars, 1)[:, None]), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), values, pa.array(chars)], ["lang", "h", "chars"])
+            h, none = (x[:, :-1] / np.maximum(x[:, -1], 1)[:, None] for x in (sums, mixed))
+            arrays = [batch.column("lang"), pa.array(list(h), pa.list_(pa.float64())), pa.array(none.min(axis=1)), pa.array(chars)]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "h", "none", "chars"])
 
-    rows = sample.mapInArrow(run, "lang string, h array<double>, chars double").where(F.col("chars") >= CALIBRATION_CHARS).collect()
+    rows = sample.mapInArrow(run, "lang string, h array<double>, none double, chars double").where(F.col("chars") >= CALIBRATION_CHARS).collect()
     shared.unpersist()
-    model.highest = np.full(len(model.languages), np.inf)
+    model.bounds = np.tile([np.inf, 0.0], (len(model.languages), 1))
+    rows = [r for r in rows if r["lang"] in model.languages]
     if not rows:
         return
-    h = np.array([r["h"] for r in rows])
+    h, none, chars = (np.array([r[c] for r in rows]) for c in ("h", "none", "chars"))
     own = np.array([model.languages.index(r["lang"]) for r in rows])
     right = h.argmin(axis=1) == own
     for k in range(len(model.languages)):
-        if (right & (own == k)).any():
-            model.highest[k] = h[right & (own == k), k].max() + MARGIN
+        here = right & (own == k)
+        if here.sum() >= ENOUGH:
+            model.bounds[k] = bound_of(h[here, k], none[here], chars[here])
+        elif here.any():
+            model.bounds[k, 0] = h[here, k].max() + MARGIN
     best = (np.inf, 1.0)
     for b in 2.0 ** np.arange(-3, 8):
         x = -b * (h - h.min(axis=1, keepdims=True))
@@ -270,6 +296,18 @@ def calibrate(model: Model, sample: DataFrame) -> None:
     model.sharpness = best[1]
 
 
+def shuffled(text: str) -> str:
+    """The text with the letters of each word in another order, always the same."""
+    chance = random.Random(text)
+    return " ".join("".join(chance.sample(word, len(word))) for word in text.split())
+
+
+def bound_of(h: np.ndarray, none: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """The bound and a character's standard deviation, by medians: a few odd texts do not move them."""
+    middle = np.median(h)
+    return np.array([middle + PART * max(0.0, np.median(none) - middle), 1.4826 * np.median(np.abs(h - middle) * np.sqrt(chars))])
+
+
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
@@ -285,7 +323,7 @@ def predicted(model: Model | None, sums: np.ndarray) -> list[pa.Array]:
     score = 1 / np.exp(-model.sharpness * (h - lowest[:, None])).sum(axis=1)
     none = chars == 0
     names = np.where(none, UNKNOWN, np.array(model.languages, object)[best])
-    return [pa.array(names.tolist(), pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(lowest, mask=none), pa.array(none | (lowest > model.highest[best]))]
+    return [pa.array(names.tolist(), pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(lowest, mask=none), pa.array(none | (lowest > model.highest(best, chars)))]
 
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, columns: tuple[str, ...] = ("doc_id",), per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:

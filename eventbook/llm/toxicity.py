@@ -2,9 +2,10 @@
 
 The lexicon is learned: words that occur in far more toxic than other texts of a bounded labelled sample.
 It is held as a trie.  A word of a text that is no term itself meets the trie with the word's Levenshtein
-automaton (one edit), walked along the trie's branches; a term and a word one edit apart are alike once a
-letter is left out of one or both, so words without such a likeness need no walk.  Words
-near a term that the sample's other texts use are no misspellings.
+automaton, walked along the trie's branches; a swap of neighbouring letters is one edit.  Terms of at least
+``MIN_FUZZY`` letters are found with one edit, those of at least ``MIN_TWO`` with two.  A term and a word so many
+edits apart are alike once as many letters are left out of one or both, so words without such a likeness need no
+walk.  Words near a term that the sample's other texts use are no misspellings.
 
 A hit's context is the window of words around it: a hit between an opening and a closing quotation mark
 counts as quoted, not as abuse; hits close together count as more than the same number apart.  A
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 from eventbook.llm.common import held_out, portion, steps
 from eventbook.session import cut_lineage
 
-#: Bounds: labelled texts that are learned from (expected), terms of the lexicon.
-MAX_LABELLED, MAX_TERMS = 20_000, 5_000
+#: Bound: labelled texts that are learned from (expected).  It bounds the lexicon as well.
+MAX_LABELLED = 20_000
 #: A term occurs in that many toxic texts and by that factor more often in toxic texts.
 MIN_TOXIC, MIN_RATIO = 3, 15.0
-#: Words on each side of a hit that are its context; fewest letters of terms that are matched with an edit.
-WINDOW, MIN_FUZZY = 8, 5
+#: Words on each side of a hit that are its context; fewest letters of terms matched with one edit and with two.
+WINDOW, MIN_FUZZY, MIN_TWO = 8, 5, 11
 THRESHOLD = 0.7
 CACHE_WORDS, CACHE_CHARS = 600_000, 48
 OPENING, CLOSING = frozenset("\"“«„‹"), frozenset("\"”»“›")
@@ -46,18 +47,35 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalnum, word))
 
 
+def edits_of(term: str) -> int:
+    return 0 if len(term) < MIN_FUZZY else 1 if len(term) < MIN_TWO else 2
+
+
+def without(word: str, letters_: int) -> set[str]:
+    """The word with up to so many letters left out."""
+    found = last = {word}
+    for _ in range(letters_):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
+
 class Automaton:
-    """Levenshtein automaton of a word: states are the reachable (position, edits), best edits only."""
+    """Levenshtein automaton of a word in which a swap of neighbours is one edit.
+
+    A state has the fewest edits for each reachable place: 2 i stands before letter i, 2 i + 1 in the
+    middle of a swap of letters i and i + 1, of which the second has been read.
+    """
 
     def __init__(self, word: str, edits: int = 1):
         self.word, self.edits = word, edits
 
     def closed(self, state: dict[int, int]) -> tuple[tuple[int, int], ...]:
-        """With the positions that leaving letters of the word out reaches."""
-        for i in sorted(state):
-            while i < len(self.word) and state[i] < self.edits and state.get(i + 1, self.edits + 1) > state[i] + 1:
-                state[i + 1] = state[i] + 1
-                i += 1
+        """With the places that leaving letters of the word out reaches."""
+        for place in sorted(p for p in state if not p & 1):
+            while place < 2 * len(self.word) and state[place] < self.edits and state.get(place + 2, self.edits + 1) > state[place] + 1:
+                state[place + 2] = state[place] + 1
+                place += 2
         return tuple(sorted(state.items()))
 
     def start(self) -> tuple[tuple[int, int], ...]:
@@ -65,17 +83,24 @@ class Automaton:
 
     def step(self, state: tuple[tuple[int, int], ...], char: str) -> tuple[tuple[int, int], ...]:
         new: dict[int, int] = {}
-        for i, e in state:
-            moves = [(i, e + 1)]  # a letter too many
-            if i < len(self.word):
-                moves.append((i + 1, e if self.word[i] == char else e + 1))
-            for j, f in moves:
-                if f <= self.edits and f < new.get(j, self.edits + 1):
-                    new[j] = f
+        for place, e in state:
+            i = place >> 1
+            if place & 1:
+                moves = [(place + 3, e)] if self.word[i] == char else []
+            else:
+                moves = [(place, e + 1)]  # a letter too many
+                if i < len(self.word):
+                    moves.append((place + 2, e if self.word[i] == char else e + 1))
+                if i + 1 < len(self.word) and self.word[i + 1] == char:
+                    moves.append((place + 1, e + 1))
+            for to, f in moves:
+                if f <= self.edits and f < new.get(to, self.edits + 1):
+                    new[to] = f
         return self.closed(new)
 
-    def accepts(self, state: tuple[tuple[int, int], ...]) -> bool:
-        return any(i == len(self.word) for i, _ in state)
+    def distance(self, state: tuple[tuple[int, int], ...]) -> int | None:
+        """Edits to the word, None if they are too many."""
+        return next((e for place, e in state if place == 2 * len(self.word)), None)
 
 
 class Trie:
@@ -83,28 +108,35 @@ class Trie:
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
-        #: Terms, and terms with a letter left out.
-        self.shortened: set[str] = set(terms)
+        #: Terms with as many letters left out as they allow edits: of one edit and more, and of two.
+        self.one: set[str] = set()
+        self.two: set[str] = set()
         for term in terms:
             node = self.root
             for char in term:
                 node = node.setdefault(char, {})
             node[""] = term
-            self.shortened.update(term[:i] + term[i + 1 :] for i in range(len(term)))
+            if edits_of(term):
+                self.one |= without(term, 1)
+            if edits_of(term) == 2:
+                self.two |= without(term, 2)
 
     def possible(self, word: str) -> bool:
-        """False only if no term is within one edit."""
-        return word in self.shortened or any(word[:i] + word[i + 1 :] in self.shortened for i in range(len(word)))
+        """False only if no term is near enough."""
+        if not self.one.isdisjoint(without(word, 1)):
+            return True
+        return len(word) >= MIN_TWO - 2 and bool(self.two) and not self.two.isdisjoint(without(word, 2))
 
     def near(self, word: str) -> list[str]:
-        """All terms that the word's automaton accepts."""
-        automaton, found = Automaton(word), []
+        """All terms that the word's automaton accepts with no more edits than the term allows."""
+        automaton, found = Automaton(word, 2 if len(word) >= MIN_TWO - 2 else 1), []
         stack = [(self.root, automaton.start())]
         while stack:
             node, state = stack.pop()
             for char, below in node.items():
                 if not char:
-                    if automaton.accepts(state):
+                    distance = automaton.distance(state)
+                    if distance is not None and distance <= edits_of(below):
                         found.append(below)
                 elif after := automaton.step(state, char):
                     stack.append((below, after))
@@ -127,7 +159,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.trie = Trie([t for t in model.terms if len(t) >= MIN_FUZZY])
+        self.trie = Trie([t for t in model.terms if edits_of(t)])
         self.longest = max(map(len, model.terms), default=0)
         self.clear()
 
@@ -148,7 +180,7 @@ class Scorer:
         word = letters(raw)
         if word in self.model.terms:
             return self.hit(word, False)
-        if not MIN_FUZZY - 1 <= len(word) <= self.longest + 1 or word in self.model.clean or not self.trie.possible(word):
+        if not MIN_FUZZY - 1 <= len(word) <= self.longest + 2 or word in self.model.clean or not self.trie.possible(word):
             return 0
         near = self.trie.near(word)
         return self.hit(max(near, key=lambda t: (self.model.terms[t], t)), True) if near else 0
@@ -204,7 +236,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen[toxic].update(set(map(letters, text.split())))
-        words = [w for w in {**seen[0], **seen[1]} if 2 < len(w) <= CACHE_CHARS]
+        words = [w for w in {**seen[0], **seen[1]} if w]
         counts = [pa.array([s[w] for w in words], pa.int64()) for s in (seen[1], seen[0])]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], ["word", "toxic", "other"])
 
@@ -240,11 +272,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
         return Model(constant=share)
     words = cut_lineage(texts.mapInArrow(count_words, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("other") + 0.5) / (other + 1))
-    found = words.where((F.col("toxic") >= MIN_TOXIC) & (ratio >= MIN_RATIO)).select("word", F.log(ratio).alias("w"), "toxic")
-    terms = {r["word"]: r["w"] for r in found.orderBy(F.desc("toxic"), "word").limit(MAX_TERMS).collect()}
+    found = words.where((F.col("toxic") >= MIN_TOXIC) & (ratio >= MIN_RATIO)).select("word", F.log(ratio).alias("w"))
+    terms = {r["word"]: r["w"] for r in found.orderBy("word").collect()}
     model = Model(terms)
     if terms:
-        trie = Trie([t for t in terms if len(t) >= MIN_FUZZY])
+        trie = Trie([t for t in terms if edits_of(t)])
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

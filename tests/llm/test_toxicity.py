@@ -10,23 +10,35 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits, a swap of neighbours being one (no letter is edited twice)."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
-def test_automaton_and_trie_find_all_within_one_edit():
+def test_automaton_and_trie_find_all_within_their_edits():
     rnd = random.Random(9)
-    terms = list({"".join(rnd.choices("abc", k=rnd.randint(4, 7))) for _ in range(60)})
-    trie = toxicity.Trie(terms)
-    for _ in range(600):
-        word = "".join(rnd.choices("abcd", k=rnd.randint(3, 8)))
-        want = sorted(t for t in terms if distance(word, t) <= 1)
+    terms = list({"".join(rnd.choices("ab", k=rnd.randint(3, 13))) for _ in range(120)})
+    trie = toxicity.Trie([t for t in terms if toxicity.edits_of(t)])
+    hits = 0
+    for _ in range(1500):
+        word = "".join(rnd.choices("abc", [4, 4, 1], k=rnd.randint(2, 14)))
+        want = sorted(t for t in terms if toxicity.edits_of(t) and distance(word, t) <= toxicity.edits_of(t))
         assert sorted(trie.near(word)) == want
         assert trie.possible(word) or not want
+        hits += bool(want)
+    assert hits > 300
+
+
+def test_common_misspellings():
+    trie = toxicity.Trie(["idiot", "horrible", "disrespectful"])
+    words = ("idoit", "idot", "horribel", "horirbel", "horible", "ids", "disrepsecftul", "disrespetfulll", "disresfulll")
+    assert [trie.near(w) for w in words] == [["idiot"], ["idiot"], ["horrible"], [], ["horrible"], [], ["disrespectful"], [], []]
+    assert trie.near("disrespetfull") == ["disrespectful"]
 
 
 def test_held_out_labels(spark):
@@ -58,7 +70,7 @@ def made(spark):
 
 def test_misspelled_and_quoted(spark):
     rows, labels = made(spark)
-    more = [(1000, "plain1 you horible creture plain2 you dreadfull horribble plain3"), (1001, "plain1 “they wrote horrible here” plain2 plain3 plain4 plain5"), (1002, "")]
+    more = [(1000, "plain1 you horible craeture plain2 you dredful horrbile plain3"), (1001, "plain1 “they wrote horrible here” plain2 plain3 plain4 plain5"), (1002, "")]
     more += [(None, None), (1003, "plain4"), (1003, "plain4"), (1004, "plain5 " * 30_000)]
     labels += [(None, 1, 1), (1, None, None), (77_777, 0, 1)]
     got = toxicity.score(documents(spark, rows + more), spark.createDataFrame(labels, LABELS))
