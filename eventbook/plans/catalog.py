@@ -28,6 +28,7 @@ from eventbook.session import run_folder
 from eventbook.sources.adapter import AS_OF, SourceModel
 from eventbook.sources.tables import BookingTables, read_tables, typed_from_text, write_tables
 from eventbook.streaming.admission import stream_day_admission, stream_workshop_admission
+from eventbook.streaming.joined_payments import stream_joined_payments
 from eventbook.streaming.occupancy import stream_occupancy, stream_workshop_occupancy
 from eventbook.streaming.payments import stream_payments
 
@@ -578,3 +579,18 @@ _streams("stream_payments", "orders")(lambda m, a, f: _streamed_payments(m, a, f
 _streams("stream_paid_reservations", "orders")(
     lambda m, a, f: _streamed_payments(m, a, f, "ConferenceReservationDays").select("ReservationDayID", "Paid")
 )
+
+
+@_query("stream_joined_payments")
+def _stream_joined_payments(m: SourceModel) -> DataFrame:
+    """Payments and reservations as two streams; the last payments come first, and each part of them twice."""
+    folder, paid, booked = run_folder(m.spark, "joined"), run_folder(m.spark, "paid"), run_folder(m.spark, "booked")
+    parts = _arrivals(m, "orders")
+    for first, last in zip(parts, reversed(parts), strict=True):
+        first.write.mode("append").parquet(booked)
+        last.unionByName(last).write.mode("append").parquet(paid)
+        payments = SourceModel(m.spark, m.folder, arrivals={"orders": paid}).tables["Payments"]
+        reservations = SourceModel(m.spark, m.folder, arrivals={"orders": booked}).tables["ConferenceReservationDays"]
+        # Orders of all years come in every part.
+        out = stream_joined_payments(payments, reservations, m.tables, folder, late=10_000)
+    return out["Clients"].select("ClientID", "ServiceCounter")

@@ -765,6 +765,8 @@ ORACLES["stream_paid_reservations"] = _sql(
 
 # The same rows when they arrive in several batches, in order of their keys.
 ORACLES |= {f"{name}_batches": text for name, text in ORACLES.items() if name.startswith("stream_")}
+# Reservations as a stream as well: the same counts in whatever order events come.
+ORACLES["stream_joined_payments"] = ORACLES["stream_payments"]
 
 # Tables that break each rule at fixed key steps: which rows do follows from the steps.
 _STEPS = {"Conferences": 7, "ConferenceDays": 13}

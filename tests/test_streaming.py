@@ -1,10 +1,11 @@
 import random
 
-from fixture import frame, reservation, rows, tables
+from fixture import day, frame, moment, reservation, rows, tables
 
 from eventbook.operators import capacity, lifecycle
 from eventbook.session import run_folder
 from eventbook.streaming.admission import stream_day_admission
+from eventbook.streaming.joined_payments import paid_events, stream_joined_payments
 from eventbook.streaming.occupancy import stream_occupancy
 from eventbook.streaming.payments import stream_payments
 
@@ -62,3 +63,37 @@ def test_payments(spark):
     _, stream = arrivals(spark, t["Payments"], ["PaymentID = 1", "PaymentID > 1"])
     for name, df in stream_payments(stream, t, run_folder(spark, "payments")).items():
         assert rows(df) == rows(lifecycle.apply_payments(t)[name])
+
+
+def test_payments_and_reservations_in_any_order(spark):
+    t = tables(spark)
+    want = {name: rows(df) for name, df in lifecycle.apply_payments(t).items()}
+    pay, res = t["Payments"], t["ConferenceReservationDays"]
+    orders = [[("p", "true"), ("r", "true")], [("r", "ReservationDayID > 2"), ("p", "PaymentID > 1"), ("p", "PaymentID < 3"), ("r", "ReservationDayID < 4")], [("r", "true"), ("p", "PaymentID = 2"), ("p", "true")]]
+    for arriving in orders:
+        folder, paid, booked = (run_folder(spark, n) for n in ("joined", "paid", "booked"))
+        for df, place in ((pay, paid), (res, booked)):
+            df.limit(0).write.parquet(place)
+        for kind, part in arriving:  # a run for each arrival; payments that come twice count once
+            df, place = (pay, paid) if kind == "p" else (res, booked)
+            df.filter(part).coalesce(1).write.mode("append").parquet(place)
+            streams = [spark.readStream.schema(d.schema).parquet(f) for d, f in ((pay, paid), (res, booked))]
+            out = stream_joined_payments(*streams, t, folder, late=1000)
+        assert {name: rows(df) for name, df in out.items()} == want
+
+
+def test_what_waits_expires(spark):
+    t = tables(spark)
+    pay, res = (t[n].limit(0).drop() for n in ("Payments", "ConferenceReservationDays"))
+    folder, paid, booked = (run_folder(spark, n) for n in ("expiry", "paid", "booked"))
+    sizes = []
+    for k in range(6):  # every arrival is a year later; nothing is ever paid for
+        when = day(f"{2020 + k}-05-01")
+        frame(spark, "Payments", [{"PaymentID": 10 * k + i, "Date": when, "ReservationDayID": 900 + i} for i in range(5)]).write.mode("append").parquet(paid)
+        frame(spark, "ConferenceReservationDays", [reservation(100 * k + i, 11, 1, Date=moment(f"{2020 + k}-05-01 00:00:00")) for i in range(5)]).write.mode("append").parquet(booked)
+        streams = [spark.readStream.schema(d.schema).parquet(f) for d, f in ((pay, paid), (res, booked))]
+        query = paid_events(*streams).writeStream.format("noop").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(sum(s["numRowsTotal"] for p in query.recentProgress[-1:] for s in p["stateOperators"]))
+    # State does not grow with what has ever arrived: the last years' rows at most.
+    assert sizes[-1] <= sizes[1] and max(sizes) <= 3 * sizes[0]
