@@ -50,13 +50,13 @@ def portion(doc_id: Column) -> Column:
     return (F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit(""))).bitwiseAND((1 << 40) - 1)) / float(1 << 40)
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a step holds at most ``limit`` bytes of the text column, or one row."""
+def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a step holds at most ``limit`` bytes of the text column and ``rows`` rows, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
-            if i > start and held + size > limit:
+            if i > start and (held + size > limit or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size

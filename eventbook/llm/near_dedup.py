@@ -36,6 +36,8 @@ ROWS = 4
 MOST_DIFFERENT = 47
 #: The same for the fine sketches: 384 expected, 17.7 standard deviation.
 FINE_BINS, FINE_DIFFERENT = 2048, 468
+#: Texts of a step that makes fine sketches: 16 KB each while it does.
+FINE_ROWS = 1024
 ROUNDS = 4
 SKETCHES = "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, bits array<long>, bands array<long>"
 LOW_BITS = 0x5555555555555555
@@ -61,7 +63,7 @@ def sketch_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Nodes and texts with two bits of each coordinate of a fine sketch."""
-    for batch in steps(batches, "text", 1 << 20):
+    for batch in steps(batches, "text", 1 << 20, FINE_ROWS):
         hashes, sizes = shingles.shingle_sets([t.encode() for t in batch.column("text").to_pylist()])
         bits = shingles.two_bits(shingles.sketches(hashes, sizes, FINE_BINS))
         offsets = pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32))
