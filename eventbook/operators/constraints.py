@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventbook.operators.key_bitmaps import missing_references, repeated_keys
 from eventbook.schema import TABLES
 
 
@@ -63,31 +64,33 @@ def row_violations(df: DataFrame, table: str, kinds: tuple[str, ...] = ("NN", "L
     )
 
 
-def key_violations(df: DataFrame, table: str) -> DataFrame:
-    """Key values that occur more than once."""
+def key_violations(df: DataFrame, table: str, bitmaps: bool = False) -> DataFrame:
+    """Key values that occur more than once; with ``bitmaps`` only rows of suspect words of keys move."""
     key = TABLES[table].key
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("times"))
-        .filter(F.col("times") > 1)
-        .select(
-            *_shape(
-                table,
-                F.lit(f"PK {table}.{key}"),
-                F.col(key),
-                F.concat(F.lit("key occurs "), F.col("times").cast("string"), F.lit(" times")),
-            )
+    if bitmaps:
+        found = repeated_keys(df, key).withColumnRenamed("key", key)
+    else:
+        found = df.groupBy(key).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
+    return found.select(
+        *_shape(
+            table,
+            F.lit(f"PK {table}.{key}"),
+            F.col(key),
+            F.concat(F.lit("key occurs "), F.col("times").cast("string"), F.lit(" times")),
         )
     )
 
 
-def reference_violations(df: DataFrame, table: str, t: Mapping[str, DataFrame]) -> DataFrame:
+def reference_violations(df: DataFrame, table: str, t: Mapping[str, DataFrame], bitmaps: bool = False) -> DataFrame:
     """Rows whose reference names no parent row; an empty reference passes.
 
     One reference is an anti join.  A table with two of them is read once: each parent is a left join
-    on its key, and the rows that found none are listed at the end.
+    on its key, and the rows that found none are listed at the end.  With ``bitmaps`` the rows stay where
+    they are and meet bitmaps of the parents' keys, which are made by jobs of their own.
     """
     spec = TABLES[table]
+    if bitmaps:
+        return missing_references(df, table, t).select(*_shape(table, F.col("rule"), F.col("key"), F.col("message")))
     names = [f"ref_{i}" for i in range(len(spec.foreign_keys))]
     rows = df.select(
         F.col(spec.key).alias("key"), *[F.col(fk.column).alias(name) for fk, name in zip(spec.foreign_keys, names)]
@@ -115,17 +118,19 @@ def violations(
     kinds: tuple[str, ...] = ("NN", "LEN", "CHK", "PK", "FK"),
     tables: tuple[str, ...] = tuple(TABLES),
     parents: Mapping[str, DataFrame] | None = None,
+    bitmaps: bool = False,
 ) -> DataFrame:
     """Every broken rule of the chosen kinds over the chosen tables of ``t``.
 
-    References are looked up in ``parents`` where given, else in ``t`` itself.
+    References are looked up in ``parents`` where given, else in ``t`` itself.  ``bitmaps`` checks keys and
+    references by bitmaps of keys (see ``key_bitmaps``).
     """
     parts = []
     for table in tables:
         if row_rules(table, t[table].columns, kinds):
             parts.append(row_violations(t[table], table, kinds))
         if "PK" in kinds:
-            parts.append(key_violations(t[table], table))
+            parts.append(key_violations(t[table], table, bitmaps))
         if "FK" in kinds and TABLES[table].foreign_keys:
-            parts.append(reference_violations(t[table], table, t if parents is None else parents))
+            parts.append(reference_violations(t[table], table, t if parents is None else parents, bitmaps))
     return reduce(DataFrame.unionByName, parts)

@@ -197,6 +197,9 @@ _query("violations_checks")(lambda m: constraints.violations(m.tables, kinds=("C
 _query("violations_not_null")(lambda m: constraints.violations(_damaged(m), kinds=("NN",)))
 _query("violations_length")(lambda m: constraints.violations(_damaged(m), kinds=("LEN",)))
 _query("violations_fk")(lambda m: constraints.violations(_damaged(m), kinds=("FK",), parents=m.tables))
+_query("violations_fk_bitmaps")(
+    lambda m: constraints.violations(_damaged(m), kinds=("FK",), parents=m.tables, bitmaps=True)
+)
 
 
 def _unruly(m: SourceModel, kind: str) -> DataFrame:
@@ -217,11 +220,15 @@ def _available_day_places_unknown_flags(m: SourceModel) -> DataFrame:
     return capacity.available_day_places(m.tables.replace(ConferenceReservationDays=unknown))
 
 
-@_query("violations_pk")
-def _violations_pk(m: SourceModel) -> DataFrame:
+def _line_keys(m: SourceModel) -> DataFrame:
     """Line items keyed by order and line number, which is not unique, as workshop bookings."""
-    feed = m.scan("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ReservationID"))
-    return constraints.key_violations(feed, "WorkshopsReservations")
+    return m.scan("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ReservationID"))
+
+
+_query("violations_pk")(lambda m: constraints.key_violations(_line_keys(m), "WorkshopsReservations"))
+_query("violations_pk_bitmaps")(
+    lambda m: constraints.key_violations(_line_keys(m), "WorkshopsReservations", bitmaps=True)
+)
 
 
 # Bulk ingest: what arrives, with its new id, rule and code.

@@ -537,6 +537,8 @@ ORACLES["violations_pk"] = """
     SELECT 'WorkshopsReservations' AS table_name, 'PK WorkshopsReservations.ReservationID' AS rule,
            l_orderkey * 10 + l_linenumber AS key, 'key occurs ' || count(*) || ' times' AS message
     FROM lineitem GROUP BY l_orderkey * 10 + l_linenumber HAVING count(*) > 1"""
+ORACLES["violations_fk_bitmaps"] = ORACLES["violations_fk"]
+ORACLES["violations_pk_bitmaps"] = ORACLES["violations_pk"]
 
 # Bulk ingest.
 ORACLES["ingest_clients"] = _sql(
