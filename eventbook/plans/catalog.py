@@ -23,6 +23,7 @@ from eventbook.operators.identity import assign_ids, with_defaults
 from eventbook.operators.ingest import ingest
 from eventbook.operators.range_booking import book_date_ranges
 from eventbook.operators.registrations import admit_workshop_registrations
+from eventbook.operators.stored_updates import cancel_stored, refresh_overdue_stored, store_tables
 from eventbook.schema import TABLES
 from eventbook.session import run_folder
 from eventbook.sources.adapter import AS_OF, SourceModel
@@ -113,6 +114,29 @@ for _name, _table in (
                 m.tables, m.tables["ConferenceReservationDays"].filter("Canceled").select("ReservationDayID")
             )[table]
         )
+
+
+def _stored_cancellations(m: SourceModel, table: str) -> DataFrame:
+    stored = store_tables(m.spark, m.tables, run_folder(m.spark, "partitions"))
+    cancel_stored(stored, m.cancellations())
+    return stored[table].read()
+
+
+def _stored_refresh(m: SourceModel, table: str) -> DataFrame:
+    stored = store_tables(m.spark, m.tables, run_folder(m.spark, "partitions"))
+    refresh_overdue_stored(stored, m.tables["Clients"], AS_OF)
+    return stored[table].read()
+
+
+# The same in tables stored by partitions, of which only those that change are written.
+for _name, _table in (
+    ("", "ConferenceReservationDays"),
+    ("_wres", "WorkshopsReservations"),
+    ("_wreg", "WorkshopRegistration"),
+    ("_creg", "ConferenceDayRegistration"),
+):
+    _query(f"cancel_stored{_name}")(lambda m, table=_table: _stored_cancellations(m, table))
+    _query(f"refresh_overdue_stored{_name}")(lambda m, table=_table: _stored_refresh(m, table))
 _query("apply_payments_reservations")(lambda m: lifecycle.apply_payments(m.tables)["ConferenceReservationDays"])
 _query("apply_payments_clients")(lambda m: lifecycle.apply_payments(m.tables)["Clients"])
 _query("register_date_range")(lambda m: lifecycle.register_date_range(m.tables, m.range_requests(), AS_OF))

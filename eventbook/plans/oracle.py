@@ -310,8 +310,10 @@ _TENTH = "SELECT ReservationDayID FROM crd WHERE ReservationDayID % 10 = 0"
 _OVERDUE = f"SELECT ReservationDayID FROM debts WHERE {_week(AS_OF)} - {_week('\"Date\"')} >= 1"
 for _suffix, _text in _cancelled(_TENTH, _TENTH + " AND NOT Canceled").items():
     ORACLES[f"cancel_reservations{_suffix}"] = _text
+    ORACLES[f"cancel_stored{_suffix}"] = _text
 for _suffix, _text in _cancelled(_OVERDUE, _OVERDUE).items():
     ORACLES[f"refresh_overdue{_suffix}"] = _text
+    ORACLES[f"refresh_overdue_stored{_suffix}"] = _text
 for _suffix, _text in _cascade("SELECT ReservationDayID FROM crd WHERE Canceled").items():
     ORACLES[f"cancel_cascade{_suffix}"] = _text
 
