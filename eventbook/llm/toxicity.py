@@ -19,6 +19,7 @@ repeated results, an empty table an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +38,8 @@ MAX_LABELLED = 20_000
 MIN_TOXIC, MIN_RATIO = 3, 15.0
 #: Words on each side of a hit that are its context; fewest letters of terms matched with one edit and with two.
 WINDOW, MIN_FUZZY, MIN_TWO = 8, 5, 11
+#: Terms of more letters are looked for by their pieces, since the ways to leave out two letters grow with the square.
+LONG = 24
 THRESHOLD = 0.7
 CACHE_WORDS, CACHE_CHARS = 600_000, 48
 OPENING, CLOSING = frozenset("\"“«„‹"), frozenset("\"”»“›")
@@ -60,6 +63,12 @@ def without(word: str, letters_: int) -> set[str]:
     return found
 
 
+def pieces(length: int, edits: int) -> list[tuple[int, int]]:
+    """Parts of a term of so many letters: an edit touches at most two (a swap), so that one stays whole."""
+    n = 2 * edits + 1
+    return [(length * j // n, length * (j + 1) // n) for j in range(n)]
+
+
 class Automaton:
     """Levenshtein automaton of a word in which a swap of neighbours is one edit.
 
@@ -111,11 +120,19 @@ class Trie:
         #: Terms with as many letters left out as they allow edits: of one edit and more, and of two.
         self.one: set[str] = set()
         self.two: set[str] = set()
+        #: By length of long terms: the texts of each of their pieces.
+        self.long: dict[int, list[set[str]]] = {}
         for term in terms:
             node = self.root
             for char in term:
                 node = node.setdefault(char, {})
             node[""] = term
+            if len(term) > LONG:
+                parts = pieces(len(term), 2)
+                found = self.long.setdefault(len(term), [set() for _ in parts])
+                for texts, (a, b) in zip(found, parts, strict=True):
+                    texts.add(term[a:b])
+                continue
             if edits_of(term):
                 self.one |= without(term, 1)
             if edits_of(term) == 2:
@@ -123,14 +140,26 @@ class Trie:
 
     def possible(self, word: str) -> bool:
         """False only if no term is near enough."""
+        if len(word) > LONG - 2 and self.has_piece(word):
+            return True
+        if len(word) > LONG + 2:
+            return False
         if not self.one.isdisjoint(without(word, 1)):
             return True
         return len(word) >= MIN_TWO - 2 and bool(self.two) and not self.two.isdisjoint(without(word, 2))
 
+    def has_piece(self, word: str) -> bool:
+        """Whether a piece of a long term stands in the word within two letters of its place."""
+        for length in range(len(word) - 2, len(word) + 3):
+            for texts, (a, b) in zip(self.long.get(length, ()), pieces(length, 2), strict=False):
+                if any(word[a + shift : b + shift] in texts for shift in range(max(-2, -a), 3)):
+                    return True
+        return False
+
     def near(self, word: str) -> list[str]:
         """All terms that the word's automaton accepts with no more edits than the term allows."""
         automaton, found = Automaton(word, 2 if len(word) >= MIN_TWO - 2 else 1), []
-        stack = [(self.root, automaton.start())]
+        stack, steps_ = [(self.root, automaton.start())], {}
         while stack:
             node, state = stack.pop()
             for char, below in node.items():
@@ -138,11 +167,21 @@ class Trie:
                     distance = automaton.distance(state)
                     if distance is not None and distance <= edits_of(below):
                         found.append(below)
-                elif after := automaton.step(state, char):
-                    stack.append((below, after))
+                else:
+                    # Branches share most of their states.
+                    if (after := steps_.get((state, char))) is None:
+                        after = steps_[state, char] = automaton.step(state, char)
+                    if after:
+                        stack.append((below, after))
         return found
 
 
+@functools.lru_cache(maxsize=1)
+def trie_of(terms: tuple[str, ...]) -> Trie:
+    """The trie of a lexicon, built once by each worker and never sent."""
+    return Trie([t for t in terms if edits_of(t)])
+
+
 @dataclass
 class Model:
     terms: dict[str, float] = field(default_factory=dict)
@@ -159,7 +198,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.trie = Trie([t for t in model.terms if edits_of(t)])
+        self.trie = trie_of(tuple(model.terms))
         self.longest = max(map(len, model.terms), default=0)
         self.clear()
 
@@ -276,9 +315,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     terms = {r["word"]: r["w"] for r in found.orderBy("word").collect()}
     model = Model(terms)
     if terms:
-        trie = Trie([t for t in terms if edits_of(t)])
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = trie_of(tuple(terms))
             for batch in batches:
                 near = [w for w in batch.column("word").to_pylist() if w not in terms and trie.possible(w) and trie.near(w)]
                 yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["word"])

@@ -86,3 +86,30 @@ def test_nothing_to_learn(spark):
     assert toxicity.score(documents(spark, []), none).count() == 0
     one = spark.createDataFrame([(i, 0, 1) for i in range(9)], LABELS)
     assert {r["score"] for r in toxicity.score(documents(spark, [(i, "a b") for i in range(9)]), one).collect()} == {1.0}
+
+
+def test_long_terms_are_found_by_their_pieces():
+    rng = random.Random(5)
+
+    def edited(word, n):
+        for _ in range(n):
+            i, kind = rng.randrange(len(word) - 1), rng.randrange(4)
+            if kind == 0:
+                word = word[:i] + word[i + 1 :]
+            elif kind == 1:
+                word = word[:i] + rng.choice("abc") + word[i:]
+            elif kind == 2:
+                word = word[:i] + rng.choice("abc") + word[i + 1 :]
+            else:
+                word = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
+        return word
+
+    terms = ["".join(rng.choices("abc", k=n)) for n in (22, 23, 24, 25, 26, 27, 40, 400, 3_000)]
+    trie = toxicity.Trie(terms)
+    for term in terms:
+        for n in (0, 1, 2):
+            for _ in range(60):
+                word = edited(term, n)
+                # Edits of one place may cancel the rule against editing a swap again; what the automaton takes counts.
+                assert trie.possible(word) or not trie.near(word)
+    assert not trie.possible("d" * 400) and not trie.possible("d" * 25)
