@@ -2,6 +2,7 @@
 
 The four tables that a cancellation touches are stored in partitions: reservations by the month of their date, the
 others by ranges of the reservation (or booking) id that they follow, so that what belongs together lies together.
+Ranges are as wide as the ids of a table need: sparse ids do not make a partition of a few rows each.
 An update first finds the rows that will really change, then reads their partitions alone, and exchanges these.
 Files of other partitions keep their names.
 
@@ -15,6 +16,7 @@ in the folder beside.  One writer at a time.
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +29,9 @@ from eventbook.session import cut_lineage, drop_written
 from eventbook.sources.tables import BookingTables
 
 PART = "part_"
+#: Ids of a range, and the ranges of a table that hold rows; where there would be more, they are made wider.
 RANGE = 1_000_000
+MOST_RANGES = 256
 UNDATED = "none"
 
 
@@ -35,17 +39,29 @@ def _month(moment: str) -> Column:
     return F.coalesce(F.date_format(F.col(moment), "yyyy-MM"), F.lit(UNDATED))
 
 
-def _range(key: str) -> Column:
-    return F.coalesce(F.floor(F.col(key) / F.lit(RANGE)).cast("string"), F.lit(UNDATED))
+def _range(key: str, width: int) -> Column:
+    return F.coalesce(F.floor(F.col(key) / F.lit(float(width))).cast("string"), F.lit(UNDATED))
 
 
-# What each table is stored by.
-PARTITIONS = {
-    "ConferenceReservationDays": lambda: _month("Date"),
-    "WorkshopsReservations": lambda: _range("ReservationDayID"),
-    "ConferenceDayRegistration": lambda: _range("ReservationDayID"),
-    "WorkshopRegistration": lambda: _range("WorkshopsReservationID"),
+def _range_width(rows: DataFrame, key: str) -> int:
+    """``RANGE``, doubled until at most ``MOST_RANGES`` ranges hold a key of ``rows``."""
+    held = cut_lineage(rows.select(F.floor(F.col(key) / F.lit(float(RANGE))).alias("held")).distinct().dropna())
+    times, count = 1, held.count()
+    while count > MOST_RANGES:
+        times *= 2 ** max(1, math.ceil(math.log2(count / MOST_RANGES)))
+        count = held.select(F.floor(F.col("held") / F.lit(float(times)))).distinct().count()
+    drop_written(held)
+    return RANGE * times
+
+
+# What each table is stored by: the month of a moment, or ranges of ids.
+MONTHS_OF = {"ConferenceReservationDays": "Date"}
+RANGES_OF = {
+    "WorkshopsReservations": "ReservationDayID",
+    "ConferenceDayRegistration": "ReservationDayID",
+    "WorkshopRegistration": "WorkshopsReservationID",
 }
+PARTITIONS = (*MONTHS_OF, *RANGES_OF)
 
 
 class PartitionedTable:
@@ -56,8 +72,18 @@ class PartitionedTable:
 
     def create(self, rows: DataFrame) -> None:
         """Store ``rows``; those of a partition are brought together first, large ones in several files."""
-        placed = rows.withColumn(PART, PARTITIONS[self.table]())
-        placed.repartitionByRange(PART, TABLES[self.table].key).write.partitionBy(PART).parquet(self.path)
+        if self.table in MONTHS_OF:
+            self._together(rows.withColumn(PART, _month(MONTHS_OF[self.table]))).write.partitionBy(PART).parquet(self.path)
+            return
+        key, beside = RANGES_OF[self.table], cut_lineage(rows)
+        placed = beside.withColumn(PART, _range(key, _range_width(beside, key)))
+        self._together(placed).write.partitionBy(PART).parquet(self.path)
+        drop_written(beside)
+
+    @staticmethod
+    def _together(placed: DataFrame) -> DataFrame:
+        """Rows of a partition side by side; adaptive execution puts small partitions into one task and splits large ones."""
+        return placed.hint("rebalance", F.col(PART))
 
     def _scan(self) -> DataFrame:
         names = [c.name for c in TABLES[self.table].columns if not c.secret]
@@ -86,14 +112,8 @@ class PartitionedTable:
             .withColumn(column, F.when(F.col("_id").isNotNull(), True).otherwise(F.col(column)))
             .select(*touched.columns)
         )
-        beside = cut_lineage(new)
-        (
-            beside.repartitionByRange(PART, TABLES[self.table].key)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(PART)
-            .parquet(self.path)
-        )
+        beside = cut_lineage(self._together(new))
+        beside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
         drop_written(beside)
         return parts
 

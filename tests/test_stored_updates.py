@@ -117,3 +117,28 @@ def test_rows_without_date_or_reference(spark, small_ranges):
     assert changed["ConferenceDayRegistration"] == changed["WorkshopRegistration"] == []
     same(stored, cancel_reservations(t, ids))
     assert stored["WorkshopsReservations"].read().filter(F.col("ReservationDayID").isNull()).count() == 1
+
+
+def test_sparse_ids_share_partitions(spark, small_ranges):
+    """Ids of bookings that lie a range or more apart; one lies far from all others."""
+    keys = [40 * k for k in range(1_500)] + [10**12, -7]
+    shops = [
+        {"WorkshopRegistrationID": k, "ConferenceRegistrationID": 1, "WorkshopsReservationID": key, "Canceled": False}
+        for k, key in enumerate(keys)
+    ]
+    bookings = [booking(key, 1, k % 3, 1) for k, key in enumerate(keys)]
+    t = tables(
+        spark,
+        ConferenceReservationDays=[reservation(k, 11, 1) for k in range(3)],
+        WorkshopsReservations=bookings,
+        ConferenceDayRegistration=[],
+        WorkshopRegistration=shops,
+    )
+    stored = store_tables(spark, t, run_folder(spark, "stored"))
+    before, ids = files(stored), spark.createDataFrame([(1,)], "ReservationDayID long")
+    assert 64 < len(before["WorkshopRegistration"]) <= 256
+    assert sum(len(names) for names in before["WorkshopRegistration"].values()) <= 300
+    same(stored, t)
+    assert exchanged(before, files(stored)) == {name: [] for name in PARTITIONS}
+    assert cancel_stored(stored, ids)["WorkshopRegistration"] == exchanged(before, files(stored))["WorkshopRegistration"]
+    same(stored, cancel_reservations(t, ids))
