@@ -13,8 +13,6 @@ from eventbook.streaming.sinks import run_to_end
 
 #: Days after its reservation in which a payment is due, and by which events may be late.
 WITHIN, LATE = 60, 30
-#: Parts of a reservation's payments: a much-paid reservation is not one task's.
-SALTS = 8
 
 
 def paid_events(payments: DataFrame, reservations: DataFrame, late: int = LATE, within: int = WITHIN) -> DataFrame:
@@ -23,23 +21,22 @@ def paid_events(payments: DataFrame, reservations: DataFrame, late: int = LATE,
     A payment waits for its reservation as well as the other way round.  What waits is state: it goes
     when the watermark shows that no partner can come any more, and so do the ids by which repeated
     deliveries are known.  Events that are later than ``late`` days behind the newest ones may be left out.
+    Each of the two sides waits as one row: copies of every reservation, to deal the payments of a much-paid
+    one to several tasks, would be most of the state, and each payment only meets the one row anyway.
     """
-    salt = F.pmod(F.xxhash64("PaymentID"), F.lit(SALTS)).cast("int")
     paid = (
         payments.select("PaymentID", "ReservationDayID", F.col("Date").cast("timestamp").alias("paid_at"))
         .withWatermark("paid_at", f"{late} days")
         .dropDuplicatesWithinWatermark(["PaymentID"])
-        .select("PaymentID", F.col("ReservationDayID").alias("paid_for"), "paid_at", salt.alias("paid_salt"))
+        .select("PaymentID", F.col("ReservationDayID").alias("paid_for"), "paid_at")
     )
     booked = (
         reservations.select("ReservationDayID", F.col("Date").cast("timestamp").alias("booked_at"))
         .withWatermark("booked_at", f"{late} days")
         .dropDuplicatesWithinWatermark(["ReservationDayID"])
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     due = F.expr(f"paid_at >= booked_at AND paid_at <= booked_at + INTERVAL {within} DAYS")
-    same = (F.col("paid_for") == F.col("ReservationDayID")) & (F.col("paid_salt") == F.col("salt"))
-    return paid.join(booked, same & due).select("PaymentID", "ReservationDayID")
+    return paid.join(booked, (F.col("paid_for") == F.col("ReservationDayID")) & due).select("PaymentID", "ReservationDayID")
 
 
 def stream_joined_payments(

@@ -97,3 +97,16 @@ def test_what_waits_expires(spark):
         sizes.append(sum(s["numRowsTotal"] for p in query.recentProgress[-1:] for s in p["stateOperators"]))
     # State does not grow with what has ever arrived: the last years' rows at most.
     assert sizes[-1] <= sizes[1] and max(sizes) <= 3 * sizes[0]
+
+
+def test_each_row_waits_once(spark):
+    t = tables(spark)
+    pay, res = (t[n].limit(0) for n in ("Payments", "ConferenceReservationDays"))
+    folder, paid, booked = (run_folder(spark, n) for n in ("waiting", "paid", "booked"))
+    frame(spark, "Payments", [{"PaymentID": i, "Date": day("2020-05-02"), "ReservationDayID": 900 + i} for i in range(5)]).write.parquet(paid)
+    frame(spark, "ConferenceReservationDays", [reservation(i, 11, 1, Date=moment("2020-05-01 00:00:00")) for i in range(5)]).write.parquet(booked)
+    streams = [spark.readStream.schema(d.schema).parquet(f) for d, f in ((pay, paid), (res, booked))]
+    query = paid_events(*streams).writeStream.format("noop").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    # Ten rows that wait and the ten ids by which repeated deliveries are known.
+    assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress) == 20
