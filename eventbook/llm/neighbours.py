@@ -237,15 +237,17 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, recall: float =
         for batch in batches:
             out = []
             for query_id, query in zip(batch.column("query_id").to_pylist(), matrix(batch.column("query")), strict=True):
+                # The branch of the first leaf comes first.
                 leaves: dict[int, list[int]] = {}
                 for leaf in tree.visits(query, most, sizes, k + 1):
                     leaves.setdefault(tree.branch[leaf], []).append(leaf)
-                out += [(query_id, query, b, part, found) for b, found in leaves.items() for part in range(parts.get(b, 0))]
-            columns = zip(*out, strict=True) if out else ((),) * 5
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "query", "branch", "part", "leaves"])
+                held_ = [b for b in leaves if parts.get(b, 0)]
+                out += [(query_id, query, b, part, leaves[b], b == held_[0]) for b in held_ for part in range(parts[b])]
+            columns = zip(*out, strict=True) if out else ((),) * 6
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "query", "branch", "part", "leaves", "nearest"])
 
-    met = queries.mapInArrow(visit, "query_id long, query array<double>, branch long, part long, leaves array<long>")
+    met = queries.mapInArrow(visit, "query_id long, query array<double>, branch long, part long, leaves array<long>, nearest boolean")
     met = met.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long"))
     of_branch = F.element_at(F.create_map(*(F.lit(x) for b, n_ in parts.items() for x in (b, n_))), F.col("branch"))
     dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_branch).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -255,12 +257,22 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, recall: float =
         out = []
         if len(left) and len(right):
             ids, leaf, rows = left["vec_id"].to_numpy(), left["leaf"].to_numpy(), np.stack(left["vector"].to_numpy())
-            for query_id, query, leaves in zip(right["query_id"], right["query"], right["leaves"], strict=True):
+            for query_id, query, leaves, least in zip(right["query_id"], right["query"], right["leaves"], right["least"], strict=True):
                 of = np.isin(leaf, leaves)
                 if of.any():
                     found, scores = best_of(rows[of], ids[of], query, query_id, k)
+                    found, scores = found[scores >= least], scores[scores >= least]
                     out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    found = dealt.select(*keys, "vec_id", "leaf", "vector").groupBy(*keys).cogroup(met.groupBy(*keys)).applyInPandas(within, "query_id long, vec_id long, score double")
+    def found_in(asking: DataFrame) -> DataFrame:
+        rows = dealt.select(*keys, "vec_id", "leaf", "vector").groupBy(*keys)
+        return rows.cogroup(asking.drop("nearest").groupBy(*keys)).applyInPandas(within, "query_id long, vec_id long, score double")
+
+    # The k-th score of the nearest branch has to be reached in the others; equal ones are told apart by their ids.
+    met, none = cut_lineage(met), F.lit(float("-inf"))
+    near = cut_lineage(ranked_first(found_in(met.where("nearest").withColumn("least", none)), k))
+    reached = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    far = met.where("NOT nearest").join(reached, "query_id", "left").withColumn("least", F.coalesce("reached", none)).drop("reached")
+    found = near.drop("rank").unionByName(found_in(far))
     return ranked_first(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

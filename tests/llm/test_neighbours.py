@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pyspark.sql.functions as F
 from helpers import folder_tables
+from pyspark.sql import DataFrame
 
 from eventbook.llm import neighbours
 
@@ -65,3 +66,23 @@ def test_visits_go_on_until_there_are_enough_rows(spark, monkeypatch):
     rows = [(i, rnd.normal(size=4).tolist(), None) for i in range(400)] + [(i, [30.0 + i, 0.0, 0.0, 0.0], None) for i in range(400, 403)]
     got = search(spark.createDataFrame(rows, SCHEMA))
     assert {q: len(found) for q, found in got.items()} == {q: 20 for q in range(0, 403, 20)}
+
+
+def test_other_branches_return_what_reaches_the_nearest_one(spark, monkeypatch):
+    """Rows that the branches return: at most a few for each answer, however many branches a query visits."""
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 20)
+    monkeypatch.setattr(neighbours, "calibrated", lambda *_: 60)
+    made = []
+    first = neighbours.ranked_first
+
+    def counted(found: DataFrame, k: int) -> DataFrame:
+        made.append(found.count())
+        return first(found, k)
+
+    rnd = np.random.default_rng(2)
+    centres = 4 * rnd.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + 0.3 * rnd.normal(size=8)).tolist(), None) for i in range(2400)]
+    monkeypatch.setattr(neighbours, "ranked_first", counted)
+    got = search(spark.createDataFrame(rows, SCHEMA))
+    assert all(len(found) == 20 for found in got.values()) and len(got) == 120
+    assert made[-1] <= 3 * 20 * len(got)
