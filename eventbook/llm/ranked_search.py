@@ -298,7 +298,8 @@ def search(docs: DataFrame, is_query: Column, k: int = NEAREST, terms: int | Non
 
     def answered(asking: DataFrame) -> DataFrame:
         rows = shards.unionByName(asking, allowMissingColumns=True)
-        rows = rows.repartition("group").sortWithinPartitions("group", F.col("query_id").asc_nulls_first())
+        # A task for each group: by hashes several would meet in one, and a batch would hold the shards of all.
+        rows = rows.repartitionById((n_groups or 0) + 1, F.col("group").cast("int")).sortWithinPartitions("group", F.col("query_id").asc_nulls_first())
         return cut_lineage(rows.mapInArrow(answering(k, n, mean), "query_id long, doc_id long, score long"))
 
     zero = F.lit(0).cast("long")

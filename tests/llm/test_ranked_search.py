@@ -143,3 +143,28 @@ def test_query_is_the_whole_document(spark, tmp_path):
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op1_ranked_search"](spark, str(tmp_path)).collect()
     assert sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"] * 1_000_000)) for r in got) == plain_search(rows)
+
+
+def test_a_task_holds_one_group(spark, monkeypatch):
+    small(monkeypatch)
+    original = ranked_search.answering
+
+    def watched(*of):
+        answer = original(*of)
+
+        def run(batches):
+            def seen():
+                groups = set()
+                for batch in batches:
+                    groups.update(batch.column("group").to_pylist())
+                    assert len(groups) <= 1, groups
+                    yield batch
+
+            yield from answer(seen())
+
+        return run
+
+    monkeypatch.setattr(ranked_search, "answering", watched)
+    rnd = random.Random(8)
+    rows = [(i * 5, " ".join(f"w{int(rnd.expovariate(0.02))}" for _ in range(rnd.randint(0, 40)))) for i in range(400)]
+    check(documents(spark, rows).repartition(9))
