@@ -188,6 +188,10 @@ class Model:
     clean: set[str] = field(default_factory=set)
     weights: np.ndarray | None = None
     constant: float = 0.0
+    scorer: Scorer | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"scorer": None}
 
 
 FEATURES = 8
@@ -269,6 +273,13 @@ class Scorer:
         return before is not None and after is not None
 
 
+def scorer_of(model: Model) -> Scorer:
+    """The model's scorer in this worker: the words that one task has met are known to the next."""
+    if model.scorer is None:
+        model.scorer = Scorer(model)
+    return model.scorer
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``word, toxic, other``: numbers of texts of each class that hold a word."""
     for batch in steps(batches, "text"):
@@ -348,7 +359,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in steps(batches, "text"):
             if model.weights is None:
                 scores, any_hit = np.full(len(batch), model.constant), np.zeros(len(batch))

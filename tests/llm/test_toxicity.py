@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pyspark.sql.functions as F
@@ -113,3 +114,11 @@ def test_long_terms_are_found_by_their_pieces():
                 # Edits of one place may cancel the rule against editing a swap again; what the automaton takes counts.
                 assert trie.possible(word) or not trie.near(word)
     assert not trie.possible("d" * 400) and not trie.possible("d" * 25)
+
+
+def test_words_met_are_known_to_the_next_task():
+    model = toxicity.Model({"horrible": 2.0})
+    toxicity.scorer_of(model).figures(["horible words"])
+    assert set(toxicity.scorer_of(model).kind) == {"horible", "words"}
+    # What a worker has met stays there.
+    assert pickle.loads(pickle.dumps(model)).scorer is None
