@@ -6,8 +6,8 @@ Ranges are as wide as the ids of a table need: sparse ids do not make a partitio
 An update first finds the rows that will really change, then reads their partitions alone, and exchanges these.
 Files of other partitions keep their names.
 
-New versions are written beside the table before any partition is exchanged, and marks are only ever set, so an
-update that ended early is repeated.  Its steps go from the bookings to the reservations, because the cascade follows
+Spark stages the new versions in a folder beside the partitions before it exchanges any, and marks are only ever set,
+so an update that ended early is repeated.  Its steps go from the bookings to the reservations, because the cascade follows
 those that are not cancelled yet; a repeated run finds the same ones until the last step.  Executors may be lost at any
 time.  Only a driver that is lost while it exchanges a partition can leave this one empty; its new version is then still
 in the folder beside.  One writer at a time.
@@ -32,6 +32,8 @@ PART = "part_"
 #: Ids of a range, and the ranges of a table that hold rows; where there would be more, they are made wider.
 RANGE = 1_000_000
 MOST_RANGES = 256
+#: Ids that are sent to every task; the rows that they mark then stay where they are read.
+MOST_SENT = 1_000_000
 UNDATED = "none"
 
 
@@ -71,14 +73,16 @@ class PartitionedTable:
         self.spark, self.path, self.table = spark, f"{folder}/{table}", table
 
     def create(self, rows: DataFrame) -> None:
-        """Store ``rows``; those of a partition are brought together first, large ones in several files."""
+        """Store ``rows``; those of a partition are brought together first, large ones in several files.
+
+        Where ranges are stored, the keys are read once more for their width: cut the lineage of dear rows first.
+        """
         if self.table in MONTHS_OF:
-            self._together(rows.withColumn(PART, _month(MONTHS_OF[self.table]))).write.partitionBy(PART).parquet(self.path)
-            return
-        key, beside = RANGES_OF[self.table], cut_lineage(rows)
-        placed = beside.withColumn(PART, _range(key, _range_width(beside, key)))
-        self._together(placed).write.partitionBy(PART).parquet(self.path)
-        drop_written(beside)
+            part = _month(MONTHS_OF[self.table])
+        else:
+            key = RANGES_OF[self.table]
+            part = _range(key, _range_width(rows, key))
+        self._together(rows.withColumn(PART, part)).write.partitionBy(PART).parquet(self.path)
 
     @staticmethod
     def _together(placed: DataFrame) -> DataFrame:
@@ -100,6 +104,8 @@ class PartitionedTable:
         bound the partitions to be searched.  The list is as long as there are partitions to exchange.
         """
         marks = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
+        sent = marks.count() <= MOST_SENT
+        marks = F.broadcast(marks) if sent else marks
         unset = ~F.coalesce(F.col(column), F.lit(False))
         rows = self._scan() if where is None else self._scan().filter(where)
         found = rows.filter(unset).join(marks, F.col(key) == F.col("_id"), "left_semi").select(PART).distinct()
@@ -112,9 +118,9 @@ class PartitionedTable:
             .withColumn(column, F.when(F.col("_id").isNotNull(), True).otherwise(F.col(column)))
             .select(*touched.columns)
         )
-        beside = cut_lineage(self._together(new))
-        beside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
-        drop_written(beside)
+        # Rows that meet the ids where they are read are still together.
+        new = new if sent else self._together(new)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
         return parts
 
 

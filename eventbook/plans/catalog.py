@@ -23,9 +23,9 @@ from eventbook.operators.identity import assign_ids, with_defaults
 from eventbook.operators.ingest import ingest
 from eventbook.operators.range_booking import book_date_ranges
 from eventbook.operators.registrations import admit_workshop_registrations
-from eventbook.operators.stored_updates import cancel_stored, refresh_overdue_stored, store_tables
+from eventbook.operators.stored_updates import PartitionedTable, cancel_stored, refresh_overdue_stored, store_tables
 from eventbook.schema import TABLES
-from eventbook.session import run_folder
+from eventbook.session import cut_lineage, drop_written, run_folder
 from eventbook.sources.adapter import AS_OF, SourceModel
 from eventbook.sources.tables import BookingTables, read_tables, typed_from_text, write_tables
 from eventbook.streaming.admission import stream_day_admission, stream_workshop_admission
@@ -116,14 +116,26 @@ for _name, _table in (
         )
 
 
-def _stored_cancellations(m: SourceModel, table: str) -> DataFrame:
+def _stored(m: SourceModel) -> dict[str, PartitionedTable]:
+    # Bookings are read again for their registrations, and both for the width of their ranges.
+    written = []
+    for table in ("WorkshopsReservations", "WorkshopRegistration"):
+        written.append(cut_lineage(m.tables[table]))
+        m.tables = m.tables.replace(**{table: written[-1]})
     stored = store_tables(m.spark, m.tables, run_folder(m.spark, "partitions"))
+    for rows in written:
+        drop_written(rows)
+    return stored
+
+
+def _stored_cancellations(m: SourceModel, table: str) -> DataFrame:
+    stored = _stored(m)
     cancel_stored(stored, m.cancellations())
     return stored[table].read()
 
 
 def _stored_refresh(m: SourceModel, table: str) -> DataFrame:
-    stored = store_tables(m.spark, m.tables, run_folder(m.spark, "partitions"))
+    stored = _stored(m)
     refresh_overdue_stored(stored, m.tables["Clients"], AS_OF)
     return stored[table].read()
 

@@ -142,3 +142,17 @@ def test_sparse_ids_share_partitions(spark, small_ranges):
     assert exchanged(before, files(stored)) == {name: [] for name in PARTITIONS}
     assert cancel_stored(stored, ids)["WorkshopRegistration"] == exchanged(before, files(stored))["WorkshopRegistration"]
     same(stored, cancel_reservations(t, ids))
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_only_ids_are_written_beside(spark, t, monkeypatch, most):
+    """Rows of exchanged partitions are written once, however many ids mark them."""
+    beside, cut = [], stored_updates.cut_lineage
+    monkeypatch.setattr(stored_updates, "MOST_SENT", most, raising=False)
+    monkeypatch.setattr(stored_updates, "cut_lineage", lambda df: (beside.append(df.columns), cut(df))[1])
+    stored = store_tables(spark, t, run_folder(spark, "stored"))
+    before, ids = files(stored), spark.createDataFrame([(7,), (51,)], "ReservationDayID long")
+    changed = cancel_stored(stored, ids)
+    assert all(changed.values()) and exchanged(before, files(stored)) == changed
+    assert beside and all(len(columns) == 1 for columns in beside), beside
+    same(stored, cancel_reservations(t, ids))
