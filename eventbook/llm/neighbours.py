@@ -5,7 +5,9 @@ bin first: a priority queue holds the branches met so far by the inner product o
 the best one is opened next.  How many leaves are visited is calibrated: for a sample of queries the true
 neighbours among all rows are found by brute force, and visits widen until the wanted share of them lies
 in visited leaves; a query goes on until its leaves hold as many rows as it asks for.  Leaves of one branch are searched together; branches with many rows are dealt to
-several tasks by a hash of the id, queries in blocks, and the best of each task are merged.
+several tasks by a hash of the id, queries in blocks, and the best of each task are merged.  Branches are searched in
+turns, each of three times as many as all before, nearest first: the k-th score of one turn has to be reached in the
+next, so that a turn returns about three times the k rows of a query, however many branches there are.
 
 Cases: vectors that are null, zero, of another length than most or hold null or non-finite components take
 no part, nor do rows without an id; rows that share an id are one row, the one that sorts first; equal
@@ -237,17 +239,17 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, recall: float =
         for batch in batches:
             out = []
             for query_id, query in zip(batch.column("query_id").to_pylist(), matrix(batch.column("query")), strict=True):
-                # The branch of the first leaf comes first.
+                # Branches by their first leaf: turn 0 has one, then come 3, 12, 48 and so on.
                 leaves: dict[int, list[int]] = {}
                 for leaf in tree.visits(query, most, sizes, k + 1):
                     leaves.setdefault(tree.branch[leaf], []).append(leaf)
                 held_ = [b for b in leaves if parts.get(b, 0)]
-                out += [(query_id, query, b, part, leaves[b], b == held_[0]) for b in held_ for part in range(parts[b])]
+                out += [(query_id, query, b, part, leaves[b], (i.bit_length() + 1) // 2) for i, b in enumerate(held_) for part in range(parts[b])]
             columns = zip(*out, strict=True) if out else ((),) * 6
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "query", "branch", "part", "leaves", "nearest"])
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "query", "branch", "part", "leaves", "turn"])
 
-    met = queries.mapInArrow(visit, "query_id long, query array<double>, branch long, part long, leaves array<long>, nearest boolean")
+    met = queries.mapInArrow(visit, "query_id long, query array<double>, branch long, part long, leaves array<long>, turn int")
     met = met.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long"))
     of_branch = F.element_at(F.create_map(*(F.lit(x) for b, n_ in parts.items() for x in (b, n_))), F.col("branch"))
     dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_branch).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -267,12 +269,15 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, recall: float =
 
     def found_in(asking: DataFrame) -> DataFrame:
         rows = dealt.select(*keys, "vec_id", "leaf", "vector").groupBy(*keys)
-        return rows.cogroup(asking.drop("nearest").groupBy(*keys)).applyInPandas(within, "query_id long, vec_id long, score double")
+        return rows.cogroup(asking.drop("turn").groupBy(*keys)).applyInPandas(within, "query_id long, vec_id long, score double")
 
-    # The k-th score of the nearest branch has to be reached in the others; equal ones are told apart by their ids.
+    # Equal scores are told apart by their ids, so that they are still returned.
     met, none = cut_lineage(met), F.lit(float("-inf"))
-    near = cut_lineage(ranked_first(found_in(met.where("nearest").withColumn("least", none)), k))
-    reached = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
-    far = met.where("NOT nearest").join(reached, "query_id", "left").withColumn("least", F.coalesce("reached", none)).drop("reached")
-    found = near.drop("rank").unionByName(found_in(far))
-    return ranked_first(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    turns = met.agg(F.max("turn")).first()[0]
+    found = ranked_first(found_in(met.where("turn = 0").withColumn("least", none)), k)
+    for turn in range(1, (turns or 0) + 1):
+        found = cut_lineage(found)
+        reached = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+        asking = met.where(F.col("turn") == turn).join(reached, "query_id", "left").withColumn("least", F.coalesce("reached", none)).drop("reached")
+        found = ranked_first(found.drop("rank").unionByName(found_in(asking)), k)
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -86,3 +86,23 @@ def test_other_branches_return_what_reaches_the_nearest_one(spark, monkeypatch):
     got = search(spark.createDataFrame(rows, SCHEMA))
     assert all(len(found) == 20 for found in got.values()) and len(got) == 120
     assert made[-1] <= 3 * 20 * len(got)
+
+
+def test_rows_of_a_turn_do_not_grow_with_the_branches(spark, monkeypatch):
+    """Vectors without clusters: the nearest branch alone says little about what the others hold."""
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 10)
+    monkeypatch.setattr(neighbours, "calibrated", lambda *_: 10_000)
+    made = []
+    first = neighbours.ranked_first
+
+    def counted(found: DataFrame, k: int) -> DataFrame:
+        made.append(found.count())
+        return first(found, k)
+
+    rnd = np.random.default_rng(6)
+    rows = {i: rnd.normal(size=48).astype(np.float32) for i in range(3200)}
+    monkeypatch.setattr(neighbours, "ranked_first", counted)
+    got = search(spark.createDataFrame([(i, v.tolist(), None) for i, v in rows.items()], SCHEMA))
+    assert all([v for v, _ in got[q]] == brute(rows, q) for q in (0, 1600, 3180))
+    # The first is the calibration's.  Each turn also has the k rows of the turn before.
+    assert max(made[1:]) <= 5 * 20 * len(got), made
