@@ -2,7 +2,8 @@
 
 The lexicon is learned: words that occur in far more toxic than other texts of a bounded labelled sample.
 It is held as a trie.  A word of a text that is no term itself meets the trie with the word's Levenshtein
-automaton, walked along the trie's branches; a swap of neighbouring letters is one edit.  Terms of at least
+automaton, walked along the branches of those terms whose length and letters differ little enough; a swap of
+neighbouring letters is one edit.  Terms of at least
 ``MIN_FUZZY`` letters are found with one edit, those of at least ``MIN_TWO`` with two.  A term and a word so many
 edits apart are alike once as many letters are left out of one or both, so words without such a likeness need no
 walk.  Words near a term that the sample's other texts use are no misspellings.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,21 +113,39 @@ class Automaton:
         return next((e for place, e in state if place == 2 * len(self.word)), None)
 
 
+def letter_bits(word: str) -> int:
+    """The word's letters as bits; letters that share one only hide a difference."""
+    bits = 0
+    for char in word:
+        bits |= 1 << (ord(char) & 63)
+    return bits
+
+
+def branches(terms: Iterable[str]) -> dict:
+    """Nodes by letters; a node has its branches and the term that ends there."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for char in term:
+            node = node.setdefault(char, {})
+        node[""] = term
+    return root
+
+
 class Trie:
-    """Terms by letters; a node has its branches and the term that ends there."""
+    """Terms by length, of which those that may be near a word are walked by branches."""
 
     def __init__(self, terms: list[str]):
-        self.root: dict = {}
+        self.terms = sorted(terms, key=len)
+        self.lengths = np.array([len(t) for t in self.terms], np.int64)
+        self.edits = np.array([edits_of(t) for t in self.terms], np.int64)
+        self.bits = np.array([letter_bits(t) for t in self.terms], np.uint64)
         #: Terms with as many letters left out as they allow edits: of one edit and more, and of two.
         self.one: set[str] = set()
         self.two: set[str] = set()
         #: By length of long terms: the texts of each of their pieces.
         self.long: dict[int, list[set[str]]] = {}
         for term in terms:
-            node = self.root
-            for char in term:
-                node = node.setdefault(char, {})
-            node[""] = term
             if len(term) > LONG:
                 parts = pieces(len(term), 2)
                 found = self.long.setdefault(len(term), [set() for _ in parts])
@@ -156,10 +175,17 @@ class Trie:
                     return True
         return False
 
+    def alike(self, word: str, edits: int) -> list[str]:
+        """Terms that so many edits may reach: an edit takes away one letter and adds one at most."""
+        a, b = np.searchsorted(self.lengths, [len(word) - edits, len(word) + edits + 1])
+        most, bits, own = np.minimum(self.edits[a:b], edits), self.bits[a:b], np.uint64(letter_bits(word))
+        good = (np.bitwise_count(bits & ~own) <= most) & (np.bitwise_count(own & ~bits) <= most)
+        return [self.terms[a + i] for i in np.flatnonzero(good).tolist()]
+
     def near(self, word: str) -> list[str]:
         """All terms that the word's automaton accepts with no more edits than the term allows."""
         automaton, found = Automaton(word, 2 if len(word) >= MIN_TWO - 2 else 1), []
-        stack, steps_ = [(self.root, automaton.start())], {}
+        stack, steps_ = [(branches(self.alike(word, automaton.edits)), automaton.start())], {}
         while stack:
             node, state = stack.pop()
             for char, below in node.items():

@@ -122,3 +122,15 @@ def test_words_met_are_known_to_the_next_task():
     assert set(toxicity.scorer_of(model).kind) == {"horible", "words"}
     # What a worker has met stays there.
     assert pickle.loads(pickle.dumps(model)).scorer is None
+
+
+def test_only_terms_of_like_letters_are_walked(monkeypatch):
+    """A walk through a large lexicon steps along few branches, and finds what is near."""
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = list({"".join(rnd.choices(letters, k=rnd.randint(11, 14))) for _ in range(1_000)})
+    trie, walked, step = toxicity.Trie(terms), [], toxicity.Automaton.step
+    monkeypatch.setattr(toxicity.Automaton, "step", lambda *a: (walked.append(1), step(*a))[1])
+    for term in terms[:50]:
+        assert trie.near(term[:4] + term[5:7] + "q" + term[7:]) == [term]
+    assert len(walked) < 50 * 100, len(walked)
