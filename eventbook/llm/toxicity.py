@@ -163,9 +163,16 @@ class Trie:
             return True
         if len(word) > LONG + 2:
             return False
-        if not self.one.isdisjoint(without(word, 1)):
+        n = len(word)
+        cut = [word[:i] + word[i + 1 :] for i in range(n)]
+        if word in self.one or not self.one.isdisjoint(cut):
             return True
-        return len(word) >= MIN_TWO - 2 and bool(self.two) and not self.two.isdisjoint(without(word, 2))
+        if n < MIN_TWO - 2 or not self.two:
+            return False
+        if word in self.two or not self.two.isdisjoint(cut):
+            return True
+        # Each pair of letters once.
+        return not self.two.isdisjoint([w[:i] + w[i + 1 :] for j, w in enumerate(cut) for i in range(j)])
 
     def has_piece(self, word: str) -> bool:
         """Whether a piece of a long term stands in the word within two letters of its place."""
