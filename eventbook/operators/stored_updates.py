@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import datetime
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventbook.functions.scalar import week_start
+from eventbook.operators.key_bitmaps import BLOCK_BITS, KeyBitmaps
 from eventbook.operators.lifecycle import overdue_reservations
 from eventbook.schema import TABLES
 from eventbook.session import cut_lineage, drop_written
@@ -32,8 +33,10 @@ PART = "part_"
 #: Ids of a range, and the ranges of a table that hold rows; where there would be more, they are made wider.
 RANGE = 1_000_000
 MOST_RANGES = 256
-#: Ids that are sent to every task; the rows that they mark then stay where they are read.
+#: Ids that are sent to every task; the rows that they mark then stay where they are read.  More ids are sent as
+#: bitmaps, where they lie close enough for this many blocks.
 MOST_SENT = 1_000_000
+MOST_BLOCKS = 4_096
 UNDATED = "none"
 
 
@@ -66,22 +69,53 @@ RANGES_OF = {
 PARTITIONS = (*MONTHS_OF, *RANGES_OF)
 
 
+class Marks:
+    """Ids that mark rows, in the form in which they meet them: sent as they are, as bitmaps, or by a join."""
+
+    def __init__(self, ids: DataFrame):
+        named = ids.select(F.col(ids.columns[0]).alias("_id"))
+        self.ids = named.distinct()
+        self.few = named.count() <= MOST_SENT
+        self.bitmaps = None
+        if not self.few:
+            block = F.shiftright(F.col("_id").cast("long"), BLOCK_BITS)
+            # About so many; the bitmaps count them.
+            if named.agg(F.approx_count_distinct(block)).first()[0] <= MOST_BLOCKS:
+                bitmaps = KeyBitmaps(named, "_id", MOST_BLOCKS)
+                self.bitmaps = bitmaps if bitmaps.sent else None
+        #: Whether rows stay where they are read.
+        self.sent = self.few or self.bitmaps is not None
+
+    def flag(self, rows: DataFrame, key: str) -> DataFrame:
+        """``rows`` with ``_marked``: whether ``key`` is one of the ids."""
+        if self.bitmaps is not None:
+            return self.bitmaps.mark(rows, key, "_marked")
+        ids = F.broadcast(self.ids) if self.few else self.ids
+        joined = rows.join(ids, F.col(key) == F.col("_id"), "left")
+        return joined.withColumn("_marked", F.col("_id").isNotNull()).drop("_id")
+
+    def of(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows whose ``key`` is one of the ids."""
+        return self.flag(rows, key).filter("_marked").drop("_marked")
+
+
 class PartitionedTable:
     """One of these tables below ``folder``."""
 
     def __init__(self, spark: SparkSession, folder: str, table: str):
         self.spark, self.path, self.table = spark, f"{folder}/{table}", table
 
-    def create(self, rows: DataFrame) -> None:
+    def create(self, rows: DataFrame, keys: DataFrame | None = None) -> None:
         """Store ``rows``; those of a partition are brought together first, large ones in several files.
 
-        Where ranges are stored, the keys are read once more for their width: cut the lineage of dear rows first.
+        Where ranges are stored, the keys are read once more for their width: cut the lineage of dear rows first, or
+        give ``keys``, rows with the same keys that are cheaper to read.
         """
         if self.table in MONTHS_OF:
             part = _month(MONTHS_OF[self.table])
         else:
             key = RANGES_OF[self.table]
-            part = _range(key, _range_width(rows, key))
+            part = _range(key, _range_width(rows if keys is None else keys, key))
         self._together(rows.withColumn(PART, part)).write.partitionBy(PART).parquet(self.path)
 
     @staticmethod
@@ -97,38 +131,45 @@ class PartitionedTable:
     def read(self) -> DataFrame:
         return self._scan().drop(PART)
 
-    def mark(self, column: str, ids: DataFrame, key: str, where: Column | None = None) -> list[str]:
+    def mark(self, column: str, ids: DataFrame | Marks, key: str, where: Column | None = None) -> list[str]:
         """Set ``column`` on the rows whose ``key`` is in ``ids``; returns the partitions that were exchanged.
 
         Rows that have the mark already change nothing, and a partition without other rows is not written.  ``where`` may
         bound the partitions to be searched.  The list is as long as there are partitions to exchange.
         """
-        marks = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
-        sent = marks.count() <= MOST_SENT
-        marks = F.broadcast(marks) if sent else marks
+        marks = ids if isinstance(ids, Marks) else Marks(ids)
         unset = ~F.coalesce(F.col(column), F.lit(False))
-        rows = self._scan() if where is None else self._scan().filter(where)
-        found = rows.filter(unset).join(marks, F.col(key) == F.col("_id"), "left_semi").select(PART).distinct()
+        rows = (self._scan() if where is None else self._scan().filter(where)).filter(unset)
+        hit = None
+        if not marks.sent:
+            # Ids of which no row has use are left out; the others may be few enough to be sent.
+            hit = cut_lineage(marks.of(rows.select(key), key).distinct())
+            marks = Marks(hit)
+        found = marks.of(rows.select(key, PART), key).select(PART).distinct()
         parts = sorted(row[0] for row in found.collect())
-        if not parts:
-            return []
-        touched = self._scan().filter(F.col(PART).isin(parts))
-        new = (
-            touched.join(marks, F.col(key) == F.col("_id"), "left")
-            .withColumn(column, F.when(F.col("_id").isNotNull(), True).otherwise(F.col(column)))
-            .select(*touched.columns)
-        )
-        # Rows that meet the ids where they are read are still together.
-        new = new if sent else self._together(new)
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
+        if parts:
+            touched = self._scan().filter(F.col(PART).isin(parts))
+            set_ = F.when(F.col("_marked"), True).otherwise(F.col(column))
+            new = marks.flag(touched, key).withColumn(column, set_).select(*touched.columns)
+            # Rows that meet the ids where they are read are still together.
+            new = new if marks.sent else self._together(new)
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
+        if hit is not None:
+            drop_written(hit)
         return parts
 
 
-def store_tables(spark: SparkSession, t: Mapping[str, DataFrame], folder: str) -> dict[str, PartitionedTable]:
-    """Store the tables that cancellations touch."""
-    stored = {name: PartitionedTable(spark, folder, name) for name in PARTITIONS}
+def store_tables(
+    spark: SparkSession,
+    t: Mapping[str, DataFrame],
+    folder: str,
+    names: Sequence[str] = PARTITIONS,
+    keys: Mapping[str, DataFrame] | None = None,
+) -> dict[str, PartitionedTable]:
+    """Store the tables that cancellations touch, or some of them; ``keys`` as for ``create``."""
+    stored = {name: PartitionedTable(spark, folder, name) for name in names}
     for name, table in stored.items():
-        table.create(t[name])
+        table.create(t[name], (keys or {}).get(name))
     return stored
 
 
@@ -146,14 +187,13 @@ def cancel_stored(
         rows = rows.filter(where)
     # Kept, since the steps below change what it is found from.
     became = cut_lineage(rows.filter(not_yet).join(asked, "ReservationDayID", "left_semi").select("ReservationDayID"))
-    bookings = cut_lineage(
-        stored["WorkshopsReservations"].read().join(became, "ReservationDayID", "left_semi").select("ReservationID")
-    )
+    marks = Marks(became)
+    bookings = cut_lineage(marks.of(stored["WorkshopsReservations"].read(), "ReservationDayID").select("ReservationID"))
     changed = {
         "WorkshopRegistration": stored["WorkshopRegistration"].mark("Canceled", bookings, "WorkshopsReservationID"),
-        "WorkshopsReservations": stored["WorkshopsReservations"].mark("Canceled", became, "ReservationDayID"),
-        "ConferenceDayRegistration": stored["ConferenceDayRegistration"].mark("Canceled", became, "ReservationDayID"),
-        "ConferenceReservationDays": stored["ConferenceReservationDays"].mark("Canceled", became, "ReservationDayID", where),
+        "WorkshopsReservations": stored["WorkshopsReservations"].mark("Canceled", marks, "ReservationDayID"),
+        "ConferenceDayRegistration": stored["ConferenceDayRegistration"].mark("Canceled", marks, "ReservationDayID"),
+        "ConferenceReservationDays": stored["ConferenceReservationDays"].mark("Canceled", marks, "ReservationDayID", where),
     }
     drop_written(bookings)
     drop_written(became)

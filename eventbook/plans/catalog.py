@@ -23,7 +23,7 @@ from eventbook.operators.identity import assign_ids, with_defaults
 from eventbook.operators.ingest import ingest
 from eventbook.operators.range_booking import book_date_ranges
 from eventbook.operators.registrations import admit_workshop_registrations
-from eventbook.operators.stored_updates import PartitionedTable, cancel_stored, refresh_overdue_stored, store_tables
+from eventbook.operators.stored_updates import PARTITIONS, PartitionedTable, cancel_stored, refresh_overdue_stored, store_tables
 from eventbook.schema import TABLES
 from eventbook.session import cut_lineage, drop_written, run_folder
 from eventbook.sources.adapter import AS_OF, SourceModel
@@ -117,14 +117,16 @@ for _name, _table in (
 
 
 def _stored(m: SourceModel) -> dict[str, PartitionedTable]:
-    # Bookings are read again for their registrations, and both for the width of their ranges.
-    written = []
-    for table in ("WorkshopsReservations", "WorkshopRegistration"):
-        written.append(cut_lineage(m.tables[table]))
-        m.tables = m.tables.replace(**{table: written[-1]})
-    stored = store_tables(m.spark, m.tables, run_folder(m.spark, "partitions"))
-    for rows in written:
-        drop_written(rows)
+    folder, keys = run_folder(m.spark, "partitions"), m.tables["WorkshopsReservations"]
+    m.tables = m.tables.replace(WorkshopsReservations=m.bookings_in_tasks())
+    first = [name for name in PARTITIONS if name != "WorkshopRegistration"]
+    stored = store_tables(m.spark, m.tables, folder, first, {"WorkshopsReservations": keys})
+    # Registrations follow the stored bookings, so that these are grouped once; they are read again for their ranges.
+    m.tables = m.tables.replace(WorkshopsReservations=stored["WorkshopsReservations"].read())
+    written = cut_lineage(m.tables["WorkshopRegistration"])
+    m.tables = m.tables.replace(WorkshopRegistration=written)
+    stored |= store_tables(m.spark, m.tables, folder, ["WorkshopRegistration"])
+    drop_written(written)
     return stored
 
 

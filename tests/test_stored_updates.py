@@ -11,6 +11,7 @@ from eventbook.operators import stored_updates
 from eventbook.operators.lifecycle import cancel_reservations, refresh_overdue
 from eventbook.operators.stored_updates import PARTITIONS, cancel_stored, refresh_overdue_stored, store_tables
 from eventbook.session import run_folder
+from eventbook.sources import adapter
 
 MONTHS = ("2020-01", "2020-02", "2020-03", "2020-04")
 
@@ -156,3 +157,43 @@ def test_only_ids_are_written_beside(spark, t, monkeypatch, most):
     assert all(changed.values()) and exchanged(before, files(stored)) == changed
     assert beside and all(len(columns) == 1 for columns in beside), beside
     same(stored, cancel_reservations(t, ids))
+
+
+@pytest.mark.parametrize(("most", "blocks", "moved"), [(0, 10, 0), (0, 0, 4)])
+def test_rows_stay_where_they_are_read(spark, t, monkeypatch, most, blocks, moved):
+    """Many ids are sent as bitmaps; only where they are too sparse for that, rows are brought together again."""
+    stored = store_tables(spark, t, run_folder(spark, "stored"))
+    monkeypatch.setattr(stored_updates, "MOST_SENT", most)
+    monkeypatch.setattr(stored_updates, "MOST_BLOCKS", blocks, raising=False)
+    together, tables_ = stored_updates.PartitionedTable._together, []
+    monkeypatch.setattr(
+        stored_updates.PartitionedTable, "_together", staticmethod(lambda new: (tables_.append(new.columns), together(new))[1])
+    )
+    before = files(stored)
+    # Of the reservations only 51 is there and has not been cancelled; its three bookings have registrations.
+    ids = spark.createDataFrame([(51,), (51,), (60,), (None,)], "ReservationDayID long")
+    changed = cancel_stored(stored, ids)
+    assert all(changed.values()) and exchanged(before, files(stored)) == changed
+    assert len(tables_) == moved
+    same(stored, cancel_reservations(t, ids))
+
+
+def test_ids_of_no_row_are_left_out(spark, t, monkeypatch):
+    """Far more ids than are sent, of which one has a row that is not marked yet."""
+    stored = store_tables(spark, t, run_folder(spark, "stored"))
+    monkeypatch.setattr(stored_updates, "MOST_SENT", 1)
+    monkeypatch.setattr(stored_updates, "MOST_BLOCKS", 0, raising=False)
+    monkeypatch.setattr(stored_updates.PartitionedTable, "_together", staticmethod(lambda new: pytest.fail("rows moved")))
+    ids = spark.createDataFrame([(51,), (4_000,), (5_000_000,)], "ReservationDayID long")
+    assert stored["ConferenceDayRegistration"].mark("Canceled", ids, "ReservationDayID") == ["2"]
+    marked = stored["ConferenceDayRegistration"].read().filter("Canceled").select("ReservationDayID")
+    assert [tuple(r) for r in marked.collect()] == [(51,)]
+
+
+def test_bookings_in_tasks_are_the_bookings(spark, tmp_path, monkeypatch):
+    lines = [(k % 7 if k % 5 else None, k % 3 if k % 4 else None, float(k), "RAN"[k % 3] if k % 6 else None) for k in range(200)]
+    lines_ = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string")
+    lines_.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(adapter, "TASK_LINES", 30, raising=False)
+    model = adapter.SourceModel(spark, str(tmp_path))
+    assert rows(model.bookings_in_tasks()) == rows(model.tables["WorkshopsReservations"])
