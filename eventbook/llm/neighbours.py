@@ -38,7 +38,9 @@ SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 200
 #: Rows that a leaf is meant to hold, branches of an inner node, sample rows behind a leaf at least.
 LEAF_ROWS, BRANCHES, SAMPLE_PER_LEAF = 512, 16, 16
 #: Rows and queries that one task step holds.
-TASK_ROWS, TASK_QUERIES = 4096, 2048
+TASK_ROWS, TASK_QUERIES = 4096, 8192
+#: Products that a step holds at once.
+PRODUCTS = 1 << 20
 RECALL, NEAREST = 0.97, 20
 
 
@@ -158,6 +160,51 @@ def best_of(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: i
     return ids[take][order], scores[order]
 
 
+def best_in_leaves(
+    rows: np.ndarray, ids: np.ndarray, leaf: np.ndarray, queries: np.ndarray, own: np.ndarray, leaves: list[np.ndarray], least: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the query, id and score of each query's ``k`` nearest rows in its ``leaves`` that reach ``least``, as
+    ``best_of`` finds them.  Rows of a leaf lie side by side and meet all queries that visit it in one product."""
+    order = np.argsort(leaf, kind="stable")
+    rows, ids = rows[order], ids[order]
+    numbers, counts = np.unique(leaf, return_counts=True)
+    ends = np.cumsum(counts)
+    visited = np.zeros((len(queries), len(numbers)), bool)
+    asked, of = np.concatenate(leaves), np.repeat(np.arange(len(queries)), [len(x) for x in leaves])
+    at = np.minimum(np.searchsorted(numbers, asked), len(numbers) - 1)
+    there = numbers[at] == asked
+    visited[of[there], at[there]] = True
+    slack = 1e-12 * np.abs(rows).max() * np.abs(queries).max(axis=1) * rows.shape[1]
+    step, out = max(1, PRODUCTS // len(rows)), []
+    for first in range(0, len(queries), step):
+        part = slice(first, first + step)
+        asking, floor = queries[part], least[part]
+        rough = np.full((len(asking), len(rows)), -np.inf)
+        for j, (end, count) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
+            here = np.flatnonzero(visited[part, j])
+            rough[here, end - count : end] = asking[here] @ rows[end - count : end].T
+        met = np.repeat(visited[part], counts, axis=1) & (ids != own[part, None])
+        rough[~met] = -np.inf
+        edge = (floor - slack[part])[:, None]
+        many = np.flatnonzero((met & (rough >= edge)).sum(axis=1) > k)
+        if len(many):
+            kth = np.partition(rough[many], len(rows) - k, axis=1)[:, len(rows) - k]
+            edge[many, 0] = np.maximum(edge[many, 0], kth - slack[part][many])
+        query, row = np.nonzero(met & (rough >= edge))
+        for a in range(0, len(query), PRODUCTS // 16):
+            q, r = query[a : a + PRODUCTS // 16], row[a : a + PRODUCTS // 16]
+            scores = (rows[r] * asking[q]).sum(axis=1)
+            good = scores >= floor[q]
+            out.append((first + q[good], ids[r[good]], scores[good]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    query, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((found, -scores, query))
+    query, found, scores = query[order], found[order], scores[order]
+    first_ = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[first_], found[first_], scores[first_]
+
+
 def nearest_exact(vectors: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
     """Brute force over all rows for a bounded set of queries: ``query_id, vec_id, score, leaf``."""
     shared = vectors.sparkSession.sparkContext.broadcast(queries)
@@ -256,16 +303,13 @@ def search(table: DataFrame, is_query: Column, k: int = NEAREST, recall: float =
     keys = ("branch", "part", "block")
 
     def within(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        query, found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(left) and len(right):
-            ids, leaf, rows = left["vec_id"].to_numpy(), left["leaf"].to_numpy(), np.stack(left["vector"].to_numpy())
-            for query_id, query, leaves, least in zip(right["query_id"], right["query"], right["leaves"], right["least"], strict=True):
-                of = np.isin(leaf, leaves)
-                if of.any():
-                    found, scores = best_of(rows[of], ids[of], query, query_id, k)
-                    found, scores = found[scores >= least], scores[scores >= least]
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            rows, asking = np.stack(left["vector"].to_numpy()), np.stack(right["query"].to_numpy())
+            own, least, leaves = right["query_id"].to_numpy(), right["least"].to_numpy(), list(right["leaves"])
+            at, found, scores = best_in_leaves(rows, left["vec_id"].to_numpy(), left["leaf"].to_numpy(), asking, own, leaves, least, k)
+            query = own[at]
+        return pd.DataFrame({"query_id": query, "vec_id": found, "score": scores})
 
     def found_in(asking: DataFrame) -> DataFrame:
         rows = dealt.select(*keys, "vec_id", "leaf", "vector").groupBy(*keys)

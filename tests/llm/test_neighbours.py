@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pyspark.sql.functions as F
+import pytest
 from helpers import folder_tables
 from pyspark.sql import DataFrame
 
@@ -106,3 +107,23 @@ def test_rows_of_a_turn_do_not_grow_with_the_branches(spark, monkeypatch):
     assert all([v for v, _ in got[q]] == brute(rows, q) for q in (0, 1600, 3180))
     # The first is the calibration's.  Each turn also has the k rows of the turn before.
     assert max(made[1:]) <= 5 * 20 * len(got), made
+
+
+def test_leaves_of_many_queries_as_of_each():
+    """Ties, repeated vectors, leaves without rows, thresholds, and steps of a few products."""
+    random = np.random.default_rng(5)
+    rows = np.round(random.normal(size=(300, 7)), 1)
+    rows[random.random(300) < 0.3] = rows[0]
+    ids, leaf = random.permutation(600)[:300].astype(np.int64), random.integers(0, 6, 300) * 3
+    queries, own = np.round(random.normal(size=(40, 7)), 1), np.where(np.arange(40) % 3 > 0, ids[:40], -5)
+    leaves = [random.choice(np.arange(20), 1 + k % 7, replace=False) for k in range(40)]
+    least = np.where(np.arange(40) % 2 > 0, -np.inf, random.normal(size=40) * 2)
+    for products in (16, 5_000, 1 << 20):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(neighbours, "PRODUCTS", products)
+            at, found, scores = neighbours.best_in_leaves(rows, ids, leaf, queries, own, leaves, least, 9)
+        for k in range(40):
+            of = np.isin(leaf, leaves[k])
+            want, reached = neighbours.best_of(rows[of], ids[of], queries[k], own[k], 9) if of.any() else (ids[:0], least[:0])
+            good = reached >= least[k]
+            assert found[at == k].tolist() == want[good].tolist() and scores[at == k].tolist() == reached[good].tolist()
