@@ -44,16 +44,20 @@ from eventbook.session import cut_lineage
 K1, B = 1.2, 0.75
 NEAREST = 10
 #: Documents and text bytes of a shard, postings of a group, documents of a block.
-SHARD_DOCS, SHARD_BYTES, GROUP_POSTINGS, BLOCK = 8192, 24 << 20, 1_500_000, 16
+SHARD_DOCS, SHARD_BYTES, GROUP_POSTINGS, BLOCK = 8192, 24 << 20, 2_500_000, 16
 #: Lists with at least this share of a group's documents have block maxima and are held by document.
 FREQUENT = 1 / 6
 #: Scores are whole numbers of this part.
 UNIT = 1_000_000
 WORDS = re.compile(r"[^\W_]+")
 KNOWN_TERMS = 200_000
-BLOBS = {"ids": np.int64, "lengths": np.int32, "terms": np.int64, "dfs": np.int32, "docs": np.int32, "tfs": np.int32}
+#: Lists that are moved at once into a group.
+LISTS_MOVED = 16_384
+BLOBS = {"ids": np.int64, "lengths": np.int32, "terms": np.int64, "dfs": np.int32, "docs": np.uint16, "tfs": np.uint8, "large": np.int32}
+#: Frequencies from this one on are written as this one, and in full in ``large``, in the order of their postings.
+LARGE = 255
 
-INDEX = "shard long, n_docs long, n_words long, postings long, ids binary, lengths binary, terms binary, dfs binary, docs binary, tfs binary"
+INDEX = "shard long, n_docs long, n_words long, postings long, ids binary, lengths binary, terms binary, dfs binary, docs binary, tfs binary, large binary"
 
 
 class Hashes(dict):
@@ -89,7 +93,9 @@ class Shard:
         terms, tfs = np.concatenate(self.terms).view(np.int64), np.concatenate(self.tfs)
         order = np.argsort(terms, kind="stable")
         found, dfs = np.unique(terms, return_counts=True)
-        blobs = (np.array(self.ids, np.int64), np.array(self.lengths, np.int32), found, dfs.astype(np.int32), docs[order], tfs[order].astype(np.int32))
+        docs, tfs = docs[order].astype(np.uint16), tfs[order]
+        short, large = np.minimum(tfs, LARGE).astype(np.uint8), tfs[tfs >= LARGE].astype(np.int32)
+        blobs = (np.array(self.ids, np.int64), np.array(self.lengths, np.int32), found, dfs.astype(np.int32), docs, short, large)
         numbers = (shard, len(self.ids), sum(self.lengths), len(terms))
         arrays = [pa.array([x], pa.int64()) for x in numbers] + [pa.array([x.tobytes()], pa.binary()) for x in blobs]
         return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in INDEX.split(", ")])
@@ -141,17 +147,31 @@ class Group:
         self.ids, lengths = np.concatenate(of("ids")), np.concatenate(of("lengths"))
         self.n = len(self.ids)
         first = np.cumsum([0, *of("n_docs")])
-        terms = np.concatenate([np.repeat(t, d) for t, d in zip(of("terms"), of("dfs"), strict=True)])
+        lists, dfs = np.concatenate(of("terms")), np.concatenate(of("dfs")).astype(np.int64)
         # Lists of one term follow each other by shard, so that their places ascend.
-        order = np.argsort(terms, kind="stable").astype(np.int32)
-        self.docs = np.concatenate([d + np.int32(f) for d, f in zip(of("docs"), first, strict=False)])[order]
-        self.tfs = np.concatenate(of("tfs"))[order]
-        terms = terms[order]
-        del order
-        self.terms, begins = np.unique(terms, return_index=True)
-        self.begins, self.ends = begins, np.r_[begins[1:], len(terms)].astype(np.int64)
+        order = np.argsort(lists, kind="stable")
+        ends = np.empty(len(lists), np.int64)
+        ends[order] = np.cumsum(dfs[order])
+        size = int(dfs.sum())
+        self.docs, self.tfs = np.empty(size, np.int32), np.empty(size, np.int32 if any(map(len, of("large"))) else np.uint8)
+        # Postings go straight to their places, some lists of a shard at a time.
+        at = np.cumsum([0, *map(len, of("terms"))])
+        for s, place, a, b in zip(shards, first, at[:-1], at[1:], strict=False):
+            source, tfs = np.cumsum(dfs[a:b]), s["tfs"]
+            if len(s["large"]):
+                tfs = tfs.astype(np.int32)
+                tfs[tfs == LARGE] = s["large"]
+            for x in range(a, b, LISTS_MOVED):
+                y = min(b, x + LISTS_MOVED)
+                to = flat_ranges(ends[x:y] - dfs[x:y], ends[x:y])
+                part = slice(int(source[x - a] - dfs[x]), int(source[y - a - 1]))
+                self.docs[to] = s["docs"][part].astype(np.int32) + np.int32(place)
+                self.tfs[to] = tfs[part]
+        self.terms, begins = np.unique(lists[order], return_index=True)
+        begins = (ends - dfs)[order][begins]
+        self.begins, self.ends = begins, np.r_[begins[1:], size].astype(np.int64)
         self.slow = K1 * (1 - B + B * lengths / mean) if mean else np.full(self.n, K1)
-        self.scores = np.zeros(len(terms), np.int32)
+        self.scores = np.zeros(size, np.int32)
         self.known = np.zeros(len(self.terms), bool)
         self.bounds = np.zeros(len(self.terms), np.int64)
         frequent = np.flatnonzero(self.ends - self.begins >= max(1, FREQUENT * self.n))
@@ -168,7 +188,7 @@ class Group:
     def learn(self, lists: np.ndarray, idf: np.ndarray) -> None:
         sizes = self.ends[lists] - self.begins[lists]
         at = flat_ranges(self.begins[lists], self.ends[lists])
-        tf = self.tfs[at]
+        tf = self.tfs[at].astype(np.float64)
         score = np.floor(UNIT * (np.repeat(idf, sizes) * (tf * (K1 + 1) / (tf + self.slow[self.docs[at]]))) + 0.5).astype(np.int32)
         self.scores[at] = score
         self.bounds[lists] = np.maximum.reduceat(score, np.cumsum(sizes) - sizes)
@@ -180,6 +200,8 @@ class Group:
 
     def best(self, query_id: int, terms: np.ndarray, idf: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
         """(score, id) of at most ``k`` documents of more than ``least``, the best of the group."""
+        if not len(self.terms):
+            return []
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         there = self.terms[at] == terms
         lists, idf = at[there], idf[there]

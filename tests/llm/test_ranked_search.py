@@ -168,3 +168,25 @@ def test_a_task_holds_one_group(spark, monkeypatch):
     rnd = random.Random(8)
     rows = [(i * 5, " ".join(f"w{int(rnd.expovariate(0.02))}" for _ in range(rnd.randint(0, 40)))) for i in range(400)]
     check(documents(spark, rows).repartition(9))
+
+
+def test_postings_take_three_bytes_and_large_frequencies_are_kept():
+    words = [["a"] * 254 + ["b"] * 255 + ["c"] * 70_000 + ["d"], ["c", "b"], ["a"] * 300]
+    hashes, parts = ranked_search.Hashes(), []
+    for texts in (words, words[::-1], [["b", "a"], []], [[]]):
+        shard = ranked_search.Shard()
+        for k, text in enumerate(texts):
+            shard.add(10 * len(parts) + k, text, 1, hashes)
+        parts.append(row_of(shard, len(parts)))
+    assert sum(parts[0][c].nbytes for c in ("docs", "tfs")) == 3 * 7 and parts[0]["large"].tolist().count(70_000) == 1
+    group = ranked_search.Group(parts, 90.0)
+    found = {}
+    for term in "abcd":
+        at = int(np.searchsorted(group.terms, number(term)))
+        assert group.terms[at] == number(term)
+        part = slice(group.begins[at], group.ends[at])
+        found[term] = list(zip(group.ids[group.docs[part]].tolist(), group.tfs[part].tolist(), strict=True))
+    assert found["a"] == [(0, 254), (2, 300), (10, 300), (12, 254), (20, 1)]
+    assert found["b"] == [(0, 255), (1, 1), (11, 1), (12, 255), (20, 1)]
+    assert found["c"] == [(0, 70_000), (1, 1), (11, 1), (12, 70_000)] and found["d"] == [(0, 1), (12, 1)]
+    assert ranked_search.Group(parts[3:], 90.0).best(1, np.array([number("a")]), np.ones(1), 10, 0) == []
