@@ -7,15 +7,16 @@ An update first finds the rows that will really change, then reads their partiti
 Files of other partitions keep their names.
 
 Spark stages the new versions in a folder beside the partitions before it exchanges any, and marks are only ever set,
-so an update that ended early is repeated.  Its steps go from the bookings to the reservations, because the cascade follows
-those that are not cancelled yet; a repeated run finds the same ones until the last step.  Executors may be lost at any
-time.  Only a driver that is lost while it exchanges a partition can leave this one empty; its new version is then still
-in the folder beside.  One writer at a time.
+so an update that ended early is repeated.  What follows a reservation is marked before it, because the cascade follows
+those that are not cancelled yet; a repeated run finds the same ones until the last step.  The steps before that change
+different tables and run side by side.  Executors may be lost at any time.  Only a driver that is lost while it exchanges
+a partition can leave this one empty; its new version is then still in the folder beside.  One writer at a time.
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -26,7 +27,7 @@ from eventbook.functions.scalar import week_start
 from eventbook.operators.key_bitmaps import BLOCK_BITS, KeyBitmaps
 from eventbook.operators.lifecycle import overdue_reservations
 from eventbook.schema import TABLES
-from eventbook.session import cut_lineage, drop_written
+from eventbook.session import cut_lineage, drop_written, side_by_side, unsorted_writes
 from eventbook.sources.tables import BookingTables
 
 PART = "part_"
@@ -37,6 +38,8 @@ MOST_RANGES = 256
 #: bitmaps, where they lie close enough for this many blocks.
 MOST_SENT = 1_000_000
 MOST_BLOCKS = 4_096
+#: Partitions that a task has open at once while it writes; it sorts rows only where it meets more.
+MOST_OPEN = 64
 UNDATED = "none"
 
 
@@ -105,9 +108,11 @@ class PartitionedTable:
     def __init__(self, spark: SparkSession, folder: str, table: str):
         self.spark, self.path, self.table = spark, f"{folder}/{table}", table
 
-    def create(self, rows: DataFrame, keys: DataFrame | None = None) -> None:
+    def create(self, rows: DataFrame, keys: DataFrame | None = None, placed: bool = False) -> None:
         """Store ``rows``; those of a partition are brought together first, large ones in several files.
 
+        ``placed`` rows come in tasks that follow each other by the key of the ranges, and stay there.
+
         Where ranges are stored, the keys are read once more for their width: cut the lineage of dear rows first, or
         give ``keys``, rows with the same keys that are cheaper to read.
         """
@@ -116,7 +121,8 @@ class PartitionedTable:
         else:
             key = RANGES_OF[self.table]
             part = _range(key, _range_width(rows if keys is None else keys, key))
-        self._together(rows.withColumn(PART, part)).write.partitionBy(PART).parquet(self.path)
+        parted = rows.withColumn(PART, part)
+        (parted if placed else self._together(parted)).write.partitionBy(PART).parquet(self.path)
 
     @staticmethod
     def _together(placed: DataFrame) -> DataFrame:
@@ -139,7 +145,8 @@ class PartitionedTable:
         """
         marks = ids if isinstance(ids, Marks) else Marks(ids)
         unset = ~F.coalesce(F.col(column), F.lit(False))
-        rows = (self._scan() if where is None else self._scan().filter(where)).filter(unset)
+        scan = self._scan()
+        rows = (scan if where is None else scan.filter(where)).filter(unset)
         hit = None
         if not marks.sent:
             # Ids of which no row has use are left out; the others may be few enough to be sent.
@@ -148,7 +155,7 @@ class PartitionedTable:
         found = marks.of(rows.select(key, PART), key).select(PART).distinct()
         parts = sorted(row[0] for row in found.collect())
         if parts:
-            touched = self._scan().filter(F.col(PART).isin(parts))
+            touched = scan.filter(F.col(PART).isin(parts))
             set_ = F.when(F.col("_marked"), True).otherwise(F.col(column))
             new = marks.flag(touched, key).withColumn(column, set_).select(*touched.columns)
             # Rows that meet the ids where they are read are still together.
@@ -165,11 +172,16 @@ def store_tables(
     folder: str,
     names: Sequence[str] = PARTITIONS,
     keys: Mapping[str, DataFrame] | None = None,
+    placed: Sequence[str] = (),
 ) -> dict[str, PartitionedTable]:
-    """Store the tables that cancellations touch, or some of them; ``keys`` as for ``create``."""
+    """Store the tables that cancellations touch, or some of them; ``keys`` as for ``create``, ``placed`` names tables."""
     stored = {name: PartitionedTable(spark, folder, name) for name in names}
-    for name, table in stored.items():
-        table.create(t[name], (keys or {}).get(name))
+
+    def create(name: str) -> None:
+        stored[name].create(t[name], (keys or {}).get(name), name in placed)
+
+    with unsorted_writes(spark, MOST_OPEN):
+        side_by_side(spark, *[functools.partial(create, name) for name in names])
     return stored
 
 
@@ -180,7 +192,7 @@ def cancel_stored(
 
     The result is that of ``cancel_reservations``.  ``where`` may bound the partitions of reservations that hold ``ids``.
     """
-    rows = stored["ConferenceReservationDays"]._scan()
+    spark, rows = stored["ConferenceReservationDays"].spark, stored["ConferenceReservationDays"]._scan()
     asked = ids.select("ReservationDayID").distinct()
     not_yet = ~F.coalesce(F.col("Canceled"), F.lit(False))
     if where is not None:
@@ -188,16 +200,27 @@ def cancel_stored(
     # Kept, since the steps below change what it is found from.
     became = cut_lineage(rows.filter(not_yet).join(asked, "ReservationDayID", "left_semi").select("ReservationDayID"))
     marks = Marks(became)
-    bookings = cut_lineage(marks.of(stored["WorkshopsReservations"].read(), "ReservationDayID").select("ReservationID"))
-    changed = {
-        "WorkshopRegistration": stored["WorkshopRegistration"].mark("Canceled", bookings, "WorkshopsReservationID"),
-        "WorkshopsReservations": stored["WorkshopsReservations"].mark("Canceled", marks, "ReservationDayID"),
-        "ConferenceDayRegistration": stored["ConferenceDayRegistration"].mark("Canceled", marks, "ReservationDayID"),
-        "ConferenceReservationDays": stored["ConferenceReservationDays"].mark("Canceled", marks, "ReservationDayID", where),
-    }
-    drop_written(bookings)
+
+    def mark(table: str, by: DataFrame | Marks = marks, key: str = "ReservationDayID") -> dict[str, list[str]]:
+        return {table: stored[table].mark("Canceled", by, key)}
+
+    def mark_bookings() -> dict[str, list[str]]:
+        # Read before they change.
+        rows = marks.of(stored["WorkshopsReservations"].read(), "ReservationDayID")
+        bookings = cut_lineage(rows.select("ReservationID"))
+        shops, booked = side_by_side(
+            spark,
+            lambda: mark("WorkshopRegistration", bookings, "WorkshopsReservationID"),
+            lambda: mark("WorkshopsReservations"),
+        )
+        drop_written(bookings)
+        return shops | booked
+
+    with unsorted_writes(spark, MOST_OPEN):
+        bookings, seats = side_by_side(spark, mark_bookings, lambda: mark("ConferenceDayRegistration"))
+        days = stored["ConferenceReservationDays"].mark("Canceled", marks, "ReservationDayID", where)
     drop_written(became)
-    return changed
+    return bookings | seats | {"ConferenceReservationDays": days}
 
 
 def refresh_overdue_stored(

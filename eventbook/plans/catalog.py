@@ -23,7 +23,13 @@ from eventbook.operators.identity import assign_ids, with_defaults
 from eventbook.operators.ingest import ingest
 from eventbook.operators.range_booking import book_date_ranges
 from eventbook.operators.registrations import admit_workshop_registrations
-from eventbook.operators.stored_updates import PARTITIONS, PartitionedTable, cancel_stored, refresh_overdue_stored, store_tables
+from eventbook.operators.stored_updates import (
+    PARTITIONS,
+    PartitionedTable,
+    cancel_stored,
+    refresh_overdue_stored,
+    store_tables,
+)
 from eventbook.schema import TABLES
 from eventbook.session import cut_lineage, drop_written, run_folder
 from eventbook.sources.adapter import AS_OF, SourceModel
@@ -120,7 +126,7 @@ def _stored(m: SourceModel) -> dict[str, PartitionedTable]:
     folder, keys = run_folder(m.spark, "partitions"), m.tables["WorkshopsReservations"]
     m.tables = m.tables.replace(WorkshopsReservations=m.bookings_in_tasks())
     first = [name for name in PARTITIONS if name != "WorkshopRegistration"]
-    stored = store_tables(m.spark, m.tables, folder, first, {"WorkshopsReservations": keys})
+    stored = store_tables(m.spark, m.tables, folder, first, {"WorkshopsReservations": keys}, ["WorkshopsReservations"])
     # Registrations follow the stored bookings, so that these are grouped once; they are read again for their ranges.
     m.tables = m.tables.replace(WorkshopsReservations=stored["WorkshopsReservations"].read())
     written = cut_lineage(m.tables["WorkshopRegistration"])

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are written for.  On a cluster put them in spark-defaults; nothing
@@ -74,6 +79,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def side_by_side(spark: SparkSession, *steps: Callable[[], Any]) -> list[Any]:
+    """What the steps return, in their order; their jobs share the cores.
+
+    Used for steps that do not read what another one writes.  An error is raised once all steps have ended.
+    """
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(steps)) as pool:
+        started = [pool.submit(inherit(step)) for step in steps]
+    return [step.result() for step in started]
+
+
+@contextlib.contextmanager
+def unsorted_writes(spark: SparkSession, most_open: int) -> Iterator[None]:
+    """Within, tasks write rows into partitions as they come, and sort only those that meet more than ``most_open``.
+
+    For rows of which a task holds few partitions.  The files hold the same rows.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most_open)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the folder of a table that ``cut_lineage`` has written, once nothing reads it any more."""
     spark = df.sparkSession

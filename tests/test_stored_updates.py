@@ -1,6 +1,7 @@
 """Updates of stored partitions: same rows as the full update, and no other files."""
 
 import datetime as dt
+import threading
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from eventbook.operators import stored_updates
 from eventbook.operators.lifecycle import cancel_reservations, refresh_overdue
 from eventbook.operators.stored_updates import PARTITIONS, cancel_stored, refresh_overdue_stored, store_tables
-from eventbook.session import run_folder
+from eventbook.session import run_folder, side_by_side, unsorted_writes
 from eventbook.sources import adapter
 
 MONTHS = ("2020-01", "2020-02", "2020-03", "2020-04")
@@ -197,3 +198,78 @@ def test_bookings_in_tasks_are_the_bookings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(adapter, "TASK_LINES", 30, raising=False)
     model = adapter.SourceModel(spark, str(tmp_path))
     assert rows(model.bookings_in_tasks()) == rows(model.tables["WorkshopsReservations"])
+
+
+def test_tasks_of_bookings_follow_each_other(spark, tmp_path, monkeypatch):
+    """Grouped where one exchange has put them; a reservation of very many lines is spread, and stays in its range."""
+    lines = [(40 if k % 2 else k, k % 50, 1.0, "R") for k in range(400)]
+    lines_ = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string")
+    lines_.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(adapter, "TASK_LINES", 30)
+    monkeypatch.setattr(stored_updates, "RANGE", 25)
+    model = adapter.SourceModel(spark, str(tmp_path))
+    bookings = model.bookings_in_tasks()
+    plan = bookings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange rangepartitioning") == 1, plan
+    spans = bookings.groupBy(F.spark_partition_id().alias("task")).agg(F.min("ReservationDayID"), F.max("ReservationDayID"))
+    spans = [tuple(r)[1:] for r in spans.orderBy("task").collect()]
+    assert len(spans) > 10 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)), spans
+    monkeypatch.setattr(stored_updates.PartitionedTable, "_together", staticmethod(lambda new: pytest.fail("rows moved")))
+    name = "WorkshopsReservations"
+    stored = store_tables(spark, {name: bookings}, run_folder(spark, "stored"), [name], placed=[name])
+    assert rows(stored[name].read()) == rows(model.tables[name])
+    assert all(name.isdigit() for name in files(stored)[name])
+
+
+def test_tables_are_changed_side_by_side(spark, t, monkeypatch):
+    """All that follows the reservations at once, these last; after an error of one table they stay, and a repeated run ends the work."""
+    stored = store_tables(spark, t, run_folder(spark, "stored"))
+    ids = spark.createDataFrame([(7,), (51,)], "ReservationDayID long")
+    mark, ended = stored_updates.PartitionedTable.mark, []
+    together = threading.Barrier(3)
+
+    def waiting(self, *args):
+        if self.table != "ConferenceReservationDays":
+            together.wait(120)
+        parts = mark(self, *args)
+        if self.table == broken:
+            raise OSError("disk")
+        ended.append(self.table)
+        return parts
+
+    monkeypatch.setattr(stored_updates.PartitionedTable, "mark", waiting)
+    broken = "WorkshopsReservations"
+    with pytest.raises(OSError, match="disk"):
+        cancel_stored(stored, ids)
+    assert sorted(ended) == ["ConferenceDayRegistration", "WorkshopRegistration"]
+    broken = None
+    cancel_stored(stored, ids)
+    assert ended[-1] == "ConferenceReservationDays" and len(ended) == 6
+    same(stored, cancel_reservations(t, ids))
+
+
+def test_steps_side_by_side(spark):
+    ended = []
+
+    def failing():
+        raise ValueError("first")
+
+    with pytest.raises(ValueError, match="first"):
+        side_by_side(spark, failing, lambda: ended.append(spark.range(10).count()))
+    assert ended == [10]
+    assert side_by_side(spark, lambda: 1, lambda: side_by_side(spark, lambda: 2, lambda: 3)) == [1, [2, 3]]
+
+
+def test_unsorted_writes_leave_the_setting(spark, tmp_path):
+    name, rows_ = "spark.sql.maxConcurrentOutputFileWriters", spark.range(100).withColumn("part", F.col("id") % 7)
+    was = spark.conf.get(name, None)
+    with pytest.raises(ValueError), unsorted_writes(spark, 3):
+        rows_.write.partitionBy("part").parquet(f"{tmp_path}/rows")
+        raise ValueError
+    assert spark.conf.get(name, None) == was
+    assert rows(spark.read.parquet(f"{tmp_path}/rows").select("id")) == [(k,) for k in range(100)]
+    spark.conf.set(name, 5)
+    with unsorted_writes(spark, 3):
+        assert spark.conf.get(name) == "3"
+    assert spark.conf.get(name) == "5"
+    spark.conf.unset(name)
