@@ -25,13 +25,14 @@ from eventbook.operators.range_booking import book_date_ranges
 from eventbook.operators.registrations import admit_workshop_registrations
 from eventbook.operators.stored_updates import (
     PARTITIONS,
+    Marks,
     PartitionedTable,
     cancel_stored,
     refresh_overdue_stored,
     store_tables,
 )
 from eventbook.schema import TABLES
-from eventbook.session import cut_lineage, drop_written, run_folder
+from eventbook.session import cut_lineage, drop_written, run_folder, side_by_side
 from eventbook.sources.adapter import AS_OF, SourceModel
 from eventbook.sources.tables import BookingTables, read_tables, typed_from_text, write_tables
 from eventbook.streaming.admission import stream_day_admission, stream_workshop_admission
@@ -126,11 +127,18 @@ def _stored(m: SourceModel) -> dict[str, PartitionedTable]:
     folder, keys = run_folder(m.spark, "partitions"), m.tables["WorkshopsReservations"]
     m.tables = m.tables.replace(WorkshopsReservations=m.bookings_in_tasks())
     first = [name for name in PARTITIONS if name != "WorkshopRegistration"]
-    stored = store_tables(m.spark, m.tables, folder, first, {"WorkshopsReservations": keys}, ["WorkshopsReservations"])
+    stored, registered = side_by_side(
+        m.spark,
+        lambda: store_tables(m.spark, m.tables, folder, first, {"WorkshopsReservations": keys}, ["WorkshopsReservations"]),
+        lambda: Marks(m.tables["ConferenceDayRegistration"].select("ReservationDayID")),
+    )
     # Registrations follow the stored bookings, so that these are grouped once; they are read again for their ranges.
-    m.tables = m.tables.replace(WorkshopsReservations=stored["WorkshopsReservations"].read())
+    # Bookings of reservations that nobody is registered for have none, and are left out before they move.
+    bookings = stored["WorkshopsReservations"].read()
+    followed = registered.of(bookings, "ReservationDayID") if registered.sent else bookings
+    m.tables = m.tables.replace(WorkshopsReservations=followed)
     written = cut_lineage(m.tables["WorkshopRegistration"])
-    m.tables = m.tables.replace(WorkshopRegistration=written)
+    m.tables = m.tables.replace(WorkshopsReservations=bookings, WorkshopRegistration=written)
     stored |= store_tables(m.spark, m.tables, folder, ["WorkshopRegistration"])
     drop_written(written)
     return stored

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventbook.operators import stored_updates
 from eventbook.operators.lifecycle import cancel_reservations, refresh_overdue
 from eventbook.operators.stored_updates import PARTITIONS, cancel_stored, refresh_overdue_stored, store_tables
+from eventbook.plans import catalog
 from eventbook.session import run_folder, side_by_side, unsorted_writes
 from eventbook.sources import adapter
 
@@ -273,3 +274,27 @@ def test_unsorted_writes_leave_the_setting(spark, tmp_path):
         assert spark.conf.get(name) == "3"
     assert spark.conf.get(name) == "5"
     spark.conf.unset(name)
+
+
+@pytest.mark.parametrize(("most", "blocks"), [(1_000_000, 4_096), (0, 4_096), (0, 0)])
+def test_registrations_of_stored_bookings(spark, tmp_path, monkeypatch, most, blocks):
+    """Bookings whose reservation nobody is registered for are left out before they move, where ids can be sent."""
+    lines = [(k % 30 if k % 7 else None, k % 11 if k % 9 else None, 1.0, "RAN"[k % 3]) for k in range(300)]
+    events = [(k if k % 8 else None, k % 5, "error" if k % 4 else "click") for k in range(60)]
+    orders = [(k, 0, "OPF"[k % 3], 1.0, dt.datetime(1997, 1 + k % 9, 1)) for k in range(30)]
+    for name, data, schema in (
+        ("lineitem", lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string"),
+        ("events", events, "event_id long, user_id long, event_type string"),
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz"),
+        ("supplier", [(k,) for k in range(5)], "s_suppkey long"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(stored_updates, "MOST_SENT", most)
+    monkeypatch.setattr(stored_updates, "MOST_BLOCKS", blocks)
+    plans, cut = [], catalog.cut_lineage
+    monkeypatch.setattr(catalog, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().analyzed().toString()), cut(df))[1])
+    stored = catalog._stored(adapter.SourceModel(spark, str(tmp_path)))
+    want = adapter.SourceModel(spark, str(tmp_path)).tables
+    assert rows(want["WorkshopRegistration"])
+    same(stored, want)
+    assert len(plans) == 1 and ("_marked" in plans[0]) == bool(most or blocks)
