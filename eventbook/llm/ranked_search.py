@@ -2,12 +2,14 @@
 
 A shard is a run of at most ``SHARD_DOCS`` documents of one task, which builds the shard's index where it
 reads the texts: one row with the posting lists by term.  Document frequencies and the mean length are sums
-over all shards, so that scores are those of one index.  Neighbouring shards form a group of at most
-``GROUP_POSTINGS`` postings, which a task holds while the queries pass by as a stream: a query travels once to
-each group, and the index twice.
+over all shards, so that scores are those of one index.  Neighbouring shards form a group of about
+``GROUP_POSTINGS`` postings, whose lists are joined and stored: the index travels once.
 
-First every query is answered by one group.  Its k-th score there is a threshold that any other answer has to
-reach, and travels with the query to all other groups, which return only what reaches it.
+First every query is answered by one group, to which it travels.  Its k-th score there is a threshold that any
+other answer has to reach.  Then the other groups are met in turns of 1, 4, 16, ... times as many as the first turn;
+each starts from the k-th score so far, so that what a turn returns for a query does not grow with its groups.  In a
+turn queries do not travel: they are packed into blocks of ``BLOCK_TERMS`` terms, stored once, and a task reads a
+group and a block where they are stored.  Disk grows with the documents, not with queries times groups.
 
 A group answers a query as WAND does, with the bounds of whole lists and of blocks of ``BLOCK`` documents.  Lists
 whose bounds together do not pass the threshold cannot bring a document in by themselves: they are put off, the
@@ -30,21 +32,31 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventbook.llm.common import steps
-from eventbook.session import cut_lineage
+from eventbook.session import cut_lineage, run_folder, setting, unsorted_writes
 
 K1, B = 1.2, 0.75
 NEAREST = 10
 #: Documents and text bytes of a shard, postings of a group, documents of a block.
-SHARD_DOCS, SHARD_BYTES, GROUP_POSTINGS, BLOCK = 8192, 24 << 20, 2_500_000, 16
+SHARD_DOCS, SHARD_BYTES, GROUP_POSTINGS, BLOCK = 8192, 24 << 20, 4_000_000, 16
+#: A group's last shard begins before this document, so that places in a group take two bytes.
+GROUP_DOCS = (1 << 16) - SHARD_DOCS
+#: Terms of a block of queries.
+BLOCK_TERMS = 2_000_000
+#: Lists of fewer postings are gathered together.
+SHORT = 256
+#: Each turn has so many times the groups met before.
+WIDENED = 3
 #: Lists with at least this share of a group's documents have block maxima and are held by document.
 FREQUENT = 1 / 6
 #: Scores are whole numbers of this part.
@@ -57,6 +69,13 @@ BLOBS = {"ids": np.int64, "lengths": np.int32, "terms": np.int64, "dfs": np.int3
 #: Frequencies from this one on are written as this one, and in full in ``large``, in the order of their postings.
 LARGE = 255
 
+#: What the first pass keeps: answers of queries (turn -1), and each group's joined index with the turn that meets it.
+KEPT = "query_id long, doc_id long, score long, group long, n_docs long, " + "".join(f"{c} binary, " for c in BLOBS) + "turn int"
+FOUND = "query_id long, doc_id long, score long"
+#: A block's queries, their first groups, thresholds and numbers of terms; its terms in order with their frequencies; the queries' terms by their places there.
+QUERY_BLOBS = {"queries": np.int64, "firsts": np.int64, "leasts": np.int64, "sizes": np.int32, "words": np.int64, "counts": np.int32, "places": np.int32}
+BLOCKS = ", ".join(f"{c} binary" for c in QUERY_BLOBS)
+
 INDEX = "shard long, n_docs long, n_words long, postings long, ids binary, lengths binary, terms binary, dfs binary, docs binary, tfs binary, large binary"
 
 
@@ -132,6 +151,19 @@ def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.frombuffer(dfs, np.int32).astype(np.int64))], ["term", "df"])
 
 
+def rows_of(schema: str, n: int, **columns: object) -> pa.RecordBatch:
+    """``n`` rows with these columns; others are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    named = [c.split() for c in schema.split(", ")]
+    arrays = [pa.array(columns[c], kinds[kind]) if c in columns else pa.nulls(n, kinds[kind]) for c, kind in named]
+    return pa.RecordBatch.from_arrays(arrays, [c for c, _ in named])
+
+
+def answers(schema: str, out: list[tuple[int, int, int]], **columns: object) -> pa.RecordBatch:
+    found = zip(*out, strict=True) if out else ((), (), ())
+    return rows_of(schema, len(out), **dict(zip(("query_id", "doc_id", "score"), found, strict=True)), **columns)
+
+
 def flat_ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range behind the other."""
     sizes = ends - begins
@@ -144,8 +176,41 @@ class Group:
 
     def __init__(self, shards: list[dict], mean: float):
         of = lambda name: [s[name] for s in shards]
-        self.ids, lengths = np.concatenate(of("ids")), np.concatenate(of("lengths"))
+        self.ids, self.lengths = np.concatenate(of("ids")), np.concatenate(of("lengths"))
         self.n = len(self.ids)
+        if len(shards) == 1:
+            # The lists of one shard, or of a group that was stored, are in their places.
+            self.terms, self.docs, self.tfs = shards[0]["terms"], shards[0]["docs"], self.full(shards[0])
+            self.ends = np.cumsum(shards[0]["dfs"], dtype=np.int64)
+            self.begins = self.ends - shards[0]["dfs"]
+        else:
+            self.join(shards, of)
+        size = len(self.docs)
+        self.slow = K1 * (1 - B + B * self.lengths / mean) if mean else np.full(self.n, K1)
+        self.scores = np.zeros(size, np.int32)
+        self.known = np.zeros(len(self.terms), bool)
+        self.bounds = np.zeros(len(self.terms), np.int64)
+        frequent = np.flatnonzero(self.ends - self.begins >= max(1, FREQUENT * self.n))
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        blocks = -(-self.n // BLOCK)
+        self.whole = np.zeros((len(frequent), blocks * BLOCK), np.int32)
+        self.maxima = np.zeros((len(frequent), blocks), np.int32)
+        by_id = np.argsort(self.ids, kind="stable")
+        self.sorted_ids, self.by_id = self.ids[by_id], by_id
+        #: Postings read so far and those of all lists asked for.
+        self.read = self.asked = 0
+
+    @staticmethod
+    def full(shard: dict) -> np.ndarray:
+        """The frequencies of a shard, large ones in full."""
+        tfs = shard["tfs"]
+        if len(shard["large"]):
+            tfs = tfs.astype(np.int32)
+            tfs[tfs == LARGE] = shard["large"]
+        return tfs
+
+    def join(self, shards: list[dict], of: Callable[[str], list]) -> None:
         first = np.cumsum([0, *of("n_docs")])
         lists, dfs = np.concatenate(of("terms")), np.concatenate(of("dfs")).astype(np.int64)
         # Lists of one term follow each other by shard, so that their places ascend.
@@ -153,37 +218,35 @@ class Group:
         ends = np.empty(len(lists), np.int64)
         ends[order] = np.cumsum(dfs[order])
         size = int(dfs.sum())
-        self.docs, self.tfs = np.empty(size, np.int32), np.empty(size, np.int32 if any(map(len, of("large"))) else np.uint8)
+        self.docs = np.empty(size, np.uint16 if self.n <= 1 << 16 else np.int32)
+        self.tfs = np.empty(size, np.int32 if any(map(len, of("large"))) else np.uint8)
         # Postings go straight to their places, some lists of a shard at a time.
         at = np.cumsum([0, *map(len, of("terms"))])
         for s, place, a, b in zip(shards, first, at[:-1], at[1:], strict=False):
-            source, tfs = np.cumsum(dfs[a:b]), s["tfs"]
-            if len(s["large"]):
-                tfs = tfs.astype(np.int32)
-                tfs[tfs == LARGE] = s["large"]
+            source, tfs = np.cumsum(dfs[a:b]), self.full(s)
             for x in range(a, b, LISTS_MOVED):
                 y = min(b, x + LISTS_MOVED)
                 to = flat_ranges(ends[x:y] - dfs[x:y], ends[x:y])
                 part = slice(int(source[x - a] - dfs[x]), int(source[y - a - 1]))
-                self.docs[to] = s["docs"][part].astype(np.int32) + np.int32(place)
+                self.docs[to] = s["docs"][part] + self.docs.dtype.type(place)
                 self.tfs[to] = tfs[part]
         self.terms, begins = np.unique(lists[order], return_index=True)
-        begins = (ends - dfs)[order][begins]
-        self.begins, self.ends = begins, np.r_[begins[1:], size].astype(np.int64)
-        self.slow = K1 * (1 - B + B * lengths / mean) if mean else np.full(self.n, K1)
-        self.scores = np.zeros(size, np.int32)
-        self.known = np.zeros(len(self.terms), bool)
-        self.bounds = np.zeros(len(self.terms), np.int64)
-        frequent = np.flatnonzero(self.ends - self.begins >= max(1, FREQUENT * self.n))
-        self.row = np.full(len(self.terms), -1)
-        self.row[frequent] = np.arange(len(frequent))
-        blocks = -(-self.n // BLOCK)
-        self.whole = np.zeros((len(frequent), blocks * BLOCK), np.int32)
-        self.maxima = np.zeros((len(frequent), blocks), np.int32)
-        by_id = np.argsort(self.ids, kind="stable")
-        self.sorted_ids, self.by_id = self.ids[by_id], by_id
-        #: Postings read so far and those of all lists asked for.
-        self.read = self.asked = 0
+        self.begins = (ends - dfs)[order][begins]
+        self.ends = np.r_[self.begins[1:], size].astype(np.int64)
+
+    def stored(self, group: int, turn: int) -> pa.RecordBatch:
+        """One row of ``KEPT``, from which the group is made again as from a shard."""
+        dfs = (self.ends - self.begins).astype(np.int32)
+        large = self.tfs[self.tfs >= LARGE].astype(np.int32)
+        blobs = zip(BLOBS, (self.ids, self.lengths, self.terms, dfs, self.docs, np.minimum(self.tfs, LARGE).astype(np.uint8), large), strict=True)
+        return rows_of(KEPT, 1, group=[group], turn=[turn], n_docs=[self.n], **{c: [np.ascontiguousarray(x, BLOBS[c]).tobytes()] for c, x in blobs})
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """The place of each term's list, -1 without one."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
 
     def learn(self, lists: np.ndarray, idf: np.ndarray) -> None:
         sizes = self.ends[lists] - self.begins[lists]
@@ -200,27 +263,33 @@ class Group:
 
     def best(self, query_id: int, terms: np.ndarray, idf: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
         """(score, id) of at most ``k`` documents of more than ``least``, the best of the group."""
-        if not len(self.terms):
-            return []
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        there = self.terms[at] == terms
-        lists, idf = at[there], idf[there]
+        at = self.places(terms)
+        return self.best_of(query_id, at[at >= 0], idf[at >= 0], k, least)
+
+    def best_of(self, query_id: int, lists: np.ndarray, idf: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
         if not len(lists):
             return []
         new = ~self.known[lists]
         if new.any():
             self.learn(lists[new], idf[new])
         self.asked += int((self.ends[lists] - self.begins[lists]).sum())
-        if self.bounds[lists].sum() <= least:
+        bound = int(self.bounds[lists].sum())
+        if bound <= least:
             return []
+        # No sum of scores passes that of the bounds.
+        kind, size = np.int32 if bound < 1 << 31 else np.int64, self.whole.shape[1]
         own = self.by_id[slice(*np.searchsorted(self.sorted_ids, [query_id, query_id + 1]))]
         rare, often = lists[self.row[lists] < 0], lists[self.row[lists] >= 0]
-        part = np.zeros(self.whole.shape[1], np.int64)
+        part = np.zeros(size, kind)
         if len(rare):
-            ranges = list(zip(self.begins[rare].tolist(), self.ends[rare].tolist(), strict=True))
-            docs = np.concatenate([self.docs[a:b] for a, b in ranges])
+            begins, ends = self.begins[rare], self.ends[rare]
+            short = ends - begins < SHORT
+            # Short lists are gathered together, others are copied one by one.
+            at = [flat_ranges(begins[short], ends[short])]
+            ranges = list(map(slice, begins[~short].tolist(), ends[~short].tolist()))
+            docs = np.concatenate([self.docs[x] for x in at + ranges], dtype=np.intp)
             # Whole numbers below 2^53 are exact as weights.
-            part += np.bincount(docs, np.concatenate([self.scores[a:b] for a, b in ranges]), len(part)).astype(np.int64)
+            part = np.bincount(docs, np.concatenate([self.scores[x] for x in at + ranges], dtype=np.float64), size).astype(kind)
             self.read += len(docs)
         part[own] = 0
         if not least:
@@ -230,15 +299,16 @@ class Group:
         # Of the frequent lists those are put off whose bounds together do not pass the threshold.
         full, rows = often[off:], self.row[often[:off]]
         if len(full):
-            part += self.whole[self.row[full]].sum(axis=0, dtype=np.int64)
+            for row in self.row[full].tolist():
+                part += self.whole[row]
             part[own] = 0
             self.read += int((self.ends[full] - self.begins[full]).sum())
             least = self.raised(part, k, least)
-        most = self.maxima[rows].sum(axis=0, dtype=np.int64) if len(rows) else np.zeros(len(part) // BLOCK, np.int64)
-        good = np.flatnonzero((part > 0) & (part + np.repeat(most, BLOCK) > least))
-        scores = part[good]
+        by_block = part.reshape(-1, BLOCK)
+        good = np.flatnonzero((by_block > 0) & (by_block > least - self.maxima[rows].sum(axis=0, dtype=kind)[:, None]))
+        scores = part[good].astype(np.int64)
         if len(rows) and len(good):
-            rest = self.whole[np.ix_(rows, good)]
+            rest = self.whole.ravel().take((rows * size)[:, None] + good)
             scores = scores + rest.sum(axis=0, dtype=np.int64)
             self.read += rest.size
             good, scores = good[scores > least], scores[scores > least]
@@ -249,22 +319,38 @@ class Group:
     @staticmethod
     def raised(part: np.ndarray, k: int, least: int) -> int:
         """``k`` documents have a score of this part at least: what is not above one less is none of the best."""
-        return max(least, int(np.partition(part, len(part) - k)[len(part) - k]) - 1) if len(part) > k else least
+        above = part[part > least + 1]
+        return int(np.partition(above, len(above) - k)[len(above) - k]) - 1 if len(above) >= k else least
+
 
+def weight(n_docs: int, df: np.ndarray) -> np.ndarray:
+    return np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
-def answering(k: int, n_docs: int, mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For rows sorted by group, the group's shards first, then its queries."""
+
+def turns_of(n_groups: int, least: int) -> list[int]:
+    """Where the turns of groups begin, and where the last one ends; a turn has ``least`` groups or more."""
+    ends = [0]
+    while ends[-1] < n_groups:
+        ends.append(min(n_groups, ends[-1] + max(least, WIDENED * ends[-1])))
+    return ends
+
+
+def answering(k: int, n_docs: int, mean: float, turns: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows sorted by group, the group's shards first, then its queries: what the group finds, and the group."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, shards, group = None, [], None
+        turn = lambda: int(np.searchsorted(turns, number, side="right")) - 1
         for batch in batches:
             out: list[tuple[int, int, int]] = []
             terms, df = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("terms_of", "dfs_of"))
-            idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+            idf = weight(n_docs, df)
             offsets = batch.column("terms_of").offsets.to_numpy()
-            ids, least = batch.column("query_id").to_pylist(), batch.column("least").to_pylist()
+            ids = batch.column("query_id").to_pylist()
             for i, g in enumerate(batch.column("group").to_pylist()):
                 if g != number:
+                    if shards:
+                        yield Group(shards, mean).stored(number, turn())
                     number, shards, group = g, [], None
                 if ids[i] is None:
                     # Copied, so that no batch is held.
@@ -273,23 +359,75 @@ def answering(k: int, n_docs: int, mean: float) -> Callable[[Iterator[pa.RecordB
                     continue
                 if group is None:
                     group, shards = Group(shards, mean), []
+                    yield group.stored(number, turn())
                 a, b = offsets[i], offsets[i + 1]
-                out += [(ids[i], d, s) for s, d in group.best(ids[i], terms[a:b], idf[a:b], k, least[i])]
-            found = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "doc_id", "score"])
+                out += [(ids[i], d, s) for s, d in group.best(ids[i], terms[a:b], idf[a:b], k, 0)]
+            yield answers(KEPT, out, turn=[-1] * len(out))
+        if shards:
+            yield Group(shards, mean).stored(number, turn())
 
     return answer
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of queries; rows come sorted by block."""
+
+    def row(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        of = lambda c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts])
+        flat = lambda c: np.concatenate([p.column(c).flatten().to_numpy(zero_copy_only=False) for p in parts])
+        sizes = np.concatenate([pc.list_value_length(p.column("terms_of")).to_numpy(zero_copy_only=False) for p in parts])
+        words, where, places = np.unique(flat("terms_of"), return_index=True, return_inverse=True)
+        blobs = zip(QUERY_BLOBS, (of("query_id"), of("first"), of("least"), sizes, words, flat("dfs_of")[where], places), strict=True)
+        return rows_of(BLOCKS, 1, **{c: [np.ascontiguousarray(x, QUERY_BLOBS[c]).tobytes()] for c, x in blobs})
+
+    number, parts = None, []
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, b in pairwise(cuts if len(blocks) else []):
+            if parts and blocks[a] != number:
+                yield row(parts)
+                parts = []
+            number = blocks[a]
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield row(parts)
+
+
+def meeting(k: int, n_docs: int, mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows of a group and a block: what reaches the thresholds of the block's queries."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, group = None, None
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for i, g in enumerate(batch.column("group").to_pylist()):
+                read = lambda kinds, i=i: {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in kinds.items()}  # noqa: B023, E731
+                if g != number:
+                    number, group = g, None
+                    group = Group([read(BLOBS)], mean)
+                block = read(QUERY_BLOBS)
+                at, idf = group.places(block["words"]), weight(n_docs, block["counts"])
+                ends = np.cumsum(block["sizes"]).tolist()
+                for query_id, first, least, a, b in zip(block["queries"].tolist(), block["firsts"].tolist(), block["leasts"].tolist(), [0, *ends], ends, strict=False):
+                    if first != g:
+                        places = block["places"][a:b]
+                        lists = at[places]
+                        out += [(query_id, d, s) for s, d in group.best_of(query_id, lists[lists >= 0], idf[places[lists >= 0]], k, least)]
+            yield answers(FOUND, out)
+
+    return meet
+
+
 def grouped(index: DataFrame) -> DataFrame:
     """``shard, group``: neighbouring shards, numbered from 0.  One row for each shard is all that is ordered."""
     spark = index.sparkSession
-    sizes = index.select("shard", "postings")
+    sizes = index.select("shard", "postings", "n_docs")
     total = sizes.agg(F.sum("postings")).first()[0] or 0
     # Small tables make a group for each task.
     size = max(1, min(GROUP_POSTINGS, total // spark.sparkContext.defaultParallelism))
-    before = F.coalesce(F.sum("postings").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = sizes.select("shard", F.floor(before / size).alias("part"))
+    before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = sizes.select("shard", F.struct(F.floor(before("postings") / size), F.floor(before("n_docs") / GROUP_DOCS)).alias("part"))
     return cut_lineage(found.select("shard", (F.dense_rank().over(Window.orderBy("part")) - 1).cast("long").alias("group")))
 
 
@@ -312,27 +450,36 @@ def search(docs: DataFrame, is_query: Column, k: int = NEAREST, terms: int | Non
     pairs = F.array_sort(F.collect_set(F.struct("term", F.col("df").cast("int").alias("df"))))
     queries = weighed.groupBy("query_id").agg(pairs.alias("pairs"))
     groups = grouped(index)
-    n_groups = groups.agg(F.max("group")).first()[0]
-    first = F.pmod(F.xxhash64("query_id"), F.lit(max(1, (n_groups or 0) + 1))).cast("long")
+    n_groups = (groups.agg(F.max("group")).first()[0] or 0) + 1
+    first = F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).cast("long")
     queries = cut_lineage(queries.select("query_id", F.col("pairs.term").alias("terms_of"), F.col("pairs.df").alias("dfs_of"), first.alias("first")))
 
-    shards = index.join(groups, "shard").drop("shard", "n_words", "postings")
-
-    def answered(asking: DataFrame) -> DataFrame:
-        rows = shards.unionByName(asking, allowMissingColumns=True)
-        # A task for each group: by hashes several would meet in one, and a batch would hold the shards of all.
-        rows = rows.repartitionById((n_groups or 0) + 1, F.col("group").cast("int")).sortWithinPartitions("group", F.col("query_id").asc_nulls_first())
-        return cut_lineage(rows.mapInArrow(answering(k, n, mean), "query_id long, doc_id long, score long"))
-
-    zero = F.lit(0).cast("long")
-    found = answered(queries.select("query_id", "terms_of", "dfs_of", F.col("first").alias("group"), zero.alias("least")))
-    # What comes from other groups has to reach the k-th score: equal ones are told apart by their ids.
-    reached = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-    reached = reached.select("query_id", F.when(F.col("n") >= k, F.col("low") - 1).otherwise(0).alias("least"))
-    others = F.explode(F.filter(F.sequence(zero, F.lit(n_groups or 0).cast("long")), lambda g: g != F.col("first"))).alias("group")
-    told = queries.join(reached, "query_id", "left").select("query_id", "terms_of", "dfs_of", F.coalesce("least", zero).alias("least"), others)
-    found = found.unionByName(answered(told)) if n_groups else found
+    spark = docs.sparkSession
+    turns = turns_of(n_groups, spark.sparkContext.defaultParallelism)
+    rows = index.join(groups, "shard").drop("shard", "n_words", "postings")
+    rows = rows.unionByName(queries.withColumnRenamed("first", "group"), allowMissingColumns=True)
+    # A task for each group: by hashes several would meet in one, and a batch would hold the shards of all.
+    rows = rows.repartitionById(n_groups, F.col("group").cast("int")).sortWithinPartitions("group", F.col("query_id").asc_nulls_first())
+    folder = run_folder(spark, "groups")
+    with unsorted_writes(spark, 2):
+        rows.mapInArrow(answering(k, n, mean, turns), KEPT).write.partitionBy("turn").parquet(folder)
+    kept = spark.read.schema(KEPT).parquet(folder)
+    found = kept.where("turn = -1").select("query_id", "doc_id", "score")
+    n_blocks = 1 + (queries.agg(F.sum(F.size("terms_of"))).first()[0] or 0) // BLOCK_TERMS
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    for turn in range(len(turns) - 1) if n_groups > 1 else ():
+        best = cut_lineage(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+        # What comes from other groups has to reach the k-th score: equal ones are told apart by their ids.
+        reached = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+        reached = reached.select("query_id", F.when(F.col("n") >= k, F.col("low") - 1).otherwise(0).alias("least"))
+        told = queries.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0).cast("long"))).withColumn("block", block)
+        told = told.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block")
+        blocks = cut_lineage(told.mapInArrow(packed, BLOCKS))
+        # Read where they are stored, by a task for each group and block: neither is exchanged, sent or collected.
+        pairs = kept.where(F.col("turn") == turn).select("group", "n_docs", *BLOBS).crossJoin(blocks.hint("shuffle_replicate_nl"))
+        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", 1):
+            found = best.unionByName(cut_lineage(pairs.mapInArrow(meeting(k, n, mean), FOUND)))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "doc_id", (F.col("score") / F.lit(float(UNIT))).alias("score"))
 

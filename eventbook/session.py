@@ -91,14 +91,10 @@ def side_by_side(spark: SparkSession, *steps: Callable[[], Any]) -> list[Any]:
 
 
 @contextlib.contextmanager
-def unsorted_writes(spark: SparkSession, most_open: int) -> Iterator[None]:
-    """Within, tasks write rows into partitions as they come, and sort only those that meet more than ``most_open``.
-
-    For rows of which a task holds few partitions.  The files hold the same rows.
-    """
-    name = "spark.sql.maxConcurrentOutputFileWriters"
+def setting(spark: SparkSession, name: str, value: Any) -> Iterator[None]:
+    """Within, the session has this setting."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, most_open)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -108,6 +104,14 @@ def unsorted_writes(spark: SparkSession, most_open: int) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def unsorted_writes(spark: SparkSession, most_open: int) -> contextlib.AbstractContextManager[None]:
+    """Within, tasks write rows into partitions as they come, and sort only those that meet more than ``most_open``.
+
+    For rows of which a task holds few partitions.  The files hold the same rows.
+    """
+    return setting(spark, "spark.sql.maxConcurrentOutputFileWriters", most_open)
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the folder of a table that ``cut_lineage`` has written, once nothing reads it any more."""
     spark = df.sparkSession

@@ -190,3 +190,62 @@ def test_postings_take_three_bytes_and_large_frequencies_are_kept():
     assert found["b"] == [(0, 255), (1, 1), (11, 1), (12, 255), (20, 1)]
     assert found["c"] == [(0, 70_000), (1, 1), (11, 1), (12, 70_000)] and found["d"] == [(0, 1), (12, 1)]
     assert ranked_search.Group(parts[3:], 90.0).best(1, np.array([number("a")]), np.ones(1), 10, 0) == []
+
+
+def test_queries_are_not_sent_to_each_group(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "GROUP_POSTINGS", 100)
+    monkeypatch.setattr(ranked_search, "BLOCK_TERMS", 60)
+    rnd = random.Random(9)
+    rows = [(i * 5, " ".join(f"w{int(rnd.expovariate(0.02))}" for _ in range(rnd.randint(0, 40)))) for i in range(400)]
+    docs, sent = documents(spark, rows).repartition(24), []
+    kind = type(docs)
+    original = kind.repartitionById
+
+    def watched(self, *of):
+        sent.append((self.where("terms_of IS NOT NULL").count(), self.where("docs IS NOT NULL").count() if "docs" in self.columns else 0))
+        return original(self, *of)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(kind, "repartitionById", watched)
+        check(docs)
+    index = docs.select("doc_id", "text").mapInArrow(ranked_search.build, ranked_search.INDEX)
+    n_groups, n_queries = ranked_search.grouped(index).agg(F.max("group")).first()[0] + 1, docs.where("doc_id % 100 = 0 AND text <> ''").count()
+    turns = len(ranked_search.turns_of(n_groups, spark.sparkContext.defaultParallelism)) - 1
+    # Once to a group, once to a block in each turn; the index once.  It was once to each group.
+    assert n_queries and n_groups > 3 * (1 + turns)
+    assert sum(x for x, _ in sent) <= n_queries * (1 + turns) and sum(x for _, x in sent) == 24
+
+
+def test_turns_widen():
+    assert ranked_search.turns_of(1, 8) == [0, 1] and ranked_search.turns_of(0, 8) == [0]
+    assert ranked_search.turns_of(20, 8) == [0, 8, 20]
+    assert ranked_search.turns_of(1000, 6) == [0, 6, 24, 96, 384, 1000]
+
+
+def test_stored_groups_are_as_before():
+    rnd = np.random.default_rng(4)
+    parts = []
+    for k in range(3):
+        shard = ranked_search.Shard()
+        for i in range(300):
+            shard.add(1000 * k + i, [f"t{int(x)}" for x in rnd.zipf(1.3, 60) if x < 500] + ["many"] * int(rnd.integers(0, 400)), 1, HASHES)
+        parts.append(row_of(shard, k))
+    group = ranked_search.Group(parts, 90.0)
+    row = group.stored(7, 2).to_pylist()[0]
+    assert (row["group"], row["turn"], row["n_docs"], row["query_id"]) == (7, 2, 900, None)
+    again = ranked_search.Group([{c: np.frombuffer(row[c], kind) for c, kind in ranked_search.BLOBS.items()} | {"n_docs": 900}], 90.0)
+    assert again.tfs.max() > ranked_search.LARGE
+    for name in ("ids", "lengths", "terms", "begins", "ends", "docs", "tfs", "slow"):
+        assert np.array_equal(getattr(group, name), getattr(again, name)), name
+
+
+def test_sums_of_scores_pass_32_bits():
+    rnd = np.random.default_rng(6)
+    group, terms_of = group_of(rnd, 300, 200)
+    query = sorted(set(terms_of[5]), key=number)
+    idf = {w: 600.0 + k for k, w in enumerate(query)}
+    want = by_hand(terms_of, query, idf, 10, 5)
+    assert want[9][0] > 1 << 32
+    weights = np.array([idf[w] for w in query])
+    for least in (0, want[4][0] - 1):
+        assert group.best(5, np.array([number(w) for w in query]), weights, 10, least) == [x for x in want if x[0] > least]
